@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a side may be broadcast; both are checked by counting before the hint is given.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: Rows in an Arrow batch that carries whole texts; bounds a Python worker's memory.
 TEXT_BATCH_ROWS = 512
 
