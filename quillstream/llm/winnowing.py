@@ -39,61 +39,64 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
 def _text_id() -> list[Column]:
     return [F.xxhash64("text").alias("r1"), F.hash("text").alias("r2")]
 
 
-_KGRAMS = "transform(sequence(1, n - {k} + 1), i -> xxhash64(slice(h, i, {k})))"
-_MINIMA = "transform(sequence(1, n - {span} + 1), i -> array_min(slice(g, i, {w})))"
+def _let(value: str, name: str, body: str) -> str:
+    """body with name bound to value, computed once: as a lambda's argument it isn't written out where it is used."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _runs(span: int, k: int) -> str:
+    """Of the array h of word hashes: structs (fp, i, j), a kept hash and the window starts [i, j) it stands for."""
+    grams = f"transform(sequence(1, size(h) - {k} + 1), i -> xxhash64(slice(h, i, {k})))"
+    minima = f"transform(sequence(1, size(h) - {span} + 1), i -> array_min(slice(g, i, {span - k + 1})))"
+    change = "filter(sequence(0, size(m) - 1), i -> i = 0 or m[i] != m[i - 1])"
+    out = "transform(c, (i, x) -> struct(m[i] as fp, i + 1 as i, coalesce(get(c, x + 1), size(m)) + 1 as j))"
+    return _let(grams, "g", _let(minima, "m", _let(change, "c", out)))
 
 
 def kept_runs(df: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """df has h (word hashes) and n; adds a row for each kept hash: fp, and the window starts [i, j) it stands for."""
-    long_enough = df.where(f"n >= {span}")
-    grams = long_enough.withColumn("g", F.expr(_KGRAMS.format(k=k)))
-    minima = grams.withColumn("m", F.expr(_MINIMA.format(span=span, w=span - k + 1))).drop("g", "h")
-    change = minima.withColumn("at", F.expr(f"filter(sequence(1, n - {span} + 1), i -> i = 1 or m[i - 1] != m[greatest(i - 2, 0)])"))
-    runs = F.expr(f"transform(at, (i, x) -> struct(m[i - 1] as fp, i, coalesce(get(at, x + 1), n - {span} + 2) as j))")
-    return change.withColumn("run", F.explode(runs)).drop("m", "at").select("*", "run.*").drop("run")
+    """df has words; adds a row for each kept hash: fp, and the window starts [i, j) it stands for."""
+    runs = F.expr(_let("transform(words, w -> xxhash64(w))", "h", f"if(size(h) >= {span}, {_runs(span, k)}, null)"))
+    return df.withColumn("run", F.explode(runs)).select(*[c for c in df.columns if c != "words"], "run.*")
 
 
 def _windows(starts: str, length: str) -> Column:
-    """Structs (start, len, w1, w2) of the windows at starts; h is the array of word hashes."""
-    return F.expr(f"transform({starts}, i -> struct(i as start, int({length}) as len, xxhash64(slice(h, i, {length})) as w1, hash(slice(h, i, {length})) as w2))")
+    """Structs (start, len, w1, w2) of the windows at starts; words is the array of words, n its size."""
+    made = f"transform({starts}, i -> struct(i as start, int({length}) as len, xxhash64(slice(h, i, {length})) as w1, hash(slice(h, i, {length})) as w2))"
+    return F.expr(_let("transform(words, w -> xxhash64(w))", "h", made))
 
 
 def item_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """item, len, w1, w2, one row for each window of an item."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _hashes(word_array(F.col("text"))).alias("h"))
-    items = items.withColumn("n", F.size("h")).where("n > 0")
-    at = items.select("item", F.explode(_windows(f"sequence(1, greatest(n - {span} + 1, 1))", f"least(n, {span})")).alias("x"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_array(F.col("text")).alias("words")).where("size(words) > 0")
+    at = items.select("item", F.explode(_windows(f"sequence(1, greatest(size(h) - {span} + 1, 1))", f"least(size(h), {span})")).alias("x"))
     return at.select("item", "x.len", "x.w1", "x.w2").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """r1, r2 (the text's hashes), n_hit, items (sorted ids) for every contaminated text."""
     items = written(item_windows(benchmark, span))
-    bench = benchmark.select(_hashes(word_array(F.col("text"))).alias("h")).withColumn("n", F.size("h"))
+    bench = benchmark.select(word_array(F.col("text")).alias("words"))
     fps = written(kept_runs(bench, span, k).select("fp").distinct())
     lengths = [r["len"] for r in items.where(f"len < {span}").select("len").distinct().collect()]  # at most span - 1 values
 
-    hashed = docs.select("doc_id", *_text_id(), _hashes(word_array(F.col("text"))).alias("h")).withColumn("n", F.size("h"))
+    hashed = docs.select("doc_id", *_text_id(), word_array(F.col("text")).alias("words"))
     hit = kept_runs(hashed, span, k).select("doc_id", "r1", "r2", "fp", "i", "j").join(small(fps), "fp", "left_semi")
     starts = hit.select("doc_id", "r1", "r2", F.lit(span).alias("len"), "i", "j")
     for m in lengths:
-        grams = hashed.where(f"n >= {m}").select("doc_id", "r1", "r2", F.explode(_windows(f"sequence(1, n - {m} + 1)", str(m))).alias("x"))
+        grams = hashed.where(f"size(words) >= {m}").select("doc_id", "r1", "r2", F.explode(_windows(f"sequence(1, size(h) - {m} + 1)", str(m))).alias("x"))
         found = grams.select("doc_id", "r1", "r2", F.col("x.len").alias("len"), F.col("x.start").alias("i"), (F.col("x.start") + 1).alias("j"), "x.w1", "x.w2")
         starts = starts.unionByName(found.join(small(items.select("len", "w1", "w2").distinct()), ["len", "w1", "w2"], "left_semi").drop("w1", "w2"))
     # one document stands for all of the same text; the hits of a text are bounded by its length
     suspects = written(starts.groupBy("r1", "r2").agg(F.min("doc_id").alias("first_doc"), F.collect_set(F.struct("len", "i", "j")).alias("runs")))
 
     near = hashed.join(small(suspects.withColumnRenamed("r1", "s1").withColumnRenamed("r2", "s2")), (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    near = near.select("r1", "r2", "h", F.explode("runs").alias("run"))
-    window = near.select("r1", "r2", F.explode(_windows("sequence(run.i, run.j - 1)", "run.len")).alias("x")).select("r1", "r2", "x.*")
+    starts_of = "flatten(transform(runs, r -> transform(sequence(r.i, r.j - 1), i -> struct(i as start, r.len as len))))"
+    made = "transform(s, x -> struct(x.start as start, x.len as len, xxhash64(slice(h, x.start, x.len)) as w1, hash(slice(h, x.start, x.len)) as w2))"
+    window = near.select("r1", "r2", F.explode(F.expr(_let("transform(words, w -> xxhash64(w))", "h", _let(starts_of, "s", made)))).alias("x")).select("r1", "r2", "x.*")
     hits = written(window.join(small(items.select("len", "w1", "w2").distinct()), ["len", "w1", "w2"], "left_semi").distinct())
 
     spans = hits.groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("stop")))).alias("spans"))
