@@ -34,7 +34,6 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 4_000
 EM_ROUNDS = 8
 PENALTY = 2.0
-#: The pipeline rejects documents whose mean log-likelihood for a trigram is below this share of the way from a uniform guess.
 UND = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -206,13 +205,21 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return cols.mapInArrow(_predict(languages, table), "doc_id long, held_out boolean, lang_pred string, score double, mean_log double")
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a language: rejected are null texts and texts without a letter.
+def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of docs that get a language, as they are; only `und` is rejected, never a label that differs."""
+    languages, logp = fit(docs, per_language)
+    predict = _predict(languages, docs.sparkSession.sparkContext.broadcast(logp))
+    others = [c for c in docs.columns if c != "text"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in predict(iter([batch.select(["text", "letters"])])):
+                known = pa.array([x != UND for x in found.column("lang_pred").to_pylist()], pa.bool_())
+                yield batch.select(["row", "text"]).filter(known)
 
-    Whole rows are kept as they are, whatever their language; a document is not rejected for a label that differs.
-    """
-    languages, _ = [], None
-    return docs.where(F.col("text").isNotNull() & F.col("text").rlike(HAS_LETTER))
+    cols = docs.select(F.struct(*others).alias("row"), "text", F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)).alias("letters"))
+    kept = cols.mapInArrow(keep, cols.select("row", "text").schema)
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def held_out(doc_id: int) -> bool:

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstream.llm.common import checkpointed, shuffle_partitions, small, text_batches, written
 
@@ -204,8 +205,12 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), batch.column("n_lines"), pa.array(dropped, pa.int32()), pa.array(maps, pa.binary())], names=["doc", "rid", "n_lines", "n_dropped", "keep"])
 
 
+def _identity() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)).alias("doc"), F.xxhash64("text").alias("rid")]
+
+
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)).alias("doc"), F.xxhash64("text").alias("rid"), "text")
+    return docs.select(*_identity(), "text")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -237,17 +242,25 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """doc_id, text (kept lines; null stays null), n_lines, n_dropped; a row for each input row."""
+    """row (the other columns of docs), text (kept lines; null stays null), n_lines, n_dropped; a row for each input row."""
     maps = written(keep_bitmaps(docs, min_chars, min_documents))
-    joined = _identified(docs).withColumn("doc_id", F.col("doc")).join(small(maps.select("doc", "rid", "keep")), ["doc", "rid"], "left")
-    cols = joined.select(F.when(F.col("doc_id") != _NULL_DOC, F.col("doc_id")).alias("doc_id"), "text", "keep")
-    return cols.mapInArrow(_apply, "doc_id long, text string, n_lines long, n_dropped long")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", *_identity())
+    cols = rows.join(small(maps.select("doc", "rid", "keep")), ["doc", "rid"], "left").select("row", "text", "keep")
+    schema = T.StructType([cols.schema["row"], cols.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return cols.mapInArrow(_apply, schema)
+
+
+def replace_texts(docs: DataFrame) -> DataFrame:
+    """docs with the kept lines as text and n_chars (where there is such a column) counted anew."""
+    kept = drop_repeated_lines(docs)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """The digest columns of the contract: doc_id, n_lines, n_dropped, kept_sha256."""
     kept = drop_repeated_lines(docs)
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple], min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> list[tuple]:

@@ -4,28 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import line_dedup, minhash, winnowing
+from quillstream.llm import ann_tree, langid, line_dedup, minhash, mixing, winnowing
 from quillstream.llm.common import table
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search_report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
     return found.selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id as kept")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_ann_tree": op1_ann_tree,
     "op2_minhash": op2_minhash,
+    "op6_mixing": op6_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_langid": op9_langid,
     "op10_winnowing": op10_winnowing,
 }
 
