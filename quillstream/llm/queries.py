@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import ann_tree, langid, line_dedup, minhash, mixing, winnowing
+from quillstream.llm import ann_tree, langid, line_dedup, minhash, mixing, winnowing, wrappers
 from quillstream.llm.common import table
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,6 +19,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id as kept")
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ann_tree": op1_ann_tree,
     "op2_minhash": op2_minhash,
+    "op5_wrappers": op5_wrappers,
     "op6_mixing": op6_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_langid": op9_langid,
