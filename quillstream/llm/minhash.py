@@ -4,7 +4,8 @@
    named by a fingerprint of the set; groups of copies are folded here, before anything is compared.
 2. Each class gets `bands * rows` minima. Full minima only form the band keys; of each minimum two low bits are kept,
    packed in bit planes, and similarity is estimated from bit counts, corrected for chance collisions.
-3. Candidates: each member of a band bucket against the bucket's centre (linear in the bucket). Estimates far below
+3. Candidates: each member of a band bucket against the bucket's centre (linear in the bucket). Estimates, by bit
+   counts inside the join, far below
    the threshold go; the rest is confirmed on full sets. Confirmed links give components.
 4. What a star can miss are links between members whose components still differ inside a bucket. In each such bucket,
    the rows outside its largest component are compared with all its rows, again first by bit counts and then on full
@@ -12,7 +13,9 @@
 5. Components are closed by alternating star contraction; every round is written to the shared folder.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 5e-6. The estimate must fall by
-more than 0.16 (5 standard deviations at 240 minima) to lose a link. Buckets hold no cap.
+more than 0.125 (4 standard deviations at 240 minima) to lose a link. Buckets hold no cap. The centre of a bucket is
+its member with most neighbours over all buckets: among edited copies of one text that is the text itself, to which
+most of them link, though they need not link to each other.
 
 Cases: null or empty texts, or texts of white space only, have no shingles, size 0 and no links. Texts of fewer words
 than a shingle have one shingle, the whole sequence. Repeated rows are copies; rows sharing a doc_id stay separate
@@ -26,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import hashed_words, mix, pieces, small, text_batches, text_buffer, written
 
 BANDS, ROWS = 40, 6
 BITS = 2
-MARGIN = 0.16
+MARGIN = 0.125
 _C = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _multipliers = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -74,28 +77,37 @@ def _minima(s: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack_bits(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The low bits of mixed minima, in bit planes of whole bytes: sets x (bits * n / 8) bytes."""
+    """The low bits of mixed minima, in bit planes of whole 64-bit words: sets x (bits * words of a plane)."""
     low = mix(minima.copy())
-    planes = [np.packbits(((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1) for b in range(bits)]
+    pad = -len(low) % 64
+    planes = []
+    for b in range(bits):
+        plane = np.packbits(((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1)
+        planes.append(np.ascontiguousarray(np.pad(plane, ((0, 0), (0, pad // 8)))).view(np.int64))
     return np.concatenate(planes, axis=1)
 
 
-def estimate(x: np.ndarray, y: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
-    """Similarity from packed signatures (pairs x bytes): share of equal b-bit minima, corrected for chance collisions."""
-    differ = x ^ y
-    width = differ.shape[1] // bits
-    any_bit = differ[:, :width].copy()
-    for b in range(1, bits):
-        any_bit |= differ[:, b * width : (b + 1) * width]
-    unequal = np.bitwise_count(any_bit).sum(axis=1)
-    chance = 0.5**bits
-    return ((1 - unequal / n) - chance) / (1 - chance)
+def unequal_minima(a: str, b: str, n: int, bits: int = BITS) -> Column:
+    """How many of n retained b-bit minima differ, by bit counts over packed signatures (arrays of 64-bit words)."""
+    width = -(-n // 64)
+    words = ("|".join(f"({a}[{p * width + i}] ^ {b}[{p * width + i}])" for p in range(bits)) for i in range(width))
+    return F.expr(" + ".join(f"bit_count({w})" for w in words))
+
+
+def most_unequal(n: int, similarity: float, bits: int = BITS) -> int:
+    """The count that estimates `similarity`: b-bit minima of unequal values agree by chance with probability 2**-bits."""
+    return int(n * (1 - similarity) * (1 - 0.5**bits))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _fingerprint(s: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each (non-empty) set."""
+    return _signed(mix(np.add.reduceat(mix(s ^ _C[1]), starts) + n.astype(np.uint64) * _C[2]))
+
+
 def _sign(k: int, bands: int, rows: int):
     """doc_id, text -> doc_id, node (fingerprint of the set; null if empty), n_shingles, signature, band keys."""
 
@@ -111,16 +123,16 @@ def _sign(k: int, bands: int, rows: int):
                 if len(has):
                     starts = off[:-1][has]
                     minima = _minima(s, starts, bands * rows)
-                    node = _signed(mix(np.add.reduceat(mix(s ^ _C[1]), starts) + n[has].astype(np.uint64) * _C[2]))
+                    node = _fingerprint(s, starts, n[has])
                     packed = pack_bits(minima)
                     band = np.zeros((bands, len(has)), np.uint64)
                     for r in range(rows):
                         band = mix(band * _C[3] + minima[r::rows])
                     band = _signed(mix(band + np.arange(1, bands + 1, dtype=np.uint64)[:, None] * _C[1])).T.copy()
                     for i, d in enumerate(has.tolist()):
-                        nodes[d], sig[d], keys[d] = int(node[i]), packed[i].tobytes(), band[i]
+                        nodes[d], sig[d], keys[d] = int(node[i]), packed[i], band[i]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "node", "n_shingles", "sig", "bands"],
                 )
 
@@ -128,7 +140,7 @@ def _sign(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
-    """node, text -> node, set (sorted 64-bit hashes)."""
+    """node, text -> node, the text's own node, set (sorted 64-bit hashes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,24 +148,15 @@ def _sets(k: int):
             for a, b in pieces(offsets):
                 at = offsets[a : b + 1]
                 s, off = shingle_sets(raw[at[0] : at[-1]], at - at[0], k)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["node", "set"])
+                has = np.flatnonzero(np.diff(off))
+                own = np.zeros(b - a, np.int64)
+                if len(has):
+                    own[has] = _fingerprint(s, off[:-1][has], np.diff(off)[has])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(own), pa.array([s[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["node", "found", "set"])
 
     return sets
 
 
-def _likely(n: int, least: float):
-    """Keep the pairs whose estimate is at least `least`."""
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                batch = batch.select(["a", "b"]).filter(pa.array(estimate(x, y, n) >= least))
-                yield batch
-
-    return likely
-
-
 def _confirm(percent: int):
     """Keep the pairs with 100 * intersection >= percent * union, counted on full sets."""
 
@@ -197,46 +200,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     text_batches(spark)
     n_minima = bands * rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, node long, n_shingles long, sig binary, bands array<long>"))
+    signed = written(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, node long, n_shingles long, sig array<long>, bands array<long>"))
     # a class of equal sets is one node; max_by over one class only picks among equal values
     classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    member = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre"))
-    # buckets of one class go before anything is joined with them
-    member = written(member.join(buckets.where("n > 1"), "bucket").select("bucket", "node", "size", "centre"))
-
-    sizes = classes.select("node", "size")
-    sigs = classes.select("node", "sig")
+    member = classes.select("node", F.explode("bands").alias("bucket"))
+    buckets = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")  # buckets of one class go before anything is joined with them
+    member = written(member.join(buckets, "bucket"))
+    degree = member.groupBy("node").agg(F.sum("n").alias("degree"))
+    facts = written(classes.select("node", "size", "sig").join(degree, "node"))
+    centres = member.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre"))
+    side = lambda x: facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"))
+    likely = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)") & (unequal_minima("sig_a", "sig_b", n_minima) <= most_unequal(n_minima, percent / 100 - MARGIN))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the size bound, the estimate and the exact count."""
-        by = lambda side, df: df.select(*(F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in df.columns))
-        likely = written(pairs.distinct().join(by("a", sigs), "a").join(by("b", sigs), "b").mapInArrow(_likely(n_minima, percent / 100 - MARGIN), "a long, b long"))
-        needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        """The pairs (a, b) that pass the exact count."""
+        pairs = written(pairs)
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         reps = small(classes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), F.col("size")))
         # rows that share a doc_id may differ in text: the set's own fingerprint picks the right one
-        texts = docs.join(reps, "doc_id").select("node", "text")
-        sets = written(texts.mapInArrow(_sets(k), "node long, set binary").dropDuplicates(["node"]))
-        joined = likely.join(by("a", sets), "a").join(by("b", sets), "b")
+        sets = written(docs.join(reps, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, found long, set binary").where("node = found").drop("found").dropDuplicates(["node"]))
+        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return written(joined.mapInArrow(_confirm(percent), "a long, b long"))
 
-    def close_in_size(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    stars = member.where("node != centre").select("node", "centre", "size").distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("centre"), F.col("size").alias("size_c")), "centre").where(close_in_size("size", "size_c"))
-    links = confirmed(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    stars = member.join(centres, "bucket").where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
+    links = confirmed(stars)
     comp = components(links)
 
-    labelled = member.join(comp, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    labelled = member.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    labelled = written(labelled.join(mixed, "bucket"))
+    labelled = written(labelled.join(mixed, "bucket").join(facts.select("node", "size", "sig"), "node"))
     counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("top"))
-    rest = labelled.join(largest, "bucket").where("component != top").select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("comp_a"), "top")
-    others = labelled.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("comp_b"))
-    pairs = rest.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b")))).where(close_in_size("size_a", "size_b"))
-    more = confirmed(pairs.select("a", "b").join(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")), ["a", "b"], "left_anti"))
+    named_ = lambda x: (F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"comp_{x}"))
+    rest = labelled.join(largest, "bucket").where("component != top").select("bucket", *named_("a"), "top")
+    others = labelled.select(F.col("bucket").alias("bucket_b"), *named_("b"))
+    pairs = rest.join(others, F.col("bucket").eqNullSafe(F.col("bucket_b")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))) & likely)
+    tried = stars.union(stars.select("b", "a"))
+    more = confirmed(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     comp = written(components(links.unionByName(more)))
 
     named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -247,9 +248,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which none in the same component has a smaller doc_id; of repeated rows, all carry the kept id."""
-    kept = near_duplicates(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each component, the one with the least doc_id; equal rows of one doc_id stay once, documents without words all stay."""
+    kept = near_duplicates(docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def brute_force(rows: list[tuple], k: int, percent: int = 80) -> list[tuple]:
