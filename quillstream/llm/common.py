@@ -152,3 +152,36 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     np.cumsum(_BYTE[low] * up[:n], out=total[1:])
     h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
     return mix(h), np.searchsorted(start, offsets).astype(np.int64)
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[0x80:] = True
+
+
+def letter_features(raw: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of letters (A-Z lower-cased) and of their prefixes of so many bytes, and the document of each."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low = _LOWER[raw]
+    word = _LETTER[low]
+    before, after = np.empty(n, bool), np.empty(n, bool)
+    before[0], before[1:] = False, word[:-1]
+    after[-1], after[:-1] = False, word[1:]
+    edges = offsets[1:-1]
+    before[edges[edges < n]] = False
+    after[edges[edges > 0] - 1] = False
+    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    up, down = _power(n)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[low] * up[:n], out=total[1:])
+    doc = np.searchsorted(offsets, start, "right") - 1
+    out, docs = [mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))], [doc]
+    for m in prefixes:
+        long = end - start > m
+        at = start[long]
+        out.append(mix((total[at + m] - total[at]) * down[at] + np.uint64(1000 + m)))
+        docs.append(doc[long])
+    return np.concatenate(out), np.concatenate(docs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import ann_tree, langid, line_dedup, minhash, mixing, winnowing, wrappers
+from quillstream.llm import ann_tree, langid, line_dedup, minhash, mixing, quotes, surrogates, toxicity, winnowing, wrappers
 from quillstream.llm.common import table
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,6 +19,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id as kept")
 
 
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -27,6 +35,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -42,8 +54,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ann_tree": op1_ann_tree,
     "op2_minhash": op2_minhash,
+    "op3_quotes": op3_quotes,
+    "op4_toxicity": op4_toxicity,
     "op5_wrappers": op5_wrappers,
     "op6_mixing": op6_mixing,
+    "op7_surrogates": op7_surrogates,
     "op8_line_dedup": op8_line_dedup,
     "op9_langid": op9_langid,
     "op10_winnowing": op10_winnowing,
