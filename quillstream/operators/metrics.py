@@ -35,7 +35,7 @@ def retrieval_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...], key
     return joined.select(
         *by,
         F.col("final_k").cast("long").alias("final_k"),
-        F.round(F.coalesce(F.least(F.col("relevant") / F.col("n_gold"), F.lit(1.0)), zero), 6).alias("recall"),
+        F.round(F.when(F.col("n_gold").isNull(), zero).otherwise(F.least(F.col("relevant") / F.col("n_gold"), F.lit(1.0))), 6).alias("recall"),
         F.round(F.col("relevant") / F.col("n"), 6).alias("precision"),
         F.when(F.col("relevant") > 0, 1.0).otherwise(0.0).alias("hit"),
         F.round(F.coalesce(1.0 / F.col("first"), zero), 6).alias("mrr"),

@@ -46,7 +46,7 @@ got AS (SELECT level, qid, final_k, count(*) AS n, count(*) FILTER (grade > 0) A
 pg AS (SELECT *, row_number() OVER (PARTITION BY level, qid ORDER BY grade DESC, o, key) AS place FROM gl),
 ng AS (SELECT level, qid, count(*) AS n_gold FROM gl GROUP BY ALL),
 best AS (SELECT level, qid, n, sum((pow(2, grade) - 1) / log2(place + 1)) AS idcg FROM (SELECT DISTINCT level, qid, n FROM got) JOIN pg USING (level, qid) WHERE place <= n GROUP BY ALL),
-ev AS (SELECT level, qid, final_k, round(coalesce(least(relevant / n_gold, 1.0), 0), 6) AS recall, round(relevant / n, 6) AS precision, CASE WHEN relevant > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg
+ev AS (SELECT level, qid, final_k, CASE WHEN n_gold IS NULL THEN 0.0::DOUBLE ELSE round(least(relevant / n_gold, 1.0), 6) END AS recall, round(relevant / n, 6) AS precision, CASE WHEN relevant > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg
   FROM got LEFT JOIN ng USING (level, qid) LEFT JOIN best USING (level, qid, n))"""
 )
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in metrics.MEANS)

@@ -15,12 +15,12 @@ def running_daily(events: DataFrame) -> DataFrame:
 
 def daily_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The streaming form: tumbling windows of a day with a watermark for late events."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
 
 
 def new_keys(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """Resume as a stream: keys seen within the watermark are dropped."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def cost(tokens_in: Column, tokens_out: Column, rate_in: float, rate_out: float, fee: float = 0.0) -> Column:
