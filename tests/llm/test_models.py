@@ -50,7 +50,7 @@ def test_ordinal_regression_learns_an_order():
     rows, grades = [], []
     for _ in range(600):
         n = int(rng.integers(0, 3))
-        rows.append(np.unique(np.r_[rng.integers(100, 1000, 20), [1] * (n > 0), [2] * (n > 1)]))
+        rows.append(np.unique([*rng.integers(100, 1000, 20), *[1] * (n > 0), *[2] * (n > 1)]))
         grades.append(n)
     off = np.r_[0, np.cumsum([len(r) for r in rows])]
     model = toxicity.Ordinal(2000).fit(np.concatenate(rows), off, np.array(grades))
