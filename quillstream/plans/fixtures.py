@@ -56,6 +56,20 @@ ANSWERS = ("qid long, answer string, allowed string, retrieved string, gold stri
     (4, "I could not retrieve relevant legal provisions.", "", "", "5", "5"), (5, "The retrieved evidence is insufficient here.", "[BNS §16-A]", "16-A", "16-A", ""), (6, "Plain words [XX §1].", "[BNS §9]", "9", "9", "9")])
 GOLDEN = ("value string", [('{"acts":{"bns":{"questions":[{"id":"q1","act":"bns","query":"a","gold":[{"section_number":"1","relevance_grade":2,"chunk_ids":["c1","c2"]},{"section_number":"2","relevance_grade":1,"chunk_ids":["c2","c3"]}]}]}}}',), ('{"questions":[{"id":"q2","act":"ica","query":"b","gold":[{"section_number":"9","relevance_grade":1,"chunk_ids":["c9"]}]}]}',)])
 GOLDEN_KEYS = [("q1", "c1", 2), ("q1", "c2", 2), ("q1", "c3", 1), ("q2", "c9", 1)]
+MARKDOWN = ("doc_id long, pos int, text string", [(1, i, t) for i, t in enumerate((
+    "# The Invented Act", "loose words", "## PREAMBLE", "", "Whereas it is fit,", "", "", "be it so.", "## Related Judgements", "A v. B", "# CHAPTER I — Of Theft", "opening of the chapter", "## Section 1", "**Marginal note:** Theft", "<!-- source_pages=3,4; section=1 -->",
+    "**(1)**  Whoever takes", "", "", "Explanation 1 — taking is moving.", "**Marginal note:** Taking", "## Section 16-A. Other   things", "text", "## Schedule", "row"))])
+#: owner, chapter, number, title, note, pages, body of its blocks, worked by hand.
+NORMALIZED = [
+    (1, 0, "preamble", None, None, None, None, "", "loose words"), (1, 1, "special", None, None, "Preamble", None, "", "Whereas it is fit,\n\nbe it so."), (1, 2, "special", None, None, "Related Judgements", None, "", "A v. B"),
+    (1, 3, "chapter", "I", None, "Of Theft", None, "", "opening of the chapter"), (1, 4, "section", "I", "1", "Theft", "Taking", "3,4", "**(1)** Whoever takes\n\n**Explanation:** taking is moving."),
+    (1, 5, "section", "I", "16-A", "Other things", None, "", "text"), (1, 6, "special", "I", None, "Schedule", None, "", "row"),
+]
+UNIT_LINES = ("doc_id long, pos int, text string", [(1, i, t) for i, t in enumerate((
+    "dropped", "# Chapter I — Of Theft", "dropped too", "## Section 1", "**Marginal note:** Taking", "body", "**Marginal note:** Other", "## Schedule", "row", "# Chapter II - Of Fraud", "gone", "## Section 2 — Cheating", "last"))])
+UNITS = [
+    (1, 1, "1", "Taking", "I", "Of Theft", None, "**Marginal note:** Taking|body|**Marginal note:** Other"), (1, 2, None, "Schedule", "I", "Of Theft", "schedule", "row"), (1, 3, "2", "Cheating", "II", "Of Fraud", None, "last"),
+]
 
 
 def frame(spark: SparkSession, fixture: tuple[str, list]) -> DataFrame:

@@ -50,7 +50,6 @@ ev AS (SELECT level, qid, final_k, CASE WHEN n_gold IS NULL THEN 0.0::DOUBLE ELS
   FROM got LEFT JOIN ng USING (level, qid) LEFT JOIN best USING (level, qid, n))"""
 )
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in metrics.MEANS)
-_DROP_INVISIBLE = "[ \t]+"
 
 
 def _report(source: str, rules: dict[str, str], key: str = "rule_id", n: str = "n_bad", passed: bool = True) -> str:
@@ -178,5 +177,7 @@ m AS (SELECT * FROM (VALUES (1, 5), (1, 6), (2, 3), (2, 4), (2, 5), (2, 6), (2,
     "jn12_grid": "SELECT strategy, candidate_k, final_k, count(*) AS n FROM benchmark, (VALUES ('bm25'), ('vector'), ('hybrid_rrf')) s(strategy), (VALUES (10::BIGINT), (20), (50)) c(candidate_k), (VALUES (1::BIGINT), (3), (5), (10)) f(final_k) WHERE final_k <= candidate_k GROUP BY ALL",
     "gn6_label_map": f"WITH {_BM25}, {_HITS.format(k=10)} SELECT qid, '[' || act || ' §' || section || ']' AS label, arg_max(doc_id, rank) AS doc_id FROM hits GROUP BY ALL",
     "prj4_source_cards": f"WITH {_BM25}, {_HITS.format(k=3)} SELECT qid, rank, doc_id::VARCHAR AS source_id, '[' || act || ' §' || section || ']' AS citation, section AS section_number, md5(left(text, 500)) AS content FROM hits JOIN documents USING (doc_id)",
+    "wn8_normalized_sections": f"SELECT * FROM {X.values(X.NORMALIZED, 'doc_id, ord, owner, chapter, number, title, note, pages, body')}",
+    "wn8_units": f"SELECT * FROM {X.values(X.UNITS, 'doc_id, unit, number, title, chapter, chapter_title, special, lines')}",
 }
 ORACLES |= {f"ev{i}_{m}": f"{_EVAL} SELECT qid, level, final_k, {m} FROM ev" for i, m in enumerate(metrics.MEANS, 1)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import citations as C
 from quillstream.functions import text as T
 from quillstream.functions.vectors import cosine
-from quillstream.operators import answering, blocks, incremental, metrics, quality, retrieval, structure
+from quillstream.operators import answering, blocks, incremental, markdown, metrics, quality, retrieval, structure
 from quillstream.plans import fixtures as X
 from quillstream.sources import files
 from quillstream.streaming import telemetry
@@ -375,6 +375,14 @@ def prj4_source_cards(spark, d):
     return answering.cards(hits.join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")).withColumn("content", F.md5("content"))
 
 
+def wn8_normalized_sections(spark, d):
+    return markdown.normalized(X.frame(spark, X.MARKDOWN)).withColumn("pages", F.array_join(F.coalesce("pages", F.array().cast("array<int>")).cast("array<string>"), ","))
+
+
+def wn8_units(spark, d):
+    return markdown.units(X.frame(spark, X.UNIT_LINES)).withColumn("lines", F.array_join("lines", "|")).drop("note")
+
+
 def ev6_cosine(spark, d):
     q = query_vectors(spark, d, 3)
     return read(spark, d, "embeddings").join(F.broadcast(q)).select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("cosine"))
@@ -385,5 +393,5 @@ QUERIES = {f.__name__: f for f in (
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
     wn4_greedy_sequence, jn1_nearest_margin, jn2_note_association, jn4_asof_chapter, wn7_lookahead_titles, wn11_pack_tokens, wn12_sentence_split, wn17_blank_collapse, sf8_classify_lines, wn9_logical_blocks, wn10_chunk_blocks, sf14_normalize_lines,
     sf21_chunk_ids, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
-    inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards)}
+    inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units)}
 QUERIES |= {f"ev{i}_{name}": _metric(name) for i, name in enumerate(metrics.MEANS, 1)}
