@@ -8,8 +8,8 @@
    counts inside the join, far below
    the threshold go; the rest is confirmed on full sets. Confirmed links give components.
 4. What a star can miss are links between members whose components still differ inside a bucket. In each such bucket,
-   the rows outside its largest component are compared with all its rows, again first by bit counts and then on full
-   sets. Pairs of one component need no test, so groups of near copies cost time in proportion to their size.
+   the rows outside its largest component are compared with all its rows, once for each pair (in its first common
+   bucket): by bit counts of a wider signature inside the join, then on full sets. Pairs of one component need no test.
 5. Components are closed by alternating star contraction; every round is written to the shared folder.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 5e-6. The estimate must fall by
@@ -37,6 +37,8 @@ from quillstream.llm.common import hashed_words, mix, pieces, small, text_batche
 BANDS, ROWS = 40, 6
 BITS = 2
 MARGIN = 0.125
+#: Minima of the wide signature that sifts what the stars leave, and its margin (4 standard deviations).
+WIDE, WIDE_MARGIN = 1024, 0.06
 _C = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _multipliers = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,11 +70,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return s[new], kept[off]
 
 
-def _minima(s: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+def _minima(s: np.ndarray, starts: np.ndarray, n: int, first: int = 0) -> np.ndarray:
     """n minima for each (non-empty) set: least of the set under n multiplicative hashes, n x sets."""
     out = np.empty((n, len(starts)), np.uint64)
     for j in range(n):
-        out[j] = np.minimum.reduceat(s * _multipliers[j], starts)
+        out[j] = np.minimum.reduceat(s * _multipliers[first + j], starts)
     return out
 
 
@@ -139,8 +141,8 @@ def _sign(k: int, bands: int, rows: int):
     return sign
 
 
-def _sets(k: int):
-    """node, text -> node, the text's own node, set (sorted 64-bit hashes)."""
+def _sets(k: int, wide: int = 0, first: int = 0):
+    """node, text -> node, the text's own node, set (sorted 64-bit hashes; or a signature of `wide` minima)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +154,14 @@ def _sets(k: int):
                 own = np.zeros(b - a, np.int64)
                 if len(has):
                     own[has] = _fingerprint(s, off[:-1][has], np.diff(off)[has])
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(own), pa.array([s[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["node", "found", "set"])
+                if wide:
+                    made: list = [None] * (b - a)
+                    for d, row in zip(has.tolist(), pack_bits(_minima(s, off[:-1][has], wide, first)) if len(has) else ()):
+                        made[d] = row
+                    last = pa.array(made, pa.list_(pa.int64()))
+                else:
+                    last = pa.array([s[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(own), last], names=["node", "found", "sig" if wide else "set"])
 
     return sets
 
@@ -177,7 +186,7 @@ def _confirm(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) for the nodes of edges (a, b), by alternating large and small stars."""
 
-    def least(e: DataFrame) -> DataFrame:
+    def least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         return both, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
 
@@ -212,33 +221,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     side = lambda x: facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"))
     likely = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)") & (unequal_minima("sig_a", "sig_b", n_minima) <= most_unequal(n_minima, percent / 100 - MARGIN))
 
+    def from_texts(needed: DataFrame, made, kind: str) -> DataFrame:
+        """What `made` makes of the texts of some nodes."""
+        reps = small(classes.join(needed.distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
+        # rows that share a doc_id may differ in text: the set's own fingerprint picks the right one
+        return written(docs.join(reps, "doc_id").select("node", "text").mapInArrow(made, f"node long, found long, {kind}").where("node = found").drop("found").dropDuplicates(["node"]))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that pass the exact count."""
         pairs = written(pairs)
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        reps = small(classes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), F.col("size")))
-        # rows that share a doc_id may differ in text: the set's own fingerprint picks the right one
-        sets = written(docs.join(reps, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, found long, set binary").where("node = found").drop("found").dropDuplicates(["node"]))
+        sets = from_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), _sets(k), "set binary")
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return written(joined.mapInArrow(_confirm(percent), "a long, b long"))
 
     stars = member.join(centres, "bucket").where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
     links = confirmed(stars)
-    comp = components(links)
+    comp = written(components(links))
 
     labelled = member.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    labelled = written(labelled.join(mixed, "bucket").join(facts.select("node", "size", "sig"), "node"))
+    labelled = written(labelled.join(mixed, "bucket"))
+    wide = from_texts(labelled.select("node"), _sets(k, WIDE, n_minima), "sig array<long>")
+    labelled = labelled.join(wide.join(classes.select("node", "size", "bands"), "node"), "node")
     counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("top"))
-    named_ = lambda x: (F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"comp_{x}"))
+    named_ = lambda x: (F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"comp_{x}"), F.col("bands").alias(f"bands_{x}"))
+    likely = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)") & (unequal_minima("sig_a", "sig_b", WIDE) <= most_unequal(WIDE, percent / 100 - WIDE_MARGIN))
+    once = F.expr("array_intersect(bands_a, bands_b)[0] = bucket")
     rest = labelled.join(largest, "bucket").where("component != top").select("bucket", *named_("a"), "top")
     others = labelled.select(F.col("bucket").alias("bucket_b"), *named_("b"))
-    pairs = rest.join(others, F.col("bucket").eqNullSafe(F.col("bucket_b")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))) & likely)
+    pairs = rest.join(others, F.col("bucket").eqNullSafe(F.col("bucket_b")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))) & likely & once)
     tried = stars.union(stars.select("b", "a"))
-    more = confirmed(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    comp = written(components(links.unionByName(more)))
+    more = confirmed(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    # the components so far are stars already: they and the new links are all that is left to close
+    stars_now = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b")
+    comp = written(components(stars_now.unionByName(more)))
 
     named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_texts"))
