@@ -39,7 +39,7 @@ BLOCK = 1024
 SLOTS_PER_SHARD = 256
 MAX_SHARDS = 4096
 #: Rows of one hash range of a source.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 2_000
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 
