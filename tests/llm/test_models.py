@@ -95,6 +95,21 @@ def test_wrappers_tell_template_texts():
     assert wrappers.main_text(pages[2], wrapper) == prose(40, 2) + "\nmore " + prose(9, 92)
 
 
+def test_template_lines_inside_an_article(spark):
+    share, more = "<p>Share <b>this</b> story</p>", "<div class='box'><p>Read more here</p></div>"
+    pages = [PAGE.format(f"<article><h1>{prose(4, i)}</h1>{share}<p>{prose(30, 40 + i)}, <i>{prose(2, i)}</i>.</p>{more if i != 1 else ''}<p>{prose(9, 70 + i)}</p></article>") for i in range(5)]
+    rows = [(i, f"http://a.b/{i}", p) for i, p in enumerate(pages)] + [(9, "http://c.d/", pages[0])]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    bodies = [(prose(4, i), f"{prose(30, 40 + i)}, {prose(2, i)}.", prose(9, 70 + i)) for i in range(5)]
+    assert got[1] == "\n".join(bodies[1])
+    assert [got[i].replace("\nRead more here", "") for i in range(5)] == ["\n".join(b) for b in bodies] and "Read more here" in got[0]  # page 1 lacks the box
+    assert "Share this story" in got[9]  # a host of one page has no wrapper
+    boxed = [PAGE.format(f"<article><p>{prose(20, i)}</p>{more}</article>") for i in range(4)]
+    assert wrappers.main_text(boxed[2], wrappers.infer(boxed)) == prose(20, 2)
+    same = [PAGE.format(f"<div>{prose(5, i)}</div><article><p>The same article</p></article>") for i in range(4)]
+    assert wrappers.main_text(same[0], wrappers.infer(same)) == "The same article"
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = queries.QUERIES["op5_wrappers"](spark, sf).join(pages, "page_id").collect()
