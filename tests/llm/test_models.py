@@ -110,6 +110,14 @@ def test_template_lines_inside_an_article(spark):
     assert wrappers.main_text(same[0], wrappers.infer(same)) == "The same article"
 
 
+def test_pages_without_article_keep_headline_and_unique_texts():
+    page = f"<body><h1>Title</h1><div><p>{prose(60, 1)}</p><div>{prose(200, 2)}</div><p>{prose(8, 3)}</p></div><p>The end</p></body>"
+    assert wrappers.main_text(page) == "\n".join(("Title", prose(60, 1), prose(200, 2), prose(8, 3), "The end"))
+    extra = "<h3>Only here</h3><blockquote>Said once</blockquote>"
+    pages = [f"<body><div>All pages say this</div><h1>{prose(3, i)}</h1><div><p>{prose(50, 20 + i)}</p>{extra if i == 2 else ''}</div></body>" for i in range(4)]
+    assert wrappers.main_text(pages[2], wrappers.infer(pages)) == "\n".join((prose(3, 2), prose(50, 22), "Only here", "Said once"))
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = queries.QUERIES["op5_wrappers"](spark, sf).join(pages, "page_id").collect()
