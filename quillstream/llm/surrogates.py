@@ -10,7 +10,9 @@ digits in the same layout, phones keep their country code and a 555 exchange, ad
 their first digit and a right check digit, mail addresses their separators and top-level domain (one domain has one
 surrogate), keys their length and case, names their title, gender, script and number of words. Two entities never get one surrogate
 and no surrogate is an entity of the corpus: clashes are found by joins, and all but the least entity draw again
-until there are none.
+until there are none. Redraws widen the space, so that it never runs out: names get a syllable more with every second attempt,
+mail addresses a letter and phones a digit (put at the end) with every fourth. Addresses, cards and keys keep their
+form, with room for 4 * 10^9, 10^11 and more; clashes left after MAX_ATTEMPTS rounds would be an error, never a result.
 
 Cases: null stays null, texts without entities stay as they are. Equal texts are worked once, under a hash of the
 text; repeated rows get a result each. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
@@ -87,18 +89,22 @@ def _surname(h: str, script: str) -> str:
     n = [p.count(",") + 1 for p in parts]
     middle = "'а', 'е', 'и', 'о'" if script == "cyrillic" else "'a', 'e', 'i', 'o', 'u', 'an', 'er', 'in', 'on', 'ar'"
     m = middle.count(",") + 1
-    return f"concat(element_at(array({parts[0]}), int(conv(substr({h}, 7, 4), 16, 10)) % {n[0]} + 1), element_at(array({middle}), int(conv(substr({h}, 11, 4), 16, 10)) % {m} + 1), element_at(array({parts[1]}), int(conv(substr({h}, 15, 4), 16, 10)) % {n[1]} + 1))"
+    more = "'ба', 'ве', 'ги', 'до', 'жу', 'за', 'ке', 'ли', 'мо', 'ну', 'па', 'ре', 'си', 'то', 'фу', 'ха'" if script == "cyrillic" else "'ba', 'ce', 'di', 'fo', 'gu', 'ke', 'la', 'me', 'ni', 'po', 'ru', 'sa', 'te', 'vi', 'wo', 'zu'"
+    wider = f"if(attempt < 2, '', array_join(transform(sequence(1, int(attempt / 2)), i -> element_at(array({more}), int(conv(substr(sha2(concat({h}, 's'), 256), i, 1), 16, 10)) + 1)), ''))"
+    return f"concat(element_at(array({parts[0]}), int(conv(substr({h}, 7, 4), 16, 10)) % {n[0]} + 1), element_at(array({middle}), int(conv(substr({h}, 11, 4), 16, 10)) % {m} + 1), {wider}, element_at(array({parts[1]}), int(conv(substr({h}, 15, 4), 16, 10)) % {n[1]} + 1))"
 
 
 def _surrogate() -> Column:
-    """Of columns kind, norm, female, h (keyed hash), hd (keyed hash of a mail domain): the surrogate of the normal form."""
+    """Of columns kind, norm, female, attempt, h (keyed hash), hd (keyed hash of a mail domain): the surrogate of the normal form."""
     luhn_sum = "aggregate(transform(split(reverse(body), ''), (d, i) -> if(i % 2 = 1, int(d), if(int(d) > 4, int(d) * 2 - 9, int(d) * 2))), 0, (s, v) -> s + v)"
     card = f"transform(array(concat(substr(norm, 1, 1), {_digits('h', 'length(norm) - 2')})), body -> concat(body, string((10 - {luhn_sum} % 10) % 10)))[0]"
     digits = _digits("h", "length(norm)")
     phone = f"case when length(norm) >= 10 then concat(substr(norm, 1, length(norm) - 10), string(2 + int(conv(substr(h, 60, 2), 16, 10)) % 8), substr({digits}, 1, 2), '555', substr({digits}, 4, 4)) else concat(substr(norm, 1, 2), substr({digits}, 1, length(norm) - 2)) end"
+    phone = f"concat({phone}, if(attempt < 4, '', {_digits("sha2(concat(h, 'p'), 256)", 'int(attempt / 4)')}))"
     ip = "array_join(transform(sequence(0, 3), i -> string(int(conv(substr(h, i * 6 + 1, 6), 16, 10)) % 254 + 1)), '.')"
     host, top = "regexp_extract(norm, '@(.*)[.][a-z]+$', 1)", "regexp_extract(norm, '[.][a-z]+$', 0)"
-    mail = f"concat({_letters('h', 'split_part(norm, chr(64), 1)')}, '@', {_letters('hd', host)}, {top})"
+    wider = "substr(translate(sha2(concat(h, 'm'), 256), '0123456789', 'ghijklmnop'), 1, int(attempt / 4))"
+    mail = f"concat({_letters('h', 'split_part(norm, chr(64), 1)')}, {wider}, '@', {_letters('hd', host)}, {top})"
     secret = "substr(concat(h, sha2(concat(h, 'e'), 256), sha2(concat(h, 'f'), 256), sha2(concat(h, 'g'), 256)), 1, length(norm))"
     given = f"case when norm rlike '[А-Яа-я]' then if(female, {_pick(FEMALE_CYRILLIC, 'h')}, {_pick(MALE_CYRILLIC, 'h')}) else if(female, {_pick(FEMALE_NAMES, 'h')}, {_pick(MALE_NAMES, 'h')}) end"
     last = f"if(norm rlike '[А-Яа-я]', {_surname('h', 'cyrillic')}, {_surname('h', 'latin')})"
@@ -107,8 +113,8 @@ def _surrogate() -> Column:
 
 
 def _laid_out() -> Column:
-    """The surrogate in the layout of the raw string: its digits in the places of digits; letters in its case; a title before a name."""
-    digits = "array_join(transform(split(raw, ''), (c, i) -> if(c rlike '[0-9]', substr(surrogate, length(regexp_replace(substr(raw, 1, i + 1), '[^0-9]', '')), 1), c)), '')"
+    """The surrogate in the layout of the raw string: its digits in the places of digits, more at the end; letters in its case; a title before a name."""
+    digits = "concat(array_join(transform(split(raw, ''), (c, i) -> if(c rlike '[0-9]', substr(surrogate, length(regexp_replace(substr(raw, 1, i + 1), '[^0-9]', '')), 1), c)), ''), substr(surrogate, length(regexp_replace(raw, '[^0-9]', '')) + 1))"
     cased = "if(raw = upper(raw), upper(surrogate), surrogate)"
     return F.expr(f"case kind when 'phone' then {digits} when 'card' then {digits} when 'name' then concat(regexp_extract(raw, '^(?:{_titles})[.]?[ ]', 0), surrogate) when 'ip' then surrogate else {cased} end")
 
@@ -120,17 +126,17 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
         return keyed.withColumn("hd", F.sha2(F.concat_ws("|", F.lit(key), F.regexp_extract("norm", "@(.*)$", 1)), 256)).withColumn("surrogate", _surrogate()).drop("h", "hd")
 
     now = written(drawn(entities.withColumn("attempt", F.lit(0))))
-    for _ in range(MAX_ATTEMPTS):
+    for _ in range(MAX_ATTEMPTS + 1):
         first = now.groupBy("kind", "surrogate").agg(F.min("norm").alias("least"), F.count("*").alias("n")).where("n > 1")
         taken = entities.select(F.col("kind").alias("k"), F.col("norm").alias("taken"))
         clash = now.join(first.drop("n"), ["kind", "surrogate"]).where("norm != least").select("kind", "norm")
         clash = clash.unionByName(now.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("taken")), "left_semi").select("kind", "norm")).distinct()
         clash = written(clash)
         if clash.isEmpty():
-            break
+            return now
         again = now.join(clash, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         now = written(now.join(clash, ["kind", "norm"], "left_anti").unionByName(drawn(again.drop("surrogate"))))
-    return now
+    raise RuntimeError(f"{clash.count()} entities still share a surrogate after {MAX_ATTEMPTS} draws")
 
 
 def _text_id() -> list[Column]:

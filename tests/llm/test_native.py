@@ -128,6 +128,17 @@ def test_surrogates_are_distinct(spark):
     assert not {r.surrogate for r in table} & {f[1] for f in found}
 
 
+def test_surrogates_of_more_entities_than_short_forms(spark):
+    found = [("name", f"N{i:04d}", False) for i in range(2500)] + [("name", f"Я{i:03d}", True) for i in range(300)]  # 1,920 and 128 short surnames
+    found += [("phone", f"12{i:03d}", False) for i in range(1000)] + [("email", f"{c}@{d}.de", False) for c in "abcdefghijklmnopqrstuvwxyz" for d in "xyz"]
+    table = surrogates.surrogate_table(spark.createDataFrame(found, "kind string, norm string, female boolean")).collect()
+    assert len(table) == len(found) == len({(r.kind, r.surrogate) for r in table})
+    assert not {(r.kind, r.surrogate) for r in table} & {f[:2] for f in found}
+    docs = frame(spark, [(i, f"call +12 {i // 10:02d} {i % 10}0 now") for i in range(1000)])
+    texts = {r.text for r in surrogates.replace_entities(docs).collect()}
+    assert len(texts) == 1000 and all(re.fullmatch(r"call \+\d\d \d\d \d{2,} now", t) for t in texts)
+
+
 def test_surrogate_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("old"))
     rows = queries.QUERIES["op7_surrogates"](spark, sf).join(docs, "doc_id").collect()
