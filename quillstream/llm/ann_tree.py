@@ -138,7 +138,8 @@ def _best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: in
     ids, x = ids[order], np.ascontiguousarray(x[order])
     _, first, same = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     at = np.argsort(same, kind="stable")  # rows grouped by vector, least id first
-    begin = np.r_[0, np.cumsum(np.bincount(same, minlength=len(first)))]
+    at = at[np.r_[True, (same[at][1:] != same[at][:-1]) | (ids[at][1:] != ids[at][:-1])]] if len(at) else at  # repeated rows once
+    begin = np.r_[0, np.cumsum(np.bincount(same[at], minlength=len(first)))]
     vectors = x[first]
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     unit = _unit(vectors)
@@ -155,7 +156,7 @@ def _best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: in
         for i in range(len(part)):
             near = np.flatnonzero((rough[i] >= floor[i]) & (rough[i] > -np.inf))
             exact = (vectors[near] * part[i]).sum(axis=1) / (norms[near] * np.sqrt((part[i] * part[i]).sum()))
-            rows = [(-s, int(v)) for s, n in zip(exact.tolist(), near.tolist()) for v in dict.fromkeys(ids[at[begin[n] : begin[n + 1]]][: k + 1].tolist()) if v != qids[a + i]]
+            rows = [(-s, int(v)) for s, n in zip(exact.tolist(), near.tolist()) for v in ids[at[begin[n] : begin[n + 1]]][: k + 1].tolist() if v != qids[a + i]]
             found: dict[int, float] = {}
             for s, v in sorted(rows):
                 if v not in found:

@@ -37,6 +37,14 @@ def test_search_of_nothing(spark):
     assert ann_tree.search_report(vectors(spark, [(0, [1.0, 0.0])])).count() == 0
 
 
+def test_repeated_rows_leave_room_for_copies(spark):
+    rows = [(0, [1.0, 0.1])] + [(7, [1.0, 0.0])] * 6 + [(8, [1.0, 0.0]), (9, [0.0, 1.0])] * 2
+    got = sorted((r["rank"], r.vec_id) for r in ann_tree.search_report(vectors(spark, rows)).collect() if r.query_id == 0)
+    assert got == [(1, 7), (2, 8), (3, 9)]
+    found = ann_tree._best(np.array([7] * 6 + [8]), np.array([[1.0, 0.0]] * 7), np.array([0]), np.array([[1.0, 0.0]]), 5)
+    assert found["vec_id"].tolist() == [7, 8]
+
+
 def test_recall(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = queries.QUERIES["op1_ann_tree"](spark, sf).collect()
