@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import pieces, text_batches, text_buffer
+from quillstream.llm.common import pieces, text_buffer, text_pieces
 
 BUCKETS = 1 << 16
 #: Bound on the labelled documents of one language that the model is fitted on.
@@ -71,7 +71,7 @@ def _count(languages: list[str]):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in text_pieces(batches):
             which = np.array([index[x] for x in batch.column("lang").to_pylist()])
             for i in np.unique(which):
                 raw, offsets = text_buffer(batch.column("text").filter(pa.array(which == i)))
@@ -91,8 +91,6 @@ def crc_of_id() -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the table of log probabilities, buckets x languages."""
-    spark = docs.sparkSession
-    text_batches(spark)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(4)) != 2)).select("lang", "text")
     sizes = sorted((r["lang"], r["n"]) for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect())  # one row for each language
     languages = [x for x, _ in sizes]
@@ -168,7 +166,7 @@ def mixtures(logs: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) ->
 def _predict(languages: list[str], table: "pyspark.Broadcast"):  # noqa: F821
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = table.value
-        for batch in batches:
+        for batch in text_pieces(batches):
             raw, offsets = text_buffer(batch.column("text"))
             known = np.array(batch.column("letters").to_pylist(), bool) & bool(languages)
             pred, score, fit_ = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
@@ -198,9 +196,8 @@ def _predict(languages: list[str], table: "pyspark.Broadcast"):  # noqa: F821
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, mean_log (log-likelihood for a trigram under the best language)."""
-    spark = docs.sparkSession
     languages, logp = fit(docs, per_language)
-    table = spark.sparkContext.broadcast(logp)  # BUCKETS x languages of 4 bytes
+    table = docs.sparkSession.sparkContext.broadcast(logp)  # BUCKETS x languages of 4 bytes
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "text", F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)).alias("letters"))
     return cols.mapInArrow(_predict(languages, table), "doc_id long, held_out boolean, lang_pred string, score double, mean_log double")
 
@@ -212,7 +209,7 @@ def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     others = [c for c in docs.columns if c != "text"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches):
             for found in predict(iter([batch.select(["text", "letters"])])):
                 known = pa.array([x != UND for x in found.column("lang_pred").to_pylist()], pa.bool_())
                 yield batch.select(["row", "text"]).filter(known)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import checkpointed, shuffle_partitions, small, text_batches, written
+from quillstream.llm.common import checkpointed, shuffle_partitions, small, text_pieces, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -47,7 +47,7 @@ def long_enough(key: bytes, least: int) -> bool:
 
 def _emit_lines(least: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches):
             out: list[list[int]] = [[], [], [], [], [], []]
             h1, h2, docs, rids, at, counts = out
             for doc, rid, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -196,7 +196,7 @@ def unpack_keep(bitmap: bytes, n_lines: int) -> np.ndarray:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_pieces(batches):
         maps, dropped = [], []
         for at, n in zip(batch.column("positions").to_pylist(), batch.column("n_lines").to_pylist()):
             at = np.unique(np.asarray(at, np.int64))
@@ -216,7 +216,6 @@ def _identified(docs: DataFrame) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc, rid (hash of the text), n_lines, n_dropped, keep (compressed bitmap) of the documents that lose lines."""
     spark = docs.sparkSession
-    text_batches(spark)
     lines = written(_identified(docs).mapInArrow(_emit_lines(min_chars), _LINES))
     parts = max(shuffle_partitions(spark), math.ceil(lines.count() / PARTITION_ROWS))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("rid"), F.col("pos")]
@@ -229,7 +228,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace text by its kept lines; adds n_lines and n_dropped."""
-    for batch in batches:
+    for batch in text_pieces(batches):
         texts, lines_, dropped = [], [], []
         for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
             lines = (text or "").split("\n")

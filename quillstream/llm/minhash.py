@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import hashed_words, mix, pieces, small, text_batches, text_buffer, written
+from quillstream.llm.common import hashed_words, mix, pieces, small, text_buffer, text_pieces, written
 
 BANDS, ROWS = 40, 6
 BITS = 2
@@ -114,7 +114,7 @@ def _sign(k: int, bands: int, rows: int):
     """doc_id, text -> doc_id, node (fingerprint of the set; null if empty), n_shingles, signature, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches):
             raw, offsets = text_buffer(batch.column("text"))
             for a, b in pieces(offsets):
                 at = offsets[a : b + 1]
@@ -145,7 +145,7 @@ def _sets(k: int, wide: int = 0, first: int = 0):
     """node, text -> node, the text's own node, set (sorted 64-bit hashes; or a signature of `wide` minima)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches):
             raw, offsets = text_buffer(batch.column("text"))
             for a, b in pieces(offsets):
                 at = offsets[a : b + 1]
@@ -170,7 +170,7 @@ def _confirm(percent: int):
     """Keep the pairs with 100 * intersection >= percent * union, counted on full sets."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches):
             ok = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -206,7 +206,6 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, node, component_id (least doc_id reachable), n_texts (classes in the component)."""
     spark = docs.sparkSession
-    text_batches(spark)
     n_minima = bands * rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, node long, n_shingles long, sig array<long>, bands array<long>"))

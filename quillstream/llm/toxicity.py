@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import letter_features, pieces, text_batches, text_buffer
+from quillstream.llm.common import letter_features, pieces, text_buffer, text_pieces
 
 BUCKETS = 1 << 22
 PREFIXES = (5, 6, 7)
@@ -129,7 +129,7 @@ class Ordinal:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_pieces(batches):
         raw, offsets = text_buffer(batch.column("text"))
         for a, b in pieces(offsets):
             at = offsets[a : b + 1]
@@ -165,7 +165,7 @@ def grade(docs: DataFrame, model: Ordinal | None) -> DataFrame:
             m = Ordinal()
             m.w[shared.value[0]] = shared.value[1]
             m.t = shared.value[2]
-        for batch in batches:
+        for batch in text_pieces(batches):
             raw, offsets = text_buffer(batch.column("text"))
             above = np.zeros((batch.num_rows, GRADES - 1))
             for a, b in pieces(offsets) if m else ():
@@ -180,5 +180,4 @@ def grade(docs: DataFrame, model: Ordinal | None) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    text_batches(docs.sparkSession)
     return grade(docs, fit(docs, labels))
