@@ -1,6 +1,7 @@
 """Winnowing, quotation linking, surrogates: main paths without Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -43,6 +44,19 @@ def test_contamination_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_contamination(docs, items), key=key)
 
 
+def test_contamination_of_texts_in_the_words_of_the_benchmark(spark):
+    rng = random.Random(3)
+    few = [prose(1, s) for s in range(12)]
+    say = lambda n: " ".join(rng.choice(few) for _ in range(n))
+    long = say(3000)
+    items = [(i, say(n)) for i, n in enumerate([40, 25, 9, 8, 5, 4, 3, 11, 10])] + [(90, " ".join(long.split()[50:2500]))]
+    docs = [(i, say(rng.choice([3, 12, 60, 400]))) for i in range(60)] + [(100, long), (101, f"{items[0][1]} {items[1][1]}"), (102, few[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = winnowing.decontamination_report(frame(spark, docs), bench)
+    key = lambda r: str(r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_contamination(docs, items), key=key)
+
+
 def test_contamination_of_nothing(spark):
     docs, bench = frame(spark, [(1, prose(30, 1))]), spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in winnowing.decontamination_report(docs, bench).collect()] == [False]
@@ -56,6 +70,8 @@ def test_contamination_query_equals_sql(oracle):
 def test_drop_contaminated(spark):
     a = prose(30, 3)
     docs = frame(spark, [(1, a), (2, prose(30, 4)), (3, None)])
+    for name in ("r1", "_r1", "row", "words", "stretches", "bits", "a.b"):
+        docs = docs.withColumn(name, F.lit(1))
     out = winnowing.drop_contaminated(docs, spark.createDataFrame([(1, a)], "item_id long, text string"))
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
 
