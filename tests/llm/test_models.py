@@ -1,5 +1,9 @@
 """Nearest neighbours, toxicity, wrappers, mixing, language ID, the pipeline."""
 
+import html
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,11 +100,23 @@ def test_main_text():
     assert wrappers.main_text(None) == "" and wrappers.main_text("") == "" and wrappers.main_text("<p>a < b</p>") == "a < b"
 
 
+def learned(pages: list[str]):
+    n, wrapper = wrappers.infer(pages)
+    return wrappers.rules(wrapper, n) if n >= wrappers.MIN_SHARED else None
+
+
 def test_wrappers_tell_template_texts():
     pages = [PAGE.format(f"<div><p>Same on every page of this site</p><div><p>{prose(40, i)}</p>{'<p>more ' + prose(9, 90 + i) + '</p>' * (i % 2)}</div></div>") for i in range(5)]
-    wrapper = wrappers.infer(pages)
-    assert "#TEXT" in wrappers.expression(wrapper) and "Same on every page" in wrappers.expression(wrapper)
-    assert wrappers.main_text(pages[2], wrapper) == prose(40, 2) + "\nmore " + prose(9, 92)
+    n, wrapper = wrappers.infer(pages)
+    assert n == 5 and "#TEXT" in wrappers.expression(wrapper, n) and "Same on every page" in wrappers.expression(wrapper, n)
+    assert wrappers.main_text(pages[2], learned(pages)) == prose(40, 2) + "\nmore " + prose(9, 92)
+
+
+def test_expressions_have_optional_and_repeated_groups():
+    pages = ["<body><h1>a</h1><p>b</p><p>c</p></body>", "<body><h1>d</h1><p>e</p><ul><li>f</li></ul></body>", "<body><h2>g</h2><p>h</p><h2>i</h2><p>j</p><ul></ul></body>"]
+    n, wrapper = wrappers.infer(pages)
+    shown = wrappers.expression(wrapper, n)
+    assert "(<h1>#TEXT)?" in shown and "((<h2>#TEXT)*(<p>#TEXT)+)+" in shown and "(<ul>(<li>#TEXT)?)?" in shown
 
 
 def test_template_lines_inside_an_article(spark):
@@ -112,10 +128,29 @@ def test_template_lines_inside_an_article(spark):
     assert got[1] == "\n".join(bodies[1])
     assert [got[i].replace("\nRead more here", "") for i in range(5)] == ["\n".join(b) for b in bodies] and "Read more here" in got[0]  # page 1 lacks the box
     assert "Share this story" in got[9]  # a host of one page has no wrapper
+    assert all(wrappers.main_text(p) != got[i] for i, p in enumerate(pages))  # without the wrapper the line stays
     boxed = [PAGE.format(f"<article><p>{prose(20, i)}</p>{more}</article>") for i in range(4)]
-    assert wrappers.main_text(boxed[2], wrappers.infer(boxed)) == prose(20, 2)
-    same = [PAGE.format(f"<div>{prose(5, i)}</div><article><p>The same article</p></article>") for i in range(4)]
-    assert wrappers.main_text(same[0], wrappers.infer(same)) == "The same article"
+    assert wrappers.main_text(boxed[2], learned(boxed)) == prose(20, 2)
+    same = [PAGE.format(f"<div>{prose(25, i)}</div><article><p>The same article</p></article>") for i in range(4)]
+    assert wrappers.main_text(same[0], learned(same)) == "The same article"
+    copies = [PAGE.format(f"<article><h1>{prose(2, i % 2)}</h1><p>{prose(30, i % 2)}</p></article><p>{i}</p>") for i in range(8)]
+    assert learned(copies) is None  # copies of two articles are two pages
+
+
+def test_groups_of_the_template_without_article():
+    menu = lambda i: f"<ul><li><a href='/a'>{prose(1, 7)}</a></li><li><a href='/b'>{prose(1, 900 + i)}</a></li></ul>"
+    notice = lambda i: f"<div><em>{prose(6, i % 2)}</em></div>"
+    pages = [f"<body><header><p>Our site</p><h1>{prose(5, 300 + i)}</h1></header>{menu(i)}<section>{notice(i)}<p>{prose(30, i)}</p><p>See <a href='/x'>{prose(2, i)}</a> too</p></section></body>" for i in range(6)]
+    for i, p in enumerate(pages):
+        assert wrappers.main_text(p, learned(pages)) == "\n".join((prose(5, 300 + i), prose(30, i), f"See {prose(2, i)} too"))
+    assert prose(1, 7) in wrappers.main_text(pages[0])
+
+
+def test_names_that_say_more_than_advert():
+    keep = [f"<p class='{c}'>{prose(9, i)}</p>" for i, c in enumerate(["ad hoc topics", "search results", "comments-open entry-title", "lead", "intro-2", ""])]
+    drop = [f"<div class='{c}'>{prose(9, 50 + i)}</div>" for i, c in enumerate(["ad", "ad-box top", "post-comments", "site-footer clearfix", "widget advert_large", "Comments"])] + ["<div id='comment-12'>x</div>", "<p hidden>y</p>", "<p style='display: none'>z</p>"]
+    for place in ("article", "section"):
+        assert wrappers.main_text(f"<body><{place}>{''.join(keep)}{''.join(drop)}</{place}></body>") == "\n".join(prose(9, i) for i in range(6))
 
 
 def test_pages_without_article_keep_headline_and_unique_texts():
@@ -123,7 +158,31 @@ def test_pages_without_article_keep_headline_and_unique_texts():
     assert wrappers.main_text(page) == "\n".join(("Title", prose(60, 1), prose(200, 2), prose(8, 3), "The end"))
     extra = "<h3>Only here</h3><blockquote>Said once</blockquote>"
     pages = [f"<body><div>All pages say this</div><h1>{prose(3, i)}</h1><div><p>{prose(50, 20 + i)}</p>{extra if i == 2 else ''}</div></body>" for i in range(4)]
-    assert wrappers.main_text(pages[2], wrappers.infer(pages)) == "\n".join((prose(3, 2), prose(50, 22), "Only here", "Said once"))
+    assert wrappers.main_text(pages[2], learned(pages)) == "\n".join((prose(3, 2), prose(50, 22), "Only here", "Said once"))
+    two = f"<article><p>{prose(200, 1)}</p></article><article><p>short</p></article>"
+    assert wrappers.main_text(two) == prose(200, 1) + "\nshort"
+
+
+def test_broken_and_deep_pages():
+    for tag in ("div", "b", "li", "span class='x'", "article", "p"):
+        for n in (1_000, 30_000):
+            open_ = f"<{tag}>" * n
+            assert wrappers.main_text(f"<article>{open_}deep</article>after") == ("deep\nafter" if tag == "article" else "deep")
+            deep = wrappers.parse(f"<article>{open_}deep</{tag.split()[0]}>end")
+            assert wrappers.infer([f"<body>{open_}{i}</body>" for i in range(3)])[0] == 3 and deep is not None
+    steps = "".join(f"<div>{i}" for i in range(200)) + "".join(f"</div>{i}" for i in range(200))
+    assert wrappers.main_text(steps).split() == [str(i) for i in range(200)] * 2
+    assert wrappers.main_text("<div>" * 100 + "<nav>menu<div>more</div></nav>text" + "<article><p>one</p>two</article>") == "one\ntwo"
+    assert wrappers.main_text("<p title=it's>don't</p><p class=\"x>a</p> <p>b") and wrappers.main_text("x <y and z > w") == "x <y and z > w".replace("<y and z >", "").replace("  ", " ")
+    assert wrappers.main_text("<p>one <a two <b>three</b> </p <p>four") == "one three\nfour"
+    assert wrappers.main_text("<svg><p>kept</p><title>kept") == "kept\nkept" and wrappers.main_text("a<script>b") == "a"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a href="', "</", "</p", "<svg>", "<b><p>", "</i><b>", "<td><li>", "<x y='", "<!", "&amp;", "<article><i></b>", '<p class="a b" id=c>x'])
+def test_long_broken_pages_take_linear_time(piece):
+    started = time.process_time()
+    wrappers.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - started < 20
 
 
 def test_pages(spark, sf):
@@ -131,8 +190,9 @@ def test_pages(spark, sf):
     got = queries.QUERIES["op5_wrappers"](spark, sf).join(pages, "page_id").collect()
     assert len(got) == pages.count()
     for r in got:
-        inside = r.html.split("<article>")[1].split("</article>")[0]
-        assert r.n_chars == len(r.text) and r.text.split("\n")[0].split(" ")[0] in inside and "&copy;" not in r.text
+        inside = re.sub(r"<(/?)(h1|p|br)>", "\n", r.html.split("<article>")[1].split("</article>")[0])
+        lines = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.sub(r"[^\S\n]+", " ", inside).split("\n"))
+        assert r.n_chars == len(r.text) and "".join(r.text.split()) == "".join("".join(lines).split())
     odd = spark.createDataFrame([(1, None, None), (2, "x", ""), (None, "http://a.b/c", "<article>x</article>"), (2, "x", "")], "page_id long, url string, html string")
     assert sorted(((r.page_id, r.text) for r in wrappers.extract(odd).collect()), key=str) == [(1, ""), (2, ""), (2, ""), (None, "x")]
     assert wrappers.extract(odd.where("false")).count() == 0
