@@ -1,32 +1,36 @@
 """Personal data replaced by surrogates, in DataFrame expressions only.
 
 One regular expression finds the entities of a text: e-mail addresses, phone numbers, IPv4 addresses, payment cards
-(13 to 19 digits that pass the Luhn test), keys and tokens in hexadecimal, and persons' names after a title or with a
-listed given name. Each entity has a normal form (case, spacing and punctuation apart), by which it is
-coreferent over the whole corpus: one normal form has one surrogate, whatever its spelling in a text.
-
-Surrogates come from a keyed hash (SHA-256 of key, type, normal form and attempt) and fit type and format: digits for
-digits in the same layout, phones keep their country code and a 555 exchange, addresses octets from 1 to 254, cards
-their first digit and a right check digit, mail addresses their separators and top-level domain (one domain has one
-surrogate), keys their length and case, names their title, gender, script and number of words. Two entities never get one surrogate
-and no surrogate is an entity of the corpus: clashes are found by joins, and all but the least entity draw again
-until there are none. Redraws widen the space, so that it never runs out: names get a syllable more with every second attempt,
-mail addresses a letter and phones a digit (put at the end) with every fourth. Addresses, cards and keys keep their
-form, with room for 4 * 10^9, 10^11 and more; clashes left after MAX_ATTEMPTS rounds would be an error, never a result.
+(13 to 19 digits that pass the Luhn test), keys and tokens in hexadecimal, and persons' names after a title, an introduction or with
+a listed given name; a cheap test for each type keeps it from most texts. A surname found in a text is replaced in the whole of that text, also where it
+stands alone. An entity's normal form (case, spacing, punctuation and title apart) makes it coreferent over the whole
+corpus. Mail addresses fall into local part and domain, names into given name and surname, each with a surrogate of its own: "Mr. Smith"
+and "John Smith" keep their surname in common, as do two addresses their domain.
+
+Distinct by construction: entities of one type and format are numbered, and a keyed permutation (a Feistel network over SHA-256)
+of a power of four that is at least twice their number maps each number to a place in the format's domain. Domains: phones keep country code and length,
+with a 555 exchange; addresses octets from 1 to 254; cards their first digit, length and a right check digit; local parts and domains their layout of
+letters, digits and separators, and the top-level domain; keys length and case; names script, gender and number of words. A domain that is too
+small is widened: phones by digits at the end, local parts and domains by letters, surnames by syllables, given names by a second one.
+Addresses, cards and keys can't be; too many of them (5 * 10^8 addresses) are an error, never a shared surrogate.
+A last check by joins finds surrogates that are entities of the corpus themselves, or that widened formats share; those entities take
+further numbers until none is left. Numbers follow the corpus, so surrogates are consistent within one run.
 
 Cases: null stays null, texts without entities stay as they are. Equal texts are worked once, under a hash of the
-text; repeated rows get a result each. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
+text; repeated rows get a result each. A very long text is read whole. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import small, written
 
 KEY = "quillstream-surrogates"
-MAX_ATTEMPTS = 40
+#: Entities of a class in one group of the numbering.
+GROUP_ROWS = 20_000
+ROUNDS = 6
 
 # fixed values: titles by gender, and given names by gender and script
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "г-н")
@@ -36,18 +40,32 @@ MALE_NAMES = ("James", "John", "Robert", "Michael", "William", "David", "Thomas"
 FEMALE_NAMES = ("Mary", "Patricia", "Linda", "Elizabeth", "Susan", "Sarah", "Karen", "Anna", "Emma", "Laura", "Ursula", "Heike", "Marie", "Claire", "Carmen", "Lucia")
 MALE_CYRILLIC = ("Иван", "Пётр", "Сергей", "Андрей", "Дмитрий", "Михаил", "Николай", "Павел")
 FEMALE_CYRILLIC = ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана")
+OTHER_NAMES = ("Alex", "Robin", "Kim", "Sam", "Jules", "Noa", "Sascha", "Toni", "Andrea", "Dominique", "Kay", "Lou", "Mika", "Chris", "Jamie", "Quinn")
+OTHER_CYRILLIC = ("Саша", "Женя", "Валя", "Слава", "Паша", "Шура", "Витя", "Юра")
+INTRODUCTIONS = ("my name is", "My name is", "ich heiße", "Ich heiße", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут")
 
-_names = "|".join(MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC)
+# syllables of invented surnames, all of one length in a list: beginning, middle, end
+LATIN = (("Bar", "Cal", "Der", "Fen", "Gal", "Hol", "Kes", "Lam", "Mar", "Nor", "Pel", "Ras", "Sel", "Tam", "Vor", "Win"), ("ba", "ce", "di", "fo", "gu", "ke", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "zu"), ("dale", "den", "ford", "grave", "ley", "mont", "ner", "ton", "wick", "worth", "man", "field"))
+CYRILLIC = (("Бел", "Кор", "Лаз", "Мор", "Сав", "Тих", "Фед", "Яко"), ("ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ха"), ("дин", "ров", "нский", "ченко"))
+CYRILLIC_FEMALE = (CYRILLIC[0], CYRILLIC[1], ("дина", "рова", "нская", "ченка"))
+
+_given = "|".join(MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC)
 _titles = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
-_NAME = r"(?:(?<![\p{L}\p{N}])(?:" + _titles + r")\.?[ ]\p{Lu}[\p{L}'-]+(?:[ ]\p{Lu}[\p{L}'-]+)?|(?<![\p{L}\p{N}])(?:" + _names + r")[ ]\p{Lu}[\p{L}'-]+)(?![\p{L}\p{N}])"
+_intro = "|".join(INTRODUCTIONS)
+_WORD = r"\p{Lu}[\p{L}'-]+"
+_AT = r"(?<![\p{L}\p{N}])"
+_NAME = rf"(?=[\p{{Lu}}г]){_AT}(?:(?:{_titles})\.?[ ]{_WORD}(?:[ ]{_WORD})?|(?:{_given})[ ]{_WORD})(?![\p{{L}}\p{{N}}])|(?=\p{{Lu}})(?<=(?:{_intro})[ ]){_WORD}(?:[ ]{_WORD})?(?![\p{{L}}\p{{N}}])"
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
-_HEX = r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
+_HEX = r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]{32})(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 _CARD = r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)"
 PATTERN = "|".join((_MAIL, _HEX, _IP, _CARD, _PHONE, _NAME))
-#: A text without any of these holds no entity.
-HINT = r"[@0-9]|" + f"(?:{_titles}|{_names})[. ]"
+
+
+def may_hold(text: Column) -> Column:
+    """False for texts that hold no entity: a test of what any entity of each type needs, each in one look at the text."""
+    return text.contains("@") | text.rlike(r"[+(0-9][0-9 .()-]{5}") | text.rlike(r"[0-9a-fA-F]{32}") | text.rlike(rf"(?=[\p{{Lu}}г])(?:{_titles}|{_given})[. ]|(?:{_intro})[ ]\p{{Lu}}")
 
 
 def _kind(x: str) -> str:
@@ -60,83 +78,150 @@ def _kind(x: str) -> str:
     )
 
 
-def _normal(x: str, kind: str) -> str:
-    return f"case {kind} when 'phone' then regexp_replace({x}, '[^0-9]', '') when 'card' then regexp_replace({x}, '[^0-9]', '') when 'ip' then {x} when 'name' then regexp_replace({x}, '^(?:{_titles})[.]?[ ]', '') else lower({x}) end"
+def _any(options: tuple[str, ...], end: str) -> str:
+    return "^(?:" + "|".join(options) + f"){end}"
+
+
+_UNTITLED = f"regexp_replace(raw, '^(?:{_titles})[.]?[ ]', '')"
+_GIVEN = f"if(contains({_UNTITLED}, ' '), split_part({_UNTITLED}, ' ', 1), null)"
+
+
+def _parts() -> str:
+    """SQL: of raw and kind, the entities in a mention: structs (part, kind, norm, female, male)."""
+    female = f"coalesce(raw rlike '{_any(FEMALE_TITLES, '[. ]')}' or {_GIVEN} rlike '{_any(FEMALE_NAMES + FEMALE_CYRILLIC, '$')}', false)"
+    male = f"coalesce(raw rlike '{_any(MALE_TITLES, '[. ]')}' or {_GIVEN} rlike '{_any(MALE_NAMES + MALE_CYRILLIC, '$')}', false)"
+    one = lambda i, kind, norm, f="false", m="false": f"struct({i} as part, {kind} as kind, {norm} as norm, {f} as female, {m} as male)"
+    mail = f"array({one(0, repr('local'), 'lower(split_part(raw, chr(64), 1))')}, {one(1, repr('domain'), 'lower(split_part(raw, chr(64), 2))')})"
+    surname = one(1, "'surname'", f"lower(split_part({_UNTITLED}, ' ', -1))")
+    name = f"if({_GIVEN} is null, array({surname}), array({one(0, repr('given'), f'lower({_GIVEN})', female, male)}, {surname}))"
+    rest = one(0, "kind", "if(kind in ('phone', 'card'), regexp_replace(raw, '[^0-9]', ''), lower(raw))")
+    return f"case kind when 'email' then {mail} when 'name' then {name} else array({rest}) end"
+
+
+_LAYOUT = "regexp_replace(regexp_replace({x}, '[a-z]', 'a'), '[0-9]', '0')"
+#: Letters and digits of a local part or domain that carry the number; more of them are drawn from a hash.
+CARRIED = 12
+
 
+def _alnum(x: str) -> str:
+    return f"pow(26D, least({CARRIED}, length(regexp_replace({x}, '[^a-z]', '')))) * pow(10D, greatest(0, least({CARRIED} - length(regexp_replace({x}, '[^a-z]', '')), length(regexp_replace({x}, '[^0-9]', '')))))"
 
-def _in(options: tuple[str, ...]) -> str:
-    return "^(?:" + "|".join(options) + r")(?:[. ]|$)"
 
+_HOST, _TOP = "regexp_extract(norm, '^(.*)[.][^.]+$', 1)", "regexp_extract(norm, '[.][^.]+$', 0)"
+_IS_CYRILLIC = "norm rlike '[а-яё]'"
 
-def _pick(names: tuple[str, ...], h: str) -> str:
-    return f"element_at(array({', '.join(repr(n) for n in names)}), int(conv(substr({h}, 1, 6), 16, 10) % {len(names)}) + 1)"
 
+def classed(entities: DataFrame) -> DataFrame:
+    """entities (kind, norm, female, male) with cls, the format whose entities are numbered together, room (how many such there can be) and step (how many times more with each widening; 1: none)."""
+    gender = "case when female and not male then 'f' when male and not female then 'm' else 'u' end"
+    script = f"if({_IS_CYRILLIC}, if(kind = 'surname' and norm rlike '[ая]$', 'cf', 'c'), 'l')"
+    cls = f"""case kind when 'phone' then concat(length(norm), ' ', substr(norm, 1, if(length(norm) >= 10, length(norm) - 10, 2))) when 'card' then concat(substr(norm, 1, 1), ' ', length(norm))
+        when 'secret' then string(length(norm)) when 'local' then {_LAYOUT.format(x='norm')} when 'domain' then concat({_LAYOUT.format(x=_HOST)}, {_TOP}) when 'given' then concat({script}, {gender}) when 'surname' then {script} else '' end"""
+    room = f"""case kind when 'phone' then if(length(norm) >= 10, 8e6D, pow(10D, length(norm) - 2)) when 'ip' then pow(254D, 4) when 'card' then pow(10D, length(norm) - 2) when 'secret' then pow(2D, 60)
+        when 'local' then {_alnum('norm')} when 'domain' then {_alnum(_HOST)} when 'given' then if({_IS_CYRILLIC}, {len(MALE_CYRILLIC)}D, {len(MALE_NAMES)}D)
+        else if({_IS_CYRILLIC}, {len(CYRILLIC[0]) * len(CYRILLIC[1]) * len(CYRILLIC[2])}D, {len(LATIN[0]) * len(LATIN[1]) * len(LATIN[2])}D) end"""
+    step = f"case when kind in ('ip', 'card', 'secret') then 1D when kind = 'phone' then 10D when kind in ('local', 'domain') then 26D when kind = 'given' then if({_IS_CYRILLIC}, {len(MALE_CYRILLIC)}D, {len(MALE_NAMES)}D) else {len(LATIN[1])}D end"
+    return entities.select("*", F.expr(f"concat(kind, ' ', {cls})").alias("cls"), F.expr(room).alias("room"), F.expr(step).alias("step"))
 
-def _digits(h: str, n: str) -> str:
-    """n keyed digits: each from four hexadecimal digits of repeated hashes."""
-    source = f"concat({h}, sha2(concat({h}, 'a'), 256), sha2(concat({h}, 'b'), 256))"
-    return f"array_join(transform(sequence(0, {n} - 1), i -> string(int(conv(substr({source}, i * 4 + 1, 4), 16, 10)) % 10)), '')"
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (cls, wider, norm ..) with i, from 0 within each (cls, wider): counts of hash groups, then numbers inside a group."""
+    groups = max(1, -(-rows.count() // GROUP_ROWS))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("norm"), F.lit(groups)))
+    counts = rows.groupBy("cls", "wider", "grp").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("cls", "wider").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(counts.select("cls", "wider", "grp", before.alias("before")))
+    inside = F.row_number().over(Window.partitionBy("cls", "wider", "grp").orderBy("norm"))
+    return rows.join(small(starts), ["cls", "wider", "grp"]).withColumn("i", F.col("before") + inside - 1).drop("grp", "before")
 
-def _letters(h: str, x: str) -> str:
-    """x with keyed letters for letters and digits for digits, case and punctuation kept."""
-    code = f"int(conv(substr(concat({h}, sha2(concat({h}, 'c'), 256), sha2(concat({h}, 'd'), 256)), (i * 3) % 180 + 1, 3), 16, 10))"
-    return f"array_join(transform(split({x}, ''), (c, i) -> case when c rlike '[a-z]' then substr('abcdefghijklmnopqrstuvwxyz', {code} % 26 + 1, 1) when c rlike '[A-Z]' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {code} % 26 + 1, 1) when c rlike '[0-9]' then string({code} % 10) else c end), '')"
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _surname(h: str, script: str) -> str:
-    parts = ("'Бел', 'Кор', 'Лаз', 'Мор', 'Сав', 'Тих', 'Фед', 'Яков'", "'ин', 'ов', 'ский', 'енко'") if script == "cyrillic" else ("'Bar', 'Cal', 'Der', 'Fen', 'Gal', 'Hol', 'Kes', 'Lam', 'Mar', 'Nor', 'Pel', 'Ras', 'Sel', 'Tam', 'Vor', 'Win'", "'dale', 'den', 'ford', 'grave', 'ley', 'mont', 'ner', 'ton', 'wick', 'worth', 'man', 'field'")
-    n = [p.count(",") + 1 for p in parts]
-    middle = "'а', 'е', 'и', 'о'" if script == "cyrillic" else "'a', 'e', 'i', 'o', 'u', 'an', 'er', 'in', 'on', 'ar'"
-    m = middle.count(",") + 1
-    more = "'ба', 'ве', 'ги', 'до', 'жу', 'за', 'ке', 'ли', 'мо', 'ну', 'па', 'ре', 'си', 'то', 'фу', 'ха'" if script == "cyrillic" else "'ba', 'ce', 'di', 'fo', 'gu', 'ke', 'la', 'me', 'ni', 'po', 'ru', 'sa', 'te', 'vi', 'wo', 'zu'"
-    wider = f"if(attempt < 2, '', array_join(transform(sequence(1, int(attempt / 2)), i -> element_at(array({more}), int(conv(substr(sha2(concat({h}, 's'), 256), i, 1), 16, 10)) + 1)), ''))"
-    return f"concat(element_at(array({parts[0]}), int(conv(substr({h}, 7, 4), 16, 10)) % {n[0]} + 1), element_at(array({middle}), int(conv(substr({h}, 11, 4), 16, 10)) % {m} + 1), {wider}, element_at(array({parts[1]}), int(conv(substr({h}, 15, 4), 16, 10)) % {n[1]} + 1))"
 
+def _permuted(key: str) -> str:
+    """SQL: the place of number i in a keyed permutation of the numbers of 2 * half bits."""
+    mask = "(shiftleft(1L, half) - 1)"
+    mixed = f"cast(conv(substr(sha2(concat_ws('|', '{key}', cls, k, s.r), 256), 1, 15), 16, 10) as bigint) & {mask}"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('l', shiftright(i, half), 'r', i & {mask}), (s, k) -> named_struct('l', s.r, 'r', s.l ^ ({mixed})), s -> shiftleft(s.l, half) + s.r)"
 
-def _surrogate() -> Column:
-    """Of columns kind, norm, female, attempt, h (keyed hash), hd (keyed hash of a mail domain): the surrogate of the normal form."""
-    luhn_sum = "aggregate(transform(split(reverse(body), ''), (d, i) -> if(i % 2 = 1, int(d), if(int(d) > 4, int(d) * 2 - 9, int(d) * 2))), 0, (s, v) -> s + v)"
-    card = f"transform(array(concat(substr(norm, 1, 1), {_digits('h', 'length(norm) - 2')})), body -> concat(body, string((10 - {luhn_sum} % 10) % 10)))[0]"
-    digits = _digits("h", "length(norm)")
-    phone = f"case when length(norm) >= 10 then concat(substr(norm, 1, length(norm) - 10), string(2 + int(conv(substr(h, 60, 2), 16, 10)) % 8), substr({digits}, 1, 2), '555', substr({digits}, 4, 4)) else concat(substr(norm, 1, 2), substr({digits}, 1, length(norm) - 2)) end"
-    phone = f"concat({phone}, if(attempt < 4, '', {_digits("sha2(concat(h, 'p'), 256)", 'int(attempt / 4)')}))"
-    ip = "array_join(transform(sequence(0, 3), i -> string(int(conv(substr(h, i * 6 + 1, 6), 16, 10)) % 254 + 1)), '.')"
-    host, top = "regexp_extract(norm, '@(.*)[.][a-z]+$', 1)", "regexp_extract(norm, '[.][a-z]+$', 0)"
-    wider = "substr(translate(sha2(concat(h, 'm'), 256), '0123456789', 'ghijklmnop'), 1, int(attempt / 4))"
-    mail = f"concat({_letters('h', 'split_part(norm, chr(64), 1)')}, {wider}, '@', {_letters('hd', host)}, {top})"
-    secret = "substr(concat(h, sha2(concat(h, 'e'), 256), sha2(concat(h, 'f'), 256), sha2(concat(h, 'g'), 256)), 1, length(norm))"
-    given = f"case when norm rlike '[А-Яа-я]' then if(female, {_pick(FEMALE_CYRILLIC, 'h')}, {_pick(MALE_CYRILLIC, 'h')}) else if(female, {_pick(FEMALE_NAMES, 'h')}, {_pick(MALE_NAMES, 'h')}) end"
-    last = f"if(norm rlike '[А-Яа-я]', {_surname('h', 'cyrillic')}, {_surname('h', 'latin')})"
-    name = f"if(contains(norm, ' '), concat({given}, ' ', {last}), {last})"
-    return F.expr(f"case kind when 'card' then {card} when 'phone' then {phone} when 'ip' then {ip} when 'email' then {mail} when 'secret' then {secret} else {name} end")
 
+def _nth(options: tuple[str, ...], place: str) -> str:
+    return f"element_at(array({', '.join(repr(n) for n in options)}), int({place}) + 1)"
 
-def _laid_out() -> Column:
-    """The surrogate in the layout of the raw string: its digits in the places of digits, more at the end; letters in its case; a title before a name."""
-    digits = "concat(array_join(transform(split(raw, ''), (c, i) -> if(c rlike '[0-9]', substr(surrogate, length(regexp_replace(substr(raw, 1, i + 1), '[^0-9]', '')), 1), c)), ''), substr(surrogate, length(regexp_replace(raw, '[^0-9]', '')) + 1))"
-    cased = "if(raw = upper(raw), upper(surrogate), surrogate)"
-    return F.expr(f"case kind when 'phone' then {digits} when 'card' then {digits} when 'name' then concat(regexp_extract(raw, '^(?:{_titles})[.]?[ ]', 0), surrogate) when 'ip' then surrogate else {cased} end")
+
+def _surname(v: str, parts: tuple[tuple[str, ...], ...]) -> str:
+    first, middle, last = parts
+    a, b, m = len(first), len(last), len(middle)
+    syllables = f"array_join(transform(sequence(0, wider), k -> {_nth(middle, f'({v} div {a * b} div cast(pow({m}, k) as bigint)) % {m}')}), '')"
+    return f"concat({_nth(first, f'{v} % {a}')}, {syllables}, {_nth(last, f'{v} div {a} % {b}')})"
+
+
+def _given_name(v: str, names: tuple[str, ...]) -> str:
+    return f"array_join(transform(sequence(0, wider), k -> {_nth(names, f'({v} div cast(pow({len(names)}, k) as bigint)) % {len(names)}')}), '-')"
+
+
+def _filled(v: str, layout: str, key: str) -> str:
+    """SQL: layout with letters for letters and digits for digits, and `wider` more letters, from the number v; what it can't fill from a hash."""
+    letter, digit = "substr('abcdefghijklmnopqrstuvwxyz', int({n} % 26) + 1, 1)", "string({n} % 10)"
+    hashed = f"sha2(concat('{key}', '|', norm, '|', int(s.k / 8)), 256)"
+    drawn = f"cast(conv(substr({hashed}, s.k % 8 * 8 + 1, 8), 16, 10) as bigint)"
+    full = f"s.k >= {CARRIED} + wider"
+    step = f"""case when c rlike '[a-z]' then named_struct('v', if({full}, s.v, s.v div 26), 'k', s.k + 1, 'out', concat(if({full}, {letter.format(n=drawn)}, {letter.format(n='s.v')}), s.out))
+        when c rlike '[0-9]' then named_struct('v', if({full}, s.v, s.v div 10), 'k', s.k + 1, 'out', concat(if({full}, {digit.format(n=drawn)}, {digit.format(n='s.v')}), s.out))
+        else named_struct('v', s.v, 'k', s.k, 'out', concat(c, s.out)) end"""
+    return f"aggregate(reverse(split(concat({layout}, repeat('a', wider)), '')), named_struct('v', {v}, 'k', 0, 'out', ''), (s, c) -> {step}, s -> s.out)"
+
+
+def _encoded(key: str) -> str:
+    """SQL: of kind, norm, cls, wider and the permuted number v: the surrogate of the normal form."""
+    luhn_sum = "aggregate(transform(split(reverse(body), ''), (d, i) -> if(i % 2 = 1, int(d), if(int(d) > 4, int(d) * 2 - 9, int(d) * 2))), 0, (s, x) -> s + x)"
+    card = _let("concat(substr(norm, 1, 1), lpad(string(v), length(norm) - 2, '0'))", "body", f"concat(body, string((10 - {luhn_sum} % 10) % 10))")
+    more = "if(wider = 0, '', lpad(string(v div {n}), wider, '0'))"
+    long = f"concat(substr(norm, 1, length(norm) - 10), string(2 + v % 8000000 div 1000000), lpad(string(v div 10000 % 100), 2, '0'), '555', lpad(string(v % 10000), 4, '0'), {more.format(n=8_000_000)})"
+    short = f"concat(substr(norm, 1, 2), lpad(string(v % cast(pow(10, length(norm) - 2) as bigint)), length(norm) - 2, '0'), {more.format(n='cast(pow(10, length(norm) - 2) as bigint)')})"
+    ip = "array_join(transform(sequence(0, 3), k -> string(v div cast(pow(254, k) as bigint) % 254 + 1)), '.')"
+    stream = f"array_join(transform(sequence(0, int(length(norm) / 64)), k -> sha2(concat('{key}', '|secret|', norm, '|', k), 256)), '')"
+    secret = f"substr(concat(lpad(lower(hex(v)), 15, '0'), {stream}), 1, length(norm))"
+    given = f"case substr(cls, 7) when 'lf' then {_given_name('v', FEMALE_NAMES)} when 'lm' then {_given_name('v', MALE_NAMES)} when 'lu' then {_given_name('v', OTHER_NAMES)} when 'cf' then {_given_name('v', FEMALE_CYRILLIC)} when 'cm' then {_given_name('v', MALE_CYRILLIC)} else {_given_name('v', OTHER_CYRILLIC)} end"
+    surname = f"case substr(cls, 9) when 'l' then {_surname('v', LATIN)} when 'c' then {_surname('v', CYRILLIC)} else {_surname('v', CYRILLIC_FEMALE)} end"
+    return f"""case kind when 'phone' then if(length(norm) >= 10, {long}, {short}) when 'ip' then {ip} when 'card' then {card} when 'secret' then {secret} when 'local' then {_filled('v', 'norm', key)}
+        when 'domain' then concat({_filled('v', _HOST, key)}, {_TOP}) when 'given' then {given} else {surname} end"""
 
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """entities (kind, norm, female), distinct -> with surrogate, distinct and none equal to an entity."""
-    def drawn(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.col("attempt").cast("string")), 256))
-        return keyed.withColumn("hd", F.sha2(F.concat_ws("|", F.lit(key), F.regexp_extract("norm", "@(.*)$", 1)), 256)).withColumn("surrogate", _surrogate()).drop("h", "hd")
-
-    now = written(drawn(entities.withColumn("attempt", F.lit(0))))
-    for _ in range(MAX_ATTEMPTS + 1):
-        first = now.groupBy("kind", "surrogate").agg(F.min("norm").alias("least"), F.count("*").alias("n")).where("n > 1")
-        taken = entities.select(F.col("kind").alias("k"), F.col("norm").alias("taken"))
-        clash = now.join(first.drop("n"), ["kind", "surrogate"]).where("norm != least").select("kind", "norm")
-        clash = clash.unionByName(now.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("taken")), "left_semi").select("kind", "norm")).distinct()
-        clash = written(clash)
-        if clash.isEmpty():
+    """entities (kind, norm, female, male), distinct by kind and norm -> with surrogate: distinct in its kind, and none an entity of the corpus (given names apart)."""
+    rows = classed(entities)
+    sizes = rows.groupBy("cls").agg(F.count("*").alias("n"))
+    rows = rows.join(small(sizes), "cls").withColumn("wider", F.expr("int(if(step = 1, 0, greatest(0, ceil(ln(8 * n / room) / ln(step)))))"))
+    # 4^half numbers, at least twice the entities where the format can be widened
+    half = F.expr("int(least(30, floor(log2(room * pow(step, wider) * (1 + 1e-12D)) / 2)))")
+    spare = "i < shiftleft(1L, 2 * half)"
+    encode = lambda df: df.withColumn("half", half).withColumn("v", F.expr(_permuted(key))).withColumn("surrogate", F.when(F.expr(spare), F.expr(_encoded(key)))).drop("v")
+    now = written(encode(numbered(rows)))
+    taken = now.where("kind != 'given'").select("kind", F.col("norm").alias("low"))
+    while True:
+        out_of_room = now.where(f"not {spare}").select("kind", "norm", "cls", "step", "n", F.lit(1).alias("more"))
+        if (worst := out_of_room.where("step = 1").first()) is not None:
+            raise ValueError(f"the format {worst['cls']} has too little room for its {worst['n']} entities")
+        keyed = now.where(spare).withColumn("low", F.lower("surrogate")).withColumn("place", F.concat_ws(" ", "cls", "wider"))
+        shared = keyed.groupBy("kind", "low").agg(F.min("place").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+        clash = keyed.join(taken, ["kind", "low"], "left_semi").select("kind", "norm").unionByName(keyed.join(shared, ["kind", "low"]).where("place != least").select("kind", "norm"))
+        again = written(clash.distinct().withColumn("more", F.lit(0)).unionByName(out_of_room.select("kind", "norm", "more")))
+        if again.isEmpty():
             return now
-        again = now.join(clash, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        now = written(now.join(clash, ["kind", "norm"], "left_anti").unionByName(drawn(again.drop("surrogate"))))
-    raise RuntimeError(f"{clash.count()} entities still share a surrogate after {MAX_ATTEMPTS} draws")
+        last = now.groupBy("cls", "wider").agg((F.max("i") + 1).alias("from"))
+        fresh = now.drop("surrogate", "half", "i").join(again, ["kind", "norm"]).withColumn("wider", F.col("wider") + F.col("more")).drop("more")
+        fresh = numbered(fresh).join(small(last), ["cls", "wider"], "left").withColumn("i", F.coalesce("from", F.lit(0)) + F.col("i")).drop("from")
+        now = written(now.join(again, ["kind", "norm"], "left_anti").unionByName(encode(fresh).select(*now.columns)))
+
+
+def _laid_out() -> str:
+    """SQL: of raw, kind and s (the surrogates of its parts) the mention with surrogates, in its layout: digits in the places of digits, more at the end; its case; a title before a name."""
+    digits = "concat(array_join(transform(split(raw, ''), (c, i) -> if(c rlike '[0-9]', substr(s[0], length(regexp_replace(substr(raw, 1, i + 1), '[^0-9]', '')), 1), c)), ''), substr(s[0], length(regexp_replace(raw, '[^0-9]', '')) + 1))"
+    cased = lambda x: f"if(raw = upper(raw) and raw rlike '[A-Z]', upper({x}), {x})"
+    name = f"concat(regexp_extract(raw, '^(?:{_titles})[.]?[ ]', 0), if({_UNTITLED} = upper({_UNTITLED}), upper(array_join(s, ' ')), array_join(s, ' ')))"
+    return f"case when kind is null then raw when kind in ('phone', 'card') then {digits} when kind = 'ip' then s[0] when kind = 'name' then {name} when kind = 'email' then {cased('array_join(s, chr(64))')} else {cased('s[0]')} end"
 
 
 def _text_id() -> list[Column]:
@@ -145,19 +230,20 @@ def _text_id() -> list[Column]:
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, kinds (sorted distinct types); a row for each input row."""
-    pattern = F.lit(PATTERN)
-    hint = F.col("text").rlike(HINT)
-    raw = F.when(hint, F.regexp_extract_all("text", pattern, F.lit(0)))
+    raw = F.when(may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     found = docs.select(*_text_id(), raw.alias("raws")).where(F.size("raws") > 0).select("r1", "r2", F.posexplode("raws").alias("pos", "raw"))
-    typed = found.withColumn("kind", F.expr(_kind("raw"))).withColumn("norm", F.expr(_normal("raw", "kind")))
-    female = F.expr(f"raw rlike '{_in(FEMALE_TITLES)}' or norm rlike '{_in(FEMALE_NAMES + FEMALE_CYRILLIC)}'")
-    typed = written(typed.withColumn("female", (F.col("kind") == "name") & female).distinct())  # equal texts have equal rows
-    entities = typed.where("kind is not null").groupBy("kind", "norm").agg(F.max("female").alias("female"))
-    table = surrogate_table(written(entities), key)
-    named = typed.join(table.select("kind", "norm", "surrogate"), ["kind", "norm"], "left").withColumn("new", F.when(F.col("surrogate").isNull(), F.col("raw")).otherwise(_laid_out()))
-    by_text = named.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("pos", "new", "kind"))).alias("found"))  # bounded by the text's length
+    mentions = written(found.distinct().withColumn("kind", F.expr(_kind("raw"))).withColumn("parts", F.expr(f"if(kind is null, null, {_parts()})")))  # equal texts have equal rows
+    parts = mentions.where("kind is not null").select("r1", "r2", "pos", F.explode("parts").alias("p")).select("r1", "r2", "pos", "p.*")
+    entities = parts.groupBy("kind", "norm").agg(F.max("female").alias("female"), F.max("male").alias("male"))
+    table = surrogate_table(written(entities), key).select("kind", "norm", "surrogate")
+    given = parts.select("r1", "r2", "pos", "part", "kind", "norm").join(small(table), ["kind", "norm"]).groupBy("r1", "r2", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("s"))
+    named = mentions.select("r1", "r2", "pos", "raw", "kind").join(given, ["r1", "r2", "pos"], "left").withColumn("s", F.col("s.surrogate")).withColumn("new", F.expr(_laid_out()))
+    # a surname stands for its person in the whole text
+    alone = F.when(F.col("kind") == "name", F.struct(F.expr(f"split_part({_UNTITLED}, ' ', -1)").alias("old"), F.element_at("s", -1).alias("new")))
+    by_text = named.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("pos", "new", "kind"))).alias("found"), F.array_sort(F.collect_set(alone)).alias("surnames"))  # bounded by the text's length
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_text_id()).join(small(written(by_text)), ["r1", "r2"], "left")
-    pieces = F.split("text", PATTERN)
-    put = F.array_join(F.zip_with(pieces, F.col("found.new"), lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))), "")
+    bare = r"aggregate(surnames, x, (t, n) -> regexp_replace(t, concat('(?<![\\p{L}\\p{N}])', n.old, '(?![\\p{L}\\p{N}])'), n.new))"  # names hold letters, ' and - only
+    rows = rows.withColumn("pieces", F.when(F.col("found").isNotNull(), F.split("text", PATTERN))).withColumn("pieces", F.expr(f"if(size(surnames) = 0, pieces, transform(pieces, x -> {bare}))"))
+    put = F.array_join(F.zip_with("pieces", F.col("found.new"), lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))), "")
     kinds = F.expr("filter(found.kind, k -> k is not null)")
     return rows.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(put).alias("text"), F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")).alias("kinds"))

@@ -137,22 +137,77 @@ def test_surrogates(spark):
     assert surrogates.replace_entities(docs.where("false")).count() == 0
 
 
-def test_surrogates_are_distinct(spark):
-    found = [("name", f"N{i:03d}", False) for i in range(400)] + [("ip", f"10.0.0.{i}", False) for i in range(200)]
-    table = surrogates.surrogate_table(spark.createDataFrame(found, "kind string, norm string, female boolean")).collect()
-    assert len({(r.kind, r.surrogate) for r in table}) == len(found)
-    assert not {r.surrogate for r in table} & {f[1] for f in found}
-
-
-def test_surrogates_of_more_entities_than_short_forms(spark):
-    found = [("name", f"N{i:04d}", False) for i in range(2500)] + [("name", f"Я{i:03d}", True) for i in range(300)]  # 1,920 and 128 short surnames
-    found += [("phone", f"12{i:03d}", False) for i in range(1000)] + [("email", f"{c}@{d}.de", False) for c in "abcdefghijklmnopqrstuvwxyz" for d in "xyz"]
-    table = surrogates.surrogate_table(spark.createDataFrame(found, "kind string, norm string, female boolean")).collect()
-    assert len(table) == len(found) == len({(r.kind, r.surrogate) for r in table})
-    assert not {(r.kind, r.surrogate) for r in table} & {f[:2] for f in found}
-    docs = frame(spark, [(i, f"call +12 {i // 10:02d} {i % 10}0 now") for i in range(1000)])
-    texts = {r.text for r in surrogates.replace_entities(docs).collect()}
-    assert len(texts) == 1000 and all(re.fullmatch(r"call \+\d\d \d\d \d{2,} now", t) for t in texts)
+def entity_frame(spark, rows):
+    return spark.createDataFrame([(*r, False, False) for r in rows], "kind string, norm string, female boolean, male boolean")
+
+
+def test_surrogates_of_100_000_names_are_distinct(spark):
+    found = spark.range(100_000).selectExpr("'surname' as kind", "concat('n', id) as norm", "false as female", "false as male")
+    found = found.unionByName(found.limit(3000).selectExpr("'surname' as kind", "concat('я', norm) as norm", "female", "male")).unionByName(found.limit(2000).selectExpr("'given' as kind", "norm", "true as female", "male"))
+    table = surrogates.surrogate_table(found)
+    n = table.agg(F.count("*"), F.countDistinct("kind", F.lower("surrogate"))).first()
+    assert n[0] == n[1] == 105_000
+    assert table.where("kind = 'given' and not surrogate rlike '^[A-Z][a-z]+(-[A-Z][a-z]+)*$'").isEmpty()
+
+
+def test_surrogates_fill_small_formats(spark):
+    found = [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(500)] + [("phone", f"12{i:03d}") for i in range(1000)] + [("phone", f"1664555{i:04d}") for i in range(3000)]
+    found += [("local", c) for c in "abcdefghijklmnopqrstuvwxyz"] + [("local", f"{c}{d}") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"] + [("domain", f"{c}.de") for c in "xyz"] + [("domain", "mail.example.com")]
+    table = surrogates.surrogate_table(entity_frame(spark, found)).collect()
+    made = {(r.kind, r.surrogate) for r in table}
+    assert len(table) == len(found) == len(made) and not made & set(found)
+    by = {(r.kind, r.norm): r.surrogate for r in table}
+    assert re.fullmatch(r"[a-z]+\.de", by["domain", "x.de"]) and re.fullmatch(r"[a-z]{4}\.[a-z]{7}\.com", by["domain", "mail.example.com"])
+    assert all(re.fullmatch(r"1[2-9]\d\d555\d{4}", r.surrogate) for r in table if r.kind == "phone" and len(r.norm) == 11)
+
+
+def test_a_format_without_room_is_an_error(spark):
+    cards = [("card", f"4{i:03d}0") for i in range(1000)]  # 5 digits: 1,000 numbers, of which 256 can be dealt
+    with pytest.raises(ValueError, match="too little room"):
+        surrogates.surrogate_table(entity_frame(spark, cards))
+
+
+def test_surrogates_equal_a_twin(spark):
+    """The permutation and the encoding of IPv4 addresses, phones and surnames again in Python."""
+    def place(i, half, cls, mask):
+        left, right = i >> half, i & mask
+        for k in range(1, surrogates.ROUNDS + 1):
+            digest = hashlib.sha256(f"{surrogates.KEY}|{cls}|{k}|{right}".encode()).hexdigest()
+            left, right = right, left ^ (int(digest[:15], 16) & mask)
+        return (left << half) + right
+
+    found = [("ip", f"10.0.0.{i}") for i in range(60)] + [("phone", f"4930555{i:04d}") for i in range(60)] + [("surname", f"s{i}") for i in range(60)]
+    for r in surrogates.surrogate_table(entity_frame(spark, found)).collect():
+        v = place(r.i, r.half, r.cls, (1 << r.half) - 1)
+        if r.kind == "ip":
+            want = ".".join(str(v // 254**k % 254 + 1) for k in range(4))
+        elif r.kind == "phone":
+            want = f"{r.norm[:1]}{2 + v // 1_000_000}{v // 10_000 % 100:02d}555{v % 10_000:04d}"
+        else:
+            first, middle, last = surrogates.LATIN
+            want = first[v % 16] + middle[v // 192 % 16] + last[v // 16 % 12]
+        assert r.surrogate == want
+
+
+def test_surrogates_keep_persons_and_formats(spark):
+    key = "ab12" * 75
+    docs = frame(spark, [
+        (1, "Mr. Smith met John Smith and Ms Mary SMITH. Then Smith left; Smithers stayed."), (2, "Dr Smith, my name is Zoe Quill. Zoe said Quill."), (3, f"key {key} and {key.upper()}."),
+        (4, "г-н Иванов и Анна Петрова; Петрова ушла"), (5, "a.b@x-mail.org A.B@X-MAIL.ORG c.d@x-mail.org " + prose(20_000, 8)), (6, "+49 30 1234567 and +49 (30) 12 34 567 and (212) 555-0100"),
+    ])
+    got = {r.doc_id: r for r in surrogates.replace_entities(docs).collect()}
+    one = re.fullmatch(r"Mr\. (\w+) met (\w+) (\w+) and Ms (\w+) (\w+)\. Then (\w+) left; Smithers stayed\.", got[1].text)
+    assert one and {one[1], one[3], one[5], one[6]} == {one[1]} and one[2] in surrogates.MALE_NAMES and one[4] in surrogates.FEMALE_NAMES
+    two = re.fullmatch(r"Dr (\w+), my name is (\w+) (\w+)\. Zoe said (\w+)\.", got[2].text)
+    assert two and two[1] == one[1] and two[3] == two[4] != "Quill"
+    three = re.fullmatch(r"key ([0-9a-f]{300}) and ([0-9A-F]{300})\.", got[3].text)
+    assert three and three[1].upper() == three[2] and three[1] != key
+    four = re.fullmatch(r"г-н ([А-Я][а-я]+) и ([А-Я][а-я]+) ([А-Я][а-я]+); ([А-Я][а-я]+) ушла", got[4].text)
+    assert four and four[3] == four[4] and four[3][-1] == "а" and four[2] in surrogates.FEMALE_CYRILLIC
+    mails = got[5].text.split(" ")[:3]
+    assert mails[0].upper() == mails[1] and mails[0].split("@")[1] == mails[2].split("@")[1] and re.fullmatch(r"[a-z]\.[a-z]+@[a-z]-[a-z]{4}\.org", mails[0]) and got[5].text.endswith(prose(20_000, 8))
+    six = re.fullmatch(r"\+4(\d) (\d\d) (\d{7}) and \+4(\d) \((\d\d)\) (\d\d) (\d\d) (\d{3}) and \(\d{3}\) 555-\d{4}", got[6].text)
+    assert six and six[1] + six[2] + six[3] == "".join(six.groups()[3:])
 
 
 def test_surrogate_query(spark, sf):
