@@ -98,6 +98,117 @@ def test_long_reply_chains(spark):
     assert {r.turn: r.depth for r in got} == {i: i for i in range(30)} and {r.root_turn for r in got} == {0}
 
 
+def brute_conversations(messages):
+    """The whole job again, message by message."""
+    by_turn: dict = {}
+    for conv, turn, _, text in messages:
+        if conv is not None and turn is not None and text is not None:
+            by_turn[conv, turn] = min(by_turn.get((conv, turn), text), text)
+
+    def read(text):
+        out = []  # [level, norm]
+        for part, body in enumerate(re.split(quotes.DIVIDER, text)):
+            for raw in re.split(quotes.LINE_END, body):
+                marks = re.match(quotes.MARKS, raw)
+                line = raw[marks.end() :] if marks else raw
+                out.append([(marks[1].count(">") if marks else 0) + part, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split()), line, part])
+        for i, (level, _, line, part) in enumerate(out):
+            if re.match(quotes.INTRO, line) and i + 1 < len(out) and out[i + 1][0] > level or part and re.match(quotes.HEADER, line):
+                out[i][1] = ""
+        return [x[:2] for x in out]
+
+    def units(rows):
+        """(level, whole run, its paragraphs as lists of lines)."""
+        runs = []
+        for level, norm in rows:
+            if not runs or runs[-1][0] != level:
+                runs.append((level, [[]]))
+            if norm:
+                runs[-1][1][-1].append(norm)
+            else:
+                runs[-1][1].append([])
+        return [(level, [p for p in ps if p]) for level, ps in runs if any(ps)]
+
+    held: dict = {}
+    parsed = {k: units(read(t)) for k, t in by_turn.items()}
+    for (conv, turn), runs in parsed.items():
+        own = [ps for level, ps in runs if level == 0]
+        texts = ["\n".join(x for ps in own for p in ps for x in p)] + ["\n".join(x for p in ps for x in p) for ps in own]
+        texts += ["\n".join(p) for ps in own for p in ps] + [x for ps in own for p in ps for x in p]
+        for t in texts:
+            held.setdefault((conv, t), set()).add(turn)
+    parent, counts = {}, {}
+    for (conv, turn), runs in parsed.items():
+        find = lambda t: max((o for o in held.get((conv, t), ()) if o < turn), default=None)  # noqa: E731, B023
+        votes: dict = {}
+        n = [0, 0]
+        for level, ps in runs:
+            if level == 0:
+                continue
+            whole = find("\n".join(x for p in ps for x in p))
+            for p in ps:
+                for x in p:
+                    o = next((o for o in (whole, find("\n".join(p)), find(x)) if o is not None), None)
+                    n[0] += 1
+                    n[1] += o is not None
+                    if level == 1 and o is not None:
+                        votes[o] = votes.get(o, 0) + len(x)
+        counts[conv, turn] = n
+        if votes:
+            parent[conv, turn] = max(votes, key=lambda o: (votes[o], o))
+    out = []
+    for conv, turn, role, text in messages:
+        root, depth = turn, 0
+        while text is not None and (conv, root) in parent:
+            root, depth = parent[conv, root], depth + 1
+        out.append((conv, turn, role, parent.get((conv, turn)), root, depth, *counts.get((conv, turn), (0, 0))))
+    return out
+
+
+def quoted_talk(seed: int, n: int):
+    """Messages that quote earlier ones: whole, in part, nested, altered, below a divider."""
+    rng, texts, rows = random.Random(seed), [], []
+    say = lambda: "\n".join(prose(rng.randint(1, 4), rng.randrange(30)) if rng.random() < 0.8 else "" for _ in range(rng.randint(1, 5)))
+    for turn in range(n):
+        text = say()
+        if texts and rng.random() < 0.8:
+            old = rng.choice(texts)
+            part = old.split("\n")[rng.randrange(2) : rng.randint(2, 9)]
+            if rng.random() < 0.15:
+                text = f"{text}\n\n----- Original Message -----\nFrom: x\nSent: y\n" + "\n".join(part)
+            else:
+                mark = rng.choice(["> ", ">", " > "])
+                intro = rng.choice(["", "On Monday X wrote:\n", "Am 1.2. schrieb Y:\n"])
+                text = intro + "\n".join(mark + (x.upper() if rng.random() < 0.2 else x) for x in part) + "\n" + text
+        texts.append(text)
+        rows.append((turn % 3, turn, "user", text))
+    return rows
+
+
+def test_conversations_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 4)
+    rows = quoted_talk(1, 150) + quoted_talk(2, 60) + [(7, 0, "user", None), (7, 1, "user", "> x"), (None, 3, "a", "> y\nz"), (7, None, "a", "> x")]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    key = lambda r: str(r)
+    assert sorted([(r.conv_id, r.turn, r.role, r.parent_turn, r.root_turn, r.depth, r.n_quoted, r.n_linked) for r in got], key=key) == sorted(brute_conversations(rows), key=key)
+    assert max(r.depth for r in got) > 3 and sum(r.n_linked for r in got) > 100
+    for conv in (0, 1, 2):
+        order = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.place)
+        assert [r.place for r in order] == list(range(1, len(order) + 1)) and [(r.root_turn, r.turn) for r in order] == sorted((r.root_turn, r.turn) for r in order)
+
+
+def test_one_line_quoted_in_every_turn_takes_linear_work(spark):
+    rows = [(1, i, "u", f"> the same line\nthe same line\nown {i}") for i in range(6000)]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert got.where("turn > 0 and (parent_turn != turn - 1 or parent_turn is null)").isEmpty() and got.agg(F.max("depth")).first()[0] == 5999
+
+
+def test_passages_come_before_lines(spark):
+    rows = [(1, 0, "u", "alpha\nbeta"), (1, 1, "u", "beta"), (1, 2, "u", "> alpha\n> beta\nyes"), (1, 3, "u", "> beta\nno"), (1, 4, "u", "hi\n-----Original Message-----\nFrom: a\nalpha\nbeta")]
+    got = {r.turn: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[2].parent_turn == 0 and got[3].parent_turn == 1 and (got[4].parent_turn, got[4].text, got[4].n_quoted) == (0, "hi", 2)
+
+
 def test_quote_query_keeps_plain_messages(spark, sf):
     messages = spark.read.parquet(f"{sf}/conversations.parquet")
     got = queries.QUERIES["op3_quotes"](spark, sf)
