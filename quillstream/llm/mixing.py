@@ -3,20 +3,21 @@
 The words of each source form one stream, its documents in a pseudorandom but repeatable order; the stream is cut into
 blocks of fixed length (only its last block is short). The mix is a sequence of slots, dealt to output shards of equal
 size; each slot takes one block. How many slots of a shard a source gets is a multinomial draw by target weight,
-conditioned on the source's total over all shards (drawn as a multivariate hypergeometric, shard after shard), so that
-totals are exact while shards vary as they would in free draws. A source's j-th slot takes the block at place j of a
-pseudorandom permutation of its blocks (a keyed Feistel network with cycle walking, a new one for each epoch), so no
+conditioned on the source's total over all shards, so that totals are exact while shards vary as they do in free draws:
+a keyed permutation deals the slots of all sources over the shards, each slot on its own, and the counts of a source in the shards are
+the draw. A source's j-th slot takes the block at place j of a
+pseudorandom permutation of its blocks (both are keyed Feistel networks with cycle walking, for blocks a new one for each epoch), so no
 list of blocks is shuffled or stored. Documents' segments then join their blocks by index.
 
-A source's places in the stream come from sums in two levels (hash ranges of a source, then documents in a range), so
-that a source with a third of all rows is no single task. Per-source totals (one row for each source) and the draw
-(sources x at most MAX_SHARDS shards) are on the driver; nothing else is.
+A source's places in the stream come from sums in three levels (documents in a hash range of a source, ranges, groups of ranges), so
+that a source with a third of all rows is no single task. Rows that are alike are counted, not sorted: each copy has a hash of its own.
+Per-source totals (one row for each source, about 100 bytes) are on the driver and go to every task that plans slots; nothing else does.
 
 Targets: all words are shared by weight (5, 2, 1 repeating over the sources by code point, null last). No source gets
 more than `most` times its words; what is over goes to the others by weight, until none is above. The last block drawn
 for a source is cut where its target is reached.
 
-Cases: a null source is a source of its own, last in order. Null or empty texts have no words and are never taken.
+Cases: a null source is a source of its own, last in order. Null or empty texts have no words and are never taken. A very long text is many blocks.
 Rows that share a doc_id are separate rows, in the order of a hash of their text; equal rows are told apart by number,
 as they are alike. A null doc_id sorts by text. Sources without words get the target 0. An empty table gives no rows.
 Other columns are ignored.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import small, written
@@ -37,11 +38,13 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 1024
 SLOTS_PER_SHARD = 256
-MAX_SHARDS = 4096
-#: Rows of one hash range of a source.
+#: Rows of one hash range of a source, and ranges of a group.
 RANGE_ROWS = 2_000
+GROUP_RANGES = 1_000
+#: Slots planned in one task.
+TASK_SLOTS = 200_000
 SEED = 20240229
-WORD = r"[^\x20\x09-\x0D]+"
+WHITE = r"[\x20\x09-\x0D]"
 
 
 def targets(words: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -83,64 +86,72 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) ->
     return out.astype(np.int64)
 
 
-def draw(slots: list[int], seed: int = SEED, per_shard: int = SLOTS_PER_SHARD, max_shards: int = MAX_SHARDS) -> np.ndarray:
-    """shards x sources: slots of each source in each shard, with column sums `slots`."""
-    left = np.array(slots, np.int64)
-    total = int(left.sum())
-    n = max(1, min(max_shards, -(-total // per_shard)))
-    rng = np.random.Generator(np.random.PCG64(seed))
-    out = np.zeros((n, len(slots)), np.int64)
-    for shard in range(n):
-        size = int(left.sum()) // (n - shard)
-        out[shard] = rng.multivariate_hypergeometric(left, size, method="marginals") if size else 0
-        left -= out[shard]
-    return out
+def dealt(slot: np.ndarray, total: int, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> np.ndarray:
+    """The shard of each slot: slots 0 to total - 1 in the order of a keyed permutation, cut into shards of sizes that differ by one at most."""
+    shards = max(1, -(-total // per_shard))
+    place = permuted(slot, np.full(len(slot), total), np.full(len(slot), seed))
+    return place % shards
+
+
+def n_words(text: Column) -> Column:
+    """Words of a text, runs of what is no white space; null: 0."""
+    edge = lambda at: F.substring(text, at, 1).rlike(WHITE).cast("int")
+    return F.coalesce(F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.size(F.split(text, WHITE + "+")) - edge(1) - edge(-1)), F.lit(0)).cast("long")
+
+
+def _summed_before(by: list[str], order: str, value: str) -> Column:
+    """The sum of `value` over the rows of the same `by` that come before."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """doc_id, source, source_no, size, at: each row's size and place in its source's stream of words."""
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("order")))
+    """doc_id, source, size, at: each row's size and place in its source's stream of words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text").alias("order"))
+    alike = rows.groupBy("doc_id", "source", "size", "order").agg(F.count("*").alias("copies"))
+    each = alike.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("order", F.when(F.col("copy") == 0, F.col("order")).otherwise(F.xxhash64("order", "copy")))
+    rows = written(each.drop("copies"))
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
     rows = rows.withColumn("range", F.floor((F.col("order").cast("double") + 2.0**63) / 2.0**64 * ranges).cast("long"))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sums.withColumn("begin", before)).select(F.col("source").alias("s"), F.col("range").alias("r"), "begin")
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("n")).withColumn("grp", F.floor(F.col("range") / GROUP_RANGES))
+    sums = written(sums)
+    groups = sums.groupBy("source", "grp").agg(F.sum("n").alias("n"))
+    groups = groups.select(F.col("source").alias("s"), F.col("grp").alias("g"), _summed_before(["source"], "grp", "n").alias("base"))
+    inner = sums.withColumn("begin", _summed_before(["source", "grp"], "range", "n"))
+    starts = written(inner.join(small(written(groups)), F.col("source").eqNullSafe(F.col("s")) & (F.col("grp") == F.col("g"))).select("s", F.col("range").alias("r"), (F.col("base") + F.col("begin")).alias("begin")))
     placed = rows.join(small(starts), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    inside = Window.partitionBy("source", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("order", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("doc_id", "source", "size", (F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("at"))
 
 
-def _plan(counts: np.ndarray, blocks: list[int], tails: list[int], seed: int):
-    """shard, source_no -> its slots with the blocks they take: shard, source_no, slot, block, words."""
-    before = np.cumsum(counts, axis=0) - counts
+def _plan(source_no: np.ndarray, starts: np.ndarray, blocks: np.ndarray, tails: np.ndarray, total: int, seed: int, per_shard: int):
+    """id (of a slot, over all sources) -> shard, source_no, slot (of its source), block."""
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, s in zip(batch["shard"].to_numpy(), batch["source_no"].to_numpy()):
-                j = before[shard, s] + np.arange(counts[shard, s])
-                n = blocks[s]
-                epoch, place = j // n, j % n
-                short = 1 if tails[s] else 0  # the short last block stands last in every epoch
-                full = n - short
-                block = place.copy()
-                inner = place < full
-                if inner.any():
-                    key = np.uint64((seed * 1_000_003 + int(s)) * 1_000_003 % (1 << 62)) + epoch[inner].astype(np.uint64)
-                    block[inner] = permuted(place[inner], np.full(inner.sum(), full), key)
-                yield pd.DataFrame({"shard": shard, "source_no": s, "slot": j, "block": block})
+            ids = batch["id"].to_numpy(np.int64)
+            if not len(ids):
+                continue
+            s = np.searchsorted(starts, ids, "right") - 1
+            j = ids - starts[s]
+            epoch, block = j // blocks[s], j % blocks[s]
+            full = blocks[s] - (tails[s] > 0)  # the short last block stands last in every epoch
+            inner = np.flatnonzero(block < full)
+            if len(inner):
+                key = (np.uint64(seed % 1_000_003) * np.uint64(1_000_003) + source_no[s[inner]].astype(np.uint64)) * np.uint64(1_000_003) + epoch[inner].astype(np.uint64)
+                block[inner] = permuted(block[inner], full[inner], key)
+            yield pd.DataFrame({"shard": dealt(ids, total, per_shard, seed), "source_no": source_no[s], "slot": j, "block": block})
 
     return plan
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, most: int = MOST, weights: tuple[float, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, most: int = MOST, weights: tuple[float, ...] = WEIGHTS, per_shard: int = SLOTS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
     """(rows, manifest).
 
     rows: doc_id, source, size, source_size, target, row_no. manifest: what the mix takes, one row for each slot and document in its block: shard, slot,
     source_no, block, row_no, first (place of the first word taken in the document's words), words.
     """
     spark = docs.sparkSession
-    rows = located(docs)
-    rows = written(rows.withColumn("row_no", F.monotonically_increasing_id()))
+    rows = written(located(docs).withColumn("row_no", F.monotonically_increasing_id()))
     totals = sorted(((r["source"], int(r["n"])) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))  # one row for each source
     sizes = [n for _, n in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], most)
@@ -152,10 +163,10 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, most: int = MOST,
     info = spark.createDataFrame([(x, i, n, g, s, c) for i, ((x, n), g, s, c) in enumerate(zip(totals, goal, slots, cut))], "s string, source_no int, source_size long, target double, slots long, cut long")
     joined = rows.join(small(info), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
-    counts = draw(slots, seed)
-    shard, source = np.nonzero(counts)
-    todo = spark.createDataFrame(pd.DataFrame({"shard": shard, "source_no": source}), "shard int, source_no int") if len(shard) else spark.createDataFrame([], "shard int, source_no int")
-    planned = todo.repartition("shard").mapInPandas(_plan(counts, blocks, tails, seed), "shard int, source_no int, slot long, block long")
+    total = sum(slots)
+    source_no = np.flatnonzero(slots)  # those with slots
+    per_source = [np.array(x, np.int64)[source_no] for x in (np.cumsum(slots) - slots, blocks, tails)]
+    planned = spark.range(0, total, 1, max(1, -(-total // TASK_SLOTS))).mapInPandas(_plan(source_no, *per_source, total, seed, per_shard), "shard long, source_no int, slot long, block long")
     cuts = small(info.select("source_no", (F.col("slots") - 1).alias("last"), "cut"))
     planned = planned.join(cuts, "source_no").select("shard", "source_no", "slot", "block", F.when(F.col("slot") == F.col("last"), F.col("cut")).otherwise(F.lit(block)).alias("most"))
 

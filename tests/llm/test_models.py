@@ -2,10 +2,12 @@
 
 import html
 import re
+import struct
 import time
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillstream.llm import ann_tree, langid, mixing, queries, toxicity, wrappers
@@ -209,9 +211,58 @@ def test_permutation():
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 5))) == list(range(n))
 
 
-def test_draw_keeps_totals():
-    counts = mixing.draw([1000, 300, 0, 7], per_shard=64)
-    assert counts.sum(axis=0).tolist() == [1000, 300, 0, 7] and counts.sum(axis=1).max() - counts.sum(axis=1).min() <= 1
+def test_dealing_keeps_totals_and_shards_even():
+    slots = [1000, 300, 0, 7]
+    shard = mixing.dealt(np.arange(1307), 1307, per_shard=64)
+    sizes = np.bincount(shard)
+    assert len(sizes) == 21 and sizes.max() - sizes.min() <= 1
+    counts = np.bincount(shard[:1000], minlength=21)  # of the first source: as in draws without replacement
+    assert counts.std() < 3 * np.sqrt(62 * 0.77 * 0.23) and counts.std() > 0 and sum(slots) == len(shard)
+
+
+def spark_hash(seed: int, doc, text) -> int:
+    """xxhash64(seed, doc_id, text) as the engine has it: each value hashed with the hash before as its seed, nulls passed over."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    h = h if doc is None else xxhash.xxh64_intdigest(struct.pack("<q", doc), h)
+    h = h if text is None else xxhash.xxh64_intdigest(text.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mix_equals_a_replay(spark):
+    rows = [(i, prose(1 + i * 7 % 90, i), ("a", "b", None)[i % 3]) for i in range(60)] + [(7, "same row", "a")] * 40
+    block, by = 16, {}
+    for doc, text, source in rows:
+        by.setdefault(source, []).append((doc, text))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len(t.split()) for _, t in by[s]) for s in names}
+    goal = mixing.targets([sizes[s] for s in names], [5, 2, 1])
+    taken: dict = {}
+    for no, (s, g) in enumerate(zip(names, goal)):
+        stream, seen = [], {}
+        for doc, text in by[s]:
+            h, nth = spark_hash(mixing.SEED, doc, text), seen.get((doc, text), 0)
+            seen[doc, text] = nth + 1
+            if nth:
+                other = xxhash.xxh64_intdigest(struct.pack("<q", nth), xxhash.xxh64_intdigest(struct.pack("<q", h), 42))
+                h = other - (1 << 64) if other >> 63 else other
+            stream.append((h, doc, len(text.split()), nth))
+        words = [d for _, d, n, _ in sorted(stream) for d in [d] * n]
+        left, n = round(g), len(words)
+        n_blocks, full = -(-n // block), n // block
+        j = 0
+        while left > 0:
+            epoch, place = divmod(j, n_blocks)
+            if place < full:
+                key = (((mixing.SEED % 1_000_003) * 1_000_003 + no) * 1_000_003 + epoch) % 2**64
+                place = int(mixing.permuted(np.array([place]), np.array([full]), np.array([key], np.uint64))[0])
+            part = words[place * block : (place + 1) * block][:left]
+            for d in part:
+                taken[s, d] = taken.get((s, d), 0) + 1
+            left, j = left - len(part), j + 1
+    got: dict = {}
+    for r in mixing.mixing_report(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), block).collect():
+        got[r.source, r.doc_id] = got.get((r.source, r.doc_id), 0) + r.taken
+    assert {k: v for k, v in got.items() if v} == taken
 
 
 @pytest.mark.parametrize("block", [7, 64, 1024])
