@@ -8,8 +8,11 @@
    counts inside the join, far below
    the threshold go; the rest is confirmed on full sets. Confirmed links give components.
 4. What a star can miss are links between members whose components still differ inside a bucket. In each such bucket,
-   the rows outside its largest component are compared with all its rows, once for each pair (in its first common
-   bucket): by bit counts of a wider signature inside the join, then on full sets. Pairs of one component need no test.
+   the rows outside its largest component are compared with all its rows:
+   by bit counts of a wider signature inside the join, then on full sets. Pairs of one component need no test. A bucket is dealt
+   in cells of at most about CELL x CELL rows, so that none is one task's work. Where a bucket would give more than PAIRS pairs (many texts
+   on one template, at a similarity well below the threshold), its members get longer band keys instead, of more minima and with as many bands as keep the chance to
+   miss a pair at the threshold at MISS; groups that are still too large get longer ones again, up to LONGEST rows.
 5. Components are closed by alternating star contraction; every round is written to the shared folder.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 5e-6. The estimate must fall by
@@ -18,7 +21,7 @@ its member with most neighbours over all buckets: among edited copies of one tex
 most of them link, though they need not link to each other.
 
 Cases: null or empty texts, or texts of white space only, have no shingles, size 0 and no links. Texts of fewer words
-than a shingle have one shingle, the whole sequence. Repeated rows are copies; rows sharing a doc_id stay separate
+than a shingle have one shingle, the whole sequence. Very long texts are read whole. Repeated rows are copies; rows sharing a doc_id stay separate
 rows. A null doc_id keeps its row and counts as larger than every other id, so a component made only of such rows has
 a null id. An empty table gives no rows. Other columns are ignored.
 """
@@ -39,6 +42,10 @@ BITS = 2
 MARGIN = 0.125
 #: Minima of the wide signature that sifts what the stars leave, and its margin (4 standard deviations).
 WIDE, WIDE_MARGIN = 1024, 0.06
+#: Rows of a side of a bucket that one task compares; pairs of a bucket beyond which longer keys split it; rows of the first longer keys, steps, and the last.
+CELL, PAIRS = 1024, 1 << 24
+LONGER, STEP, LONGEST = 12, 4, 24
+MISS = 6e-6
 _C = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _multipliers = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -111,7 +118,7 @@ def _fingerprint(s: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def _sign(k: int, bands: int, rows: int):
-    """doc_id, text -> doc_id, node (fingerprint of the set; null if empty), n_shingles, signature, band keys."""
+    """doc_id, text, rid -> doc_id, rid, node (fingerprint of the set; null if empty), n_shingles, signature, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches):
@@ -134,8 +141,8 @@ def _sign(k: int, bands: int, rows: int):
                     for i, d in enumerate(has.tolist()):
                         nodes[d], sig[d], keys[d] = int(node[i]), packed[i], band[i]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "n_shingles", "sig", "bands"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("rid").slice(a, b - a), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "rid", "node", "n_shingles", "sig", "bands"],
                 )
 
     return sign
@@ -166,6 +173,41 @@ def _sets(k: int, wide: int = 0, first: int = 0):
     return sets
 
 
+def _multiplier(j: int) -> np.uint64:
+    return _multipliers[j] if j < len(_multipliers) else np.uint64(mix(np.array([j], np.uint64) * _C[1])[0] | np.uint64(1))
+
+
+def longer_bands(rows: int, percent: int) -> int:
+    """Bands of `rows` minima with which a pair at the threshold shares none with probability MISS."""
+    return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** rows))))
+
+
+def _keys(k: int, bands: int, rows: int):
+    """node, text -> node, the text's own node, keys of `bands` bands of `rows` minima."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_pieces(batches):
+            raw, offsets = text_buffer(batch.column("text"))
+            for a, b in pieces(offsets):
+                at = offsets[a : b + 1]
+                s, off = shingle_sets(raw[at[0] : at[-1]], at - at[0], k)
+                has = np.flatnonzero(np.diff(off))
+                own, made = np.zeros(b - a, np.int64), [None] * (b - a)
+                if len(has):
+                    own[has] = _fingerprint(s, off[:-1][has], np.diff(off)[has])
+                    found = np.empty((bands, len(has)), np.uint64)
+                    for band in range(bands):
+                        key = np.full(len(has), np.uint64((band + 1) * int(_C[1]) % (1 << 64)))
+                        for r in range(rows):
+                            key = mix(key * _C[3] + np.minimum.reduceat(s * _multiplier(4096 + (rows * 100_000) + band * rows + r), off[:-1][has]))
+                        found[band] = key
+                    for d, row in zip(has.tolist(), _signed(found).T.copy()):
+                        made[d] = row
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(own), pa.array(made, pa.list_(pa.int64()))], names=["node", "found", "keys"])
+
+    return keys
+
+
 def _confirm(percent: int):
     """Keep the pairs with 100 * intersection >= percent * union, counted on full sets."""
 
@@ -203,14 +245,45 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _mixed(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """bucket, node, component of the buckets whose members lie in several components."""
+    labelled = member.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    return written(labelled.join(several, "bucket"))
+
+
+def _cells(labelled: DataFrame, facts: DataFrame, likely: Column, most: int | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(likely pairs (a, b) of a bucket in different components, nodes of the buckets with more than `most` pairs, which are left out; None: there are no such).
+
+    once: facts has bands, the buckets of each node; a pair counts in its first common bucket only.
+    """
+    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_all")).select("bucket", F.col("top.component").alias("top"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"))
+    largest = written(largest)
+    large = F.lit(False) if most is None else F.col("n_all") * F.col("n_rest") > most
+    fits = largest.where(~large)
+    heavy = labelled.join(largest.where(large).select("bucket"), "bucket", "left_semi").select("node").distinct()
+    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), cells(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), cells(n) - 1))
+    named = lambda x: (F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"comp_{x}"), *([F.col("bands").alias(f"bands_{x}")] if once else []))
+    rows = labelled.join(fits, "bucket")
+    rest = rows.where("component != top").withColumn("row", place("n_rest")).withColumn("col", every("n_all"))
+    others = rows.withColumn("row", every("n_rest")).withColumn("col", place("n_all"))
+    rest = rest.join(facts, "node").select("bucket", "row", "col", "top", *named("a"))
+    others = others.join(facts, "node").select("bucket", "row", "col", *named("b"))
+    pairs = rest.join(others, ["bucket", "row", "col"]).where((F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))) & likely & (F.expr("array_intersect(bands_a, bands_b)[0] = bucket") if once else F.lit(True)))
+    return pairs.select("a", "b").distinct(), written(heavy)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, node, component_id (least doc_id reachable), n_texts (classes in the component)."""
-    spark = docs.sparkSession
+    """One row for each input row: doc_id, rid (hash of the text), n_shingles, node, component, component_id (least doc_id reachable), n_texts (classes in the component)."""
     n_minima = bands * rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, node long, n_shingles long, sig array<long>, bands array<long>"))
-    # a class of equal sets is one node; max_by over one class only picks among equal values
-    classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    signed = written(docs.withColumn("rid", F.xxhash64("text")).mapInArrow(_sign(k, bands, rows), "doc_id long, rid long, node long, n_shingles long, sig array<long>, bands array<long>"))
+    # a class of equal sets is one node, one of its rows stands for it; ids that are null come last
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("rep")
+    classes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     member = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")  # buckets of one class go before anything is joined with them
     member = written(member.join(buckets, "bucket"))
@@ -218,13 +291,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     facts = written(classes.select("node", "size", "sig").join(degree, "node"))
     centres = member.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre"))
     side = lambda x: facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"))
-    likely = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)") & (unequal_minima("sig_a", "sig_b", n_minima) <= most_unequal(n_minima, percent / 100 - MARGIN))
+    alike = lambda n, margin: F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)") & (unequal_minima("sig_a", "sig_b", n) <= most_unequal(n, percent / 100 - margin))
 
     def from_texts(needed: DataFrame, made, kind: str) -> DataFrame:
         """What `made` makes of the texts of some nodes."""
-        reps = small(classes.join(needed.distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
-        # rows that share a doc_id may differ in text: the set's own fingerprint picks the right one
-        return written(docs.join(reps, "doc_id").select("node", "text").mapInArrow(made, f"node long, found long, {kind}").where("node = found").drop("found").dropDuplicates(["node"]))
+        reps = small(classes.join(needed.distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.rid").alias("rep_rid")))
+        texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_rid"))).select("node", "text")
+        # texts of one hash may differ: the set's own fingerprint picks the right one
+        return written(texts.mapInArrow(made, f"node long, found long, {kind}").where("node = found").drop("found").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that pass the exact count."""
@@ -234,43 +308,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         return written(joined.mapInArrow(_confirm(percent), "a long, b long"))
 
     stars = member.join(centres, "bucket").where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
-    links = confirmed(stars)
-    comp = written(components(links))
-
-    labelled = member.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    labelled = written(labelled.join(mixed, "bucket"))
-    wide = from_texts(labelled.select("node"), _sets(k, WIDE, n_minima), "sig array<long>")
-    labelled = labelled.join(wide.join(classes.select("node", "size", "bands"), "node"), "node")
-    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("top"))
-    named_ = lambda x: (F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"comp_{x}"), F.col("bands").alias(f"bands_{x}"))
-    likely = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)") & (unequal_minima("sig_a", "sig_b", WIDE) <= most_unequal(WIDE, percent / 100 - WIDE_MARGIN))
-    once = F.expr("array_intersect(bands_a, bands_b)[0] = bucket")
-    rest = labelled.join(largest, "bucket").where("component != top").select("bucket", *named_("a"), "top")
-    others = labelled.select(F.col("bucket").alias("bucket_b"), *named_("b"))
-    pairs = rest.join(others, F.col("bucket").eqNullSafe(F.col("bucket_b")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))) & likely & once)
+    stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(alike(n_minima, MARGIN)).select("a", "b"))
+    comp = written(components(confirmed(stars)))
+
+    labelled = _mixed(member.select("bucket", "node"), comp)
+    wide = from_texts(labelled.select("node"), _sets(k, WIDE, n_minima), "sig array<long>").join(classes.select("node", "size", "bands"), "node")
+    more, heavy = _cells(labelled, wide, alike(WIDE, WIDE_MARGIN), PAIRS, once=True)
+    for longer in range(LONGER, LONGEST + 1, STEP):
+        if heavy.isEmpty():
+            break
+        keyed = from_texts(heavy, _keys(k, longer_bands(longer, percent), longer), "keys array<long>")
+        labelled = _mixed(keyed.select(F.explode("keys").alias("bucket"), "node"), comp)
+        found, heavy = _cells(labelled, wide, alike(WIDE, WIDE_MARGIN), PAIRS if longer + STEP <= LONGEST else None)  # in the end, pairs right at the threshold have to be looked at
+        more = more.union(found)
     tried = stars.union(stars.select("b", "a"))
-    more = confirmed(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    links = confirmed(more.distinct().join(tried, ["a", "b"], "left_anti"))
     # the components so far are stars already: they and the new links are all that is left to close
     stars_now = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b")
-    comp = written(components(stars_now.unionByName(more)))
+    comp = written(components(stars_now.unionByName(links)))
 
-    named = classes.select("node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_texts"))
-    by_node = named.join(ids, "component").select("node", "component_id", "n_texts")
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+    reps = classes.select("node", F.col("rep.doc_id").alias("rep"))
+    linked = written(reps.join(comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()), "node"))  # a component's name is its least node
+    ids = linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_texts"))
+    linked = linked.join(small(written(ids)), "component").select("node", "component", "component_id", "n_texts")
+    by_node = reps.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("n_texts").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), "n_texts")
+    out = signed.select("doc_id", "rid", "n_shingles", "node").join(by_node, "node", "left")
+    return out.select("doc_id", "rid", "n_shingles", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the least doc_id; equal rows of one doc_id stay once, documents without words all stay."""
-    kept = near_duplicates(docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id", "text"])
+    """One document of each component with all its columns: the one with the least doc_id (nulls last), then the least hash of its text; documents without words all stay.
+
+    Rows that repeat (doc_id, text) stay once: the one whose columns have the least hash.
+    """
+    found = written(near_duplicates(docs, k, percent).select("doc_id", "rid", "node", "component"))
+    first = found.where("node is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("x")).select("x.doc_id", "x.rid")
+    kept = written(first.unionByName(found.where("node is null").select("doc_id", "rid").distinct()).select(F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    is_ = lambda id_, rid: F.col("row.doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("row.text") == F.col(rid))
+    rows = rows.join(kept, is_("kept_id", "kept_rid"), "left_semi")
+    repeated = found.groupBy(F.col("doc_id").alias("id"), F.col("rid").alias("id_rid")).agg(F.count("*").alias("n")).where("n > 1").select("id", "id_rid")
+    repeated = small(written(repeated))
+    one = rows.join(repeated, is_("id", "id_rid")).groupBy("id", "id_rid").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row")).select("row")
+    return rows.join(repeated, is_("id", "id_rid"), "left_anti").unionByName(one).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def brute_force(rows: list[tuple], k: int, percent: int = 80) -> list[tuple]:

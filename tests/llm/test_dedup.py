@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstream.llm import line_dedup, minhash, queries
-from tests.llm.helpers import corpus, frame
+from tests.llm.helpers import corpus, edited, frame, prose
 
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -22,6 +22,43 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted(((r.doc_id, r.component_id) for r in odd), key=str) == [(1, 1), (None, None), (None, None)]
 
 
+def test_links_of_rows_without_id(spark):
+    text = prose(60, 1)
+    rows = [(None, text), (1, text + " tail"), (2, prose(60, 2)), (None, prose(60, 3)), (None, prose(60, 3) + " x")]
+    got = minhash.near_duplicates(frame(spark, rows), 2).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == [(1, 1), (2, 2), (None, 1), (None, None), (None, None)]
+    kept = minhash.keep_one(frame(spark, rows), 2).collect()
+    assert sorted((str(r.doc_id) for r in kept)) == ["1", "2", "None"]
+
+
+@pytest.mark.parametrize(("cell", "most"), [(4, 1 << 24), (1024, 30), (8, 0)])
+def test_large_buckets_of_texts_on_templates(spark, monkeypatch, cell, most):
+    """Texts that share 60 to 85 % of a template: many in a bucket, few of them linked; dealt in cells, or split by longer keys."""
+    monkeypatch.setattr(minhash, "CELL", cell)
+    monkeypatch.setattr(minhash, "PAIRS", most)
+    base = prose(200, 77)
+    rows = [(i, edited(base, 4 + i % 23, i)) for i in range(90)] + [(500 + i, edited(prose(200, 78), 30, i)) for i in range(30)]
+    got = minhash.near_duplicates(frame(spark, rows), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(minhash.brute_force(rows, 2))
+
+
+def test_longer_keys_miss_no_more():
+    for rows in range(minhash.LONGER, minhash.LONGEST + 1, minhash.STEP):
+        n = minhash.longer_bands(rows, 80)
+        assert (1 - 0.8**rows) ** n <= minhash.MISS < (1 - 0.8**rows) ** (n - 1)
+
+
+def test_keep_one_of_repeated_rows_with_clashing_names(spark):
+    rows = [(1, prose(30, 1), i) for i in range(5)] + [(1, prose(30, 2), 9), (2, prose(30, 1), 0), (3, None, 1), (3, None, 2), (None, "", 3)]
+    names = ("kept", "row", "rid", "node", "kept_id", "a.b")
+    docs = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], f"doc_id long, text string, v int, {', '.join(f'`{n}` int' for n in names)}")
+    first = minhash.keep_one(docs, 2)
+    assert first.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text), r.v) for r in first.collect())
+    assert [g[:2] for g in got] == [("1", prose(30, 1)), ("1", prose(30, 2)), ("3", "None"), ("None", "")] or [g[:2] for g in got] == [("1", prose(30, 2)), ("1", prose(30, 1)), ("3", "None"), ("None", "")]
+    assert got == sorted((str(r.doc_id), str(r.text), r.v) for r in minhash.keep_one(docs.repartition(7), 2).collect())
+
+
 def test_keep_one(spark):
     rows = corpus()
     kept = minhash.keep_one(frame(spark, rows), 5)
