@@ -5,8 +5,8 @@ rows below that), over vectors scaled to unit length, until a node has at most L
 bounded by the sample. Every vector of the table goes down the tree to a leaf.
 
 Search: for each query a priority queue holds the branches passed by, nearest centre first; leaves are visited in that
-order (best bin first). How many leaves a query visits is calibrated: a bounded sample of queries is answered exactly,
-block by block, over all rows, and the number of leaves grows until the calibrated recall at k reaches the goal (and
+order (best bin first). How many leaves a query visits is calibrated: a bounded sample of queries, rows the tree wasn't
+fitted on (where the table has such), is answered exactly, block by block, over all rows, and the number of leaves grows until the calibrated recall at k reaches the goal (and
 each query goes on until its leaves hold k candidates). Queries then join the rows by cell, a cell being neighbouring
 leaves with about BLOCK_ROWS rows together: a query is sent once to each cell with leaves on its list and compared with
 the rows of those leaves only. A leaf holding more rows is a cell of its own, split in blocks by a hash; a query goes to
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import written
+from quillstream.llm.common import small, written
 
 TOP = 5
 SAMPLE_ROWS = 20_000
@@ -52,9 +52,14 @@ def usable(df: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (width["d"] if width else -1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: cosines stay as they are to the last bit, and no square overflows."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))
+    return np.ldexp(x, -power)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    big = np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.where(big > 0, big, 1)
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -140,13 +145,13 @@ def _best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: in
     at = np.argsort(same, kind="stable")  # rows grouped by vector, least id first
     at = at[np.r_[True, (same[at][1:] != same[at][:-1]) | (ids[at][1:] != ids[at][:-1])]] if len(at) else at  # repeated rows once
     begin = np.r_[0, np.cumsum(np.bincount(same[at], minlength=len(first)))]
-    vectors = x[first]
+    vectors = _scaled(x[first])
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     unit = _unit(vectors)
     own = leaf[order][first] if leaf is not None else None
     out_q, out_v, out_s = [], [], []
     for a in range(0, len(q), 256):
-        part = q[a : a + 256]
+        part = _scaled(q[a : a + 256])
         rough = _unit(part) @ unit.T
         if own is not None:
             for i, leaves in enumerate(visited[a : a + 256]):
@@ -212,6 +217,10 @@ class Index:
                 if len(batch):
                     yield batch.assign(leaf=tree.value.assign(_unit(_matrix(batch["embedding"]))))
 
+        # rows that repeat count once, before they can fill a block
+        repeated = written(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"))
+        if not repeated.isEmpty():
+            rows = rows.join(small(repeated), "vec_id", "left_anti").unionByName(rows.join(small(repeated), "vec_id", "left_semi").distinct())
         self.rows = written(rows.mapInPandas(assign, "vec_id long, embedding array<double>, leaf long"))
         sizes = self.rows.groupBy("leaf").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("vec_id")).alias("ids")).toPandas()  # bounded by the leaves
         self.ids = np.zeros(self.tree.n_leaves, np.int64)
@@ -230,7 +239,10 @@ class Index:
 
     def _calibrate(self, sample: pd.DataFrame, recall: float) -> int:
         """Widen the visits until the calibration queries' exact neighbours are in the visited leaves."""
-        asked = self.rows.join(F.broadcast(self.spark.createDataFrame(sample[["vec_id"]].head(CALIBRATION_QUERIES))), "vec_id", "left_semi").select("vec_id", "embedding").dropDuplicates(["vec_id"])
+        fitted = F.broadcast(self.spark.createDataFrame(sample[["vec_id"]]))  # bounded by the sample
+        outside = self.rows.join(fitted, "vec_id", "left_anti")
+        pool = self.rows if outside.isEmpty() else outside  # a table no larger than the sample has no other rows
+        asked = written(pool.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(CALIBRATION_QUERIES).dropDuplicates(["vec_id"]))
         truth = exact(self.rows.select("vec_id", "embedding"), asked, self.k)
         leaves = truth.join(self.rows.select("vec_id", "leaf"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("leaf").alias("leaf")).groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).toPandas()
         vectors = {int(r.vec_id): np.asarray(r.embedding, float) for r in asked.toPandas().itertuples()}
@@ -240,7 +252,9 @@ class Index:
             for leaf in r.leaves:
                 found[place[leaf]] += 1
         share = np.cumsum(found) / max(1, found.sum())
-        return int(np.argmax(share >= recall)) + 1 if found.sum() else self.tree.n_leaves
+        visits = int(np.argmax(share >= recall)) + 1 if found.sum() else self.tree.n_leaves
+        self.measured = float(share[min(visits, len(share)) - 1]) if found.sum() else 1.0
+        return visits
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score for queries (vec_id, embedding)."""
@@ -278,13 +292,14 @@ class Index:
             return _best(left["vec_id"].to_numpy(np.int64), _matrix(left["embedding"]), right["query_id"].to_numpy(np.int64), _matrix(right["embedding"]), k, left["leaf"].to_numpy(np.int64), right["leaves"].tolist())
 
         asked = queries.mapInPandas(route, "query_id long, embedding array<double>, cell long, block long, leaves array<long>")
-        rows = self.rows.withColumn("hash", F.xxhash64("vec_id")).mapInPandas(placed, "vec_id long, embedding array<double>, leaf long, cell long, block long")
+        rows = self.rows.withColumn("hash", F.xxhash64("vec_id", "embedding")).mapInPandas(placed, "vec_id long, embedding array<double>, leaf long, cell long, block long")
         hits = rows.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(compare, _HITS)
         return top(hits, k)
 
 
 def search_report(df: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
-    """Every row whose id is divisible by `every` against all rows."""
+    """Every row whose id is divisible by `every` against all rows; recall: the share of true neighbours found for the calibration queries."""
     index = Index(df, k=k)
     asked = usable(df).where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    return index.search(asked)
+    found = index.search(asked)
+    return found.withColumn("recall", F.lit(index.measured)) if index.total else found.withColumn("recall", F.lit(None).cast("double"))

@@ -1,8 +1,8 @@
 """Language identification as a mixture: expectation-maximisation over n-gram likelihoods, languages by penalised likelihood.
 
 The model is a table of log probabilities of hashed byte trigrams (lower-cased; everything but letters is one break)
-for each language, with add-one smoothing. It is fitted on a bounded sample of the labelled rows: at most
-`per_language` documents of each language, those with the least hash of their text; below the bound all take part.
+for each language, with add-one smoothing. It is fitted on a bounded sample of the labelled texts, each distinct text once: those of a
+language whose hash is below a share that makes `per_language` of them expected; below the bound all take part.
 
 A document is a bag of words; a word's likelihood under a language is the product over its trigrams. EM estimates the
 language proportions of the document from the words' likelihoods. The set of languages grows from the best single one,
@@ -11,7 +11,8 @@ adding the language that raises the likelihood most, for as long as the gain bea
 largest proportion of the chosen set, the score its proportion times its posterior against the other languages.
 
 Cases: null texts and texts without a letter are `und` with score 0. Ties go to the language that comes first by code
-point. Very short texts are decided by their few trigrams, long ones in whole. Rows with a null lang train nothing;
+point. Very short texts are decided by their few trigrams, long ones in whole: beyond PIECE bytes piece by piece, so that
+memory grows by a few bytes a word and language. Rows with a null lang train nothing;
 with no labelled row at all everything is `und`. A null doc_id trains nothing and is held out as false. Rows that
 repeat are predicted alike. An empty table gives no rows; other columns are ignored.
 """
@@ -34,6 +35,8 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 4_000
 EM_ROUNDS = 8
 PENALTY = 2.0
+#: Bytes of a long text that are worked at once.
+PIECE = 1 << 20
 UND = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -91,15 +94,15 @@ def crc_of_id() -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the table of log probabilities, buckets x languages."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(4)) != 2)).select("lang", "text")
-    sizes = sorted((r["lang"], r["n"]) for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect())  # one row for each language
+    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(4)) != 2)).select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = sorted((r["lang"], r["n"]) for r in train.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect())  # one row for each language
     languages = [x for x, _ in sizes]
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
     # a hash below the language's share is a bounded sample that doesn't depend on the order of rows
     share = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, min(1.0, per_language / n))])
-    sample = train.where((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.element_at(share, F.col("lang")))
-    counts = sample.mapInArrow(_count(languages), "i int, k int, n long").groupBy("i", "k").agg(F.sum("n").alias("n")).toPandas()  # buckets x languages at most
+    sample = train.where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])
+    counts = sample.select("lang", "text").mapInArrow(_count(languages), "i int, k int, n long").groupBy("i", "k").agg(F.sum("n").alias("n")).toPandas()  # buckets x languages at most
     table = np.ones((BUCKETS, len(languages)))
     np.add.at(table, (counts["k"].to_numpy(int), counts["i"].to_numpy(int)), counts["n"].to_numpy(float))
     return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
@@ -163,6 +166,50 @@ def mixtures(logs: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) ->
     return share, posterior, single.max(axis=1)
 
 
+def _runs(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about PIECE bytes that end where a word ends."""
+    a = 0
+    while a < len(raw):
+        b = min(a + PIECE, len(raw))
+        while b < len(raw) and _LETTER[_FOLD[raw[b]]]:
+            near = np.flatnonzero(~_LETTER[_FOLD[raw[b : b + PIECE]]])
+            b = b + int(near[0]) if len(near) else min(b + PIECE, len(raw))
+        yield raw[a:b]
+        a = b
+
+
+def mixture_of_runs(runs: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
+    """mixtures() of one document whose words x languages log-likelihoods come in runs: proportions, posterior, log-likelihood of the best."""
+    n_lang, words = runs[0].shape[1], sum(map(len, runs))
+    single = sum(x.astype(np.float64).sum(axis=0) for x in runs)
+    posterior = np.exp(single - single.max())
+    posterior /= posterior.sum()
+    like = lambda x: np.maximum(np.exp((x - x.max(axis=1, keepdims=True)).astype(np.float64)), 1e-12)
+
+    def proportions(p: np.ndarray) -> tuple[np.ndarray, float]:
+        for _ in range(EM_ROUNDS):
+            total = np.zeros(n_lang)
+            for x in runs:
+                r = p * like(x)
+                total += (r / r.sum(axis=1, keepdims=True)).sum(axis=0)
+            p = total / words
+        return p, sum(float(np.log((p * like(x)).sum(axis=1)).sum()) for x in runs)
+
+    base = sum(float(x.max(axis=1).astype(np.float64).sum()) for x in runs)
+    chosen = np.zeros(n_lang, bool)
+    chosen[single.argmax()] = True
+    share, score = chosen.astype(float), float(single.max()) - base
+    full, _ = proportions(np.full(n_lang, 1 / n_lang))
+    while words > 1 and not chosen.all():
+        trial = chosen.copy()
+        trial[np.where(chosen, -1.0, full).argmax()] = True
+        p, value = proportions(trial / trial.sum())
+        if value - score <= penalty * 0.5 * np.log(max(words, 2)):
+            break
+        chosen, share, score = trial, p, value
+    return share, posterior, float(single.max())
+
+
 def _predict(languages: list[str], table: "pyspark.Broadcast"):  # noqa: F821
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = table.value
@@ -170,10 +217,23 @@ def _predict(languages: list[str], table: "pyspark.Broadcast"):  # noqa: F821
             raw, offsets = text_buffer(batch.column("text"))
             known = np.array(batch.column("letters").to_pylist(), bool) & bool(languages)
             pred, score, fit_ = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE):
                 at = offsets[a : b + 1]
                 if at[-1] == at[0] or not languages:
                     continue
+                if b - a == 1 and at[-1] - at[0] > 2 * PIECE:
+                    runs, n_grams = [], 0
+                    for part in _runs(raw[at[0] : at[-1]]):
+                        bucket, first, _, _ = _trigrams(part, np.array([0, len(part)]))
+                        if len(first):
+                            runs.append(np.add.reduceat(logp[bucket], first, axis=0))
+                            n_grams += len(bucket)
+                    if runs and known[a]:
+                        share, posterior, best_log = mixture_of_runs(runs)
+                        i = int(share.argmax())
+                        pred[a], fit_[a] = languages[i], best_log / n_grams
+                        score[a] = np.clip(share[i] * (1.0 if share.max() < 1 else posterior[i]), 0, 1)
+                    continue
                 bucket, first, off, _ = _trigrams(raw[at[0] : at[-1]], at - at[0])
                 if not len(first):
                     continue

@@ -9,7 +9,8 @@ result is a compressed bitmap for each document that loses lines, not its text.
 
 Cases: a null or empty text is one empty line. A null doc_id is one document, smaller than every other. Repeated rows
 (same doc_id and text) are one document and get the same bitmap; rows of one doc_id with other texts count as one
-document but are cut separately. Documents of which nothing is dropped have no bitmap. An empty table gives no rows.
+document but are cut separately. Documents of which nothing is dropped have no bitmap. Very long texts are rows of lines. Ties of doc_id are one
+document. An empty table gives no rows. Other columns are carried along in a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,10 +128,11 @@ def _around(edges: list) -> dict[int, tuple]:
     return {k: tuple(v) for k, v in out.items()}
 
 
-def _stream(around: dict[int, tuple], least: int):
+def _stream(edges: "pyspark.Broadcast", least: int):  # noqa: F821
     """Yield the rows that are dropped: in a run of at least `least` documents, all but those of its first document."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = edges.value
         key = doc_now = None
         rank, after, begun = 0, 0, False
         held: list[tuple] = []  # rows of the open run that go if it turns out long enough; of fewer than `least` documents
@@ -217,12 +219,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     """doc, rid (hash of the text), n_lines, n_dropped, keep (compressed bitmap) of the documents that lose lines."""
     spark = docs.sparkSession
     lines = written(_identified(docs).mapInArrow(_emit_lines(min_chars), _LINES))
+    # rows that repeat (doc_id, text) are one document: its lines count once, however many rows say them
+    repeated = written(docs.select(*_identity()).groupBy("doc", "rid").agg(F.count("*").alias("n")).where("n > 1").select("doc", "rid"))
+    if not repeated.isEmpty():
+        lines = written(lines.join(small(repeated), ["doc", "rid"], "left_anti").unionByName(lines.join(small(repeated), ["doc", "rid"], "left_semi").distinct()))
     parts = max(shuffle_partitions(spark), math.ceil(lines.count() / PARTITION_ROWS))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("rid"), F.col("pos")]
     ordered = checkpointed(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long")))
-    around = _around(ordered.mapInArrow(_edges, _EDGES).collect())  # one row for each partition
+    around = spark.sparkContext.broadcast(_around(ordered.mapInArrow(_edges, _EDGES).collect()))  # one row for each partition
     dropped = ordered.mapInArrow(_stream(around, min_documents), "doc long, rid long, pos int, n_lines int")
-    grouped = dropped.groupBy("doc", "rid").agg(F.collect_list("pos").alias("positions"), F.max("n_lines").alias("n_lines"))
+    grouped = dropped.groupBy("doc", "rid").agg(F.collect_set("pos").alias("positions"), F.max("n_lines").alias("n_lines"))
     return grouped.mapInArrow(_bitmaps, "doc long, rid long, n_lines int, n_dropped int, keep binary")
 
 

@@ -46,6 +46,8 @@ WIDE, WIDE_MARGIN = 1024, 0.06
 CELL, PAIRS = 1024, 1 << 24
 LONGER, STEP, LONGEST = 12, 4, 24
 MISS = 6e-6
+#: A text has many copies if they are more than HOT_COPIES and than a HOT_TEXTS-th of all rows.
+HOT_COPIES, HOT_TEXTS = 1_000, 100_000
 _C = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _multipliers = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     signed = written(docs.withColumn("rid", F.xxhash64("text")).mapInArrow(_sign(k, bands, rows), "doc_id long, rid long, node long, n_shingles long, sig array<long>, bands array<long>"))
     # a class of equal sets is one node, one of its rows stands for it; ids that are null come last
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("rep")
-    classes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     member = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")  # buckets of one class go before anything is joined with them
     member = written(member.join(buckets, "bucket"))
@@ -331,9 +333,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     linked = written(reps.join(comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()), "node"))  # a component's name is its least node
     ids = linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_texts"))
     linked = linked.join(small(written(ids)), "component").select("node", "component", "component_id", "n_texts")
-    by_node = reps.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("n_texts").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), "n_texts")
-    out = signed.select("doc_id", "rid", "n_shingles", "node").join(by_node, "node", "left")
-    return out.select("doc_id", "rid", "n_shingles", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+    by_node = classes.select("node", F.col("rep.doc_id").alias("rep"), "copies").join(linked, "node", "left")
+    by_node = written(by_node.select("node", "copies", F.coalesce("component", "node").alias("component"), F.when(F.col("n_texts").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts")))
+    # texts with many copies are fewer than HOT_TEXTS and join by broadcast, so that no task gets all copies of one
+    out = signed.select("doc_id", "rid", "n_shingles", "node")
+    many = F.col("copies") > max(HOT_COPIES, signed.count() // HOT_TEXTS)
+    hot, rest = small(by_node.where(many).drop("copies")), by_node.where(~many).drop("copies")
+    named = out.join(hot, "node").unionByName(out.join(hot.select("node"), "node", "left_anti").join(rest, "node", "left"))
+    return named.select("doc_id", "rid", "n_shingles", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -9,9 +9,12 @@ The model is fitted on a bounded sample of labelled documents (FIT_ROWS, those w
 that). Every document is then graded, each on its own and whole; results are the expected severity (the sum of P(grade >= k)),
 the most probable grade, and whether grade 2 is likelier than not (toxic).
 
-Cases: null or empty texts, or texts without a letter, have severity 0 and grade 0. Labels with a null doc_id, toxic or quality train
+A severity thus tells a poor text (near 1) from a toxic one (near 2): `toxic` is what marks toxic texts.
+
+Cases: null or empty texts, or texts without a letter, have severity 0 and grade 0. Very long texts are read whole, their distinct features
+counting once. Grades that are equally probable give the smaller one. Of rows that share a labelled doc_id the text that comes first by code point is fitted on. Labels with a null doc_id, toxic or quality train
 nothing; several labels of one document: the largest grade counts. Without labels of at least two grades everything is grade 0.
-A null doc_id is kept. Rows that repeat get a result each. An empty table gives no rows; other columns are ignored.
+A null doc_id is kept. Rows that repeat get a result each. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -147,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal | N
     order = F.xxhash64("id")
     bound = min(1.0, 0.9 * rows / total if total > rows else 1.0)
     some = graded.where(F.pmod(order, F.lit(1 << 30)) < int(bound * (1 << 30))).orderBy(order, "id").limit(rows)  # a bounded sample to fit on
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some), "id").where("text is not null").select("grade", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some), "id").where("text is not null")
+    joined = texts.groupBy("id", "grade").agg(F.min("text").alias("text")).select("grade", "text")  # one text for each id: the first by code point
     got = joined.mapInArrow(_featurise, "grade int, features array<int>").toPandas()
     if got["grade"].nunique() < 2:
         return None

@@ -42,6 +42,13 @@ def test_large_buckets_of_texts_on_templates(spark, monkeypatch, cell, most):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(minhash.brute_force(rows, 2))
 
 
+def test_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_COPIES", 5)
+    rows = corpus()
+    got = minhash.near_duplicates(frame(spark, rows), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(minhash.brute_force(rows, 2))
+
+
 def test_longer_keys_miss_no_more():
     for rows in range(minhash.LONGER, minhash.LONGEST + 1, minhash.STEP):
         n = minhash.longer_bands(rows, 80)
@@ -131,3 +138,11 @@ def test_replace_texts_keeps_columns(spark):
     out = line_dedup.replace_texts(docs)
     assert out.columns == docs.columns and out.where(F.length("text") != F.col("n_chars")).isEmpty()
     assert sorted(r.text for r in out.collect()) == ["0", "1", "2", f"{LONG}\n3"]
+
+
+def test_repeated_rows_emit_their_lines_once(spark):
+    rows = [(1, f"{LONG}\nx\n{LONG}")] * 300 + [(2, LONG), (3, LONG), (3, f"{LONG} \nother")]
+    got = line_dedup.line_dedup_report(frame(spark, rows)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(line_dedup.brute_force(rows))
+    maps = line_dedup.keep_bitmaps(frame(spark, rows)).collect()
+    assert len(maps) == 2 and {m.n_dropped for m in maps} == {1, 2}

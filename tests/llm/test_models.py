@@ -83,6 +83,35 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.mean(clean) < 0.05 and np.mean(english) > 0.5
 
 
+def test_vectors_of_any_size_have_scores(spark):
+    rows = [(i, [1e200 * (i + 1), 1e200, 0.0]) for i in range(60)] + [(100 + i, [1e-200 * (i + 1), -1e-200, 1e-250]) for i in range(60)]
+    got = ann_tree.search_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = brute_neighbours([(i, np.asarray(v) / max(map(abs, v))) for i, v in rows])
+    for q, near in want.items():
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert len(mine) == 5 and [s for _, _, s in mine] == pytest.approx([s for _, s in near], abs=1e-15)
+
+
+def test_repeated_vectors_count_once(spark):
+    rows = [(50, [1.0, 0.0])] + [(7, [1.0, 0.1])] * 400 + [(8, [1.0, 0.2]), (9, [0.0, 1.0]), (7, [1.0, 0.0])]
+    got = ann_tree.search_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 7), (2, 8), (3, 9)] and all(r.recall == 1.0 for r in got)
+
+
+def test_toxicity_fits_one_text_of_an_id(spark):
+    docs = frame(spark, [(i, f"{'trash ' * (i % 2)}{prose(30, i)}") for i in range(60)] + [(1, "zzz other")] * 500)
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).where("doc_id > 1").collect()}
+    assert got[3].toxic and not got[4].toxic and toxicity.toxicity_report(docs, labels).count() == 560
+
+
+def test_toxicity_of_very_long_texts(spark):
+    docs = frame(spark, [(i, f"{'trash ' * (i % 2)}{prose(30, i)}") for i in range(60)] + [(100, prose(60_000, 1)), (101, prose(60_000, 2) + " trash")])
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert got[101].severity > got[100].severity
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = frame(spark, [(1, "scum trash"), (2, None), (3, ""), (None, "trash"), (1, "scum trash"), (5, "!!! 12")] + [(100 + i, f"{'trash ' * (i % 2)}{prose(30, i)}") for i in range(60)])
     labels = spark.createDataFrame([(100 + i, i % 3, i % 2) for i in range(60)] + [(None, 1, 1), (1, None, 1)], "doc_id long, quality int, toxic int")
@@ -313,6 +342,26 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    by_lang = {r.lang: r.t for r in docs.groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("t")).collect()}
+    long = [(i, text, "s", lang) for i, (lang, text) in enumerate(sorted(by_lang.items()))] + [(9, by_lang["de"] + " " + by_lang["fr"], "s", None), (10, "1 " * 40_000, "s", None)]
+    rows = docs.select("doc_id", "text", "source", "lang").unionByName(spark.createDataFrame([(90_000 + 4 * i, *r) for i, *r in long], "doc_id long, text string, source string, lang string"))
+    whole = {r.doc_id: r for r in langid.identify(rows).collect()}
+    monkeypatch.setattr(langid, "PIECE", 3000)
+    cut = {r.doc_id: r for r in langid.identify(rows).collect()}
+    assert all(cut[i].lang_pred == r.lang_pred and abs(cut[i].score - r.score) < 1e-4 and abs(cut[i].mean_log - r.mean_log) < 1e-4 for i, r in whole.items())
+    assert [whole[90_000 + 4 * i].lang_pred for i, _, _, lang in long[:4]] == [lang for *_, lang in long[:4]] and whole[90_040].lang_pred == "und"
+
+
+def test_one_text_many_times_is_fitted_once(spark):
+    rows = [(i, "der die das und", "s", "de") for i in range(300)] + [(1000 + i, prose(5, i), "s", "en") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    _, table = langid.fit(docs, per_language=20)
+    _, once = langid.fit(docs.dropDuplicates(["text"]), per_language=20)
+    assert np.allclose(table, once)
+
+
 def test_mixture_finds_both_languages():
     a, b = np.array([[-1.0, -9.0]]), np.array([[-9.0, -1.0]])
     logs = np.concatenate([np.repeat(a, 30, 0), np.repeat(b, 10, 0), np.repeat(a, 40, 0)]).astype(np.float32)
