@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the form of a citation, and sentences that mark answers without evidence
 CITATION = r"\[(BNS|ICA)\s+§([0-9A-Za-z-]+)\]"
 #: Answer used when a citation has no source; answers that own up to missing evidence.
 REFUSAL = "I could not provide a grounded answer from the supplied legal evidence because the generated response contained a citation that was not among the retrieved sources."

@@ -135,3 +135,63 @@ def paragraphs(answers: DataFrame) -> DataFrame:
     """qid, pos, bullet, text: an answer's paragraphs, bullets marked."""
     split = answers.select("qid", F.posexplode(F.split(F.trim("answer"), r"\n\s*\n")).alias("pos", "p"))
     return split.select("qid", "pos", F.col("p").rlike(r"^\s*[-*•]\s+").alias("bullet"), F.regexp_replace("p", r"^\s*[-*•]\s+", "").alias("text"))
+
+
+# fixed value: the answer where a safety filter has stopped the generator
+FILTERED = "The requested legal response could not be generated because the model safety filter blocked this request. No legal conclusion is provided."
+
+
+def with_fallback(rows: DataFrame) -> DataFrame:
+    """Generated rows (qid, answer, error) with status success, content_filtered or error; a filtered one gets the fixed answer, and its sources stay."""
+    filtered = is_content_filter(F.col("error"))
+    status = F.when(F.col("error").isNull(), "success").when(filtered, "content_filtered").otherwise("error")
+    return rows.withColumn("status", status).withColumn("answer", F.when(filtered, F.lit(FILTERED)).otherwise(F.col("answer"))).withColumn("content_filtered", filtered)
+
+
+def allowed_labels(hits: DataFrame) -> DataFrame:
+    """qid, allowed: the sorted labels of the retrieved sources."""
+    return hits.groupBy("qid").agg(F.array_sort(F.collect_set(C.label(F.col("act"), F.col("section")))).alias("allowed"))
+
+
+def linked_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, pos, citation, doc_id: each label in an answer with the first retrieved source that bears it; null for a label without one."""
+    cited = answers.select("qid", F.posexplode(C.extracted(F.col("answer"))).alias("pos", "citation"))
+    first = hits.withColumn("citation", C.label(F.col("act"), F.col("section"))).groupBy("qid", "citation").agg(F.min_by("doc_id", "rank").alias("doc_id"))
+    return cited.join(first, ["qid", "citation"], "left").select("qid", "pos", "citation", "doc_id")
+
+
+def judge_payload(hits: DataFrame) -> DataFrame:
+    """qid, payload: the sources of a question for the judge, in rank order, as JSON of rank, citation, section_number, section_title and content."""
+    item = F.struct("rank", C.label(F.col("act"), F.col("section")).alias("citation"), F.col("section").alias("section_number"), "section_title", "content")
+    return hits.groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("payload"))
+
+
+def request_columns() -> list[Column]:
+    """A request's id and time, for sinks only, as they differ with each run."""
+    return [F.expr("uuid()").alias("request_id"), F.current_timestamp().alias("requested_at")]
+
+
+def answer(hits: DataFrame, questions: DataFrame, generator: Generator = extractive) -> DataFrame:
+    """The flow of one question or many: retrieved hits (qid, rank, act, section, content) and questions (qid, text) -> the enforced answers with status."""
+    asked = context(hits).join(questions.select("qid", F.col("text").alias("question")), "qid", "right")
+    made = with_fallback(generate(asked.select("qid", "question", "context"), generator))
+    labelled = made.join(allowed_labels(hits), "qid", "left").join(hits.groupBy("qid").agg(F.count("*").alias("n_docs")), "qid", "left")
+    labelled = labelled.withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>"))).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+    return enforce(labelled).join(made.select("qid", "status", "content_filtered"), "qid")
+
+
+def replay(questions: DataFrame, done: DataFrame, ask: Callable[[str, str], str], attempts: int = 3) -> DataFrame:
+    """Send every question (qid, text, act) that has no result yet to a service: qid, answer, error; a call that fails for good leaves its message."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for qid, text, act in zip(pdf["qid"], pdf["text"], pdf["act"]):
+                try:
+                    out.append((qid, retried(lambda: ask(text, act), attempts), None))  # noqa: B023
+                except Exception as error:
+                    out.append((qid, None, str(error)))
+            yield pd.DataFrame(out, columns=["qid", "answer", "error"])
+
+    left = questions.join(done.select("qid").distinct(), "qid", "left_anti")
+    return left.select("qid", "text", "act").mapInPandas(run, "qid long, answer string, error string")

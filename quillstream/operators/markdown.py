@@ -90,3 +90,37 @@ def document_json(sections: DataFrame, digests: DataFrame) -> DataFrame:
     item = F.struct("ord", "owner", "chapter", "number", "title", "note", "pages", "body")
     docs = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("sections"), F.count_if(F.col("owner") == "section").alias("n_sections"), F.countDistinct("chapter").alias("n_chapters"))
     return docs.join(digests, "doc_id", "left").select("doc_id", F.to_json(F.struct("sha256", "n_sections", "n_chapters", F.lit(False).alias("ocr"), F.lit(False).alias("llm"), "sections")).alias("json"))
+
+
+#: Places of what a document holds outside its chapters when it is rendered.
+FIRST, LAST = ("Preamble", "Related Judgements"), ("Schedule",)
+
+
+def rendered(sections: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id, markdown of a normalized document: title and act number, what stands before chapters, chapters with their sections and a rule after each, schedules.
+
+    sections: doc_id, ord, owner (preamble, special, chapter, section), chapter, number, title, note, body, as `normalized` gives them;
+    titles: doc_id, title, act_number. Three line feeds and more become two.
+    """
+    s = sections.withColumn("place", F.when(F.col("owner") == "preamble", 0).when((F.col("owner") == "special") & F.col("title").isin(*FIRST), 1).when((F.col("owner") == "special") & F.col("title").isin(*LAST), 3).when(F.col("owner") != "special", 2)).where("place is not null")
+    chapters = Window.partitionBy("doc_id", "place").orderBy("ord")
+    s = s.withColumn("ends", (F.col("place") == 2) & ~F.coalesce(F.lead("chapter").over(chapters).eqNullSafe(F.col("chapter")) & (F.lead("owner").over(chapters) == "section"), F.lit(False)))
+    body = F.when(F.coalesce(F.col("body"), F.lit("")) == "", "").otherwise(F.concat("body", F.lit("\n\n")))
+    head = (
+        F.when(F.col("owner") == "special", F.concat(F.lit("## "), "title", F.lit("\n\n")))
+        .when(F.col("owner") == "chapter", F.concat(F.lit("# Chapter "), "chapter", F.lit(" — "), F.coalesce("title", F.lit("")), F.lit("\n\n")))
+        .when(F.col("owner") == "section", F.concat(F.lit("## Section "), "number", F.when(F.trim(F.coalesce("title", F.lit(""))) != "", F.concat(F.lit(" — "), F.trim("title"))).otherwise(""), F.lit("\n\n"), F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("**Marginal note:** "), "note", F.lit("\n\n"))).otherwise("")))
+        .otherwise("")
+    )
+    part = F.concat(head, body, F.when(F.col("ends"), F.lit("---\n\n")).otherwise(""))
+    whole = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "ord", part.alias("p")))), lambda x: x["p"]), "").alias("rest"))
+    top = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.when(F.col("act_number").isNotNull(), F.concat(F.lit("**Act number:** "), "act_number", F.lit("\n\n"))).otherwise(""))
+    text = F.regexp_replace(F.concat(top, F.coalesce("rest", F.lit(""))), r"\n{3,}", "\n\n")
+    return titles.join(whole, "doc_id", "left").select("doc_id", F.concat(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
+
+
+def normalize_files(lines: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rendered documents, counts): parse, render, and doc_id, n_chapters, n_sections of each."""
+    parsed = normalized(lines)
+    counts = parsed.groupBy("doc_id").agg(F.count_if(F.col("owner") == "chapter").alias("n_chapters"), F.count_if(F.col("owner") == "section").alias("n_sections"))
+    return rendered(parsed, titles), counts

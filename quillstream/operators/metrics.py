@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.vectors import cosine
+from quillstream.scratch import small, written
 
 
 def gold_grades(gold: DataFrame, key: str) -> DataFrame:
@@ -19,18 +20,18 @@ def retrieval_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...], key
     Precision divides by what was retrieved; the ideal list is cut to that length; recall is at most 1. Questions
     without gold score 0. Questions come from the hits.
     """
-    grades = gold_grades(gold, key)
+    grades = written(gold_grades(gold, key))
     grid = F.explode(F.array(*[F.lit(k) for k in ks])).alias("final_k")
-    graded = hits.join(F.broadcast(grades), ["qid", key], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    graded = hits.join(small(grades), ["qid", key], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
     cut = graded.select(*by, "rank", "grade", grid).where("rank <= final_k")
     gain = lambda g, r: (F.pow(F.lit(2.0), F.col(g)) - 1) / F.log2(F.col(r) + 1)
-    got = cut.groupBy(*by, "final_k").agg(
+    got = cut.groupBy(*by, "final_k").agg(  # by and final_k name a few rows for each question
         F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("relevant"), F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.sum(gain("grade", "rank")).alias("dcg")
     )
     ideal = grades.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), key)))
     sizes = grades.groupBy("qid").agg(F.count("*").alias("n_gold"))
-    best = got.select("qid", "n").distinct().join(F.broadcast(ideal), "qid").where("place <= n").groupBy("qid", "n").agg(F.sum(gain("grade", "place")).alias("idcg"))
-    joined = got.join(F.broadcast(sizes), "qid", "left").join(F.broadcast(best), ["qid", "n"], "left")
+    best = got.select("qid", "n").distinct().join(small(ideal), "qid").where("place <= n").groupBy("qid", "n").agg(F.sum(gain("grade", "place")).alias("idcg"))
+    joined = got.join(small(sizes), "qid", "left").join(small(best), ["qid", "n"], "left")
     zero = F.lit(0.0)
     return joined.select(
         *by,
@@ -94,3 +95,23 @@ def deterministic(rows: DataFrame) -> DataFrame:
         has_text(F.col("answer")).alias("has_substantive_answer_text"),
         (has_text(F.col("answer")) & (F.size(cited) > 0)).alias("has_citation_with_answer"),
     )
+
+
+RUBRIC = ("answer_relevance", "answer_correctness", "groundedness", "answer_completeness", "citation_correctness", "citation_completeness", "context_utilization", "abstention_quality", "hallucination")
+
+
+def answer_flags(rows: DataFrame) -> DataFrame:
+    """One row of counts over evaluated answers: columns status, all_direct_gold_retrieved, n_unsupported, judge_status and the rubric."""
+    judged = F.col("judge_status") == "success"
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(~F.col("all_direct_gold_retrieved")).alias("direct_gold_not_fully_retrieved"), F.count_if((F.col("status") == "success") & (F.col("n_unsupported") > 0)).alias("unsupported_citations"),
+        F.count_if(judged & (F.col("hallucination") == 2)).alias("material_hallucination"), F.count_if(judged & (F.col("answer_correctness") == 0)).alias("correctness_zero"), F.count_if(judged & (F.col("groundedness") == 0)).alias("groundedness_zero"),
+        F.count_if(F.col("status") == "content_filtered").alias("generation_content_filtered"), F.count_if(F.col("status") == "success").alias("generation_successful"),
+        F.count_if(F.col("judge_status") == "content_filtered").alias("judge_content_filtered"), F.count_if(judged).alias("judge_successful"),
+    )
+
+
+def split_means(rows: DataFrame, condition: str = "all_direct_gold_retrieved", metrics: tuple[str, ...] = ("answer_correctness", "groundedness")) -> DataFrame:
+    """metric, group, mean (4 places), n: the means of judged answers where retrieval was sufficient and where it wasn't; groups without answers have no row."""
+    long = rows.where("judge_status = 'success'").select(F.when(F.col(condition), "sufficient").otherwise("insufficient").alias("group"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x"))
+    return long.where("x.v is not null").groupBy(F.col("x.metric").alias("metric"), "group").agg(F.bround(F.avg("x.v"), 4).alias("mean"), F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
+from quillstream.scratch import small, written
 
 SPECIAL = ("preamble", "related_judgements", "schedule")
 REQUIRED = ("chunk_id", "act", "chapter_number", "chapter_title", "section_number", "section_title", "subsection", "content_type", "content", "citation_id", "citation_text", "source_file")
@@ -73,13 +74,22 @@ def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return only(a, b, "missing").unionByName(only(b, a, "extra"))
 
 
+def _places(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """key and its place by `order`: range partitions, their counts, then numbers inside a partition."""
+    ranged = written(rows.select(key, F.col(order).alias("o")).repartitionByRange("o").withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each partition
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("o", key))
+    return ranged.withColumn("nth", inside).join(small(counts.select("part", before.alias("before"))), "part").select(key, (F.col("before") + F.col("nth")).alias(name))
+
+
 def same_order(a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
     """n_moved: keys whose place differs, by the row number over each side's order."""
-    place = lambda x, n: x.select(F.col(key), F.row_number().over(Window.orderBy(order)).alias(n))
-    return place(a, "pa").join(place(b, "pb"), key).agg(F.count_if(F.col("pa") != F.col("pb")).alias("n_moved"))
+    return _places(a, key, order, "pa").join(_places(b, key, order, "pb"), key).agg(F.count_if(F.col("pa") != F.col("pb")).alias("n_moved"))
 
 
 def missing_numbers(rows: DataFrame, column: str, lo: int, hi: int) -> DataFrame:
+    """The numbers from lo to hi that rows lack."""
     full = rows.sparkSession.range(lo, hi + 1).withColumnRenamed("id", column)
     return full.join(rows.select(F.col(column).cast("long").alias(column)).distinct(), column, "left_anti")
 
@@ -115,3 +125,71 @@ def golden_rules() -> dict[str, Column]:
         "grade": F.exists("gold", lambda g: ~F.coalesce(g["relevance_grade"].isin(1, 2), F.lit(False))),
         "chunk_ids": F.exists("gold", lambda g: F.coalesce(F.size(g["chunk_ids"]), F.lit(0)) <= 0),
     }
+
+
+def number_span(rows: DataFrame, column: str) -> tuple[int, int]:
+    """The least and the largest number of a column; (0, -1) without any."""
+    lo, hi = rows.agg(F.min(column), F.max(column)).first()
+    return (0, -1) if lo is None else (int(lo), int(hi))
+
+
+def section_number(raw: Column) -> Column:
+    """A section number as it is compared: trimmed and upper-cased."""
+    return F.upper(F.trim(raw))
+
+
+def sequence_report(sections: DataFrame, lo: int, hi: int, strict: bool = False) -> DataFrame:
+    """finding (missing, unexpected, duplicate), number: how the section numbers (number) depart from lo..hi, each once. strict: any finding fails the job."""
+    numbers = sections.select(F.col("number").cast("long").alias("number"))
+    missing = missing_numbers(numbers, "number", lo, hi).select(F.lit("missing").alias("finding"), "number")
+    unexpected = numbers.where(~F.col("number").between(lo, hi)).distinct().select(F.lit("unexpected").alias("finding"), "number")
+    twice = numbers.groupBy("number").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("finding"), "number")
+    found = missing.unionByName(unexpected).unionByName(twice)
+    if strict and (first := found.orderBy("finding", "number").first()) is not None:
+        raise ValueError(f"section numbers aren't complete: {first['finding']} {first['number']}")
+    return found
+
+
+def duplicate_sections(sections: DataFrame) -> DataFrame:
+    """doc_id, section, n: section numbers that a document has more than once, upper case or lower."""
+    return sections.groupBy("doc_id", section_number(F.col("section")).alias("section")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def counts_expected(counts: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """check, n, expected, passed: totals that are known beforehand, such as sections, chapters, chunks of an act and of all."""
+    one = None
+    for name, (rows, expected) in counts.items():
+        got = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n", F.lit(expected).cast("long").alias("expected"), (F.col("n") == expected).alias("passed"))
+        one = got if one is None else one.unionByName(got)
+    return one
+
+
+def missing_fields(rows: DataFrame, required: tuple[str, ...] = REQUIRED) -> list[str]:
+    """Required fields that the schema lacks."""
+    return sorted(set(required) - set(rows.columns))
+
+
+def missing_keys(records: DataFrame, key: str, fields: Column, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """key, missing (sorted): records, as maps of field to value, without a required field."""
+    lacking = F.array_sort(F.array_except(F.array(*[F.lit(r) for r in required]), F.map_keys(fields)))
+    return records.select(key, lacking.alias("missing")).where(F.size("missing") > 0)
+
+
+def non_empty(rows: DataFrame, what: str) -> DataFrame:
+    """rows, or an error if there is none."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what}")
+    return rows
+
+
+def samples(bad: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """by, n, sample: how many bad rows, and the first `most` keys of them; no more than `most` keys leave a task."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(key))
+    first = bad.withColumn("nth", nth).where(F.col("nth") <= most).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(key).cast("string").alias("k")))), lambda x: x["k"]), ",").alias("sample"))
+    return bad.groupBy(by).agg(F.count("*").alias("n")).join(first, by).select(by, "n", "sample")
+
+
+def roll_up(checks: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, n_failed, passed of the checks (by, check, passed), and a last row over all (by null)."""
+    each = checks.groupBy(F.col(by).cast("string").alias(by)).agg(F.count_if(~F.col("passed")).alias("n_failed"), F.bool_and("passed").alias("passed"))
+    return each.unionByName(each.agg(F.lit(None).cast("string").alias(by), F.sum("n_failed").alias("n_failed"), F.bool_and("passed").alias("passed")))

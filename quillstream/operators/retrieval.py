@@ -6,11 +6,12 @@ questions' terms before anything is shuffled. Ranks order by rounded score, then
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import tokens
-from quillstream.functions.vectors import cosine
+from quillstream.functions.vectors import dot, norm
+from quillstream.scratch import fits, small, written
 
 
 def ranked(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",), key: str = "doc_id") -> DataFrame:
@@ -20,29 +21,62 @@ def ranked(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",), key: str =
 
 
 def bm25(docs: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, filters: str | None = None) -> DataFrame:
-    """docs (doc_id, text), questions (qid, text) -> qid, doc_id, rank, score. filters: a column both have, equal in a hit."""
+    """docs (doc_id, text), questions (qid, text) -> qid, doc_id, rank, score. filters: a column both have, equal in a hit.
+
+    The postings of the questions' terms are stored, so that their counts and their scores read no text again.
+    """
     keep = [filters] if filters else []
     # the corpus statistics come from all documents, the postings only hold the questions' terms
     terms = questions.select("qid", *[F.col(c).alias(f"q_{c}") for c in keep], F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     toks = docs.select("doc_id", *keep, tokens(F.col("text")).alias("toks"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    posting = toks.select("doc_id", *keep, F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    tf = posting.groupBy("doc_id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
+    posting = toks.select("doc_id", *keep, F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    tf = written(posting.groupBy("doc_id", *keep, "dl", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    joined = tf.join(F.broadcast(df), "term").join(F.broadcast(stats)).join(F.broadcast(terms), "term")
+    weighed = terms.join(df, "term").join(F.broadcast(stats))  # stats is one row
+    joined = tf.join(small(weighed), "term")
     if filters:
         joined = joined.where(F.col(filters) == F.col(f"q_{filters}"))
     scores = joined.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores, k).select("qid", "doc_id", "rank", "score")
 
 
-def vector(vectors: DataFrame, questions: DataFrame, k: int, condition: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """vectors (vec_id, embedding), questions (qid, query) -> qid, vec_id, rank, score; condition is a filter before the top k."""
-    pairs = vectors.join(F.broadcast(questions), condition if condition is not None else F.lit(True))
-    scores = pairs.select("qid", "vec_id", *keep, F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return ranked(scores, k, key="vec_id").select("qid", "vec_id", *keep, "rank", "score")
+#: Questions of a block; a block of vectors has as many blocks of this size.
+BLOCK = 256
+
+
+def scored(vectors: DataFrame, questions: DataFrame, by: str | None = None) -> DataFrame:
+    """vectors (vec_id, embedding), questions (qid, query) -> qid, vec_id, score (cosine to 6 places) of all pairs; by: a column of both that has to be equal.
+
+    Questions come in blocks of BLOCK. Where a count proves them small they are broadcast; else both sides are dealt over a
+    grid of question and vector blocks, each pair of blocks meeting once. Norms are computed once a row.
+    """
+    keep = [by] if by else []
+    asked = written(questions.select("qid", *[F.col(c).alias(f"q_{c}") for c in keep], F.col("query").cast("array<double>").alias("query"), norm(F.col("query")).alias("q_norm")))
+    rows = vectors.select("vec_id", *keep, F.col("embedding").cast("array<double>").alias("embedding"), norm(F.col("embedding")).alias("norm"))
+    n = max(1, -(-asked.count() // BLOCK))
+    block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked, rows, on = asked.withColumn("qb", block("qid", n)), rows.withColumn("qb", every(n)), ["qb"]
+    if fits(asked):
+        asked = F.broadcast(asked)
+    else:
+        m = max(1, -(-vectors.count() // (BLOCK * BLOCK)))
+        asked, rows, on = asked.withColumn("vb", every(m)), rows.withColumn("vb", block("vec_id", m)), ["qb", "vb"]
+    pairs = rows.join(asked, on)
+    if by:
+        pairs = pairs.where(F.col(by) == F.col(f"q_{by}"))
+    length = F.col("norm") * F.col("q_norm")
+    score = F.when(length == 0, F.lit(0.0)).otherwise(dot(F.col("embedding"), F.col("query")) / length)
+    return pairs.select("qid", "vec_id", *keep, F.round(score, 6).alias("score"))
+
+
+def vector(vectors: DataFrame, questions: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """The k best vectors of each question: qid, vec_id, rank, score; by is a filter before the top k."""
+    found = ranked(scored(vectors, questions, by), k, key="vec_id")
+    return found.select("qid", "vec_id", *([by] if by else []), "rank", "score")
 
 
 def fuse(lists: list[DataFrame], k: int, c: int = 60) -> DataFrame:
@@ -70,3 +104,36 @@ def first_of_section(hits: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFra
     seen = Window.partitionBy(*by, "act", section).orderBy("rank")
     kept = hits.withColumn("nth", F.row_number().over(seen)).where("nth = 1").drop("nth")
     return kept.withColumn("section_rank", F.row_number().over(Window.partitionBy(*by).orderBy("rank")).cast("long"))
+
+
+def projected(hits: DataFrame) -> DataFrame:
+    """The hits with the fields of the index only: a vector never leaves it."""
+    from quillstream.sources.files import CHUNK_FIELDS
+
+    return hits.select(*[c for c in hits.columns if c in ("qid", "rank", "score", *CHUNK_FIELDS)])
+
+
+def question_subset(questions: DataFrame, ids: tuple = (), first: int | None = None) -> DataFrame:
+    """The questions with the given ids (an unknown one is an error), or the first by id; all without either."""
+    if ids:
+        wanted = questions.sparkSession.createDataFrame([(i,) for i in ids], questions.select("qid").schema)
+        missing = [r["qid"] for r in wanted.join(questions.select("qid"), "qid", "left_anti").collect()]  # of the ids given
+        if missing:
+            raise ValueError(f"unknown question ids: {sorted(missing)}")
+        return questions.join(small(wanted), "qid", "left_semi")
+    return questions if first is None else questions.orderBy("qid").limit(first)
+
+
+def listing(rows: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """Match-all listing of keys: the first `most` by key."""
+    return rows.select(key).orderBy(key).limit(most)
+
+
+def too_many(hits: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Searches that returned more than k hits: none, or the ranking is wrong."""
+    return hits.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > k)
+
+
+def shortened(hits: DataFrame, chars: int = 500) -> DataFrame:
+    """A listing of results to be read: rank, score, label fields and the beginning of the content."""
+    return hits.withColumn("content", F.substring("content", 1, chars))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import CHAPTER_LINE, SECTION_START, chapter_title, is_chapter_title
+from quillstream.functions.text import CHAPTER_LINE, SECTION_START, chapter_title, is_chapter_title, squeeze
 
 MARGIN, HEADER, FOOTER = 0.19, 0.055, 0.055
 NOTE_TOLERANCE, ANCHOR_DISTANCE = 28.0, 8.0
@@ -159,3 +159,57 @@ def on_change(rows: DataFrame, column: str, order: str) -> DataFrame:
     """The rows where `column` differs from the row before in their document: where a header is written."""
     before = F.lag(column).over(Window.partitionBy("doc_id").orderBy(order))
     return rows.withColumn("emit", ~F.col(column).eqNullSafe(before) | (F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) == 1))
+
+
+HEADING_CHARS = 3
+
+
+def scored_candidates(found: DataFrame, lo: int = 1, hi: int = 358) -> DataFrame:
+    """Candidates (number, text, x0, y0, page_width, page_height) with confidence and reasons: 1 in the range of numbers, and 0.05 more for each of text, place across and place down, at most 1."""
+    rest = F.regexp_extract("text", SECTION_START, 2)
+    x, h = F.col("x0") / F.greatest(F.col("page_width"), F.lit(1.0)), F.col("page_height")
+    signs = [(F.length(F.trim(rest)) >= HEADING_CHARS, "has-section-text"), (x.between(0.05, 0.75), "broad-body-x-position"), (F.col("y0").between(h * HEADER, h * (1 - FOOTER)), "body-y-position")]
+    inside = F.col("number").between(lo, hi)
+    reasons = F.filter(F.array(F.lit("strict-section-syntax"), *[F.when(ok, F.lit(name)) for ok, name in signs]), lambda r: r.isNotNull())
+    score = F.lit(1.0)
+    for ok, _ in signs:
+        score = score + F.when(ok, 0.05).otherwise(0.0)
+    return found.withColumn("confidence", F.when(inside, F.least(score, F.lit(1.0))).otherwise(0.0)).withColumn("reason", F.when(inside, reasons).otherwise(F.array(F.lit("outside-BNS-section-range"))))
+
+
+def _box(prefix: str = "") -> Column:
+    return F.array(*[F.round(F.col(prefix + c), 2) for c in ("x0", "y0", "x1", "y1")])
+
+
+def candidate_json(scored: DataFrame) -> DataFrame:
+    """The candidates as JSON, coordinates to 2 places and confidence to 3."""
+    return scored.select("doc_id", "line_index", F.to_json(F.struct(F.col("number"), F.col("page"), F.col("line_index"), _box().alias("bbox"), F.col("text"), F.round("confidence", 3).alias("confidence"), F.col("reason"))).alias("json"))
+
+
+def section_records(lines: DataFrame, starts: DataFrame, notes: DataFrame) -> DataFrame:
+    """One record for each section start: text, pages, start, end, notes.
+
+    lines (doc_id, section, line_index, page, x0, y0, x1, y1, text) with the section they belong to; starts (doc_id,
+    section, page, x0, y0, x1, y1); notes (doc_id, section, text). A section without lines ends where it starts. Text is the
+    cleaned lines joined by line feeds, pages are distinct and sorted, notes sorted.
+    """
+    clean = squeeze(F.col("text"))
+    line = F.struct("line_index", clean.alias("t"))
+    body = lines.groupBy("doc_id", "section").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(clean != "", line))), lambda x: x["t"]), "\n").alias("text"), F.array_sort(F.collect_set("page")).alias("pages"),
+        F.max_by(F.struct("page", *[F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")]), "line_index").alias("end"), F.count("*").alias("n_lines"),
+    )
+    of = notes.where("section is not null").groupBy("doc_id", "section").agg(F.array_sort(F.collect_list("text")).alias("notes"))
+    start = F.struct("page", *[F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    out = starts.select("doc_id", "section", start.alias("start")).join(body, ["doc_id", "section"], "left").join(of, ["doc_id", "section"], "left")
+    return out.select("doc_id", "section", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), "start", F.coalesce("end", "start").alias("end"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+def note_counts(notes: DataFrame) -> DataFrame:
+    """doc_id, n_notes, n_associated, n_unassociated."""
+    return notes.groupBy("doc_id").agg(F.count("*").alias("n_notes"), F.count("section").alias("n_associated"), F.count_if(F.col("section").isNull()).alias("n_unassociated"))
+
+
+def unassociated(notes: DataFrame) -> DataFrame:
+    """A warning for each note that no section claims."""
+    return notes.where("section is null").select("doc_id", "page", "gid", F.lit("unassociated-margin-note").alias("warning"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillstream.functions import text as T
-from quillstream.operators import metrics
+from quillstream.operators import answering, metrics
 from quillstream.plans import fixtures as X
 
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -20,7 +20,7 @@ bs AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bs)"""
 _COS = "CASE WHEN list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) * list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]) = 0 THEN 0 ELSE list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))) END"
 _VEC = f"""
-vs AS (SELECT q.vec_id AS qid, v.vec_id, round({_COS.format(a="v.embedding", b="q.embedding")}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 20),
+vs AS (SELECT q.vec_id AS qid, v.vec_id, round({_COS.format(a="v.embedding", b="q.embedding")}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
 vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM vs)"""
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents"
 _PLACED = f"""
@@ -29,8 +29,7 @@ p1 AS (SELECT doc_id, text, pos, page, y0::DOUBLE AS y0, x0::DOUBLE AS x0, (x0 +
 pl AS (SELECT *, CASE WHEN y0 < 800 * 0.055 THEN 'header' WHEN y1 > 800 * (1 - 0.055) THEN 'footer'
   WHEN CASE WHEN page % 2 = 1 THEN x0 >= 600 - 600 * 0.19 ELSE x1 <= 600 * 0.19 END THEN 'margin' ELSE 'body' END AS region FROM p1)"""
 _GOLD = """
-g0 AS (SELECT item_id AS qid, doc_id, CASE WHEN contains(d.text, b.text) THEN 2 ELSE 1 END AS grade FROM documents d JOIN benchmark b ON contains(d.text, string_split(b.text, '.')[1])),
-gold AS (SELECT qid, doc_id, grade FROM (SELECT *, row_number() OVER (PARTITION BY qid, grade ORDER BY doc_id) AS nth FROM g0) WHERE grade = 2 OR nth <= 5)"""
+gold AS (SELECT item_id AS qid, doc_id, CASE WHEN contains(d.text, b.text) THEN 2 ELSE 1 END AS grade FROM documents d JOIN benchmark b ON contains(d.text, string_split(b.text, '.')[1]))"""
 _HITS = "hits AS (SELECT br.qid, br.doc_id, br.rank, d.lang AS act, d.source AS section FROM br JOIN documents d USING (doc_id) WHERE rank <= {k})"
 _EVAL = (
     "WITH "
@@ -77,17 +76,17 @@ ORACLES = {
     "rt1_bm25_topk": f"WITH {_BM25} SELECT qid, doc_id, rank, score FROM br WHERE rank <= 10",
     "rt2_vector_topk": f"WITH {_VEC} SELECT qid, vec_id, rank, score FROM vr WHERE rank <= 10",
     "rt3_hybrid_rrf": f"""WITH {_BM25}, {_VEC},
-every AS (SELECT qid, doc_id, rank FROM br WHERE rank <= 10 UNION ALL SELECT qid, vec_id, rank FROM vr WHERE rank <= 10),
+every AS (SELECT qid, doc_id, rank FROM br WHERE rank <= 10 UNION ALL SELECT qid // 50, vec_id, rank FROM vr WHERE rank <= 10),
 f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM every GROUP BY ALL)
 SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5""",
     "rt7_facets": "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source",
     "rt9_document_count": "SELECT count(*) AS n FROM documents",
     "flt6_prefilter_vector": f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, dv.lang, round({_COS.format(a="v.embedding", b="q.embedding")}, 6) AS score
-FROM embeddings v JOIN documents dv ON dv.doc_id = v.vec_id, embeddings q JOIN documents dq ON dq.doc_id = q.vec_id WHERE q.vec_id < 20 AND dv.lang = dq.lang)
+FROM embeddings v JOIN documents dv ON dv.doc_id = v.vec_id, embeddings q JOIN documents dq ON dq.doc_id = q.vec_id WHERE q.vec_id % 50 = 0 AND dv.lang = dq.lang)
 SELECT qid, vec_id, lang, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "wn15_section_dedupe": f"""WITH {_BM25}, {_HITS.format(k=20)}
 SELECT qid, doc_id, act, section, row_number() OVER (PARTITION BY qid ORDER BY rank) AS section_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, act, section ORDER BY rank) AS nth FROM hits) WHERE nth = 1""",
-    "ev6_cosine": f"SELECT q.vec_id AS qid, v.vec_id, round({_COS.format(a='v.embedding', b='q.embedding')}, 6) AS cosine FROM embeddings v, embeddings q WHERE q.vec_id < 3",
+    "ev6_cosine": f"SELECT q.vec_id AS qid, v.vec_id, round({_COS.format(a='v.embedding', b='q.embedding')}, 6) AS cosine FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0",
     "ev7_pairwise_cosine": f"""WITH {_VEC}, h AS (SELECT qid, rank, embedding, unnest([1, 3, 5, 10]) AS final_k FROM vr JOIN embeddings e USING (vec_id) WHERE rank <= 10),
 p AS (SELECT a.qid, a.final_k, round(avg({_COS.format(a="a.embedding", b="b.embedding")}), 6) AS avg_cosine FROM h a JOIN h b ON a.qid = b.qid AND a.final_k = b.final_k AND a.rank < b.rank WHERE a.rank <= a.final_k AND b.rank <= b.final_k GROUP BY ALL)
 SELECT g.qid, g.final_k, avg_cosine FROM (SELECT DISTINCT qid, final_k FROM h WHERE rank <= final_k) g LEFT JOIN p USING (qid, final_k)""",
@@ -146,14 +145,14 @@ SELECT qid, md5(CASE WHEN len(bad) > 0 THEN 'I could not provide a grounded answ
 SELECT qid, CASE WHEN len(g) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(r, g)) / len(g), 4) END AS gold_section_coverage, CASE WHEN len(dg) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(r, dg)) / len(dg), 4) END AS direct_gold_coverage,
   list_has_all(r, dg) AS all_direct_gold_retrieved, array_to_string(cited, ';') AS citations, array_to_string(bad, ';') AS unsupported_citations, len(bad) = 0 AS citation_syntax_valid, len(bad) = 0 AS all_citations_from_retrieved_sources,
   len(cited) AS citation_count, has AS has_substantive_answer_text, has AND len(cited) > 0 AS has_citation_with_answer FROM y""",
-    "sf29_context": f"""WITH {_BM25}, {_HITS.format(k=5)}, x AS (SELECT qid, string_agg('SOURCE ' || rank || chr(10) || '[' || act || ' §' || section || ']' || chr(10) || left(text, 200) || chr(10) || '---', chr(10) ORDER BY rank) AS c FROM hits JOIN documents USING (doc_id) GROUP BY qid)
+    "sf29_context": f"""WITH {_BM25}, {_HITS.format(k=5)}, x AS (SELECT qid, string_agg('SOURCE ' || rank || chr(10) || '[' || act || ' §' || section || ']' || chr(10) || text || chr(10) || '---', chr(10) ORDER BY rank) AS c FROM hits JOIN documents USING (doc_id) GROUP BY qid)
 SELECT qid, md5(c) AS context_hash, length(c) AS n_chars FROM x""",
     "dq_rules": _report(_CHUNKS, {
         "dq11_keys": "chunk_id IS NULL OR content IS NULL", "dq13_content": _EMPTY.format("content"), "dq14_section": f"{_EMPTY.format('section_number')} AND content_type NOT IN ('preamble', 'related_judgements', 'schedule')", "dq15_citation": _EMPTY.format("citation_text"),
         "dq16_nested_subsection": r"regexp_matches(subsection, '\)\s*\(')", "dq17_chapter_heading": r"regexp_matches(content, '(?im)^#\s+Chapter\b')", "dq18_separator": r"regexp_matches(content, '(?m)^\s*---+\s*$')", "dq19_marginal_notes": r"len(regexp_extract_all(content, '\*\*Marginal note:\*\*')) > 1",
         "dq20_tokens": "(length(content) + 3) // 4 > 650", "dq21_citation_suffix": rf"regexp_matches(citation_text, '\([^)]+\)$') AND {_EMPTY.format('subsection')}"}),
     "dq24_vectors": _report("embeddings", {"dq24_missing": "embedding IS NULL", "dq24_dimension": "len(embedding) <> 64", "dq24_finite": "len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0", "dq24_zero": "len(list_filter(embedding, lambda x: x <> 0)) = 0"}),
-    "dq3_missing_numbers": "SELECT r AS doc_id FROM range(0, 1000) t(r) WHERE r NOT IN (SELECT doc_id FROM labels)",
+    "dq3_missing_numbers": "SELECT r AS doc_id FROM (SELECT unnest(range(min(doc_id), max(doc_id) + 1)) AS r FROM documents) WHERE r NOT IN (SELECT doc_id FROM labels)",
     "dq9_repeated_lines": f"SELECT trim(text) AS text, count(*) AS n FROM ({_LINES}) WHERE regexp_matches(text, '(?i)licen[cs]e') GROUP BY 1 HAVING count(*) > 2",
     "dq10_garbage": _report(f"({_LINES})", {f"garbage_{i + 1}": f"regexp_matches(text, '{p}')" for i, p in enumerate(T.GARBAGE)}, "pattern", "n", False),
     "dq7_section_sizes": "SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) < 80 THEN 'tiny' ELSE 'giant' END AS finding FROM documents WHERE length(trim(text)) < 80 OR length(trim(text)) > 25000",
@@ -169,7 +168,7 @@ SELECT 'text' AS field, count(*) FILTER (t) AS n_changed FROM j UNION ALL SELECT
     "st3_intersection": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "src8_golden_flatten": f"SELECT * FROM {X.values(X.GOLDEN_KEYS, 'qid, chunk_id, grade')}",
     "snk4_csv_shape": "SELECT doc_id::VARCHAR AS doc_id, '[' || quality || ',' || toxic || ']' AS pair, CASE WHEN doc_id % 2 = 0 THEN quality::VARCHAR ELSE '' END AS maybe FROM labels",
-    "snk10_markdown": r"""WITH r AS (SELECT doc_id % 7 AS d, doc_id AS o, lang, source, text, lag(lang) OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) IS DISTINCT FROM lang AS emit FROM documents WHERE n_chars < 2000)
+    "snk10_markdown": r"""WITH r AS (SELECT doc_id // 50 AS d, doc_id AS o, lang, source, text, lag(lang) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) IS DISTINCT FROM lang AS emit FROM documents)
 SELECT d AS doc_id, md5(regexp_replace(string_agg(CASE WHEN emit THEN '# Chapter ' || lang || chr(10) || chr(10) ELSE '' END || '## Section ' || source || ' — ' || lang || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY o), '\n{3,}', chr(10) || chr(10), 'g')) AS hash FROM r GROUP BY d""",
     "rp1_neighbours": f"""WITH c AS (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0) - 1 AS pos FROM {X.values(X.CANDIDATES[1], "doc_id, number, page, y0, x0")}),
 m AS (SELECT * FROM (VALUES (1, 5), (1, 6), (2, 3), (2, 4), (2, 5), (2, 6), (2, 7)) AS t(doc_id, n)) SELECT doc_id, number, pos FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND abs(m.n - c.number) <= 2)""",
@@ -180,4 +179,83 @@ m AS (SELECT * FROM (VALUES (1, 5), (1, 6), (2, 3), (2, 4), (2, 5), (2, 6), (2,
     "wn8_normalized_sections": f"SELECT * FROM {X.values(X.NORMALIZED, 'doc_id, ord, owner, chapter, number, title, note, pages, body')}",
     "wn8_units": f"SELECT * FROM {X.values(X.UNITS, 'doc_id, unit, number, title, chapter, chapter_title, special, lines')}",
 }
+_RUBRIC = ", ".join(f"CASE WHEN judge_status = 'success' THEN (doc_id + {n}) * {n + 3} % 3 END AS {m}" for n, m in enumerate(metrics.RUBRIC))
+_ANSWERED = f"""e0 AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'content_filtered' ELSE 'success' END AS status, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'content_filtered' ELSE 'success' END AS judge_status, doc_id % 4 = 1 AS unsupported FROM labels),
+e AS (SELECT *, {_RUBRIC} FROM e0)"""
+_NOTES = f"""{_PLACED}, n0 AS (SELECT *, sum(CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING)::BIGINT AS gid FROM pl WHERE region = 'margin'),
+n1 AS (SELECT *, max(gid) OVER (PARTITION BY doc_id, page) AS top FROM n0),
+g AS (SELECT doc_id, page, gid, (min(y0) + max(y1)) / 2 AS center FROM n1 WHERE gid > 0 OR top = 0 GROUP BY ALL),
+s AS (SELECT doc_id, page, pos AS number, y0 AS y, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0) AS following, min(y0) OVER (PARTITION BY doc_id, page) AS first FROM pl WHERE region = 'body' AND pos % 12 = 0),
+j AS (SELECT g.doc_id, g.page, g.gid, center, s.number, s.y, first, abs(center - s.y) AS d, center >= s.y - 28 AND (following IS NULL OR center < following - 28) AS inside FROM g LEFT JOIN s USING (doc_id, page)),
+per AS (SELECT doc_id, page, gid, arg_min(number, y) FILTER (inside) AS own, arg_min(d, y) FILTER (inside) AS own_d, arg_min(number, d) FILTER (d <= 28) AS near, min(d) FILTER (d <= 28) AS near_d, count(number) AS n, coalesce(max(center) < max(first), false) AS above FROM j GROUP BY ALL),
+act AS (SELECT p.doc_id, p.page, p.gid, arg_max(s.number, s.page * 100000 + s.y) AS active FROM per p JOIN s ON s.doc_id = p.doc_id AND s.page < p.page GROUP BY ALL),
+m AS (SELECT *, CASE WHEN near IS NOT NULL THEN 'same-page-section-start-alignment' WHEN own IS NOT NULL THEN 'same-page-section-interval' WHEN n > 0 AND above AND active IS NOT NULL THEN 'previous-page-active-section' WHEN n = 0 AND active IS NOT NULL THEN 'continuation-page-active-section' END AS method FROM per LEFT JOIN act USING (doc_id, page, gid)),
+notes AS (SELECT doc_id, page, gid, CASE WHEN near IS NOT NULL THEN near WHEN own IS NOT NULL THEN own WHEN method IS NOT NULL THEN active END AS section, method,
+  round(CASE WHEN near IS NOT NULL THEN greatest(0, 1 - near_d / 28.0) WHEN own IS NOT NULL THEN greatest(0, 1 - own_d / 56.0) WHEN method = 'previous-page-active-section' THEN 0.7 WHEN method IS NOT NULL THEN 0.65 END, 4)::DOUBLE AS confidence FROM m)"""
+_LABELS = f"""{_BM25}, {_HITS.format(k=5)}, lh AS (SELECT qid, doc_id, rank, CASE WHEN act = 'en' THEN '[BNS §' ELSE '[ICA §' END || doc_id % 7 || ']' AS label FROM hits)"""
+_DECIMAL = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR || '.0' ELSE {0}::VARCHAR END"
+ORACLES |= {
+    "ev10_grid": f"""WITH {_BM25}, {_VEC}, {_GOLD}, ck AS (SELECT unnest([10, 20, 50])::BIGINT AS candidate_k),
+hl AS (SELECT 'bm25' AS strategy, candidate_k, qid, doc_id, rank FROM br JOIN ck ON rank <= candidate_k UNION ALL SELECT 'vector', candidate_k, qid // 50, vec_id, rank FROM vr JOIN ck ON rank <= candidate_k),
+hf AS (SELECT candidate_k, qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM hl GROUP BY ALL),
+hits AS (SELECT * FROM hl UNION ALL SELECT 'hybrid_rrf', candidate_k, qid, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY candidate_k, qid ORDER BY score DESC, doc_id) AS rank FROM hf) WHERE rank <= candidate_k),
+ks AS (SELECT unnest([1, 3, 5, 10]) AS final_k),
+cut AS (SELECT strategy, candidate_k, h.qid, final_k, rank, coalesce(grade, 0) AS grade FROM hits h JOIN ks ON rank <= final_k LEFT JOIN gold g ON g.qid = h.qid AND g.doc_id = h.doc_id),
+got AS (SELECT strategy, candidate_k, qid, final_k, count(*) AS n, count(*) FILTER (grade > 0) AS relevant, min(rank) FILTER (grade > 0) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM cut GROUP BY ALL),
+pg AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS place FROM gold), ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY ALL),
+best AS (SELECT qid, n, sum((pow(2, grade) - 1) / log2(place + 1)) AS idcg FROM (SELECT DISTINCT qid, n FROM got) JOIN pg USING (qid) WHERE place <= n GROUP BY ALL),
+ev AS (SELECT strategy, candidate_k, final_k, CASE WHEN n_gold IS NULL THEN 0.0::DOUBLE ELSE round(least(relevant / n_gold, 1.0), 6) END AS recall, round(relevant / n, 6) AS precision, CASE WHEN relevant > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg
+  FROM got LEFT JOIN ng USING (qid) LEFT JOIN best USING (qid, n))
+SELECT strategy, candidate_k, final_k, 'chunk' AS level, count(*) AS question_count, {_MEANS} FROM ev GROUP BY ALL""",
+    "flt7_projection": f"WITH {_BM25}, {_HITS.format(k=5)} SELECT qid, rank, score, lang AS act, d.source AS section_number, md5(text) AS content, d.doc_id::VARCHAR AS chunk_id FROM br JOIN documents d USING (doc_id) WHERE rank <= 5",
+    "flt8_question_subset": "SELECT item_id AS qid, md5(text) AS hash FROM benchmark WHERE item_id IN (1, 3, 17) UNION ALL SELECT * FROM (SELECT item_id, md5(text) FROM benchmark ORDER BY item_id LIMIT 2)",
+    "rt8_listing": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1000",
+    "so4_smoke_search": f"""WITH {_BM25}, {_VEC}, every AS (SELECT qid, doc_id, rank FROM br WHERE rank <= 20 UNION ALL SELECT qid // 50, vec_id, rank FROM vr WHERE rank <= 20),
+f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM every GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT qid, rank, doc_id, md5(left(text, 500)) AS content FROM o JOIN documents USING (doc_id) WHERE rank <= 5""",
+    "so6_samples": "SELECT source, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:10], ',') AS sample FROM documents WHERE n_chars < 500 GROUP BY source",
+    "dq28_too_many": f"WITH {_BM25}, {_HITS.format(k=5)} SELECT qid, count(*) AS n FROM hits GROUP BY qid HAVING count(*) > 3",
+    "ag3_answer_flags": f"""WITH {_ANSWERED} SELECT count(*) AS n, count(*) FILTER (quality <> 1) AS direct_gold_not_fully_retrieved, count(*) FILTER (status = 'success' AND unsupported) AS unsupported_citations, count(*) FILTER (hallucination = 2) AS material_hallucination, count(*) FILTER (answer_correctness = 0) AS correctness_zero,
+count(*) FILTER (groundedness = 0) AS groundedness_zero, count(*) FILTER (status = 'content_filtered') AS generation_content_filtered, count(*) FILTER (status = 'success') AS generation_successful, count(*) FILTER (judge_status = 'content_filtered') AS judge_content_filtered, count(*) FILTER (judge_status = 'success') AS judge_successful FROM e""",
+    "ag4_split_means": f"WITH {_ANSWERED} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, CASE WHEN quality = 1 THEN 'sufficient' ELSE 'insufficient' END AS \"group\", round_even(avg({m}), 4) AS mean, count(*) AS n FROM e WHERE {m} IS NOT NULL GROUP BY ALL" for m in metrics.RUBRIC),
+    "dq1_sequence": """WITH h AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents), x AS (SELECT doc_id - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 50 = 1 THEN hi + 1 ELSE 0 END AS number FROM labels, h)
+SELECT 'missing' AS finding, r AS number FROM (SELECT unnest(range(lo, hi + 1)) AS r FROM h) WHERE r NOT IN (SELECT number FROM x) UNION ALL SELECT DISTINCT 'unexpected', number FROM x, h WHERE number NOT BETWEEN lo AND hi
+UNION ALL SELECT 'duplicate', number FROM x GROUP BY number HAVING count(*) > 1""",
+    "dq4_duplicate_sections": "SELECT lang AS doc_id, upper(source) AS section, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1",
+    "dq26_totals": """SELECT *, n = expected AS passed FROM (SELECT 'sections_en' AS "check", count(DISTINCT source) FILTER (lang = 'en') AS n, 358::BIGINT AS expected FROM documents UNION ALL SELECT 'chapters', count(DISTINCT lang), 4 FROM documents UNION ALL SELECT 'chunks', count(*), 642 FROM documents UNION ALL SELECT 'questions', count(*), 40 FROM benchmark)""",
+    "dq23_missing_fields": "SELECT doc_id::VARCHAR AS chunk_id, 'section_number' AS missing FROM documents WHERE doc_id % 13 = 0 AND doc_id % 97 = 0",
+    "ag14_roll_up": """WITH c AS (SELECT source, count(*) FILTER (length(text) = 0) = 0 AS c1, max(n_chars) < 15000 AS c2, count(DISTINCT lang) = 1 AS c3 FROM documents GROUP BY source),
+e AS (SELECT source AS doc_id, ((NOT c1)::INT + (NOT c2)::INT + (NOT c3)::INT)::BIGINT AS n_failed, c1 AND c2 AND c3 AS passed FROM c) SELECT * FROM e UNION ALL SELECT NULL, sum(n_failed)::BIGINT, bool_and(passed) FROM e""",
+    "wn21_order": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pa, row_number() OVER (ORDER BY CASE WHEN doc_id % 10 = 3 THEN doc_id + 5 ELSE doc_id END, doc_id) AS pb FROM documents) SELECT count(*) FILTER (pa <> pb) AS n_moved FROM a",
+    "sf30_candidates": rf"""WITH {_PLACED}, c0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, pos) - 1 AS line_index, pos * 7 % 400 AS number, (pos * 7 % 400) || '. ' || left(text, (doc_id % 5)::INT) AS t FROM pl),
+c AS (SELECT *, number BETWEEN 1 AND 358 AS ok, length(trim(left(text, (doc_id % 5)::INT))) >= 3 AS a, x0 / 600 BETWEEN 0.05 AND 0.75 AS b, y0 BETWEEN 800 * 0.055 AND 800 * (1 - 0.055) AS c FROM c0 WHERE pos % 6 = 0),
+r AS (SELECT *, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN ok THEN list_filter(['strict-section-syntax', CASE WHEN a THEN 'has-section-text' END, CASE WHEN b THEN 'broad-body-x-position' END, CASE WHEN c THEN 'body-y-position' END], lambda x: x IS NOT NULL) ELSE ['outside-BNS-section-range'] END AS reason FROM c)
+SELECT doc_id, line_index, confidence, array_to_string(reason, ',') AS reason, md5('{{"number":' || number || ',"page":' || page || ',"line_index":' || line_index || ',"bbox":[' || {_DECIMAL.format("x0")} || ',' || {_DECIMAL.format("y0")} || ',' || {_DECIMAL.format("x1")} || ',' || {_DECIMAL.format("y1")} || '],"text":' || to_json(t)::VARCHAR || ',"confidence":' || {_DECIMAL.format("confidence")} || ',"reason":' || to_json(reason)::VARCHAR || '}}') AS json FROM r""",
+    "rp2_section_records": rf"""WITH {_PLACED}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, pos) - 1 AS line_index FROM pl),
+f AS (SELECT *, last_value(CASE WHEN length(text) % 7 = 3 THEN line_index END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_index ROWS UNBOUNDED PRECEDING) AS section, trim(regexp_replace(regexp_replace(text, '{T.INVISIBLE}', '', 'g'), '[ 	]+', ' ', 'g'), ' ') AS clean FROM n),
+st AS (SELECT doc_id, section, page, y0 FROM f WHERE section = line_index),
+b AS (SELECT doc_id, section, coalesce(string_agg(clean, chr(10) ORDER BY line_index) FILTER (clean <> ''), '') AS text, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, arg_max(page, line_index) AS page, arg_max(y0, line_index) AS y, count(*) AS n FROM f WHERE section IS NOT NULL AND region = 'body' GROUP BY ALL),
+t AS (SELECT doc_id, section, string_agg(text, '|' ORDER BY text) AS notes FROM f WHERE section IS NOT NULL AND region = 'margin' GROUP BY ALL)
+SELECT doc_id, section, md5(coalesce(b.text, '')) AS text, coalesce(b.pages, '') AS pages, st.y0 AS start_y, coalesce(b.page, st.page) AS end_page, coalesce(b.y, st.y0) AS end_y, md5(coalesce(notes, '')) AS notes, coalesce(n, 0) AS n_lines FROM st LEFT JOIN b USING (doc_id, section) LEFT JOIN t USING (doc_id, section)""",
+    "jn3_notes_of_lines": f"WITH {_NOTES} SELECT * FROM notes",
+    "dq30_unassociated": f"WITH {_NOTES} SELECT doc_id, page, gid, 'unassociated-margin-note' AS warning FROM notes WHERE section IS NULL",
+    "ag13_note_counts": f"WITH {_NOTES} SELECT doc_id, count(*) AS n_notes, count(section) AS n_associated, count(*) - count(section) AS n_unassociated FROM notes GROUP BY doc_id",
+    "prj2_search_documents": f"SELECT chunk_id, md5(content) AS content, citation_text, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS vector_sum, 13::BIGINT AS n_fields FROM {_CHUNKS} c JOIN embeddings e ON e.vec_id::VARCHAR = c.chunk_id",
+    "src11_embedding_faults": """WITH r AS (SELECT CASE WHEN vec_id % 50 = 7 THEN ' ' WHEN vec_id % 50 = 8 THEN (vec_id + 1)::VARCHAR ELSE vec_id::VARCHAR END AS chunk_id, vec_id % 50 AS m FROM embeddings)
+SELECT chunk_id, CASE m WHEN 7 THEN 'missing_id' WHEN 10 THEN 'missing_vector' ELSE 'wrong_dimension' END AS fault FROM r WHERE m IN (7, 10, 11) UNION ALL SELECT chunk_id, 'duplicate_id' FROM r WHERE m <> 7 GROUP BY chunk_id HAVING count(*) > 1""",
+    "rp8_allowed_labels": f"WITH {_LABELS} SELECT qid, string_agg(label, ';' ORDER BY label) AS allowed FROM (SELECT DISTINCT qid, label FROM lh) GROUP BY qid",
+    "jn18_linked_citations": f"""WITH {_LABELS}, f AS (SELECT qid, label, arg_min(doc_id, rank) AS doc_id FROM lh GROUP BY ALL), w AS (SELECT DISTINCT qid, label FROM lh WHERE rank <= 2),
+o AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY label) AS nth FROM w), c AS (SELECT qid, label, CASE WHEN nth = 1 THEN 0 ELSE 2 END AS pos FROM o UNION ALL SELECT DISTINCT qid, '[BNS §99]', 1 FROM w)
+SELECT c.qid, pos, c.label AS citation, doc_id FROM c LEFT JOIN f USING (qid, label)""",
+    "prj5_judge_payload": f"""WITH {_LABELS}, x AS (SELECT qid, '[' || string_agg('{{"rank":' || rank || ',"citation":"' || label || '","section_number":"' || doc_id % 7 || '","section_title":"' || lang || '","content":"' || md5(text) || '"}}', ',' ORDER BY rank) || ']' AS p FROM lh JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY qid) SELECT qid, md5(p) AS payload FROM x""",
+    "gn5_fallback": f"""WITH r AS (SELECT conv_id * 1000 + turn AS qid, text, turn % 3 = 1 AS failed, turn % 3 = 1 AND conv_id % 2 = 0 AS filtered FROM conversations)
+SELECT qid, CASE WHEN filtered THEN 'content_filtered' WHEN failed THEN 'error' ELSE 'success' END AS status, filtered AS content_filtered, CASE WHEN filtered THEN md5('{answering.FILTERED}') WHEN NOT failed THEN md5(text) END AS answer FROM r""",
+    "snk11_rendered": r"""WITH r AS (SELECT doc_id // 50 AS d, doc_id % 50 AS i, lang, source, md5(text) AS body FROM documents),
+p AS (SELECT d, i, CASE i WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS place, chr(10) || chr(10) AS e, CASE WHEN i = 0 THEN body WHEN i = 1 THEN '## Schedule' || e || body WHEN i = 2 THEN '## Related Judgements' || e || body
+  WHEN i % 12 = 3 THEN '# Chapter ' || (i - 3) // 12 || ' — ' || CASE WHEN i % 5 <> 4 THEN source ELSE '' END ELSE '## Section ' || i || CASE WHEN i % 5 <> 4 THEN ' — ' || source ELSE '' END || e || CASE WHEN i % 3 = 0 THEN '**Marginal note:** ' || lang || e ELSE '' END || body END
+  || CASE WHEN i > 2 AND (i % 12 = 2 OR i = max(i) OVER (PARTITION BY d)) THEN e || '---' ELSE '' END AS part FROM r),
+w AS (SELECT d, '# An Act' || e2 || CASE WHEN d % 2 = 0 THEN '**Act number:** 45 OF 2023' || e2 ELSE '' END || string_agg(part, chr(10) || chr(10) ORDER BY place, i) || chr(10) AS m FROM p, (SELECT chr(10) || chr(10) AS e2) GROUP BY d, e2)
+SELECT d AS doc_id, md5(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g')) AS hash FROM w""".replace("\\n", "\n"),
+    "src12_counts": "SELECT count(*) AS n, sum(quality)::BIGINT AS quality, 2::BIGINT AS n_metrics FROM labels",
+}
 ORACLES |= {f"ev{i}_{m}": f"{_EVAL} SELECT qid, level, final_k, {m} FROM ev" for i, m in enumerate(metrics.MEANS, 1)}

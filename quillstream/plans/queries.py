@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import citations as C
 from quillstream.functions import text as T
-from quillstream.functions.vectors import cosine
 from quillstream.operators import answering, blocks, incremental, markdown, metrics, quality, retrieval, structure
 from quillstream.plans import fixtures as X
+from quillstream.scratch import scratch_dir, small, written
 from quillstream.sources import files
 from quillstream.streaming import telemetry
 
 KS = (1, 3, 5, 10)
+CANDIDATES = (10, 20, 50)
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,9 +27,14 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def query_vectors(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    """The question set of vector queries: the embeddings with the n least ids."""
-    return read(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The question set of vector queries: the embeddings whose id is divisible by 50, against all."""
+    return read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
+def question_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each benchmark item, for hybrid search: item i has that of vec_id 50 * i."""
+    return query_vectors(spark, d).withColumn("qid", F.expr("qid div 50"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -42,13 +50,26 @@ def placed_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """qid, doc_id, grade: 2 where a document holds the item, 1 where it holds its first sentence (the five least ids)."""
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"), F.split("text", r"\.")[0].alias("first"))
-    pairs = read(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("first")))
-    graded = pairs.select("qid", "doc_id", F.when(F.col("text").contains(F.col("item")), 2).otherwise(1).alias("grade"))
-    from pyspark.sql import Window
+    """qid, doc_id, grade: 2 where a document holds the item, 1 where it holds its first sentence.
 
-    return graded.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "grade").orderBy("doc_id"))).where("grade = 2 or nth <= 5").drop("nth")
+    A sentence found in a text has its inner words there as whole words: up to three of them, hashed, are what texts and
+    items are joined by; the texts that agree are searched. Items whose first sentence has no inner word are few by a count and searched for in every text.
+    """
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"), F.split("text", r"\.")[0].alias("first"))
+    items = items.withColumn("inner", F.expr("slice(split(first, ' '), 2, greatest(size(split(first, ' ')) - 2, 0))")).withColumn("n", F.least(F.size("inner"), F.lit(3)))
+    items = written(items.withColumn("key", F.expr("xxhash64(array_join(slice(inner, 1, n), ' '))")).drop("inner"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    pairs = None
+    for n in sorted(r["n"] for r in items.select("n").distinct().collect()):  # at most 0 to 3
+        some = small(items.where(F.col("n") == n).select("qid", "item", "first", "key"))
+        if n:
+            grams = docs.withColumn("w", F.split("text", " ")).withColumn("key", F.explode(F.expr(f"if(size(w) < {n}, array(), array_distinct(transform(sequence(1, size(w) - {n} + 1), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))))"))).drop("w")
+            found = grams.join(some, "key").where(F.col("text").contains(F.col("first")))
+        else:
+            found = docs.join(some, F.col("text").contains(F.col("first")))
+        found = found.select("qid", "doc_id", F.when(F.col("text").contains(F.col("item")), 2).otherwise(1).alias("grade"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -65,7 +86,7 @@ def rt2_vector_topk(spark, d):
 
 
 def rt3_hybrid_rrf(spark, d):
-    near = retrieval.vector(read(spark, d, "embeddings"), query_vectors(spark, d), 10).withColumnRenamed("vec_id", "doc_id")
+    near = retrieval.vector(read(spark, d, "embeddings"), question_vectors(spark, d), 10).withColumnRenamed("vec_id", "doc_id")
     return retrieval.fuse([rt1_bm25_topk(spark, d), near], 5)
 
 
@@ -82,8 +103,8 @@ def rt9_document_count(spark, d):
 def flt6_prefilter_vector(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
     vectors = read(spark, d, "embeddings").join(docs, "vec_id")
-    asked = query_vectors(spark, d).join(docs.select(F.col("vec_id").alias("qid"), F.col("lang").alias("q_lang")), "qid")
-    return retrieval.vector(vectors, asked, 5, F.col("lang") == F.col("q_lang"), ("lang",))
+    asked = query_vectors(spark, d).join(docs.select(F.col("vec_id").alias("qid"), "lang"), "qid")
+    return retrieval.vector(vectors, asked, 5, by="lang")
 
 
 def wn15_section_dedupe(spark, d):
@@ -92,7 +113,7 @@ def wn15_section_dedupe(spark, d):
 
 def evaluated(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     """qid, level, final_k and the metrics, on chunk level over raw hits, on section level over deduped ones."""
-    hits, truth = bm25_hits(spark, d, k), gold(spark, d)
+    hits, truth = written(bm25_hits(spark, d, k)), written(gold(spark, d))
     chunk = metrics.retrieval_metrics(hits, truth, KS).withColumn("level", F.lit("chunk"))
     key = F.concat_ws("|", F.col("act"), F.coalesce("section", F.lit("None"))).alias("key")
     by_section = truth.join(read(spark, d, "documents").select("doc_id", F.col("lang").alias("act"), F.col("source").alias("section")), "doc_id").select("qid", key, "grade")
@@ -262,7 +283,7 @@ def ev11_deterministic(spark, d):
 
 
 def sf29_context(spark, d):
-    hits = bm25_hits(spark, d, 5).join(read(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("content")), "doc_id")
+    hits = bm25_hits(spark, d, 5).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     return answering.context(hits).select("qid", F.md5("context").alias("context_hash"), F.length("context").cast("long").alias("n_chars"))
 
 
@@ -280,7 +301,7 @@ def dq24_vectors(spark, d):
 
 
 def dq3_missing_numbers(spark, d):
-    return quality.missing_numbers(read(spark, d, "labels").select("doc_id"), "doc_id", 0, 999)
+    return quality.missing_numbers(read(spark, d, "labels").select("doc_id"), "doc_id", *quality.number_span(read(spark, d, "documents"), "doc_id"))
 
 
 def dq9_repeated_lines(spark, d):
@@ -345,7 +366,8 @@ def snk4_csv_shape(spark, d):
 
 
 def snk10_markdown(spark, d):
-    rows = read(spark, d, "documents").where("n_chars < 2000").select((F.col("doc_id") % 7).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("chapter"), F.col("source").alias("section"), F.col("lang").alias("title"), F.col("text").alias("body"))
+    """Fifty rows of the table are the sections of one document."""
+    rows = read(spark, d, "documents").select(F.expr("doc_id div 50").alias("doc_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("chapter"), F.col("source").alias("section"), F.col("lang").alias("title"), F.col("text").alias("body"))
     return files.markdown(rows).select("doc_id", F.md5("markdown").alias("hash"))
 
 
@@ -384,8 +406,199 @@ def wn8_units(spark, d):
 
 
 def ev6_cosine(spark, d):
-    q = query_vectors(spark, d, 3)
-    return read(spark, d, "embeddings").join(F.broadcast(q)).select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("cosine"))
+    return retrieval.scored(read(spark, d, "embeddings"), query_vectors(spark, d)).withColumnRenamed("score", "cosine")
+
+
+def ev10_grid(spark, d):
+    """Every strategy, candidate_k and final_k: one search to the largest k, cut for each, the hybrid fused from the cut lists."""
+    most, docs = max(CANDIDATES), read(spark, d, "documents")
+    lists = {"bm25": retrieval.bm25(docs, questions(spark, d), most), "vector": retrieval.vector(read(spark, d, "embeddings"), question_vectors(spark, d), most).withColumnRenamed("vec_id", "doc_id")}
+    lists = {name: written(found.select("qid", "doc_id", "rank")) for name, found in lists.items()}
+    rows = None
+    for k in CANDIDATES:
+        cut = {name: found.where(F.col("rank") <= k) for name, found in lists.items()}
+        cut["hybrid_rrf"] = retrieval.fuse(list(cut.values()), k).select("qid", "doc_id", "rank")
+        for name, found in cut.items():
+            part = found.withColumn("strategy", F.lit(name)).withColumn("candidate_k", F.lit(k).cast("long"))
+            rows = part if rows is None else rows.unionByName(part)
+    got = metrics.retrieval_metrics(written(rows), gold(spark, d), KS, by=("strategy", "candidate_k", "qid"))
+    return metrics.summary(got.withColumn("level", F.lit("chunk")))
+
+
+def flt7_projection(spark, d):
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    hits = bm25_hits(spark, d, 5).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id").join(vectors, "doc_id", "left")
+    shown = retrieval.projected(hits.withColumn("chunk_id", F.col("doc_id").cast("string")).withColumnRenamed("section", "section_number"))
+    return shown.withColumn("content", F.md5("content"))
+
+
+def flt8_question_subset(spark, d):
+    return retrieval.question_subset(questions(spark, d), ids=(3, 1, 17)).unionByName(retrieval.question_subset(questions(spark, d), first=2)).select("qid", F.md5("text").alias("hash"))
+
+
+def rt8_listing(spark, d):
+    return retrieval.listing(read(spark, d, "documents"), "doc_id")
+
+
+def so4_smoke_search(spark, d):
+    near = retrieval.vector(read(spark, d, "embeddings"), question_vectors(spark, d), 20).withColumnRenamed("vec_id", "doc_id")
+    top = retrieval.fuse([retrieval.bm25(read(spark, d, "documents"), questions(spark, d), 20), near], 5)
+    shown = retrieval.shortened(top.join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id"))
+    return shown.select("qid", "rank", "doc_id", F.md5("content").alias("content"))
+
+
+def so6_samples(spark, d):
+    return quality.samples(read(spark, d, "documents").where("n_chars < 500"), "source", "doc_id", 10)
+
+
+def dq28_too_many(spark, d):
+    return retrieval.too_many(bm25_hits(spark, d, 5), 3)
+
+
+def _evaluated_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluated answers with scores that follow from their id."""
+    i = F.col("doc_id")
+    rows = read(spark, d, "labels").withColumn("status", F.when(i % 11 == 0, "content_filtered").otherwise("success")).withColumn("judge_status", F.when(i % 11 == 0, None).when(i % 13 == 0, "content_filtered").otherwise("success"))
+    for n, m in enumerate(metrics.RUBRIC):
+        rows = rows.withColumn(m, F.when(F.col("judge_status") == "success", ((i + n) * (n + 3) % 3).cast("int")))
+    return rows.withColumn("all_direct_gold_retrieved", F.col("quality") == 1).withColumn("n_unsupported", (i % 4 == 1).cast("int"))
+
+
+def ag3_answer_flags(spark, d):
+    return metrics.answer_flags(_evaluated_answers(spark, d))
+
+
+def ag4_split_means(spark, d):
+    return metrics.split_means(_evaluated_answers(spark, d), metrics=metrics.RUBRIC)
+
+
+def dq1_sequence(spark, d):
+    lo, hi = quality.number_span(read(spark, d, "documents"), "doc_id")
+    numbers = read(spark, d, "labels").select((F.col("doc_id") - F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0) + F.when(F.col("doc_id") % 50 == 1, hi + 1).otherwise(0)).alias("number"))
+    return quality.sequence_report(numbers, lo, hi)
+
+
+def dq4_duplicate_sections(spark, d):
+    rows = read(spark, d, "documents").select(F.col("lang").alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper("source"))).otherwise(F.col("source")).alias("section"))
+    return quality.duplicate_sections(rows)
+
+
+def dq26_totals(spark, d):
+    docs = read(spark, d, "documents")
+    return quality.counts_expected({"sections_en": (docs.where("lang = 'en'").select("source").distinct(), 358), "chapters": (docs.select("lang").distinct(), 4), "chunks": (docs, 642), "questions": (read(spark, d, "benchmark"), 40)})
+
+
+def dq23_missing_fields(spark, d):
+    """Records as maps of the fields that aren't null."""
+    rows = _chunks(spark, d)
+    names = [c for c in rows.columns if c in quality.REQUIRED]
+    held = F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    required = ("chunk_id", "content", "content_type", "section_number", "subsection", "citation_text")
+    return quality.missing_keys(rows.where("subsection is not null"), "chunk_id", held, required).withColumn("missing", F.array_join("missing", ","))
+
+
+def ag14_roll_up(spark, d):
+    docs = read(spark, d, "documents").withColumn("source_id", F.col("source"))
+    checks = docs.groupBy("source_id").agg((F.count_if(F.length("text") == 0) == 0).alias("c1"), (F.max("n_chars") < 15_000).alias("c2"), (F.countDistinct("lang") == 1).alias("c3"))
+    long = checks.select(F.col("source_id").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("passed")) for c in ("c1", "c2", "c3")])).alias("x")).select("doc_id", "x.*")
+    return quality.roll_up(long)
+
+
+def wn21_order(spark, d):
+    docs = read(spark, d, "documents")
+    return quality.same_order(docs.select("doc_id", F.col("doc_id").alias("o")), docs.select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") + 5).otherwise(F.col("doc_id")).alias("o")), "doc_id", "o")
+
+
+def sf30_candidates(spark, d):
+    rows = structure.numbered(placed_lines(spark, d)).where("pos % 6 = 0").withColumn("number", (F.col("pos") * 7 % 400).cast("int")).withColumn("text", F.concat(F.col("number"), F.lit(". "), F.expr("left(text, doc_id % 5)")))
+    scored = structure.scored_candidates(rows)
+    return scored.select("doc_id", "line_index", "confidence", F.array_join("reason", ",").alias("reason")).join(structure.candidate_json(scored).select("doc_id", "line_index", F.md5("json").alias("json")), ["doc_id", "line_index"])
+
+
+def rp2_section_records(spark, d):
+    rows = structure.geometry(structure.numbered(placed_lines(spark, d)))
+    order = Window.partitionBy("doc_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section", F.last(F.when(F.length("text") % 7 == 3, F.col("line_index")), ignorenulls=True).over(order))
+    body = rows.where("section is not null and region = 'body'")
+    records = structure.section_records(body, rows.where("section = line_index"), rows.where("region = 'margin'"))
+    return records.select("doc_id", "section", F.md5("text").alias("text"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), F.col("start.y0").alias("start_y"), F.col("end.page").cast("long").alias("end_page"), F.col("end.y0").alias("end_y"), F.md5(F.array_join("notes", "|")).alias("notes"), "n_lines")
+
+
+def _notes_of_tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = structure.geometry(placed_lines(spark, d))
+    groups = structure.margin_groups(rows.where("region = 'margin'").withColumn("is_anchor", F.length("text") % 2 == 0))
+    sections = rows.where("region = 'body' and pos % 12 = 0").select("doc_id", "page", F.col("pos").alias("number"), "y0")
+    return structure.associate_notes(groups.select("doc_id", "page", "gid", "y0", "y1"), sections).withColumn("page", F.col("page").cast("long")).withColumn("section", F.col("section").cast("long"))
+
+
+def jn3_notes_of_lines(spark, d):
+    return _notes_of_tables(spark, d)
+
+
+def dq30_unassociated(spark, d):
+    return structure.unassociated(_notes_of_tables(spark, d))
+
+
+def ag13_note_counts(spark, d):
+    return structure.note_counts(_notes_of_tables(spark, d))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d).withColumn("act", F.lit("x")).withColumn("chapter_number", F.lit("I")).withColumn("chapter_title", F.lit(None).cast("string")).withColumn("section_title", F.lit("t")).withColumn("citation_id", F.col("chunk_id")).withColumn("source_file", F.lit("f"))
+    return rows.join(read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), "chunk_id")
+
+
+def prj2_search_documents(spark, d):
+    found = files.search_documents(_records(spark, d), 64)
+    return found.select("chunk_id", F.md5("content").alias("content"), "citation_text", F.round(F.aggregate("content_vector", F.lit(0.0), lambda s, x: s + x), 5).alias("vector_sum"), F.lit(len(found.columns)).cast("long").alias("n_fields"))
+
+
+def src11_embedding_faults(spark, d):
+    rows = read(spark, d, "embeddings").select(F.when(F.col("vec_id") % 50 == 7, " ").when(F.col("vec_id") % 50 == 8, (F.col("vec_id") + 1).cast("string")).otherwise(F.col("vec_id").cast("string")).alias("chunk_id"), F.when(F.col("vec_id") % 50 == 10, None).when(F.col("vec_id") % 50 == 11, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    return files.embedding_faults(rows, 64)
+
+
+def _labelled_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    hits = bm25_hits(spark, d, k)
+    return hits.withColumn("act", F.when(F.col("act") == "en", "Nyaya").otherwise("Contract Act")).withColumn("section", F.expr("string(doc_id % 7)"))
+
+
+def rp8_allowed_labels(spark, d):
+    return answering.allowed_labels(_labelled_hits(spark, d, 5)).withColumn("allowed", F.array_join("allowed", ";"))
+
+
+def jn18_linked_citations(spark, d):
+    hits = _labelled_hits(spark, d, 5)
+    said = hits.where("rank <= 2").groupBy("qid").agg(F.concat_ws(" and ", F.array_sort(F.collect_list(F.concat(C.label(F.col("act"), F.col("section")), F.lit(" [BNS  §99]"))))).alias("answer"))
+    return answering.linked_citations(said, hits).withColumn("pos", F.col("pos").cast("long"))
+
+
+def prj5_judge_payload(spark, d):
+    hits = _labelled_hits(spark, d, 3).join(read(spark, d, "documents").select("doc_id", F.md5("text").alias("content"), F.col("lang").alias("section_title")), "doc_id")
+    return answering.judge_payload(hits).select("qid", F.md5("payload").alias("payload"))
+
+
+def gn5_fallback(spark, d):
+    rows = read(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("qid"), F.when(F.col("turn") % 3 != 1, F.col("text")).alias("answer"), F.when((F.col("turn") % 3 == 1) & (F.col("conv_id") % 2 == 0), "400: Content_Filter hit").when(F.col("turn") % 3 == 1, "timeout").alias("error"))
+    return answering.with_fallback(rows).select("qid", "status", "content_filtered", F.md5("answer").alias("answer"))
+
+
+def snk11_rendered(spark, d):
+    """Fifty rows of the table are a normalized document: a preamble, a special block, chapters of sections, a schedule."""
+    i = F.col("doc_id") % 50
+    rows = read(spark, d, "documents").select(F.expr("doc_id div 50").alias("doc_id"), i.alias("ord"), F.when(i == 0, "preamble").when(i.isin(1, 2), "special").when(i % 12 == 3, "chapter").otherwise("section").alias("owner"), F.expr("string((doc_id % 50 - 3) div 12)").alias("chapter"),
+        i.cast("string").alias("number"), F.when(i == 1, "Schedule").when(i == 2, "Related Judgements").when(i % 5 != 4, F.col("source")).alias("title"), F.when(i % 3 == 0, F.col("lang")).alias("note"), F.when(i % 12 != 3, F.md5("text")).alias("body"))
+    titles = rows.select("doc_id").distinct().select("doc_id", F.lit("An Act").alias("title"), F.when(F.col("doc_id") % 2 == 0, "45 OF 2023").alias("act_number"))
+    return markdown.rendered(rows, titles).select("doc_id", F.md5("markdown").alias("hash"))
+
+
+def src12_counts(spark, d):
+    """Both files of a stored result, read again and counted."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    files.write_both(read(spark, d, "labels"), folder)
+    files.write_jsonl(ag2_judge_summary(spark, d), f"{folder}/summary")
+    detail, summary = files.result_pair(spark, f"{folder}/jsonl", f"{folder}/summary")
+    return detail.agg(F.count("*").alias("n"), F.sum("quality").alias("quality")).crossJoin(F.broadcast(summary.agg(F.count("*").alias("n_metrics"))))  # one row each
 
 
 QUERIES = {f.__name__: f for f in (
@@ -393,5 +606,7 @@ QUERIES = {f.__name__: f for f in (
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
     wn4_greedy_sequence, jn1_nearest_margin, jn2_note_association, jn4_asof_chapter, wn7_lookahead_titles, wn11_pack_tokens, wn12_sentence_split, wn17_blank_collapse, sf8_classify_lines, wn9_logical_blocks, wn10_chunk_blocks, sf14_normalize_lines,
     sf21_chunk_ids, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
-    inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units)}
+    inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
+    ev10_grid, flt7_projection, flt8_question_subset, rt8_listing, so4_smoke_search, so6_samples, dq28_too_many, ag3_answer_flags, ag4_split_means, dq1_sequence, dq4_duplicate_sections, dq26_totals, dq23_missing_fields, ag14_roll_up, wn21_order, sf30_candidates,
+    rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts)}
 QUERIES |= {f"ev{i}_{name}": _metric(name) for i, name in enumerate(metrics.MEANS, 1)}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# fixed values: the fields of the search index and what they can do
 CHUNK_FIELDS = ("chunk_id", "act", "chapter_number", "chapter_title", "section_number", "section_title", "subsection", "content_type", "content", "citation_id", "citation_text", "source_file")
 SEARCHABLE = {"act", "chapter_title", "section_number", "section_title", "subsection", "content", "citation_text"}
 FACETABLE = {"act", "content_type"}
@@ -171,3 +172,68 @@ def markdown(sections: DataFrame) -> DataFrame:
     part = F.concat(head, F.lit("## Section "), "section", F.when(F.col("title").isNotNull(), F.concat(F.lit(" — "), "title")).otherwise(""), F.lit("\n\n"), "body", F.lit("\n"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("p")))), lambda x: x["p"]), "\n")
     return rows.groupBy("doc_id").agg(F.regexp_replace(whole, r"\n{3,}", "\n\n").alias("markdown"))
+
+
+def pdf_markdown(spark: SparkSession, path: str, convert: Callable[[bytes], str]) -> DataFrame:
+    """path, markdown of PDF files by a converter of bytes to Markdown."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "markdown": [convert(x) for x in batch["content"]]})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(read, "path string, markdown string")
+
+
+def embedding_faults(rows: DataFrame, dim: int) -> DataFrame:
+    """chunk_id, fault of embedding records: missing_id, missing_vector, wrong_dimension, duplicate_id."""
+    no_id = F.coalesce(F.trim("chunk_id"), F.lit("")) == ""
+    fault = F.when(no_id, "missing_id").when(F.coalesce(F.size("embedding"), F.lit(-1)) <= 0, "missing_vector").when(F.size("embedding") != dim, "wrong_dimension")
+    twice = rows.where(~no_id).groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id", F.lit("duplicate_id").alias("fault"))
+    return rows.select("chunk_id", fault.alias("fault")).where("fault is not null").unionByName(twice)
+
+
+def checked_embeddings(rows: DataFrame, dim: int) -> DataFrame:
+    """chunk_id, embedding (float), or an error that names a fault."""
+    if (bad := embedding_faults(rows, dim).first()) is not None:
+        raise ValueError(f"{bad['chunk_id']}: {bad['fault']}")
+    return rows.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def search_documents(records: DataFrame, dim: int) -> DataFrame:
+    """Chunk records with embeddings as documents of the index: its fields and content_vector; a missing field or a bad vector is an error."""
+    missing = [c for c in CHUNK_FIELDS if c not in records.columns]
+    if missing:
+        raise ValueError(f"missing fields: {missing}")
+    bad = F.when((F.coalesce("chunk_id", F.lit("")) == "") | F.coalesce(F.size("embedding") != dim, F.lit(True)), F.raise_error(F.concat(F.coalesce("chunk_id", F.lit("<unknown>")), F.lit(": no id or a vector of the wrong size")))).otherwise(F.lit(True)).cast("boolean")
+    return records.where(bad).select(*CHUNK_FIELDS, F.col("embedding").alias("content_vector"))
+
+
+def write_both(rows: DataFrame, folder: str) -> None:
+    """The same rows as JSONL and as Parquet, in folder/jsonl and folder/parquet; each appears as a whole or not at all."""
+    write_jsonl(rows, f"{folder}/jsonl")
+    rows.write.mode("overwrite").parquet(f"{folder}/parquet")
+
+
+def write_text(rows: DataFrame, path: str) -> None:
+    """One string column as text files, committed as a whole."""
+    rows.write.mode("overwrite").text(path)
+
+
+def result_pair(spark: SparkSession, detail_path: str, summary_path: str) -> tuple[DataFrame, DataFrame]:
+    """The detailed rows and the summary of an evaluation; an error if one of them is missing or empty."""
+    pair = []
+    for path in (detail_path, summary_path):
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+        rows = spark.read.json(path)
+        if not rows.columns or rows.isEmpty():
+            raise ValueError(f"{path} is empty")
+        pair.append(rows)
+    return pair[0], pair[1]
+
+
+def regenerate_csv(spark: SparkSession, detail_path: str, summary_path: str, folder: str) -> None:
+    """CSV again from stored results, without a new evaluation."""
+    detail, summary = result_pair(spark, detail_path, summary_path)
+    write_csv(detail, f"{folder}/detail")
+    write_csv(summary, f"{folder}/summary")
