@@ -258,4 +258,69 @@ w AS (SELECT d, '# An Act' || e2 || CASE WHEN d % 2 = 0 THEN '**Act number:** 45
 SELECT d AS doc_id, md5(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g')) AS hash FROM w""".replace("\\n", "\n"),
     "src12_counts": "SELECT count(*) AS n, sum(quality)::BIGINT AS quality, 2::BIGINT AS n_metrics FROM labels",
 }
+LINE_HEADS = ("(1) ", "(12)", "(a) ", "(iv) ", "Explanation 2.— ", "Illustrations", "Provided further that ", "", "  (Z) ", "Exception: ", "**(2)** ", "**Explanation** - ", "<!-- source_pages=3, x, 4 -->", "**Illustration**")
+_STATUTE = f"sl AS (SELECT doc_id, pos, ([{', '.join(repr(x) for x in LINE_HEADS)}])[(pos % {len(LINE_HEADS)}) + 1] || left(text, 40) AS text FROM ({_LINES}))"
+_KINDS = (("subsection", T.SUBSECTION, None), ("subclause", T.SUBCLAUSE, None), ("clause", T.CLAUSE, None), ("explanation", T.EXPLANATION, "Explanation"), ("illustration", T.ILLUSTRATION, "Illustration"), ("proviso", T.PROVISO, "Provided that"))
+
+
+def _by_kind(value, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {value(k, p, m)}" for k, p, m in _KINDS) + f" ELSE {other} END"
+
+
+def _marker(kind: str, pattern: str, marker: str | None) -> str:
+    return repr(marker) if marker else f"('(' || regexp_extract(text, '{pattern}', 1) || ')')"
+
+
+def _content(kind: str, pattern: str, marker: str | None) -> str:
+    return f"regexp_extract(text, '{pattern}', {1 if marker else 2})"
+
+
+def _shown(head: str, text: str) -> str:
+    return f"CASE WHEN trim({text}, ' ') = '' THEN {head} ELSE {head} || ' ' || trim({text}, ' ') END"
+
+
+_MARKED = _shown(f"'**' || regexp_extract(t, '{T.MD_MARKER}', 1) || '**'", f"regexp_extract(t, '{T.MD_MARKER}', 2)")
+_TYPED = " ".join(f"WHEN regexp_matches(t, '{p}') THEN " + _shown(f"'**{n}:**'", f"regexp_extract(t, '{p}', 1)") for n, p in T.MD_TYPES)
+_CANONICAL = f"CASE WHEN regexp_matches(t, '{T.MD_MARKER}') THEN {_MARKED} {_TYPED} ELSE t END"
+_CANDIDATES = f"""{_PLACED}, c AS (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0) - 1 AS pos FROM (SELECT *, pos * 5 // 3 % 13 AS number FROM pl WHERE pos % 3 = 0)),
+r AS (SELECT doc_id, 0::BIGINT AS number, '' AS status, NULL::BIGINT AS pos, -1::BIGINT AS prev FROM (SELECT DISTINCT doc_id FROM c)
+  UNION ALL SELECT r.doc_id, r.number + 1, CASE o.n WHEN 0 THEN 'missing-candidate' WHEN 1 THEN 'selected' ELSE 'duplicate-candidates' END, o.p, coalesce(o.p, r.prev)
+  FROM r, LATERAL (SELECT count(*) AS n, min(c.pos) AS p FROM c WHERE c.doc_id = r.doc_id AND c.number = r.number + 1 AND c.pos > r.prev) o WHERE r.number < 12)"""
+ORACLES |= {
+    "sf8_statute_lines": f"WITH {_STATUTE} SELECT doc_id, pos, {_by_kind(lambda k, p, m: repr(k), repr('text'))} AS kind, {_by_kind(_marker, 'NULL')} AS marker, md5({_by_kind(_content, 'text')}) AS content FROM sl",
+    "sf14_statute_lines": rf"""WITH {_STATUTE}, x AS (SELECT *, trim(text, ' ') AS t FROM sl)
+SELECT doc_id, pos, md5({_CANONICAL}) AS line, array_to_string(list_filter(list_transform(string_split(regexp_extract(text, '{T.SOURCE_PAGES}', 1), ','), lambda p: try_cast(trim(p) AS INT)), lambda p: p IS NOT NULL), ',') AS pages FROM x""",
+    "wn7_chapter_titles": rf"""WITH l AS (SELECT doc_id, pos AS line_index, CASE WHEN pos % 11 = 0 THEN 'CHAPTER ' || repeat('I', pos // 11 % 3 + 1) WHEN pos % 11 IN (1, 2) AND doc_id % 3 <> 0 THEN upper(replace(left(text, 12), 'ß', 's')) WHEN pos % 11 = 3 AND doc_id % 2 = 0 THEN 'LAST PART OF TITLE' WHEN pos % 11 = 4 THEN '7. ' || left(text, 9) ELSE lower(text) END AS text FROM ({_LINES})),
+k AS (SELECT *, regexp_matches(text, '{T.CHAPTER_LINE}') AS chapter, CASE WHEN regexp_matches(text, '{T.CHAPTER_LINE}') OR regexp_matches(text, '{T.SECTION_START}') THEN 'stop'
+  WHEN len(regexp_extract_all(text, '\p{{L}}')) > 0 AND len(regexp_extract_all(text, '\p{{Lu}}')) / len(regexp_extract_all(text, '\p{{L}}')) >= 0.8 THEN 'title' ELSE 'other' END AS kind FROM l),
+w AS (SELECT *, list(kind) OVER n AS kinds, list(text) OVER n AS texts FROM k WINDOW n AS (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+s AS (SELECT *, coalesce(list_position(kinds, 'stop'), 99) AS stop, coalesce(list_position(kinds, 'title'), 99) AS head FROM w WHERE chapter),
+e AS (SELECT *, coalesce(list_min(list_filter(range(1, 6), lambda i: i > head AND coalesce(kinds[i], 'stop') <> 'title')), 6) AS tail FROM s),
+j AS (SELECT doc_id, line_index, upper(regexp_extract(text, '{T.CHAPTER_LINE}', 1)) AS number, CASE WHEN head < stop THEN array_to_string(texts[head:tail - 1], ' ') ELSE '' END AS raw FROM e),
+c0 AS (SELECT *, string_split(trim(regexp_replace(raw, '\s+', ' ', 'g'), ' '), ' ') AS x FROM j),
+c AS (SELECT *, array_to_string(list_transform(x, lambda w, i: CASE WHEN i = 1 OR (regexp_matches(x[i - 1], '(^|[^\p{{L}}\p{{N}}_])[A-Z]$') AND regexp_matches(w, '^[A-Z]($|[^\p{{L}}\p{{N}}_])')) THEN w ELSE ' ' || w END), '') AS one FROM c0)
+SELECT doc_id, line_index, number, nullif(trim(regexp_replace(regexp_replace(one, '\s+([,.;:])', '\1', 'g'), '\s+&\s+', ' & ', 'g'), ' '), '') AS title FROM c""",
+    "jn4_chapters_of_lines": f"""WITH {_PLACED}, s AS (SELECT doc_id, page, pos AS section FROM pl WHERE pos % 6 = 0), c AS (SELECT doc_id, page, arg_max('c' || pos, y0) AS chapter FROM pl WHERE pos % 17 = 3 GROUP BY doc_id, page)
+SELECT s.doc_id, section, (SELECT arg_max(c.chapter, c.page) FROM c WHERE c.doc_id = s.doc_id AND c.page <= s.page) AS chapter FROM s""",
+    "wn4_table_sequence": f"WITH RECURSIVE {_CANDIDATES} SELECT doc_id, number, status, pos FROM r WHERE number > 0",
+    "rp1_table_neighbours": f"WITH RECURSIVE {_CANDIDATES}, m AS (SELECT doc_id, number FROM r WHERE status = 'missing-candidate') SELECT doc_id, number, pos FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND abs(m.number - c.number) <= 2)",
+    "wn17_table_blanks": f"""WITH l AS (SELECT doc_id, pos, CASE WHEN pos % 4 < 2 THEN repeat(' ', (pos % 3)::INT) ELSE text END AS text FROM ({_LINES})), b AS (SELECT *, trim(text, ' ') = '' AS blank FROM l),
+w AS (SELECT *, min(pos) FILTER (NOT blank) OVER (PARTITION BY doc_id) AS lo, max(pos) FILTER (NOT blank) OVER (PARTITION BY doc_id) AS hi FROM b), k AS (SELECT *, lag(blank) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM w WHERE pos BETWEEN lo AND hi)
+SELECT doc_id, pos, md5(CASE WHEN blank THEN '' ELSE text END) AS text FROM k WHERE NOT (blank AND coalesce(before, false))""",
+    "flt4_candidates": f"SELECT doc_id, pos, pos * 37 % 500 AS number FROM ({_LINES}) WHERE pos % 2 = 0 AND pos * 37 % 500 BETWEEN 1 AND 358",
+    "flt5_filtered_bm25": f"""WITH {_BM25}, f AS (SELECT bs.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM bs JOIN documents USING (doc_id) WHERE lang = CASE WHEN qid % 2 = 0 THEN 'en' ELSE 'fr' END) SELECT qid, doc_id, r AS rank, score FROM f WHERE r <= 5""",
+    "sf35_paragraphs": r"""WITH p AS (SELECT conv_id * 1000 + turn AS qid, string_split(replace(trim(replace(text, chr(10), chr(10) || ' ' || chr(10) || '- '), ' '), chr(10) || ' ' || chr(10), chr(1)), chr(1)) AS x FROM conversations), u AS (SELECT qid, unnest(x) AS t, unnest(range(0, len(x))) AS pos FROM p)
+SELECT qid, pos, regexp_matches(t, '^\s*[-*•]\s+') AS bullet, md5(regexp_replace(t, '^\s*[-*•]\s+', '')) AS text FROM u""",
+    "sf20_contexts": "SELECT doc_id, concat_ws(chr(10), 'Act: ' || lang, 'Chapter ' || CASE WHEN doc_id % 2 <> 0 THEN source END || ' — ' || CASE WHEN doc_id % 3 <> 0 THEN source END, 'Section ' || CASE WHEN doc_id % 5 <> 0 THEN source END, 'Marginal note: ' || CASE WHEN doc_id % 7 <> 0 THEN source END) AS context FROM documents",
+    "sf19_scrubbed": rf"SELECT doc_id, pos, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || '  AND (X) tail', '(?i)the\s+of', '', 'g'), '(?i)and\s+\(x\)', '', 'g'), '(?i)de\s+la', '', 'g'), '[ \t]+', ' ', 'g'), ' ')) AS text FROM ({_LINES})",
+    "inc1_last_of": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+    "dq27_golden_rules": _report("benchmark", {"id": "item_id % 9 = 0", "act": "item_id % 7 = 0", "query": "trim(text) = ''", "gold": "item_id % 5 = 0", "grade": "item_id % 5 <> 0 AND (item_id % 3 NOT IN (1, 2) OR item_id % 4 NOT IN (1, 2))", "chunk_ids": "item_id % 5 <> 0 AND item_id % 4 = 0"}),
+    "gn1_answers": f"""WITH {_LABELS}, top AS (SELECT qid, string_split(string_split(text, chr(10))[1], '. ')[1] || ' ' || label AS a, label FROM lh JOIN documents USING (doc_id) WHERE rank = 1), n AS (SELECT qid, count(*) AS n FROM lh WHERE rank <= 3 GROUP BY qid)
+SELECT b.item_id AS qid, md5(coalesce(a, 'I could not retrieve relevant legal provisions.')) AS final_answer, coalesce(label, '') AS citations, '' AS unsupported, a IS NULL AS insufficient, CASE WHEN a IS NULL THEN 0 ELSE n END AS sources_shown, 'success' AS status, false AS content_filtered
+FROM benchmark b LEFT JOIN top ON top.qid = b.item_id LEFT JOIN n ON n.qid = b.item_id""",
+    "rp10_log_lines": """SELECT md5('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS line FROM labels""",
+    "rp13_documents": """WITH r AS (SELECT *, doc_id // 50 AS d, doc_id % 3 = 0 AS chapter FROM documents)
+SELECT d AS doc_id, md5('{"sha256":"' || sha256(d::VARCHAR) || '","n_sections":' || count(*) FILTER (NOT chapter) || ',"n_chapters":' || count(DISTINCT lang) || ',"ocr":false,"llm":false,"sections":['
+  || string_agg('{"ord":' || doc_id || ',"owner":"' || CASE WHEN chapter THEN 'chapter' ELSE 'section' END || '","chapter":"' || lang || '","number":"' || doc_id || '","title":"' || source || '","pages":[' || doc_id || '],"body":"' || md5(text) || '"}', ',' ORDER BY doc_id) || ']}') AS json FROM r GROUP BY d""",
+}
 ORACLES |= {f"ev{i}_{m}": f"{_EVAL} SELECT qid, level, final_k, {m} FROM ev" for i, m in enumerate(metrics.MEANS, 1)}

@@ -601,6 +601,112 @@ def src12_counts(spark, d):
     return detail.agg(F.count("*").alias("n"), F.sum("quality").alias("quality")).crossJoin(F.broadcast(summary.agg(F.count("*").alias("n_metrics"))))  # one row each
 
 
+#: Beginnings of lines as statutes have them, dealt to the tables' lines by their place.
+LINE_HEADS = ("(1) ", "(12)", "(a) ", "(iv) ", "Explanation 2.— ", "Illustrations", "Provided further that ", "", "  (Z) ", "Exception: ", "**(2)** ", "**Explanation** - ", "<!-- source_pages=3, x, 4 -->", "**Illustration**")
+
+
+def statute_lines(spark: SparkSession, d: str) -> DataFrame:
+    head = F.element_at(F.array(*[F.lit(x) for x in LINE_HEADS]), (F.col("pos") % len(LINE_HEADS) + 1).cast("int"))
+    return lines(spark, d).withColumn("pos", F.col("pos").cast("long")).withColumn("text", F.concat(head, F.expr("left(text, 40)")))
+
+
+def sf8_statute_lines(spark, d):
+    found = statute_lines(spark, d).select("doc_id", "pos", T.classify(F.col("text")).alias("c"))
+    return found.select("doc_id", "pos", "c.kind", "c.marker", F.md5("c.content").alias("content"))
+
+
+def sf14_statute_lines(spark, d):
+    return statute_lines(spark, d).select("doc_id", "pos", F.md5(T.canonical_line(F.col("text"))).alias("line"), F.array_join(T.source_pages(F.col("text")).cast("array<string>"), ",").alias("pages"))
+
+
+def titled_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in which chapter lines, capitals and section starts take turns."""
+    n = F.col("pos") % 11
+    text = F.when(n == 0, F.expr("concat('CHAPTER ', repeat('I', int(pos div 11 % 3 + 1)))")).when(n.isin(1, 2) & (F.col("doc_id") % 3 != 0), F.upper(F.expr("replace(left(text, 12), 'ß', 's')"))).when((n == 3) & (F.col("doc_id") % 2 == 0), F.lit("LAST PART OF TITLE")).when(n == 4, F.concat(F.lit("7. "), F.expr("left(text, 9)"))).otherwise(F.lower("text"))
+    return lines(spark, d).withColumn("line_index", F.col("pos").cast("long")).withColumn("text", text).select("doc_id", "line_index", "text")
+
+
+def wn7_chapter_titles(spark, d):
+    return structure.detect_chapters(titled_lines(spark, d))
+
+
+def jn4_chapters_of_lines(spark, d):
+    rows = placed_lines(spark, d)
+    sections = rows.where("pos % 6 = 0").select("doc_id", "page", F.col("pos").cast("int").alias("number"))
+    chapters = rows.where("pos % 17 = 3").select("doc_id", "page", F.col("y0").alias("y"), F.concat(F.lit("c"), F.col("pos")).alias("chapter"))
+    return structure.chapters_of(sections, chapters).withColumn("section", F.col("section").cast("long"))
+
+
+def _table_candidates(spark: SparkSession, d: str) -> DataFrame:
+    found = placed_lines(spark, d).where("pos % 3 = 0").select("doc_id", F.expr("cast(pos * 5 div 3 % 13 as int)").alias("number"), "page", "y0", "x0")
+    return structure.candidate_positions(found)
+
+
+def wn4_table_sequence(spark, d):
+    return structure.resolve_sequence(_table_candidates(spark, d), 1, 12)
+
+
+def rp1_table_neighbours(spark, d):
+    found = _table_candidates(spark, d)
+    return structure.neighbours(found, structure.resolve_sequence(found, 1, 12)).select("doc_id", F.col("number").cast("long").alias("number"), "pos")
+
+
+def wn17_table_blanks(spark, d):
+    rows = lines(spark, d).withColumn("text", F.when(F.col("pos") % 4 < 2, F.expr("repeat(' ', int(pos % 3))")).otherwise(F.col("text")))
+    return structure.clean_blank_lines(rows).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text"))
+
+
+def flt4_candidates(spark, d):
+    rows = lines(spark, d).withColumn("text", F.concat(F.lit(" "), F.col("pos") * 37 % 500, F.when(F.col("pos") % 2 == 0, " . ").otherwise(" "), F.expr("left(text, 5)")))
+    return structure.candidates(rows).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("number").cast("long").alias("number"))
+
+
+def flt5_filtered_bm25(spark, d):
+    asked = questions(spark, d).withColumn("lang", F.when(F.col("qid") % 2 == 0, "en").otherwise("fr"))
+    return retrieval.bm25(read(spark, d, "documents"), asked, 5, filters="lang")
+
+
+def sf35_paragraphs(spark, d):
+    rows = read(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("qid"), F.regexp_replace("text", "\n", "\n \n- ").alias("answer"))
+    return answering.paragraphs(rows).select("qid", F.col("pos").cast("long").alias("pos"), "bullet", F.md5("text").alias("text"))
+
+
+def sf20_contexts(spark, d):
+    c = lambda n: F.when(F.col("doc_id") % n != 0, F.col("source"))
+    return read(spark, d, "documents").select("doc_id", T.context(F.col("lang"), c(2), c(3), c(5), c(7)).alias("context"))
+
+
+def sf19_scrubbed(spark, d):
+    headers = F.array(F.lit("the of"), F.lit("and  (x)"), F.lit("de la"))
+    return lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(T.scrub_headers(F.concat(F.col("text"), F.lit("  AND (X) tail")), headers)).alias("text"))
+
+
+def inc1_last_of(spark, d):
+    return incremental.last_of(read(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+def dq27_golden_rules(spark, d):
+    item = lambda g: F.struct(F.col("qid").cast("string").alias("section_number"), (F.col("qid") % g).cast("int").alias("relevance_grade"), F.when(F.col("qid") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("qid").cast("string"))).alias("chunk_ids"))
+    rows = questions(spark, d).select("qid", F.when(F.col("qid") % 9 != 0, F.col("qid").cast("string")).alias("id"), F.when(F.col("qid") % 7 == 0, " ").otherwise("bns").alias("act"), F.col("text").alias("query"), F.when(F.col("qid") % 5 != 0, F.array(item(3), item(4))).otherwise(F.slice(F.array(item(3)), 1, 0)).alias("gold"))
+    return quality.report(rows, quality.golden_rules())
+
+
+def gn1_answers(spark, d):
+    """The flow from hits to enforced answers with the offline generator."""
+    hits = _labelled_hits(spark, d, 3).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    return answering.answer(hits, questions(spark, d)).withColumn("final_answer", F.md5("final_answer"))
+
+
+def rp10_log_lines(spark, d):
+    return telemetry.log_line(read(spark, d, "labels")).select(F.md5("line").alias("line"))
+
+
+def rp13_documents(spark, d):
+    rows = read(spark, d, "documents").select(F.expr("doc_id div 50").alias("doc_id"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "chapter").otherwise("section").alias("owner"), F.col("lang").alias("chapter"), F.col("doc_id").cast("string").alias("number"), F.col("source").alias("title"), F.lit(None).cast("string").alias("note"), F.array(F.col("doc_id").cast("int")).alias("pages"), F.md5("text").alias("body"))
+    digests = rows.select("doc_id").distinct().select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"))
+    return markdown.document_json(rows, digests).select("doc_id", F.md5("json").alias("json"))
+
+
 QUERIES = {f.__name__: f for f in (
     rt3_hybrid_rrf, rt1_bm25_topk, rt2_vector_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
@@ -608,5 +714,7 @@ QUERIES = {f.__name__: f for f in (
     sf21_chunk_ids, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
     inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
     ev10_grid, flt7_projection, flt8_question_subset, rt8_listing, so4_smoke_search, so6_samples, dq28_too_many, ag3_answer_flags, ag4_split_means, dq1_sequence, dq4_duplicate_sections, dq26_totals, dq23_missing_fields, ag14_roll_up, wn21_order, sf30_candidates,
-    rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts)}
+    rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts,
+    sf8_statute_lines, sf14_statute_lines, wn7_chapter_titles, jn4_chapters_of_lines, wn4_table_sequence, rp1_table_neighbours, wn17_table_blanks, flt4_candidates, flt5_filtered_bm25, sf35_paragraphs, sf20_contexts, sf19_scrubbed, inc1_last_of, dq27_golden_rules,
+    gn1_answers, rp10_log_lines, rp13_documents)}
 QUERIES |= {f"ev{i}_{name}": _metric(name) for i, name in enumerate(metrics.MEANS, 1)}
