@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.vectors import cosine
-from quillstream.scratch import small, written
+from quillstream.scratch import written
 
 
 def gold_grades(gold: DataFrame, key: str) -> DataFrame:
@@ -22,16 +22,17 @@ def retrieval_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...], key
     """
     grades = written(gold_grades(gold, key))
     grid = F.explode(F.array(*[F.lit(k) for k in ks])).alias("final_k")
-    graded = hits.join(small(grades), ["qid", key], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    graded = hits.join(grades, ["qid", key], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
     cut = graded.select(*by, "rank", "grade", grid).where("rank <= final_k")
     gain = lambda g, r: (F.pow(F.lit(2.0), F.col(g)) - 1) / F.log2(F.col(r) + 1)
-    got = cut.groupBy(*by, "final_k").agg(  # by and final_k name a few rows for each question
+    got = cut.groupBy(*by, "final_k").agg(
         F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("relevant"), F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.sum(gain("grade", "rank")).alias("dcg")
     )
+    got = written(got)  # a few rows for each question
     ideal = grades.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), key)))
     sizes = grades.groupBy("qid").agg(F.count("*").alias("n_gold"))
-    best = got.select("qid", "n").distinct().join(small(ideal), "qid").where("place <= n").groupBy("qid", "n").agg(F.sum(gain("grade", "place")).alias("idcg"))
-    joined = got.join(small(sizes), "qid", "left").join(small(best), ["qid", "n"], "left")
+    best = got.select("qid", "n").distinct().join(ideal, "qid").where("place <= n").groupBy("qid", "n").agg(F.sum(gain("grade", "place")).alias("idcg"))
+    joined = got.join(sizes, "qid", "left").join(best, ["qid", "n"], "left")
     zero = F.lit(0.0)
     return joined.select(
         *by,
@@ -65,8 +66,14 @@ def section_spread(hits: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 MEANS = ("recall", "precision", "hit", "mrr", "ndcg")
 
 
+def mean_of_millionths(m: str) -> Column:
+    """The mean of values of 6 places, to 6 places, half up: counted in whole millionths, so that no order of additions shows."""
+    total, n = F.sum(F.round(F.col(m) * 1e6).cast("long")), F.count(m)
+    return F.floor((2 * total + n).cast("decimal(20,0)") / (2 * n)).cast("double") / 1e6
+
+
 def summary(rows: DataFrame, by: tuple[str, ...] = ("strategy", "candidate_k", "final_k", "level")) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("question_count"), *[F.round(F.avg(m), 6).alias(m) for m in MEANS])
+    return rows.groupBy(*by).agg(F.count("*").alias("question_count"), *[mean_of_millionths(m).alias(m) for m in MEANS])
 
 
 def judge_summary(rows: DataFrame, metrics: tuple[str, ...], top: int) -> DataFrame:
