@@ -257,14 +257,13 @@ def spark_hash(seed: int, doc, text) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def test_mix_equals_a_replay(spark):
-    rows = [(i, prose(1 + i * 7 % 90, i), ("a", "b", None)[i % 3]) for i in range(60)] + [(7, "same row", "a")] * 40
-    block, by = 16, {}
+def replayed_mix(rows: list[tuple], block: int) -> tuple[dict, dict]:
+    """Of (doc_id, text, source): words taken by (source, doc_id), and targets by source, step by step."""
+    by: dict = {}
     for doc, text, source in rows:
         by.setdefault(source, []).append((doc, text))
     names = sorted(by, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(len(t.split()) for _, t in by[s]) for s in names}
-    goal = mixing.targets([sizes[s] for s in names], [5, 2, 1])
+    goal = mixing.targets([sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in by[s]) for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])
     taken: dict = {}
     for no, (s, g) in enumerate(zip(names, goal)):
         stream, seen = [], {}
@@ -274,7 +273,7 @@ def test_mix_equals_a_replay(spark):
             if nth:
                 other = xxhash.xxh64_intdigest(struct.pack("<q", nth), xxhash.xxh64_intdigest(struct.pack("<q", h), 42))
                 h = other - (1 << 64) if other >> 63 else other
-            stream.append((h, doc, len(text.split()), nth))
+            stream.append((h, doc, len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), nth))
         words = [d for _, d, n, _ in sorted(stream) for d in [d] * n]
         left, n = round(g), len(words)
         n_blocks, full = -(-n // block), n // block
@@ -288,10 +287,15 @@ def test_mix_equals_a_replay(spark):
             for d in part:
                 taken[s, d] = taken.get((s, d), 0) + 1
             left, j = left - len(part), j + 1
+    return taken, dict(zip(names, goal))
+
+
+def test_mix_equals_a_replay(spark):
+    rows = [(i, prose(1 + i * 7 % 90, i), ("a", "b", None)[i % 3]) for i in range(60)] + [(7, "same row", "a")] * 40
     got: dict = {}
-    for r in mixing.mixing_report(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), block).collect():
+    for r in mixing.mixing_report(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), 16).collect():
         got[r.source, r.doc_id] = got.get((r.source, r.doc_id), 0) + r.taken
-    assert {k: v for k, v in got.items() if v} == taken
+    assert {k: v for k, v in got.items() if v} == replayed_mix(rows, 16)[0]
 
 
 @pytest.mark.parametrize("block", [7, 64, 1024])
@@ -387,3 +391,36 @@ def test_pipeline(spark, tmp_path):
     assert seen["line_dedup"][10].text == prose(20, 3) and seen["line_dedup"][12].text.startswith(shared)
     assert sorted(seen["near_dedup"]) == [1, 4, 10, 11, 12] and sorted(seen["decontaminate"]) == [1, 10, 11, 12]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, seen["mix"].values()))
+
+
+def test_the_pipeline_equals_a_replay_on_rows(spark, sf):
+    """Each stage again on a list of rows, on the whole table."""
+    import unicodedata
+
+    import corpus_pipeline
+    from quillstream.llm import line_dedup, minhash
+    from tests.llm.test_native import brute_contamination
+
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [r for r in rows if r[1] is not None and any(unicodedata.category(c)[0] == "L" for c in r[1])]
+    held: dict = {}
+    for doc, text, _ in rows:
+        for line in text.encode().split(b"\n"):
+            if len((key := line_dedup.line_key(line)).decode()) >= line_dedup.MIN_CHARS:
+                held.setdefault(key, set()).add(doc)
+    keeper = {k: max(v) for k, v in held.items() if len(v) >= line_dedup.MIN_DOCUMENTS}
+    kept = lambda doc, line: keeper.get(line_dedup.line_key(line.encode()), doc) == doc
+    rows = [(doc, "\n".join(x for x in text.split("\n") if kept(doc, x)), source) for doc, text, source in rows]
+    first = {doc for doc, n, c in minhash.brute_force([r[:2] for r in rows], 5) if doc == c or not n}
+    rows = [r for r in rows if r[0] in first]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = {r[0] for r in brute_contamination([r[:2] for r in rows], items) if not r[5]}
+    rows = [r for r in rows if r[0] in clean]
+    taken, goal = replayed_mix(rows, mixing.BLOCK)
+    sizes: dict = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    got = corpus_pipeline.run(spark, sf).collect()
+    want = [(doc, source, sizes[source], taken.get((source, doc), 0)) for doc, _, source in rows]
+    assert sorted((r.doc_id, r.source, r.source_size, r.taken) for r in got) == sorted(want) and 50 < len(want) < 200
+    assert all(r.target == pytest.approx(goal[r.source]) for r in got)
