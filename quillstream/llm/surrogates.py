@@ -12,7 +12,7 @@ of a power of four that is at least twice their number maps each number to a pla
 with a 555 exchange; addresses octets from 1 to 254; cards their first digit, length and a right check digit; local parts and domains their layout of
 letters, digits and separators, and the top-level domain; keys length and case; names script, gender and number of words. A domain that is too
 small is widened: phones by digits at the end, local parts and domains by letters, surnames by syllables, given names by a second one.
-Addresses, cards and keys can't be; too many of them (5 * 10^8 addresses) are an error, never a shared surrogate.
+Addresses, cards and keys can't be; too many of them (10^9 addresses) are an error, never a shared surrogate.
 A last check by joins finds surrogates that are entities of the corpus themselves, or that widened formats share; those entities take
 further numbers until none is left. Numbers follow the corpus, so surrogates are consistent within one run.
 
