@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.scratch import checkpointed, forget, scratch_dir, small, written
 
-__all__ = ["checkpointed", "forget", "hashed_words", "letter_features", "mix", "pieces", "scratch_dir", "shuffle_partitions", "small", "table", "text_buffer", "text_pieces", "written"]
+__all__ = ["checkpointed", "forget", "hashed_words", "letter_features", "mix", "pieces", "quoted", "scratch_dir", "shuffle_partitions", "small", "table", "text_buffer", "text_pieces", "written"]
 
 #: Rows of a piece of an Arrow batch of whole texts; bounds what a Python worker holds as objects at once.
 TEXT_ROWS = 512
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """The name of a column as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows, without copying."""
     for batch in batches:

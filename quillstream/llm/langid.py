@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import pieces, text_buffer, text_pieces
+from quillstream.llm.common import pieces, quoted, text_buffer, text_pieces
 
 BUCKETS = 1 << 16
 #: Bound on the labelled documents of one language that the model is fitted on.
@@ -266,7 +266,7 @@ def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     """The rows of docs that get a language, as they are; only `und` is rejected, never a label that differs."""
     languages, logp = fit(docs, per_language)
     predict = _predict(languages, docs.sparkSession.sparkContext.broadcast(logp))
-    others = [c for c in docs.columns if c != "text"]
+    others = [F.col(quoted(c)) for c in docs.columns if c != "text"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import checkpointed, shuffle_partitions, small, text_pieces, written
+from quillstream.llm.common import checkpointed, quoted, shuffle_partitions, small, text_pieces, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -249,7 +249,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """row (the other columns of docs), text (kept lines; null stays null), n_lines, n_dropped; a row for each input row."""
     maps = written(keep_bitmaps(docs, min_chars, min_documents))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", *_identity())
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("row"), "text", *_identity())
     cols = rows.join(small(maps.select("doc", "rid", "keep")), ["doc", "rid"], "left").select("row", "text", "keep")
     schema = T.StructType([cols.schema["row"], cols.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return cols.mapInArrow(_apply, schema)

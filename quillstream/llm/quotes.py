@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import shuffle_partitions, small, written
 
-MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+#: Up to the last mark and a blank; single characters only, as Java's matcher recurses once for each turn of a group loop.
+MARKS = r"^[ \t>]*>[ \t]?"
 # fixed values: lines that introduce a quote, that divide a reply from the message below it, and that head such a message
 INTRO = r"^(?:On .{1,200} wrote:|Am .{1,200} schrieb.{0,120}:|Le .{1,200} a écrit ?:|El .{1,200} escribió:)[ \t]*$"
 DIVIDER = r"(?m)^[ \t]*-{2,}[ ]*(?:Original Message|Ursprüngliche Nachricht|Message d'origine|Mensaje original)[ ]*-{2,}[ \t]*$"
@@ -49,7 +50,7 @@ def lines(messages: DataFrame) -> DataFrame:
     """conv_id, turn, part, pos, level, norm of every line; norm is empty for lines that are no text of anybody."""
     parts = messages.select("conv_id", "turn", F.posexplode(F.split("text", DIVIDER)).alias("part", "body"))
     split = parts.select("conv_id", "turn", "part", F.posexplode(F.split("body", LINE_END)).alias("pos", "raw"))
-    marks = F.length(F.regexp_replace(F.regexp_extract("raw", MARKS, 1), "[^>]", ""))
+    marks = F.length(F.regexp_replace(F.regexp_extract("raw", MARKS, 0), "[^>]", ""))
     line = F.regexp_replace("raw", MARKS, "")
     norm = F.trim(F.regexp_replace(F.translate(line, AZ, az), r"[\x20\x09-\x0D]+", " "))
     here = Window.partitionBy("conv_id", "turn").orderBy("part", "pos")

@@ -17,7 +17,7 @@ A last check by joins finds surrogates that are entities of the corpus themselve
 further numbers until none is left. Numbers follow the corpus, so surrogates are consistent within one run.
 
 Cases: null stays null, texts without entities stay as they are. Equal texts are worked once, under a hash of the
-text; repeated rows get a result each. A very long text is read whole. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
+text; repeated rows get a result each. A very long text is read whole; of a run of more than 127 labels after an @ the first 127 are the host. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ _intro = "|".join(INTRODUCTIONS)
 _WORD = r"\p{Lu}[\p{L}'-]+"
 _AT = r"(?<![\p{L}\p{N}])"
 _NAME = rf"(?=[\p{{Lu}}г]){_AT}(?:(?:{_titles})\.?[ ]{_WORD}(?:[ ]{_WORD})?|(?:{_given})[ ]{_WORD})(?![\p{{L}}\p{{N}}])|(?=\p{{Lu}})(?<=(?:{_intro})[ ]){_WORD}(?:[ ]{_WORD})?(?![\p{{L}}\p{{N}}])"
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"  # a host has 127 labels at most; Java's matcher recurses for each turn of a group loop
 _HEX = r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]{32})(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 _CARD = r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])"
