@@ -75,6 +75,7 @@ fold AS (SELECT doc_id, l, 1 AS i, l[1] AS len, 1::BIGINT AS grp FROM src WHERE
 
 
 ORACLES = {
+    "snk9_index_update": f"WITH {_BM25.replace('FROM documents)', 'FROM documents WHERE doc_id % 11 <> 4)')} SELECT qid, doc_id, rank, score FROM br WHERE rank <= 10",
     "rt1_bm25_topk": f"WITH {_BM25} SELECT qid, doc_id, rank, score FROM br WHERE rank <= 10",
     "rt2_vector_topk": f"WITH {_VEC} SELECT qid, vec_id, rank, score FROM vr WHERE rank <= 10",
     "rt3_hybrid_rrf": f"""WITH {_BM25}, {_VEC},
@@ -215,7 +216,7 @@ SELECT strategy, candidate_k, final_k, 'chunk' AS level, count(*) AS question_co
     "so4_smoke_search": f"""WITH {_BM25}, {_VEC}, every AS (SELECT qid, doc_id, rank FROM br WHERE rank <= 20 UNION ALL SELECT qid // 50, vec_id, rank FROM vr WHERE rank <= 20),
 f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM every GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f)
 SELECT qid, rank, doc_id, md5(left(text, 500)) AS content FROM o JOIN documents USING (doc_id) WHERE rank <= 5""",
-    "so6_samples": "SELECT source, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:10], ',') AS sample FROM documents WHERE n_chars < 500 GROUP BY source",
+    "so6_samples": "SELECT source, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:10], ',') AS sample FROM documents GROUP BY source",
     "dq28_too_many": f"WITH {_BM25}, {_HITS.format(k=5)} SELECT qid, count(*) AS n FROM hits GROUP BY qid HAVING count(*) > 3",
     "ag3_answer_flags": f"""WITH {_ANSWERED} SELECT count(*) AS n, count(*) FILTER (quality <> 1) AS direct_gold_not_fully_retrieved, count(*) FILTER (status = 'success' AND unsupported) AS unsupported_citations, count(*) FILTER (hallucination = 2) AS material_hallucination, count(*) FILTER (answer_correctness = 0) AS correctness_zero,
 count(*) FILTER (groundedness = 0) AS groundedness_zero, count(*) FILTER (status = 'content_filtered') AS generation_content_filtered, count(*) FILTER (status = 'success') AS generation_successful, count(*) FILTER (judge_status = 'content_filtered') AS judge_content_filtered, count(*) FILTER (judge_status = 'success') AS judge_successful FROM e""",
@@ -229,8 +230,8 @@ UNION ALL SELECT 'duplicate', number FROM x GROUP BY number HAVING count(*) > 1"
     "ag14_roll_up": """WITH c AS (SELECT source, count(*) FILTER (length(text) = 0) = 0 AS c1, max(n_chars) < 15000 AS c2, count(DISTINCT lang) = 1 AS c3 FROM documents GROUP BY source),
 e AS (SELECT source AS doc_id, ((NOT c1)::INT + (NOT c2)::INT + (NOT c3)::INT)::BIGINT AS n_failed, c1 AND c2 AND c3 AS passed FROM c) SELECT * FROM e UNION ALL SELECT NULL, sum(n_failed)::BIGINT, bool_and(passed) FROM e""",
     "wn21_order": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pa, row_number() OVER (ORDER BY CASE WHEN doc_id % 10 = 3 THEN doc_id + 5 ELSE doc_id END, doc_id) AS pb FROM documents) SELECT count(*) FILTER (pa <> pb) AS n_moved FROM a",
-    "sf30_candidates": rf"""WITH {_PLACED}, c0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, pos) - 1 AS line_index, pos * 7 % 400 AS number, (pos * 7 % 400) || '. ' || left(text, (doc_id % 5)::INT) AS t FROM pl),
-c AS (SELECT *, number BETWEEN 1 AND 358 AS ok, length(trim(left(text, (doc_id % 5)::INT))) >= 3 AS a, x0 / 600 BETWEEN 0.05 AND 0.75 AS b, y0 BETWEEN 800 * 0.055 AND 800 * (1 - 0.055) AS c FROM c0 WHERE pos % 6 = 0),
+    "sf30_candidates": rf"""WITH {_PLACED}, c0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, pos) - 1 AS line_index, pos * 7 % 400 AS number, (pos * 7 % 400) || '. ' || text AS t FROM pl),
+c AS (SELECT *, number BETWEEN 1 AND 358 AS ok, length(trim(text)) >= 3 AS a, x0 / 600 BETWEEN 0.05 AND 0.75 AS b, y0 BETWEEN 800 * 0.055 AND 800 * (1 - 0.055) AS c FROM c0 WHERE pos % 6 = 0),
 r AS (SELECT *, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN ok THEN list_filter(['strict-section-syntax', CASE WHEN a THEN 'has-section-text' END, CASE WHEN b THEN 'broad-body-x-position' END, CASE WHEN c THEN 'body-y-position' END], lambda x: x IS NOT NULL) ELSE ['outside-BNS-section-range'] END AS reason FROM c)
 SELECT doc_id, line_index, confidence, array_to_string(reason, ',') AS reason, md5('{{"number":' || number || ',"page":' || page || ',"line_index":' || line_index || ',"bbox":[' || {_DECIMAL.format("x0")} || ',' || {_DECIMAL.format("y0")} || ',' || {_DECIMAL.format("x1")} || ',' || {_DECIMAL.format("y1")} || '],"text":' || to_json(t)::VARCHAR || ',"confidence":' || {_DECIMAL.format("confidence")} || ',"reason":' || to_json(reason)::VARCHAR || '}}') AS json FROM r""",
     "rp2_section_records": rf"""WITH {_PLACED}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, pos) - 1 AS line_index FROM pl),
@@ -261,7 +262,7 @@ SELECT d AS doc_id, md5(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g')) AS
     "src12_counts": "SELECT count(*) AS n, sum(quality)::BIGINT AS quality, 2::BIGINT AS n_metrics FROM labels",
 }
 LINE_HEADS = ("(1) ", "(12)", "(a) ", "(iv) ", "Explanation 2.— ", "Illustrations", "Provided further that ", "", "  (Z) ", "Exception: ", "**(2)** ", "**Explanation** - ", "<!-- source_pages=3, x, 4 -->", "**Illustration**")
-_STATUTE = f"sl AS (SELECT doc_id, pos, ([{', '.join(repr(x) for x in LINE_HEADS)}])[(pos % {len(LINE_HEADS)}) + 1] || left(text, 40) AS text FROM ({_LINES}))"
+_STATUTE = f"sl AS (SELECT doc_id, pos, ([{', '.join(repr(x) for x in LINE_HEADS)}])[(pos % {len(LINE_HEADS)}) + 1] || text AS text FROM ({_LINES}))"
 _KINDS = (("subsection", T.SUBSECTION, None), ("subclause", T.SUBCLAUSE, None), ("clause", T.CLAUSE, None), ("explanation", T.EXPLANATION, "Explanation"), ("illustration", T.ILLUSTRATION, "Illustration"), ("proviso", T.PROVISO, "Provided that"))
 
 
@@ -292,7 +293,7 @@ ORACLES |= {
     "sf8_statute_lines": f"WITH {_STATUTE} SELECT doc_id, pos, {_by_kind(lambda k, p, m: repr(k), repr('text'))} AS kind, {_by_kind(_marker, 'NULL')} AS marker, md5({_by_kind(_content, 'text')}) AS content FROM sl",
     "sf14_statute_lines": rf"""WITH {_STATUTE}, x AS (SELECT *, trim(text, ' ') AS t FROM sl)
 SELECT doc_id, pos, md5({_CANONICAL}) AS line, array_to_string(list_filter(list_transform(string_split(regexp_extract(text, '{T.SOURCE_PAGES}', 1), ','), lambda p: try_cast(trim(p) AS INT)), lambda p: p IS NOT NULL), ',') AS pages FROM x""",
-    "wn7_chapter_titles": rf"""WITH l AS (SELECT doc_id, pos AS line_index, CASE WHEN pos % 11 = 0 THEN 'CHAPTER ' || repeat('I', pos // 11 % 3 + 1) WHEN pos % 11 IN (1, 2) AND doc_id % 3 <> 0 THEN upper(replace(left(text, 12), 'ß', 's')) WHEN pos % 11 = 3 AND doc_id % 2 = 0 THEN 'LAST PART OF TITLE' WHEN pos % 11 = 4 THEN '7. ' || left(text, 9) ELSE lower(text) END AS text FROM ({_LINES})),
+    "wn7_chapter_titles": rf"""WITH l AS (SELECT doc_id, pos AS line_index, CASE WHEN pos % 11 = 0 THEN 'CHAPTER ' || repeat('I', pos // 11 % 3 + 1) WHEN pos % 11 IN (1, 2) AND doc_id % 3 <> 0 THEN upper(replace(text, 'ß', 's')) WHEN pos % 11 = 3 AND doc_id % 2 = 0 THEN 'LAST PART OF TITLE' WHEN pos % 11 = 4 THEN '7. ' || text ELSE lower(text) END AS text FROM ({_LINES})),
 k AS (SELECT *, regexp_matches(text, '{T.CHAPTER_LINE}') AS chapter, CASE WHEN regexp_matches(text, '{T.CHAPTER_LINE}') OR regexp_matches(text, '{T.SECTION_START}') THEN 'stop'
   WHEN len(regexp_extract_all(text, '\p{{L}}')) > 0 AND len(regexp_extract_all(text, '\p{{Lu}}')) / len(regexp_extract_all(text, '\p{{L}}')) >= 0.8 THEN 'title' ELSE 'other' END AS kind FROM l),
 w AS (SELECT *, list(kind) OVER n AS kinds, list(text) OVER n AS texts FROM k WINDOW n AS (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
