@@ -261,6 +261,9 @@ w AS (SELECT d, '# An Act' || e2 || CASE WHEN d % 2 = 0 THEN '**Act number:** 45
 SELECT d AS doc_id, md5(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g')) AS hash FROM w""".replace("\\n", "\n"),
     "src12_counts": "SELECT count(*) AS n, sum(quality)::BIGINT AS quality, 2::BIGINT AS n_metrics FROM labels",
 }
+# as in plans.queries, stated anew so that this module stands alone
+CHUNK_HEADS = ("**(1)** ", "**(2)** ", "**(a)** ", "", "**(iv)** ", "**Explanation:** ", "Provided that ", "- **(b)** ", "**Illustration** ", "**(c)**, ", "**(3)** ", "so chapter  II part  II of THINGS, ", "---", "")
+SECTION_HEADS = ("(1) ", "(a) ", "Illustrations.", "(2) ", "(3) ", "(b) ", "Explanation 1.—", "", "(iv) ", "Provided that ", "(4) ", "Illustration: ", " (3) ", "(c) ", "Provided further that ", "(5) ")
 LINE_HEADS = ("(1) ", "(12)", "(a) ", "(iv) ", "Explanation 2.— ", "Illustrations", "Provided further that ", "", "  (Z) ", "Exception: ", "**(2)** ", "**Explanation** - ", "<!-- source_pages=3, x, 4 -->", "**Illustration**")
 _STATUTE = f"sl AS (SELECT doc_id, pos, ([{', '.join(repr(x) for x in LINE_HEADS)}])[(pos % {len(LINE_HEADS)}) + 1] || text AS text FROM ({_LINES}))"
 _KINDS = (("subsection", T.SUBSECTION, None), ("subclause", T.SUBCLAUSE, None), ("clause", T.CLAUSE, None), ("explanation", T.EXPLANATION, "Explanation"), ("illustration", T.ILLUSTRATION, "Illustration"), ("proviso", T.PROVISO, "Provided that"))
@@ -326,4 +329,65 @@ FROM benchmark b LEFT JOIN top ON top.qid = b.item_id LEFT JOIN n ON n.qid = b.i
 SELECT d AS doc_id, md5('{"sha256":"' || sha256(d::VARCHAR) || '","n_sections":' || count(*) FILTER (NOT chapter) || ',"n_chapters":' || count(DISTINCT lang) || ',"ocr":false,"llm":false,"sections":['
   || string_agg('{"ord":' || doc_id || ',"owner":"' || CASE WHEN chapter THEN 'chapter' ELSE 'section' END || '","chapter":"' || lang || '","number":"' || doc_id || '","title":"' || source || '","pages":[' || doc_id || '],"body":"' || md5(text) || '"}', ',' ORDER BY doc_id) || ']}') AS json FROM r GROUP BY d""",
 }
+_SECTION_LINES = f"""sl0 AS (SELECT doc_id // 50 AS d, doc_id % 50 // 13 + 1 AS section, doc_id % 50 * 1000000 + pos AS pos, ([{', '.join(repr(x) for x in SECTION_HEADS)}])[(pos * 7 + doc_id * 3 + pos // 5) % {len(SECTION_HEADS)} + 1] || text AS text FROM ({_LINES})),
+sl1 AS (SELECT d, section, pos, CASE WHEN row_number() OVER (PARTITION BY d, section ORDER BY pos) = 1 THEN section || ' . ' || text ELSE text END AS text FROM sl0),
+sl2 AS (SELECT d, section, pos, row_number() OVER (PARTITION BY d, section ORDER BY pos) AS n, text FROM sl1 WHERE trim(text, ' ') <> ''),
+sl AS (SELECT d, section, pos, n, CASE WHEN n = 1 THEN trim(regexp_replace(text, '^\\s*' || section || '\\s*\\.\\s*', ''), ' ') ELSE text END AS text FROM sl2)"""
+#: Line by line: what the line is, given what is open, and what is open after it.
+_SECTION_BLOCKS = f"""WITH RECURSIVE {_SECTION_LINES},
+c AS (SELECT d, section, pos, n, {_by_kind(lambda k, p, m: repr(k), repr('text'))} AS base, {_by_kind(_marker, 'NULL')} AS marker, {_by_kind(_content, 'text')} AS content FROM sl),
+w AS (SELECT DISTINCT d, section, 0::BIGINT AS n, 0::BIGINT AS pos, '' AS kind, NULL::VARCHAR AS marker, '' AS content, NULL::VARCHAR AS parent_type, NULL::VARCHAR AS parent_marker, NULL::VARCHAR AS sub, false AS pro, false AS ill, 0::BIGINT AS ord FROM c
+  UNION ALL
+  SELECT d, section, n, pos, kind, marker, content, CASE WHEN kind = 'illustration_item' THEN 'illustration' WHEN kind IN ('clause', 'subclause') THEN CASE WHEN sub IS NOT NULL THEN 'subsection' WHEN pro THEN 'proviso' END END,
+    CASE WHEN kind = 'illustration_item' THEN 'Illustration' WHEN kind IN ('clause', 'subclause') THEN CASE WHEN sub IS NOT NULL THEN sub WHEN pro THEN 'Provided that' END END,
+    CASE WHEN kind = 'subsection' THEN marker ELSE sub END, CASE WHEN kind IN ('subsection', 'explanation') THEN false WHEN kind = 'proviso' THEN true ELSE pro END,
+    CASE WHEN kind = 'illustration' THEN true WHEN kind IN ('text', 'illustration_item') THEN ill ELSE false END, ord + CASE WHEN kind <> 'text' OR n = 1 THEN 1 ELSE 0 END
+  FROM (SELECT c.*, w.sub, w.pro, w.ill, w.ord, CASE WHEN w.ill AND (base IN ('clause', 'subclause') OR base = 'subsection' AND NOT coalesce(regexp_extract(c.marker, '\\d+')::HUGEINT = regexp_extract(w.sub, '\\d+')::HUGEINT + 1, false)) THEN 'illustration_item' ELSE base END AS kind
+    FROM w JOIN c ON c.d = w.d AND c.section = w.section AND c.n = w.n + 1))"""
+ORACLES["wn9_section_blocks"] = f"""{_SECTION_BLOCKS},
+g AS (SELECT d, section, ord, CASE arg_min(kind, n) WHEN 'text' THEN 'section_text' ELSE arg_min(kind, n) END AS kind, arg_min(struct_pack(m := marker), n).m AS marker, arg_min(struct_pack(m := parent_type), n).m AS parent_type, arg_min(struct_pack(m := parent_marker), n).m AS parent_marker,
+  coalesce(string_agg(trim(content, ' '), ' ' ORDER BY n) FILTER (trim(content, ' ') <> ''), '') AS text, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_lines FROM w WHERE n > 0 GROUP BY d, section, ord)
+SELECT d AS doc_id, section, ord, kind, marker, parent_type, parent_marker, md5(trim(regexp_replace(text, '\\s+([,.;:!?])', '\\1', 'g'), ' ')) AS text, first_pos, last_pos, n_lines FROM g"""
+_HEADS = ", ".join(repr(x) for x in CHUNK_HEADS)
+#: From documents to chunks: lines, units, scrubbed lines, blocks line by line, sentences and groups by folds over lengths.
+ORACLES["wn10_chunk_build"] = rf"""WITH RECURSIVE src AS (SELECT doc_id // 50 AS d, doc_id % 50 AS i, source, lang, text, (['I', 'II', 'III', 'IV', 'V'])[doc_id % 50 // 12 + 1] AS roman FROM documents),
+al AS (SELECT d, i, list_concat(list_filter([CASE WHEN i % 12 = 0 THEN '# Chapter ' || roman || ' — Part ' || roman || ' of things' END, CASE WHEN i % 12 = 0 THEN 'lines of no unit' END,
+    CASE WHEN i % 25 = 1 THEN '## Preamble' WHEN i % 25 = 7 THEN '## Schedule' ELSE '## Section ' || i || CASE WHEN i % 9 = 4 THEN '-A' ELSE '' END || CASE WHEN i % 5 <> 4 THEN ' — ' || source ELSE '' END END,
+    CASE WHEN i % 3 = 0 THEN '**Marginal note:** ' || lang END], lambda x: x IS NOT NULL), coalesce(list_transform(string_split(text, chr(10)), lambda x, q: ([{_HEADS}])[((q - 1) * 5 + i) % {len(CHUNK_HEADS)} + 1] || x), [])) AS a FROM src),
+ml AS (SELECT d, i * 1000000 + p AS pos, text, trim(text, ' ') AS line FROM (SELECT d, i, unnest(a) AS text, unnest(range(0, len(a))) AS p FROM al)),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '{T.CHAPTER_HEADING}') THEN 'chapter' WHEN regexp_matches(line, '{T.SECTION_HEADING}') THEN 'section' WHEN regexp_matches(line, '{T.SPECIAL_HEADING}') THEN 'special' END AS kind FROM ml),
+r AS (SELECT *, count(*) FILTER (kind IN ('section', 'special')) OVER o AS unit, last_value(kind IGNORE NULLS) OVER o AS open, last_value(CASE WHEN kind = 'chapter' THEN regexp_extract(line, '{T.CHAPTER_HEADING}', 1) END IGNORE NULLS) OVER o AS chapter,
+    last_value(CASE WHEN kind = 'chapter' THEN regexp_extract(line, '{T.CHAPTER_HEADING}', 2) END IGNORE NULLS) OVER o AS chapter_title FROM k WINDOW o AS (PARTITION BY d ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+notes AS (SELECT d, unit, arg_min(regexp_extract(text, '{T.MARGINAL_NOTE}', 1), pos) AS note FROM r WHERE kind IS NULL AND open <> 'chapter' AND regexp_matches(text, '{T.MARGINAL_NOTE}') GROUP BY d, unit),
+heads AS (SELECT d, unit, chapter, chapter_title, CASE WHEN kind = 'section' THEN regexp_extract(line, '{T.SECTION_HEADING}', 1) END AS number, CASE WHEN kind = 'section' THEN regexp_extract(line, '{T.SECTION_HEADING}', 2) ELSE regexp_extract(line, '{T.SPECIAL_HEADING}', 1) END AS title,
+    CASE WHEN kind = 'special' THEN lower(regexp_extract(line, '{T.SPECIAL_HEADING}', 1)) END AS special FROM r WHERE kind IN ('section', 'special')),
+u AS (SELECT h.*, concat_ws(chr(10), 'Act: Invented Act', 'Chapter ' || chapter || ' — ' || chapter_title, CASE WHEN number IS NOT NULL THEN 'Section ' || number || ' — ' || title ELSE title END, 'Marginal note: ' || note) AS context FROM heads h LEFT JOIN notes USING (d, unit)),
+pats AS (SELECT d, list('(?i)\bCHAPTER\s*' || chapter || '\s+Part\s+' || chapter || '\s+of\s+things' ORDER BY pos) AS ps FROM r WHERE kind = 'chapter' GROUP BY d),
+b0 AS (SELECT d, unit, pos, trim(regexp_replace(CASE WHEN ps IS NULL THEN text ELSE list_reduce(ps, lambda s, p: regexp_replace(s, p, '', 'g'), text) END, '[ \t]+', ' ', 'g'), ' ') AS line FROM r LEFT JOIN pats USING (d) WHERE kind IS NULL AND open <> 'chapter'),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY d, unit ORDER BY pos) AS n, CASE WHEN regexp_matches(line, '{T.BOLD_MARKER}') AND NOT regexp_matches(regexp_extract(line, '{T.BOLD_MARKER}', 2), '^ *[,.;:)]') THEN regexp_extract(line, '{T.BOLD_MARKER}', 1) END AS marker FROM b0 WHERE line NOT IN ('', '---') AND NOT regexp_matches(line, '{T.MARGINAL_NOTE}')),
+b AS (SELECT *, CASE WHEN marker IS NULL AND regexp_matches(line, '{T.BOLD_TYPE}') THEN lower(regexp_extract(line, '{T.BOLD_TYPE}', 1)) END AS typ, CASE WHEN regexp_matches(marker, '[0-9]') THEN 'numeric' WHEN length(marker) = 3 THEN 'alpha' WHEN marker IS NOT NULL THEN 'roman' END AS mk FROM b1),
+walk AS (SELECT DISTINCT d, unit, 0::BIGINT AS n, NULL::VARCHAR AS top, false AS nested, 0::BIGINT AS ord, false AS direct FROM b
+  UNION ALL SELECT b.d, b.unit, b.n, coalesce(w.top, b.mk),
+    CASE WHEN b.mk IS NOT NULL THEN CASE WHEN w.top IS NULL OR (w.nested AND b.mk = 'numeric' AND w.top = 'numeric') THEN false ELSE w.nested END WHEN b.typ IS NOT NULL THEN w.nested OR b.typ = 'explanation'
+      ELSE w.nested OR starts_with(lower(trim(regexp_replace(b.line, '^\s*\*\*|\*\*\s*$', '', 'g'), ' ')), 'provided that') END,
+    w.ord + CASE WHEN b.n = 1 OR b.mk IS NOT NULL OR b.typ IS NOT NULL THEN 1 ELSE 0 END,
+    CASE WHEN b.mk IS NULL THEN false WHEN w.top IS NULL THEN true WHEN w.nested THEN b.mk = 'numeric' AND w.top = 'numeric' ELSE b.mk = w.top END
+  FROM walk w JOIN b ON b.d = w.d AND b.unit = w.unit AND b.n = w.n + 1),
+blk AS (SELECT b.d, b.unit, ord, arg_min(struct_pack(m := marker), b.n).m AS marker, coalesce(arg_min(struct_pack(m := typ), b.n).m, 'provision') AS content_type, arg_min(direct, b.n) AS direct, string_agg(line, chr(10) ORDER BY b.n) AS text FROM b JOIN walk w ON w.d = b.d AND w.unit = b.unit AND w.n = b.n GROUP BY b.d, b.unit, ord),
+st AS (SELECT d, unit, ord, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS j FROM (SELECT *, CASE WHEN {_APPROX.format('text')} <= 150 THEN [text] ELSE string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) END AS s FROM blk)),
+sf AS (SELECT d, unit, ord, 1::BIGINT AS j, length(s) AS len, 1 AS piece FROM st WHERE j = 1
+  UNION ALL SELECT f.d, f.unit, f.ord, st.j, CASE WHEN ceil((f.len + 1 + length(st.s)) / 4.0) > 100 THEN length(st.s) ELSE f.len + 1 + length(st.s) END, f.piece + CASE WHEN ceil((f.len + 1 + length(st.s)) / 4.0) > 100 THEN 1 ELSE 0 END
+  FROM sf f JOIN st ON st.d = f.d AND st.unit = f.unit AND st.ord = f.ord AND st.j = f.j + 1),
+pc AS (SELECT d, unit, ord, piece, string_agg(s, ' ' ORDER BY j) AS text FROM sf JOIN st USING (d, unit, ord, j) GROUP BY d, unit, ord, piece),
+pl AS (SELECT pc.*, row_number() OVER (PARTITION BY d, unit ORDER BY ord, piece) AS n, length(context) + 2 AS base FROM pc JOIN u USING (d, unit)),
+pf AS (SELECT d, unit, n, base + length(text) AS len, 1::BIGINT AS grp FROM pl WHERE n = 1
+  UNION ALL SELECT f.d, f.unit, p.n, CASE WHEN ceil((f.len + 2 + length(p.text)) / 4.0) > 100 THEN p.base + length(p.text) ELSE f.len + 2 + length(p.text) END, f.grp + CASE WHEN ceil((f.len + 2 + length(p.text)) / 4.0) > 100 THEN 1 ELSE 0 END
+  FROM pf f JOIN pl p ON p.d = f.d AND p.unit = f.unit AND p.n = f.n + 1),
+it AS (SELECT d, unit, grp, n, marker, content_type, direct, pl.text FROM pf JOIN pl USING (d, unit, n) JOIN blk USING (d, unit, ord)),
+fm AS (SELECT d, unit, grp, marker, min(n) AS n FROM it WHERE direct AND marker IS NOT NULL GROUP BY ALL), ms AS (SELECT d, unit, grp, string_agg(marker, ', ' ORDER BY n) AS subsection FROM fm GROUP BY ALL),
+ch AS (SELECT d, unit, grp, string_agg(text, chr(10) || chr(10) ORDER BY n) AS body, count(*) AS k, count(DISTINCT content_type) AS types, any_value(content_type) AS typ, any_value(marker) AS marker, bool_and(direct) AS direct FROM it GROUP BY d, unit, grp)
+SELECT d AS doc_id, unit, grp AS ordinal, CASE WHEN special IS NOT NULL THEN 'ia-special-' || special || '-c' || grp ELSE 'ia-ch' || lower(coalesce(chapter, 'na')) || '-s' || trim(regexp_replace(number, '[^A-Za-z0-9]+', '_', 'g'), '_') || '-c' || grp END AS chunk_id, 'Invented Act' AS act,
+  chapter AS chapter_number, chapter_title, number AS section_number, md5(title) AS section_title, subsection, CASE WHEN special IS NOT NULL THEN special WHEN types = 1 THEN typ ELSE 'mixed' END AS content_type, md5(context || chr(10) || chr(10) || body) AS content,
+  CASE WHEN special IS NOT NULL THEN 'Invented Act, ' || title ELSE 'ia §' || number || CASE WHEN k = 1 AND direct AND marker IS NOT NULL AND typ = 'provision' THEN marker ELSE '' END END AS citation_text, 'invented.md' AS source_file, {_APPROX.format("context || chr(10) || chr(10) || body")} AS tokens
+FROM ch JOIN u USING (d, unit) LEFT JOIN ms USING (d, unit, grp)"""
 ORACLES |= {f"ev{i}_{m}": f"{_EVAL} SELECT qid, level, final_k, {m} FROM ev" for i, m in enumerate(metrics.MEANS, 1)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import citations as C
 from quillstream.functions import text as T
-from quillstream.operators import answering, blocks, incremental, markdown, metrics, quality, retrieval, structure, textindex
+from quillstream.operators import answering, blocks, chunking, incremental, markdown, metrics, quality, retrieval, structure, textindex
 from quillstream.plans import fixtures as X
 from quillstream.scratch import scratch_dir, small, written
 from quillstream.sources import files
@@ -643,6 +643,49 @@ def sf14_statute_lines(spark, d):
     return statute_lines(spark, d).select("doc_id", "pos", F.md5(T.canonical_line(F.col("text"))).alias("line"), F.array_join(T.source_pages(F.col("text")).cast("array<string>"), ",").alias("pages"))
 
 
+#: Beginnings of a statute's body lines in Markdown, dealt by place.
+CHUNK_HEADS = ("**(1)** ", "**(2)** ", "**(a)** ", "", "**(iv)** ", "**Explanation:** ", "Provided that ", "- **(b)** ", "**Illustration** ", "**(c)**, ", "**(3)** ", "so chapter  II part  II of THINGS, ", "---", "")
+ROMANS = ("I", "II", "III", "IV", "V")
+
+
+def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty rows of the table as one statute: each row is a section, schedule or preamble whose body is its text, line by line, with markers and notes."""
+    i, n = F.col("i"), len(CHUNK_HEADS)
+    nth = lambda options, at: F.element_at(F.array(*[F.lit(x) for x in options]), (at + 1).cast("int"))
+    roman = nth(ROMANS, F.expr("i div 12"))
+    title = F.when(i % 25 == 1, "## Preamble").when(i % 25 == 7, "## Schedule").otherwise(F.concat(F.lit("## Section "), i, F.when(i % 9 == 4, "-A").otherwise(""), F.when(i % 5 != 4, F.concat(F.lit(" — "), "source")).otherwise("")))
+    heads = F.array_compact(F.array(F.when(i % 12 == 0, F.concat(F.lit("# Chapter "), roman, F.lit(" — Part "), roman, F.lit(" of things"))), F.when(i % 12 == 0, F.lit("lines of no unit")), title, F.when(i % 3 == 0, F.concat(F.lit("**Marginal note:** "), "lang"))))
+    rows = read(spark, d, "documents").withColumn("i", F.col("doc_id") % 50)
+    body = F.transform(F.split("text", "\n"), lambda x, p: F.concat(nth(CHUNK_HEADS, (p * 5 + i) % n), x))
+    every = rows.select(F.expr("doc_id div 50").alias("doc_id"), "i", F.posexplode(F.concat(heads, F.coalesce(body, F.array().cast("array<string>")))).alias("p", "text"))
+    return every.select("doc_id", (i * 1_000_000 + F.col("p")).alias("pos"), "text")
+
+
+def wn10_chunk_build(spark, d):
+    """Chunks of all documents from their lines, in one call."""
+    found = chunking.chunk_documents(markdown_lines(spark, d), "Invented Act", "ia", "invented.md", 100, 150)
+    hashed = ("content", "section_title")
+    return found.select(*[F.md5(c).alias(c) if c in hashed else F.col(c) for c in found.columns if c != "citation_id"])
+
+
+#: Beginnings of the lines of a section, dealt by place and document.
+SECTION_HEADS = ("(1) ", "(a) ", "Illustrations.", "(2) ", "(3) ", "(b) ", "Explanation 1.—", "", "(iv) ", "Provided that ", "(4) ", "Illustration: ", " (3) ", "(c) ", "Provided further that ", "(5) ")
+
+
+def section_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty rows of the table as one document of four sections, whose lines begin as a statute's lines do."""
+    n = len(SECTION_HEADS)
+    at = F.col("pos") * 7 + F.col("doc_id") * 3 + F.expr("pos div 5")
+    head = F.element_at(F.array(*[F.lit(x) for x in SECTION_HEADS]), (at % n + 1).cast("int"))
+    rows = lines(spark, d).select(F.expr("doc_id div 50").alias("doc_id"), (F.expr("doc_id % 50 div 13") + 1).alias("section"), (F.expr("doc_id % 50") * 1_000_000 + F.col("pos")).alias("pos"), F.concat(head, "text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("pos")) == 1
+    return rows.withColumn("text", F.when(first, F.concat(F.col("section").cast("string"), F.lit(" . "), "text")).otherwise(F.col("text")))
+
+
+def wn9_section_blocks(spark, d):
+    return blocks.logical_blocks(section_lines(spark, d)).withColumn("text", F.md5("text"))
+
+
 def titled_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines in which chapter lines, capitals and section starts take turns."""
     n = F.col("pos") % 11
@@ -735,7 +778,7 @@ QUERIES = {f.__name__: f for f in (
     rt3_hybrid_rrf, rt1_bm25_topk, snk9_index_update, rt2_vector_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
     wn4_greedy_sequence, jn1_nearest_margin, jn2_note_association, jn4_asof_chapter, wn7_lookahead_titles, wn11_pack_tokens, wn12_sentence_split, wn17_blank_collapse, sf8_classify_lines, wn9_logical_blocks, wn10_chunk_blocks, sf14_normalize_lines,
-    sf21_chunk_ids, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
+    sf21_chunk_ids, wn10_chunk_build, wn9_section_blocks, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
     inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
     ev10_grid, flt7_projection, flt8_question_subset, rt8_listing, so4_smoke_search, so6_samples, dq28_too_many, ag3_answer_flags, ag4_split_means, dq1_sequence, dq4_duplicate_sections, dq26_totals, dq23_missing_fields, ag14_roll_up, wn21_order, sf30_candidates,
     rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts,
