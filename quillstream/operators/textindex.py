@@ -17,10 +17,7 @@ everything: bounds only leave out what is below the threshold by more than the r
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import tokens
+from quillstream.operators.versioned import Versioned
 from quillstream.scratch import small, written
 
 #: Documents of a segment (expected), ranges of its terms, documents of a block at most.
@@ -41,35 +39,6 @@ SLACK = 2e-6
 _HITS = "qid long, doc_id long, score double"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    p, fs = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the file and rename over it, in one step where the file system has one."""
-    p, fs = _fs(spark, path)
-    q, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(q, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    option = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = option
-    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(q.toUri() if q.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(q, p, options)
-
-
 def term_counts() -> Column:
     """array<struct<term, tf>> of a row's sorted_tokens, counted inside the row: the runs of equal tokens."""
     starts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] != s[i - 1])"
@@ -81,31 +50,16 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-@dataclass
-class TextIndex:
+class TextIndex(Versioned):
     """An index in a folder that driver and executors share."""
 
-    spark: SparkSession
-    path: str
-    manifest: dict = field(default_factory=dict)
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str) -> "TextIndex":
-        text = _read_text(spark, f"{path}/manifest.json")
-        if text is None:
-            raise FileNotFoundError(f"no index at {path}")
-        return cls(spark, path, json.loads(text))
-
-    @classmethod
-    def exists(cls, spark: SparkSession, path: str) -> bool:
-        p, fs = _fs(spark, f"{path}/manifest.json")
-        return fs.exists(p)
+    TABLES = ("postings", "documents")
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, docs: DataFrame, filters: tuple[str, ...] = (), segment_docs: int = SEGMENT_DOCS) -> "TextIndex":
         """docs (doc_id long, text, filters..), one row for each id. Rows without an id are left out; a null text has no terms but counts as a document."""
         segments = max(1, -(-docs.count() // segment_docs))
-        made = cls(spark, path, {"segments": segments, "filters": list(filters), "version": 0, "current": {}})
+        made = cls.new(spark, path, segments, filters=list(filters))
         made._publish(made._counted(docs))
         return made
 
@@ -119,12 +73,9 @@ class TextIndex:
         found.update(docs)
         return found
 
-    def _segment(self, key: str = "doc_id") -> Column:
-        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.manifest["segments"])).cast("int")
-
     def _counted(self, docs: DataFrame) -> DataFrame:
         """segment, doc_id, filters.., dl, terms: stored, so that texts are read once."""
-        rows = docs.where("doc_id is not null").select(self._segment().alias("segment"), F.col("doc_id").cast("long"), *self.manifest["filters"], F.sort_array(tokens(F.col("text"))).alias("sorted_tokens"))
+        rows = docs.where("doc_id is not null").select(self.segment("doc_id").alias("segment"), F.col("doc_id").cast("long"), *self.manifest["filters"], F.sort_array(tokens(F.col("text"))).alias("sorted_tokens"))
         return written(rows.select("segment", "doc_id", *self.manifest["filters"], F.size("sorted_tokens").alias("dl"), term_counts().alias("terms")))
 
     @staticmethod
@@ -142,40 +93,24 @@ class TextIndex:
         return rows.withColumn("bucket", _bucket(F.col("term")))
 
     def _publish(self, counted: DataFrame, touched: list[int] | None = None, kept: DataFrame | None = None, kept_docs: DataFrame | None = None) -> None:
-        """Write the segments' next version and name it in the manifest."""
-        version = self.manifest["version"] + 1
         postings, documents = self._exploded(counted), counted.drop("terms")
         if kept is not None:
             postings, documents = postings.unionByName(kept), documents.unionByName(kept_docs)
-        self._blocks(postings).write.partitionBy("segment", "bucket").parquet(f"{self.path}/postings/version={version}")
-        documents.repartition("segment").write.partitionBy("segment").parquet(f"{self.path}/documents/version={version}")
-        there = touched if touched is not None else range(self.manifest["segments"])
-        current = self.manifest["current"] | {str(s): version for s in there}
-        self.manifest = self.manifest | {"version": version, "current": current}
-        _replace_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.manifest))
-
-    def _table(self, name: str, schema: str, segments: list[int] | None = None) -> DataFrame:
-        """The current files of a table: folders by version and segment, those that an empty segment hasn't got apart."""
-        wanted = [s for s in self.manifest["current"].items() if segments is None or int(s[0]) in segments]
-        paths = [f"{self.path}/{name}/version={v}/segment={s}" for s, v in wanted]
-        paths = [p for p in paths if (lambda q: q[1].exists(q[0]))(_fs(self.spark, p))]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths)
+        self.publish({"postings": self._blocks(postings), "documents": documents.repartition("segment")}, touched, by=("bucket",))
 
     def blocks(self, segments: list[int] | None = None) -> DataFrame:
-        return self._table("postings", "term string, block int, n int, lo long, hi long, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>, version int, segment int, bucket int", segments)
+        return self.table("postings", "term string, block int, n int, lo long, hi long, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>, version int, segment int, bucket int", segments)
 
     def documents(self, segments: list[int] | None = None) -> DataFrame:
         filters = "".join(f"`{f}` string, " for f in self.manifest["filters"])
-        return self._table("documents", f"doc_id long, {filters}dl int, version int, segment int", segments)
+        return self.table("documents", f"doc_id long, {filters}dl int, version int, segment int", segments)
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> list[int]:
         """Put documents in the place of those with their ids, take the deleted ids out; the segments that were rewritten."""
         counted = self._counted(changed)
         ids = counted.select("segment", "doc_id")
         if deleted is not None:
-            ids = ids.unionByName(deleted.where("doc_id is not null").select(self._segment().alias("segment"), F.col("doc_id").cast("long")))
+            ids = ids.unionByName(deleted.where("doc_id is not null").select(self.segment("doc_id").alias("segment"), F.col("doc_id").cast("long")))
         ids = written(ids.distinct())
         touched = sorted(r["segment"] for r in ids.select("segment").distinct().collect())  # at most one row a segment
         if touched:
@@ -185,19 +120,6 @@ class TextIndex:
             self._publish(counted, touched, old, docs)
         return touched
 
-    def vacuum(self) -> int:
-        """Delete the folders that no segment of the manifest names; the number of them. Not while an older reader is at work."""
-        gone = 0
-        for name in ("postings", "documents"):
-            top, fs = _fs(self.spark, f"{self.path}/{name}")
-            for version in fs.listStatus(top):
-                for segment in fs.listStatus(version.getPath()):
-                    folder = segment.getPath()
-                    s, v = folder.getName().partition("=")[2], version.getPath().getName().partition("=")[2]
-                    if folder.getName().startswith("segment=") and self.manifest["current"].get(s) != int(v):
-                        gone += fs.delete(folder, True)
-        return gone
-
     def bm25(self, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, equal: str | None = None) -> DataFrame:
         """questions (qid long, text[, equal]) -> qid, doc_id, rank, score: the k best, ties to the smaller id. equal: a filter column that a hit shares with its question.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import citations as C
 from quillstream.functions import text as T
-from quillstream.operators import answering, blocks, chunking, incremental, markdown, metrics, quality, retrieval, structure, textindex
+from quillstream.operators import answering, blocks, chunking, graphindex, incremental, markdown, metrics, quality, retrieval, structure, textindex
 from quillstream.plans import fixtures as X
 from quillstream.scratch import scratch_dir, small, written
 from quillstream.sources import files
@@ -109,6 +109,14 @@ def rt2_vector_topk(spark, d):
     return retrieval.vector(read(spark, d, "embeddings"), query_vectors(spark, d), 10)
 
 
+def rt2_graph_topk(spark, d):
+    """The same from a stored proximity graph, built at the first call for these files."""
+    path = f"{scratch_dir(spark)}/graphindex-{files.fingerprint(spark, f'{d}/embeddings.parquet')}"
+    index = graphindex.GraphIndex
+    found = index.open(spark, path) if index.exists(spark, path) else index.create(spark, path, read(spark, d, "embeddings"))
+    return found.search(query_vectors(spark, d), 10)
+
+
 def rt3_hybrid_rrf(spark, d):
     near = retrieval.vector(read(spark, d, "embeddings"), question_vectors(spark, d), 10).withColumnRenamed("vec_id", "doc_id")
     return retrieval.fuse([rt1_bm25_topk(spark, d), near], 5)
@@ -775,7 +783,7 @@ def rp13_documents(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    rt3_hybrid_rrf, rt1_bm25_topk, snk9_index_update, rt2_vector_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
+    rt3_hybrid_rrf, rt1_bm25_topk, snk9_index_update, rt2_vector_topk, rt2_graph_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
     wn4_greedy_sequence, jn1_nearest_margin, jn2_note_association, jn4_asof_chapter, wn7_lookahead_titles, wn11_pack_tokens, wn12_sentence_split, wn17_blank_collapse, sf8_classify_lines, wn9_logical_blocks, wn10_chunk_blocks, sf14_normalize_lines,
     sf21_chunk_ids, wn10_chunk_build, wn9_section_blocks, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
