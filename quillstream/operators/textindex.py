@@ -58,6 +58,8 @@ class TextIndex(Versioned):
     @classmethod
     def create(cls, spark: SparkSession, path: str, docs: DataFrame, filters: tuple[str, ...] = (), segment_docs: int = SEGMENT_DOCS) -> "TextIndex":
         """docs (doc_id long, text, filters..), one row for each id. Rows without an id are left out; a null text has no terms but counts as a document."""
+        if taken := {"doc_id", "dl", "terms", "segment", "version", "sorted_tokens"} & set(filters):
+            raise ValueError(f"names that the index needs itself: {sorted(taken)}")
         segments = max(1, -(-docs.count() // segment_docs))
         made = cls.new(spark, path, segments, filters=list(filters))
         made._publish(made._counted(docs))

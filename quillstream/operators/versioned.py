@@ -73,13 +73,16 @@ class Versioned:
     def segment(self, key: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.manifest["segments"])).cast("int")
 
-    def publish(self, tables: dict[str, DataFrame], touched: list[int] | None = None, by: tuple[str, ...] = ()) -> None:
-        """Write the next version of the touched segments (all by default) and name it. The tables have a column segment; `by` are further folders of the first."""
+    def publish(self, tables: dict[str, DataFrame], touched: list[int] | None = None, by: tuple[str, ...] = (), more: dict | None = None) -> None:
+        """Write the next version of the touched segments (all by default) and name it, together with `more` fields of the manifest.
+
+        The tables have a column segment; `by` are further folders of the first. What a writer left that ended before it named its version is written over; there is one writer at a time.
+        """
         version = self.manifest["version"] + 1
         for name, df in tables.items():
-            df.write.partitionBy("segment", *(c for c in by if c in df.columns)).parquet(f"{self.path}/{name}/version={version}")
+            df.write.mode("overwrite").partitionBy("segment", *(c for c in by if c in df.columns)).parquet(f"{self.path}/{name}/version={version}")
         there = range(self.manifest["segments"]) if touched is None else touched
-        self.manifest = self.manifest | {"version": version, "current": self.manifest["current"] | {str(s): version for s in there}}
+        self.manifest = self.manifest | (more or {}) | {"version": version, "current": self.manifest["current"] | {str(s): version for s in there}}
         replace_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.manifest))
 
     def table(self, name: str, schema: str, segments: list[int] | None = None) -> DataFrame:

@@ -392,4 +392,5 @@ SELECT d AS doc_id, unit, grp AS ordinal, CASE WHEN special IS NOT NULL THEN 'ia
   chapter AS chapter_number, chapter_title, number AS section_number, md5(title) AS section_title, subsection, CASE WHEN special IS NOT NULL THEN special WHEN types = 1 THEN typ ELSE 'mixed' END AS content_type, md5(context || chr(10) || chr(10) || body) AS content,
   CASE WHEN special IS NOT NULL THEN 'Invented Act, ' || title ELSE 'ia §' || number || CASE WHEN k = 1 AND direct AND marker IS NOT NULL AND typ = 'provision' THEN marker ELSE '' END END AS citation_text, 'invented.md' AS source_file, {_APPROX.format("context || chr(10) || chr(10) || body")} AS tokens
 FROM ch JOIN u USING (d, unit) LEFT JOIN ms USING (d, unit, grp)"""
+ORACLES |= {"ag15_stream": ORACLES["ag15_daily_requests"], "snk8_stream": ORACLES["snk8_upsert"]}
 ORACLES |= {f"ev{i}_{m}": f"{_EVAL} SELECT qid, level, final_k, {m} FROM ev" for i, m in enumerate(metrics.MEANS, 1)}

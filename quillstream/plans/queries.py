@@ -13,7 +13,7 @@ from quillstream.operators import answering, blocks, chunking, graphindex, incre
 from quillstream.plans import fixtures as X
 from quillstream.scratch import scratch_dir, small, written
 from quillstream.sources import files
-from quillstream.streaming import telemetry
+from quillstream.streaming import counters, telemetry, upserts
 
 KS = (1, 3, 5, 10)
 CANDIDATES = (10, 20, 50)
@@ -204,6 +204,27 @@ def ag15_daily_requests(spark, d):
     return telemetry.running_daily(read(spark, d, "events")).select("day", "event_id", "requests_today")
 
 
+def _arrivals(parts: list[DataFrame], folder: str) -> None:
+    """Files for a stream, one arrival after the other."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)  # a file for each arrival
+
+
+def ag15_stream(spark, d):
+    """The counter as a stream of four arrivals, in which every seventh event comes 45 minutes late; a far later event lets the watermark pass all."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    events = read(spark, d, "events").select("event_id", "ts")
+    comes = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 7 == 0, 45 * 60_000_000).otherwise(0)
+    lo, hi = events.agg(F.min(comes), F.max(comes)).first()
+    rows = events.withColumn("nth", F.floor((comes - F.lit(lo or 0)) / F.lit(max(1, (hi or 0) - (lo or 0) + 1)) * 4))
+    end = spark.sql("SELECT CAST(-1 AS BIGINT) AS event_id, TIMESTAMP_NTZ '2200-01-01' AS ts")
+    _arrivals([rows.where(F.col("nth") == n).drop("nth") for n in range(4)] + [end], f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    writer = counters.running_daily_stream(stream).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("day date, event_id long, requests_today long").parquet(f"{folder}/out")
+
+
 def ag16_cost(spark, d):
     c = read(spark, d, "conversations")
     sides = c.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", 0).otherwise(T.approx_tokens(F.col("text")))).alias("t_in"), F.sum(F.when(F.col("role") == "assistant", T.approx_tokens(F.col("text"))).otherwise(0)).alias("t_out"))
@@ -380,6 +401,20 @@ def snk8_upsert(spark, d):
     return incremental.upsert(labels, updates.unionByName(fresh), "doc_id")
 
 
+def snk8_stream(spark, d):
+    """The same upsert as a stream of three batches into a stored table; later versions come first."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    labels = read(spark, d, "labels")
+    new = lambda rows, quality, version: rows.withColumn("quality", F.lit(quality)).withColumn("version", F.lit(version).cast("long"))
+    fresh = labels.where("doc_id % 6 = 1").withColumn("doc_id", -F.col("doc_id") - 1).withColumn("version", F.lit(1).cast("long"))
+    table = upserts.KeyedTable.create(spark, f"{folder}/table", labels, "doc_id", segment_rows=1 << 8)
+    _arrivals([new(labels.where("doc_id % 12 = 0"), 9, 2), new(labels.where("doc_id % 3 = 0"), 7, 1), new(labels.where("doc_id % 12 = 6"), 9, 2).unionByName(fresh)], f"{folder}/in")
+    stream = spark.readStream.schema(fresh.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    writer = stream.writeStream.foreachBatch(upserts.KeyedTable.sink(table.path, "labels")).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return upserts.KeyedTable.open(spark, table.path).rows().drop("version")
+
+
 def st2_symmetric_diff(spark, d):
     return quality.key_difference(read(spark, d, "documents").select("doc_id"), read(spark, d, "embeddings").select((F.col("vec_id") * 3).alias("doc_id")), "doc_id")
 
@@ -784,10 +819,10 @@ def rp13_documents(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     rt3_hybrid_rrf, rt1_bm25_topk, snk9_index_update, rt2_vector_topk, rt2_graph_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
-    ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
+    ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag15_stream, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
     wn4_greedy_sequence, jn1_nearest_margin, jn2_note_association, jn4_asof_chapter, wn7_lookahead_titles, wn11_pack_tokens, wn12_sentence_split, wn17_blank_collapse, sf8_classify_lines, wn9_logical_blocks, wn10_chunk_blocks, sf14_normalize_lines,
     sf21_chunk_ids, wn10_chunk_build, wn9_section_blocks, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
-    inc2_pending, inc3_orphans, snk8_upsert, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
+    inc2_pending, inc3_orphans, snk8_upsert, snk8_stream, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
     ev10_grid, flt7_projection, flt8_question_subset, rt8_listing, so4_smoke_search, so6_samples, dq28_too_many, ag3_answer_flags, ag4_split_means, dq1_sequence, dq4_duplicate_sections, dq26_totals, dq23_missing_fields, ag14_roll_up, wn21_order, sf30_candidates,
     rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts,
     sf8_statute_lines, sf14_statute_lines, wn7_chapter_titles, jn4_chapters_of_lines, wn4_table_sequence, rp1_table_neighbours, wn17_table_blanks, flt4_candidates, flt5_filtered_bm25, sf35_paragraphs, sf20_contexts, sf19_scrubbed, inc1_last_of, dq27_golden_rules,
