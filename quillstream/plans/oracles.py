@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillstream.functions import text as T
 from quillstream.operators import answering, metrics
-from quillstream.plans import fixtures as X
+from quillstream.operators import markdown as M
 
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _APPROX = "greatest(1, ceil(length({}) / 4.0))::BIGINT"
@@ -60,11 +60,6 @@ def _report(source: str, rules: dict[str, str], key: str = "rule_id", n: str = "
 _CHUNKS = """(SELECT doc_id::VARCHAR AS chunk_id, text AS content, 'provision' AS content_type, CASE WHEN doc_id % 97 <> 0 THEN source END AS section_number,
   CASE WHEN doc_id % 13 = 0 THEN '(' || lang || ') (' || lang || ')' END AS subsection, source || CASE WHEN doc_id % 11 = 0 THEN '(1)' ELSE '' END AS citation_text FROM documents)"""
 _EMPTY = "coalesce(trim({}), '') = ''"
-_ANSWERS = X.values(X.ANSWERS[1], "qid, answer, allowed, retrieved, gold, direct")
-_CITED = rf"""an AS (SELECT *, list_filter(string_split(allowed, ';'), lambda x: x <> '') AS al FROM {_ANSWERS}),
-ci AS (SELECT *, list_transform(regexp_extract_all(answer, '\[(?:BNS|ICA)\s+§[0-9A-Za-z-]+\]'), lambda c: regexp_replace(c, '\s+', ' ')) AS every FROM an),
-cc AS (SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i) AS cited FROM ci),
-cu AS (SELECT *, list_filter(cited, lambda c: NOT list_contains(al, c)) AS bad, list_filter(cited, lambda c: list_contains(al, c)) AS good FROM cc)"""
 
 
 def _pack_sql(lists: str, gap: int, target: int) -> str:
@@ -119,37 +114,14 @@ SELECT doc_id, section, min(line_index) AS first_line, max(line_index) AS last_l
     "wn6_margin_groups": f"""WITH {_PLACED}, g AS (SELECT *, sum(CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING)::BIGINT AS gid FROM pl WHERE region = 'margin'),
 t AS (SELECT *, max(gid) OVER (PARTITION BY doc_id, page) AS top FROM g)
 SELECT doc_id, page, gid, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY y0, x0, text) AS text FROM t WHERE gid > 0 OR top = 0 GROUP BY ALL""",
-    "wn4_greedy_sequence": f"""WITH RECURSIVE c AS (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0) - 1 AS pos FROM {X.values(X.CANDIDATES[1], "doc_id, number, page, y0, x0")}),
-r AS (SELECT doc_id, 0::BIGINT AS number, '' AS status, NULL::BIGINT AS pos, -1::BIGINT AS prev FROM (SELECT DISTINCT doc_id FROM c)
-  UNION ALL SELECT r.doc_id, r.number + 1, CASE o.n WHEN 0 THEN 'missing-candidate' WHEN 1 THEN 'selected' ELSE 'duplicate-candidates' END, o.p, coalesce(o.p, r.prev)
-  FROM r, LATERAL (SELECT count(*) AS n, min(c.pos) AS p FROM c WHERE c.doc_id = r.doc_id AND c.number = r.number + 1 AND c.pos > r.prev) o WHERE r.number < 7)
-SELECT doc_id, number, status, pos FROM r WHERE number > 0""",
     "jn1_nearest_margin": f"""WITH {_PLACED}, a AS (SELECT doc_id, page, pos AS number, y0 + 7 AS y0 FROM pl WHERE region = 'body' AND pos % 6 = 0),
 j AS (SELECT a.doc_id, a.number, m.y0 AS margin_y0, row_number() OVER (PARTITION BY a.doc_id, a.page, a.number ORDER BY abs(a.y0 - m.y0), m.y0, m.x0) AS nth FROM a JOIN pl m ON m.region = 'margin' AND m.doc_id = a.doc_id AND m.page = a.page AND abs(a.y0 - m.y0) <= 14)
 SELECT doc_id, number, margin_y0 FROM j WHERE nth = 1""",
-    "jn2_note_association": f"SELECT doc_id, page, gid, section, method, confidence::DOUBLE AS confidence FROM {X.values(X.NOTES, 'doc_id, page, gid, section, method, confidence')}",
-    "jn4_asof_chapter": f"""WITH s AS (SELECT doc_id, page, number FROM {X.values(X.SECTIONS[1], "doc_id, page, number, y0")}), c AS (SELECT * FROM {X.values(X.CHAPTERS[1], "doc_id, page, y, chapter")})
-SELECT doc_id, number AS section, (SELECT arg_max(chapter, page * 10000 + y) FROM c WHERE c.doc_id = s.doc_id AND c.page <= s.page) AS chapter FROM s""",
-    "wn7_lookahead_titles": f"SELECT * FROM {X.values(X.TITLED, 'doc_id, line_index, number, title')}",
     "wn11_pack_tokens": _pack_sql(f"SELECT doc_id, list(length(text) ORDER BY pos) AS l FROM ({_LINES}) GROUP BY doc_id", 2, 100) + " SELECT doc_id, grp, count(*) AS n_blocks, sum(l[i])::BIGINT AS n_chars FROM fold GROUP BY doc_id, grp",
     "wn12_sentence_split": _pack_sql(
         rf"SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS l FROM (SELECT doc_id, CASE WHEN {_APPROX.format('text')} <= 150 THEN [text] ELSE string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) END AS s FROM documents)", 1, 100
     ).replace("SELECT doc_id, l, 1 AS i", "SELECT doc_id, s, l, 1 AS i").replace("SELECT doc_id, l, i + 1", "SELECT doc_id, s, l, i + 1")
     + f", m AS (SELECT doc_id, grp AS piece, string_agg(s[i], ' ' ORDER BY i) AS text FROM fold GROUP BY doc_id, grp) SELECT doc_id, piece, md5(text) AS hash, {_APPROX.format('text')} AS tokens FROM m",
-    "wn17_blank_collapse": "SELECT * FROM (VALUES (1, 2, 'a'), (1, 3, ''), (1, 5, 'b'), (1, 6, 'c'), (1, 7, ''), (1, 8, 'd')) AS t(doc_id, pos, text)",
-    "sf8_classify_lines": f"SELECT * FROM {X.values(X.CLASSIFIED, 'id, kind, marker, content')}",
-    "wn9_logical_blocks": f"SELECT * FROM {X.values(X.BLOCKS, 'doc_id, section, ord, kind, marker, parent_type, parent_marker, text')}",
-    "wn10_chunk_blocks": f"SELECT * FROM {X.values(X.UNIT_BLOCKS, 'unit, ord, marker, content_type, direct, text')}",
-    "sf14_normalize_lines": f"SELECT * FROM {X.values(X.CANONICAL, 'id, line, pages')}",
-    "sf21_chunk_ids": f"SELECT * FROM {X.values(X.CHUNKS, 'chunk_id, section, subsection, content_type, content, citation_text')}",
-    "sf26_citations": f"WITH {_CITED} SELECT qid, unnest(range(0, len(cited))) AS pos, unnest(cited) AS citation FROM cu",
-    "gn3_enforce": f"""WITH {_CITED}, x AS (SELECT *, len(bad) > 0 OR len(al) = 0 OR starts_with(lower(answer), 'i could not retrieve relevant legal provisions') OR contains(lower(answer), 'retrieved evidence is insufficient') OR contains(lower(answer), 'cannot provide a grounded answer') AS insufficient FROM cu)
-SELECT qid, md5(CASE WHEN len(bad) > 0 THEN 'I could not provide a grounded answer from the supplied legal evidence because the generated response contained a citation that was not among the retrieved sources.' ELSE answer END) AS final_answer,
-  CASE WHEN insufficient THEN '' ELSE array_to_string(good, ';') END AS citations, array_to_string(bad, ';') AS unsupported, insufficient, CASE WHEN insufficient THEN 0 ELSE len(al) END AS sources_shown FROM x""",
-    "ev11_deterministic": rf"""WITH {_CITED}, y AS (SELECT *, list_filter(string_split(retrieved, ';'), lambda x: x <> '') AS r, list_distinct(list_filter(string_split(gold, ';'), lambda x: x <> '')) AS g, list_distinct(list_filter(string_split(direct, ';'), lambda x: x <> '')) AS dg, trim(regexp_replace(answer, '\[[A-Z]+\s+§[0-9A-Za-z-]+\]', '', 'g')) <> '' AS has FROM cu)
-SELECT qid, CASE WHEN len(g) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(r, g)) / len(g), 4) END AS gold_section_coverage, CASE WHEN len(dg) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(r, dg)) / len(dg), 4) END AS direct_gold_coverage,
-  list_has_all(r, dg) AS all_direct_gold_retrieved, array_to_string(cited, ';') AS citations, array_to_string(bad, ';') AS unsupported_citations, len(bad) = 0 AS citation_syntax_valid, len(bad) = 0 AS all_citations_from_retrieved_sources,
-  len(cited) AS citation_count, has AS has_substantive_answer_text, has AND len(cited) > 0 AS has_citation_with_answer FROM y""",
     "sf29_context": f"""WITH {_BM25}, {_HITS.format(k=5)}, x AS (SELECT qid, string_agg('SOURCE ' || rank || chr(10) || '[' || act || ' §' || section || ']' || chr(10) || text || chr(10) || '---', chr(10) ORDER BY rank) AS c FROM hits JOIN documents USING (doc_id) GROUP BY qid)
 SELECT qid, md5(c) AS context_hash, length(c) AS n_chars FROM x""",
     "dq_rules": _report(_CHUNKS, {
@@ -171,18 +143,13 @@ SELECT 'text' AS field, count(*) FILTER (t) AS n_changed FROM j UNION ALL SELECT
     "snk8_upsert": "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 9 WHEN doc_id % 3 = 0 THEN 7 ELSE quality END::INTEGER AS quality, toxic FROM labels UNION ALL SELECT -doc_id - 1, quality, toxic FROM labels WHERE doc_id % 6 = 1",
     "st2_symmetric_diff": "SELECT 'missing' AS side, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id * 3 FROM embeddings) UNION ALL SELECT 'extra', vec_id * 3 FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)",
     "st3_intersection": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
-    "src8_golden_flatten": f"SELECT * FROM {X.values(X.GOLDEN_KEYS, 'qid, chunk_id, grade')}",
     "snk4_csv_shape": "SELECT doc_id::VARCHAR AS doc_id, '[' || quality || ',' || toxic || ']' AS pair, CASE WHEN doc_id % 2 = 0 THEN quality::VARCHAR ELSE '' END AS maybe FROM labels",
     "snk10_markdown": r"""WITH r AS (SELECT doc_id // 50 AS d, doc_id AS o, lang, source, text, lag(lang) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) IS DISTINCT FROM lang AS emit FROM documents)
 SELECT d AS doc_id, md5(regexp_replace(string_agg(CASE WHEN emit THEN '# Chapter ' || lang || chr(10) || chr(10) ELSE '' END || '## Section ' || source || ' — ' || lang || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY o), '\n{3,}', chr(10) || chr(10), 'g')) AS hash FROM r GROUP BY d""",
-    "rp1_neighbours": f"""WITH c AS (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0) - 1 AS pos FROM {X.values(X.CANDIDATES[1], "doc_id, number, page, y0, x0")}),
-m AS (SELECT * FROM (VALUES (1, 5), (1, 6), (2, 3), (2, 4), (2, 5), (2, 6), (2, 7)) AS t(doc_id, n)) SELECT doc_id, number, pos FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND abs(m.n - c.number) <= 2)""",
     "rp3_metric_table": f"{_EVAL} SELECT final_k, level, {', '.join(f'''coalesce(format('{{:.4f}}', round_even({_MEAN.format(m)}, 4)), 'N/A') AS {m}''' for m in metrics.MEANS)} FROM ev GROUP BY final_k, level",
     "jn12_grid": "SELECT strategy, candidate_k, final_k, count(*) AS n FROM benchmark, (VALUES ('bm25'), ('vector'), ('hybrid_rrf')) s(strategy), (VALUES (10::BIGINT), (20), (50)) c(candidate_k), (VALUES (1::BIGINT), (3), (5), (10)) f(final_k) WHERE final_k <= candidate_k GROUP BY ALL",
     "gn6_label_map": f"WITH {_BM25}, {_HITS.format(k=10)} SELECT qid, '[' || act || ' §' || section || ']' AS label, arg_max(doc_id, rank) AS doc_id FROM hits GROUP BY ALL",
     "prj4_source_cards": f"WITH {_BM25}, {_HITS.format(k=3)} SELECT qid, rank, doc_id::VARCHAR AS source_id, '[' || act || ' §' || section || ']' AS citation, section AS section_number, md5(left(text, 500)) AS content FROM hits JOIN documents USING (doc_id)",
-    "wn8_normalized_sections": f"SELECT * FROM {X.values(X.NORMALIZED, 'doc_id, ord, owner, chapter, number, title, note, pages, body')}",
-    "wn8_units": f"SELECT * FROM {X.values(X.UNITS, 'doc_id, unit, number, title, chapter, chapter_title, special, lines')}",
 }
 _RUBRIC = ", ".join(f"CASE WHEN judge_status = 'success' THEN (doc_id + {n}) * {n + 3} % 3 END AS {m}" for n, m in enumerate(metrics.RUBRIC))
 _ANSWERED = f"""e0 AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'content_filtered' ELSE 'success' END AS status, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'content_filtered' ELSE 'success' END AS judge_status, doc_id % 4 = 1 AS unsupported FROM labels),
@@ -263,7 +230,12 @@ w AS (SELECT d, '# An Act' || e2 || CASE WHEN d % 2 = 0 THEN '**Act number:** 45
 SELECT d AS doc_id, md5(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g')) AS hash FROM w""".replace("\\n", "\n"),
     "src12_counts": "SELECT count(*) AS n, sum(quality)::BIGINT AS quality, 2::BIGINT AS n_metrics FROM labels",
 }
+FIRST_NAMES = {
+    "wn4_greedy_sequence": "wn4_table_sequence", "jn2_note_association": "jn3_notes_of_lines", "jn4_asof_chapter": "jn4_chapters_of_lines", "wn7_lookahead_titles": "wn7_chapter_titles", "wn17_blank_collapse": "wn17_table_blanks",
+    "sf8_classify_lines": "sf8_statute_lines", "wn9_logical_blocks": "wn9_section_blocks", "sf14_normalize_lines": "sf14_statute_lines", "rp1_neighbours": "rp1_table_neighbours",
+}
 # as in plans.queries, stated anew so that this module stands alone
+RAW_HEADS = ("(1) ", "**(2)** ", "Explanation 1 — ", "", "Exception: ", "  ", "**Illustration** ")
 CHUNK_HEADS = ("**(1)** ", "**(2)** ", "**(a)** ", "", "**(iv)** ", "**Explanation:** ", "Provided that ", "- **(b)** ", "**Illustration** ", "**(c)**, ", "**(3)** ", "so chapter  II part  II of THINGS, ", "---", "")
 SECTION_HEADS = ("(1) ", "(a) ", "Illustrations.", "(2) ", "(3) ", "(b) ", "Explanation 1.—", "", "(iv) ", "Provided that ", "(4) ", "Illustration: ", " (3) ", "(c) ", "Provided further that ", "(5) ")
 LINE_HEADS = ("(1) ", "(12)", "(a) ", "(iv) ", "Explanation 2.— ", "Illustrations", "Provided further that ", "", "  (Z) ", "Exception: ", "**(2)** ", "**Explanation** - ", "<!-- source_pages=3, x, 4 -->", "**Illustration**")
@@ -392,5 +364,56 @@ SELECT d AS doc_id, unit, grp AS ordinal, CASE WHEN special IS NOT NULL THEN 'ia
   chapter AS chapter_number, chapter_title, number AS section_number, md5(title) AS section_title, subsection, CASE WHEN special IS NOT NULL THEN special WHEN types = 1 THEN typ ELSE 'mixed' END AS content_type, md5(context || chr(10) || chr(10) || body) AS content,
   CASE WHEN special IS NOT NULL THEN 'Invented Act, ' || title ELSE 'ia §' || number || CASE WHEN k = 1 AND direct AND marker IS NOT NULL AND typ = 'provision' THEN marker ELSE '' END END AS citation_text, 'invented.md' AS source_file, {_APPROX.format("context || chr(10) || chr(10) || body")} AS tokens
 FROM ch JOIN u USING (d, unit) LEFT JOIN ms USING (d, unit, grp)"""
+_UNIT_ROWS = ORACLES["wn10_chunk_build"].split("notes AS (")[0].replace("WITH RECURSIVE", "WITH").rstrip().rstrip(",")
+ORACLES["wn8_units"] = rf"""{_UNIT_ROWS},
+x AS (SELECT * FROM r WHERE open <> 'chapter' AND (kind IS NULL OR kind <> 'chapter')),
+g AS (SELECT d, unit, max(CASE WHEN kind = 'section' THEN regexp_extract(line, '{T.SECTION_HEADING}', 1) END) AS number, max(CASE kind WHEN 'section' THEN regexp_extract(line, '{T.SECTION_HEADING}', 2) WHEN 'special' THEN regexp_extract(line, '{T.SPECIAL_HEADING}', 1) END) AS title,
+  max(chapter) FILTER (kind IS NOT NULL) AS chapter, max(chapter_title) FILTER (kind IS NOT NULL) AS chapter_title, max(CASE WHEN kind = 'special' THEN lower(regexp_extract(line, '{T.SPECIAL_HEADING}', 1)) END) AS special,
+  arg_min(regexp_extract(line, '{T.MARGINAL_NOTE}', 1), pos) FILTER (regexp_matches(line, '{T.MARGINAL_NOTE}')) AS note, coalesce(string_agg(text, '|' ORDER BY pos) FILTER (kind IS NULL), '') AS lines FROM x GROUP BY d, unit)
+SELECT d AS doc_id, unit, number, coalesce(nullif(title, ''), note, '') AS title, chapter, chapter_title, special, md5(lines) AS lines FROM g"""
+_RAW_LINES = rf"""src AS (SELECT doc_id // 50 AS d, doc_id % 50 AS i, source, lang, text, (['I', 'II', 'III', 'IV', 'V'])[doc_id % 50 // 12 + 1] AS roman FROM documents),
+al AS (SELECT d, i, list_concat(list_concat(list_filter([CASE WHEN i = 0 THEN '# The Invented Act' END, CASE WHEN i = 0 THEN 'loose words' END, CASE WHEN i % 4 = 2 THEN '<!-- source_pages=3, x, 4 -->' END, CASE WHEN i % 12 = 5 THEN '# CHAPTER ' || roman || ' — Part  ' || roman END,
+    CASE WHEN i % 25 = 1 THEN '## PREAMBLE' WHEN i % 25 = 7 THEN '## Schedule' WHEN i % 25 = 13 THEN '## Related Judgements' WHEN i = 2 THEN '## [45 OF 2023]' ELSE '## Section ' || i || CASE WHEN i % 9 = 4 THEN '-A. ' ELSE ' — ' END || CASE WHEN i % 5 <> 4 THEN source || '   of ' || lang ELSE '' END END,
+    CASE WHEN i % 3 = 0 THEN '**Marginal note:** ' || lang END], lambda x: x IS NOT NULL),
+  coalesce(flatten(list_transform(string_split(text, chr(10)), lambda x, q: CASE WHEN (q - 1) % 4 = 1 THEN ['', ' ', ([{', '.join(repr(x) for x in RAW_HEADS)}])[((q - 1) * 3 + i) % {len(RAW_HEADS)} + 1] || x] ELSE [([{', '.join(repr(x) for x in RAW_HEADS)}])[((q - 1) * 3 + i) % {len(RAW_HEADS)} + 1] || x] END)), [])),
+  list_filter([CASE WHEN i % 6 = 0 THEN '**Marginal note:** ' || source END, CASE WHEN i % 10 = 3 THEN '' END], lambda x: x IS NOT NULL)) AS a FROM src),
+ml AS (SELECT d, i * 1000000 + p AS pos, rtrim(text, ' ') AS text, trim(text, ' ') AS t FROM (SELECT d, i, unnest(a) AS text, unnest(range(0, len(a))) AS p FROM al))"""
+#: The router line by line: what is open, in which chapter, and whether a blank line would be the first after something.
+ORACLES["wn8_normalized_sections"] = rf"""WITH RECURSIVE {_RAW_LINES},
+k0 AS (SELECT *, CASE WHEN regexp_matches(t, '{T.SOURCE_PAGES}') THEN 'pages' WHEN regexp_matches(text, '{M.ANY_CHAPTER}') THEN 'chapter' WHEN starts_with(text, '# ') THEN 'title' WHEN regexp_matches(text, '{M.ANY_SECTION}') THEN 'section'
+  WHEN t IN ('## PREAMBLE', '## Related Judgements', '## Schedule') THEN 'special' WHEN regexp_matches(t, '{M.ACT_NUMBER}') THEN 'act' ELSE 'line' END AS kind FROM ml),
+k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY pos) AS n, regexp_matches(text, '{T.MARGINAL_NOTE}') AS noted FROM k0 WHERE kind <> 'title'),
+w AS (SELECT DISTINCT d, 0::BIGINT AS n, 0::BIGINT AS ord, '' AS open, NULL::VARCHAR AS chapter, true AS skip, false AS shown, false AS is_note FROM k
+  UNION ALL SELECT k.d, k.n, ord + CASE WHEN kind IN ('chapter', 'section', 'special', 'act') THEN 1 ELSE 0 END, CASE WHEN kind IN ('chapter', 'section', 'special', 'act') THEN kind ELSE open END,
+    CASE WHEN kind = 'chapter' THEN regexp_extract(text, '{M.ANY_CHAPTER}', 1) ELSE chapter END, kind <> 'line' OR t = '' OR (open = 'section' AND noted), kind = 'line' AND NOT (open = 'section' AND noted) AND NOT (t = '' AND skip), kind = 'line' AND open = 'section' AND noted
+  FROM w JOIN k ON k.d = w.d AND k.n = w.n + 1),
+x AS (SELECT k.*, w.ord, w.open, w.chapter, w.shown, w.is_note FROM k JOIN w USING (d, n)),
+g AS (SELECT d, ord, any_value(CASE WHEN open IN ('section', 'special') THEN open WHEN chapter IS NOT NULL THEN 'chapter' ELSE 'preamble' END) AS owner, max(chapter) AS chapter, max(CASE WHEN kind = 'section' THEN regexp_extract(text, '{M.ANY_SECTION}', 1) END) AS number,
+  max(CASE kind WHEN 'section' THEN trim(regexp_replace(regexp_extract(text, '{M.ANY_SECTION}', 2), '\s+', ' ', 'g'), ' ') WHEN 'chapter' THEN trim(regexp_replace(regexp_extract(text, '{M.ANY_CHAPTER}', 2), '\s+', ' ', 'g'), ' ')
+    WHEN 'special' THEN CASE t WHEN '## PREAMBLE' THEN 'Preamble' ELSE substr(t, 4) END END) AS heading, arg_min(regexp_extract(text, '{T.MARGINAL_NOTE}', 1), n) FILTER (is_note) AS first_note, arg_max(regexp_extract(text, '{T.MARGINAL_NOTE}', 1), n) FILTER (is_note) AS note,
+  arg_max(array_to_string(list_filter(list_transform(string_split(regexp_extract(t, '{T.SOURCE_PAGES}', 1), ','), lambda p: try_cast(trim(p) AS INT)), lambda p: p IS NOT NULL), ','), n) FILTER (kind = 'pages') AS pages,
+  coalesce(string_agg({_CANONICAL}, chr(10) ORDER BY n) FILTER (shown), '') AS body FROM x GROUP BY d, ord)
+SELECT d AS doc_id, ord, owner, chapter, number, coalesce(nullif(heading, ''), first_note) AS title, note, coalesce(pages, '') AS pages, md5(rtrim(body, ' ')) AS body FROM g"""
+_BLOCKS = ORACLES["wn10_chunk_build"].split("st AS (SELECT d, unit, ord, unnest(s)")[0].rstrip().rstrip(",")
+ORACLES["wn10_chunk_blocks"] = f"{_BLOCKS} SELECT d AS doc_id, unit, ord, marker, content_type, direct, md5(text) AS text FROM blk"
+ORACLES["sf21_chunk_ids"] = f"SELECT chunk_id, doc_id, subsection, content_type, content, citation_text FROM ({ORACLES['wn10_chunk_build']})"
+_SAID = rf"""{_LABELS}, la AS (SELECT qid, list_sort(list_distinct(list(label))) AS allowed, list_distinct(list((doc_id % 7)::VARCHAR)) AS retrieved, count(*) AS n, list(label ORDER BY rank) FILTER (rank <= 2) AS said FROM lh GROUP BY qid),
+an AS (SELECT item_id AS q, coalesce(allowed, []) AS allowed, coalesce(retrieved, []) AS retrieved, coalesce(n, 0) AS n, list_concat(CASE WHEN said[1] = said[2] THEN said[1:1] ELSE coalesce(said, []) END, CASE WHEN item_id % 3 = 0 THEN ['[ICA §99]'] ELSE [] END) AS cited,
+    CASE WHEN item_id % 5 = 0 THEN '' ELSE 'It is so for ' || item_id || ' by ' END || coalesce(array_to_string(said, ' '), '') || CASE WHEN item_id % 3 = 0 THEN ' [ICA  §99]' ELSE '' END || CASE WHEN item_id % 7 = 2 THEN ' The retrieved evidence is insufficient.' ELSE '' END AS answer,
+    list_distinct([(item_id % 7)::VARCHAR, ((item_id * 3 + 1) % 7)::VARCHAR]) AS gold, CASE WHEN item_id % 4 = 0 THEN [] ELSE [(item_id % 7)::VARCHAR] END AS direct, item_id % 3 = 0 AS bad, item_id % 5 <> 0 OR item_id % 7 = 2 AS words
+  FROM benchmark LEFT JOIN la ON la.qid = item_id)"""
+_SHARE = "CASE WHEN len({0}) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(retrieved, {0})) / len({0}), 4) END"
+ORACLES |= {
+    "ev11_deterministic": f"""WITH {_SAID} SELECT q AS qid, {_SHARE.format('gold')} AS gold_section_coverage, {_SHARE.format('direct')} AS direct_gold_coverage, len(list_filter(direct, lambda x: NOT list_contains(retrieved, x))) = 0 AS all_direct_gold_retrieved,
+  array_to_string(cited, ';') AS citations, CASE WHEN bad THEN '[ICA §99]' ELSE '' END AS unsupported_citations, NOT bad AS citation_syntax_valid, NOT bad AS all_citations_from_retrieved_sources, len(cited) AS citation_count, words AS has_substantive_answer_text, words AND len(cited) > 0 AS has_citation_with_answer FROM an""",
+    "gn3_enforce": f"""WITH {_SAID}, e AS (SELECT *, bad OR n = 0 OR q % 7 = 2 AS lacking FROM an) SELECT q AS qid, md5(CASE WHEN bad THEN '{answering.C.REFUSAL}' ELSE answer END) AS final_answer, CASE WHEN lacking THEN '' ELSE array_to_string(cited, ';') END AS citations,
+  CASE WHEN bad THEN '[ICA §99]' ELSE '' END AS unsupported, lacking AS insufficient, CASE WHEN lacking THEN 0 ELSE n END AS sources_shown FROM e""",
+    "sf26_citations": f"WITH {_SAID} SELECT q AS qid, unnest(range(0, len(cited))) AS pos, unnest(cited) AS citation, unnest(list_transform(cited, lambda c: regexp_extract(c, '§([0-9]+)', 1))) AS section FROM an",
+    "src8_golden_flatten": "SELECT 'q' || item_id AS qid, 'c' || (item_id + x) AS chunk_id, CASE WHEN x = 0 THEN greatest(item_id % 3, item_id % 2) ELSE item_id % 3 END AS grade FROM benchmark, (VALUES (0), (1)) t(x)",
+    "src9_golden_faults": """WITH f AS (SELECT item_id AS q, unnest(CASE WHEN item_id % 7 = 0 THEN [item_id % 4, (item_id + 1) % 4] ELSE [item_id % 4] END) AS file FROM benchmark),
+p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY CASE WHEN file % 2 = 0 AND q % 3 = 0 THEN 1 ELSE 0 END, q) - 1 AS pos FROM f)
+SELECT file, pos, 'q' || q AS id, 'missing_query' AS fault FROM p WHERE q % 9 = 0 UNION ALL SELECT file, pos, 'q' || q, 'duplicate_id' FROM p WHERE q % 7 = 0""",
+}
+ORACLES |= {old: ORACLES[new] for old, new in FIRST_NAMES.items()}
 ORACLES |= {"ag15_stream": ORACLES["ag15_daily_requests"], "snk8_stream": ORACLES["snk8_upsert"]}
 ORACLES |= {f"ev{i}_{m}": f"{_EVAL} SELECT qid, level, final_k, {m} FROM ev" for i, m in enumerate(metrics.MEANS, 1)}

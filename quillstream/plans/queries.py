@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillstream.functions import citations as C
 from quillstream.functions import text as T
 from quillstream.operators import answering, blocks, chunking, graphindex, incremental, markdown, metrics, quality, retrieval, structure, textindex
-from quillstream.plans import fixtures as X
 from quillstream.scratch import scratch_dir, small, written
 from quillstream.sources import files
 from quillstream.streaming import counters, telemetry, upserts
@@ -258,10 +257,6 @@ def wn6_margin_groups(spark, d):
     return structure.margin_groups(margin).withColumn("page", F.col("page").cast("long"))
 
 
-def wn4_greedy_sequence(spark, d):
-    return structure.resolve_sequence(structure.candidate_positions(X.frame(spark, X.CANDIDATES)), 1, 7)
-
-
 def jn1_nearest_margin(spark, d):
     rows = structure.geometry(placed_lines(spark, d))
     anchors = rows.where("region = 'body' and pos % 6 = 0").select("doc_id", "page", F.col("pos").alias("number"), (F.col("y0") + 7).alias("y0"), "x0")
@@ -269,19 +264,6 @@ def jn1_nearest_margin(spark, d):
     return near.select("doc_id", F.col("number").cast("long").alias("number"), F.col("m_y0").alias("margin_y0"))
 
 
-def jn2_note_association(spark, d):
-    found = structure.associate_notes(X.frame(spark, X.GROUPS), X.frame(spark, X.SECTIONS))
-    return found.select("doc_id", F.col("page").cast("long").alias("page"), "gid", F.col("section").cast("long").alias("section"), "method", "confidence")
-
-
-def jn4_asof_chapter(spark, d):
-    return structure.chapters_of(X.frame(spark, X.SECTIONS), X.frame(spark, X.CHAPTERS)).withColumn("section", F.col("section").cast("long"))
-
-
-def wn7_lookahead_titles(spark, d):
-    return structure.detect_chapters(X.frame(spark, X.TITLES))
-
-
 def wn11_pack_tokens(spark, d):
     rows = lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("ord"), "text")
     packed = blocks.pack(rows, target=100).join(rows, ["doc_id", "ord"])
@@ -292,49 +274,6 @@ def wn12_sentence_split(spark, d):
     return blocks.split_sentences(read(spark, d, "documents").select("doc_id", "text"), 100, 150).select("doc_id", "piece", F.md5("text").alias("hash"), "tokens")
 
 
-def wn17_blank_collapse(spark, d):
-    return structure.clean_blank_lines(X.frame(spark, X.BLANKS)).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
-
-
-def sf8_classify_lines(spark, d):
-    return X.frame(spark, X.CLASSIFY).select("id", T.classify(F.col("text")).alias("c")).select("id", "c.*")
-
-
-def wn9_logical_blocks(spark, d):
-    return blocks.logical_blocks(X.frame(spark, X.STRUCT)).drop("first_pos", "last_pos", "n_lines")
-
-
-def wn10_chunk_blocks(spark, d):
-    return blocks.chunk_blocks(X.frame(spark, X.UNIT))
-
-
-def sf14_normalize_lines(spark, d):
-    return X.frame(spark, X.CANON).select("id", T.canonical_line(F.col("text")).alias("line"), F.array_join(T.source_pages(F.col("text")).cast("array<string>"), ",").alias("pages"))
-
-
-def sf21_chunk_ids(spark, d):
-    return blocks.chunks(X.frame(spark, X.PACKED))
-
-
-def _answers(spark: SparkSession) -> DataFrame:
-    rows = X.frame(spark, X.ANSWERS)
-    for c in ("allowed", "retrieved", "gold", "direct"):
-        rows = rows.withColumn(c, F.filter(F.split(c, ";"), lambda x: x != ""))
-    return rows.withColumn("n_docs", F.size("allowed"))
-
-
-def sf26_citations(spark, d):
-    return _answers(spark).select("qid", F.posexplode(C.extracted(F.col("answer"))).alias("pos", "citation")).select("qid", F.col("pos").cast("long").alias("pos"), "citation")
-
-
-def gn3_enforce(spark, d):
-    return answering.enforce(_answers(spark)).withColumn("final_answer", F.md5("final_answer"))
-
-
-def ev11_deterministic(spark, d):
-    return metrics.deterministic(_answers(spark))
-
-
 def sf29_context(spark, d):
     hits = bm25_hits(spark, d, 5).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     return answering.context(hits).select("qid", F.md5("context").alias("context_hash"), F.length("context").cast("long").alias("n_chars"))
@@ -423,10 +362,6 @@ def st3_intersection(spark, d):
     return read(spark, d, "documents").select("doc_id").intersect(read(spark, d, "labels").select("doc_id"))
 
 
-def src8_golden_flatten(spark, d):
-    return files.golden_keys(files.golden_questions(X.frame(spark, X.GOLDEN)))
-
-
 def snk4_csv_shape(spark, d):
     rows = read(spark, d, "labels").select("doc_id", F.array("quality", "toxic").alias("pair"), F.when(F.col("doc_id") % 2 == 0, F.col("quality")).alias("maybe"))
     return files.flat(rows)
@@ -438,11 +373,6 @@ def snk10_markdown(spark, d):
     return files.markdown(rows).select("doc_id", F.md5("markdown").alias("hash"))
 
 
-def rp1_neighbours(spark, d):
-    found = structure.candidate_positions(X.frame(spark, X.CANDIDATES))
-    return structure.neighbours(found, structure.resolve_sequence(found, 1, 7)).select("doc_id", F.col("number").cast("long").alias("number"), "pos")
-
-
 def rp3_metric_table(spark, d):
     s = ag1_metric_summary(spark, d)
     return s.select("level", "final_k", *[F.coalesce(F.format_number(F.bround(m, 4), 4), F.lit("N/A")).alias(m) for m in metrics.MEANS])
@@ -464,12 +394,31 @@ def prj4_source_cards(spark, d):
     return answering.cards(hits.join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")).withColumn("content", F.md5("content"))
 
 
+#: Beginnings of a raw document's body lines, dealt by place.
+RAW_HEADS = ("(1) ", "**(2)** ", "Explanation 1 — ", "", "Exception: ", "  ", "**Illustration** ")
+
+
+def raw_markdown_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty rows of the table as one raw document: titles, page comments, chapters, sections, special blocks, notes, an act number, and bodies with blank lines."""
+    i, n = F.col("i"), len(RAW_HEADS)
+    roman = F.element_at(F.array(*[F.lit(x) for x in ROMANS]), F.expr("int(i div 12) + 1"))
+    head = F.when(i % 25 == 1, "## PREAMBLE").when(i % 25 == 7, "## Schedule").when(i % 25 == 13, "## Related Judgements").when(i == 2, "## [45 OF 2023]").otherwise(F.concat(F.lit("## Section "), i, F.when(i % 9 == 4, "-A. ").otherwise(" — "), F.when(i % 5 != 4, F.concat("source", F.lit("   of "), "lang")).otherwise("")))
+    heads = F.array_compact(F.array(F.when(i == 0, "# The Invented Act"), F.when(i == 0, "loose words"), F.when(i % 4 == 2, "<!-- source_pages=3, x, 4 -->"), F.when(i % 12 == 5, F.concat(F.lit("# CHAPTER "), roman, F.lit(" — Part  "), roman)), head, F.when(i % 3 == 0, F.concat(F.lit("**Marginal note:** "), "lang"))))
+    tail = F.array_compact(F.array(F.when(i % 6 == 0, F.concat(F.lit("**Marginal note:** "), "source")), F.when(i % 10 == 3, "")))
+    line = lambda x, p: F.concat(F.element_at(F.array(*[F.lit(h) for h in RAW_HEADS]), ((p * 3 + i) % n + 1).cast("int")), x)
+    body = F.flatten(F.transform(F.split("text", "\n"), lambda x, p: F.when(p % 4 == 1, F.array(F.lit(""), F.lit(" "), line(x, p))).otherwise(F.array(line(x, p)))))
+    rows = read(spark, d, "documents").withColumn("i", F.col("doc_id") % 50)
+    every = rows.select(F.expr("doc_id div 50").alias("doc_id"), "i", F.posexplode(F.concat(heads, F.coalesce(body, F.array().cast("array<string>")), tail)).alias("p", "text"))
+    return every.select("doc_id", (i * 1_000_000 + F.col("p")).alias("pos"), "text")
+
+
 def wn8_normalized_sections(spark, d):
-    return markdown.normalized(X.frame(spark, X.MARKDOWN)).withColumn("pages", F.array_join(F.coalesce("pages", F.array().cast("array<int>")).cast("array<string>"), ","))
+    found = markdown.normalized(raw_markdown_lines(spark, d))
+    return found.withColumn("pages", F.array_join(F.coalesce("pages", F.array().cast("array<int>")).cast("array<string>"), ",")).withColumn("body", F.md5("body"))
 
 
 def wn8_units(spark, d):
-    return markdown.units(X.frame(spark, X.UNIT_LINES)).withColumn("lines", F.array_join("lines", "|")).drop("note")
+    return markdown.units(markdown_lines(spark, d)).withColumn("lines", F.md5(F.array_join("lines", "|"))).drop("note")
 
 
 def ev6_cosine(spark, d):
@@ -711,6 +660,17 @@ def wn10_chunk_build(spark, d):
     return found.select(*[F.md5(c).alias(c) if c in hashed else F.col(c) for c in found.columns if c != "citation_id"])
 
 
+def wn10_chunk_blocks(spark, d):
+    """The blocks of all units, before splitting and packing."""
+    rows = chunking.routed(markdown_lines(spark, d))
+    body = chunking.scrubbed(rows.where("kind is null and open in ('section', 'special')").select("doc_id", "unit", "pos", "text"), chunking.chapter_patterns(rows))
+    return blocks.chunk_blocks(body, by=("doc_id", "unit")).withColumn("text", F.md5("text"))
+
+
+def sf21_chunk_ids(spark, d):
+    return wn10_chunk_build(spark, d).select("chunk_id", "doc_id", "subsection", "content_type", "content", "citation_text")
+
+
 #: Beginnings of the lines of a section, dealt by place and document.
 SECTION_HEADS = ("(1) ", "(a) ", "Illustrations.", "(2) ", "(3) ", "(b) ", "Explanation 1.—", "", "(iv) ", "Provided that ", "(4) ", "Illustration: ", " (3) ", "(c) ", "Provided further that ", "(5) ")
 
@@ -801,6 +761,57 @@ def dq27_golden_rules(spark, d):
     return quality.report(rows, quality.golden_rules())
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer for each question from its best hits: their labels, every third time one that no hit has, every fifth time no words beside them."""
+    hits = _labelled_hits(spark, d, 5).withColumn("label", C.label(F.col("act"), F.col("section")))
+    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= 2, F.struct("rank", "label")))), lambda x: x["label"])
+    by = hits.groupBy("qid").agg(F.sort_array(F.collect_set("label")).alias("allowed"), F.sort_array(F.collect_set("section")).alias("retrieved"), F.count("*").alias("n_docs"), ordered.alias("said"))
+    q = F.col("qid")
+    rows = questions(spark, d).select("qid").join(by, "qid", "left")
+    rows = rows.select("qid", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("allowed", "retrieved", "said")], F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    words = F.when(q % 5 == 0, "").otherwise(F.concat(F.lit("It is so for "), q, F.lit(" by ")))
+    answer = F.concat(words, F.array_join("said", " "), F.when(q % 3 == 0, " [ICA  §99]").otherwise(""), F.when(q % 7 == 2, " The retrieved evidence is insufficient.").otherwise(""))
+    section = lambda x: (x % 7).cast("string")
+    return rows.withColumn("answer", answer).withColumn("gold", F.array(section(q), section(q * 3 + 1))).withColumn("direct", F.when(q % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(section(q))))
+
+
+def ev11_deterministic(spark, d):
+    return metrics.deterministic(_answers(spark, d))
+
+
+def gn3_enforce(spark, d):
+    return answering.enforce(_answers(spark, d)).withColumn("final_answer", F.md5("final_answer"))
+
+
+def sf26_citations(spark, d):
+    found = _answers(spark, d).select("qid", F.posexplode(C.extracted(F.col("answer"))).alias("pos", "citation"))
+    return found.select("qid", F.col("pos").cast("long").alias("pos"), "citation", C.sections(F.array("citation"))[0].alias("section"))
+
+
+def _golden_files(spark: SparkSession, d: str) -> str:
+    """Four golden sets written from the benchmark: the even ones by act, the odd ones as a list; every seventh question is in the next file as well, every ninth has no query."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    q = F.col("qid")
+    item = lambda g, n: F.struct(q.cast("string").alias("section_number"), (q % g).cast("int").alias("relevance_grade"), F.array(F.concat(F.lit("c"), q), F.concat(F.lit("c"), q + n)).alias("chunk_ids"))
+    one = F.struct(F.concat(F.lit("q"), q).alias("id"), F.when(q % 3 == 0, "ica").otherwise("bns").alias("act"), F.when(q % 9 != 0, F.md5("text")).alias("query"), F.array(item(3, 1), item(2, 0)).alias("gold"))
+    rows = questions(spark, d).withColumn("file", F.explode(F.when(q % 7 == 0, F.array(q % 4, (q + 1) % 4)).otherwise(F.array(q % 4))))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("qid", one.alias("q")))), lambda x: x["q"])
+    of = lambda act: F.struct(F.filter("all", lambda x: x["act"] == act).alias("questions"))
+    sets = rows.groupBy("file").agg(listed.alias("all"))
+    text = F.when(F.col("file") % 2 == 0, F.to_json(F.struct(F.create_map(F.lit("bns"), of("bns"), F.lit("ica"), of("ica")).alias("acts")))).otherwise(F.to_json(F.struct(F.col("all").alias("questions"))))
+    sets.select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    return folder
+
+
+def src8_golden_flatten(spark, d):
+    return files.golden_keys(files.golden_set(spark, _golden_files(spark, d)))
+
+
+def src9_golden_faults(spark, d):
+    found = files.golden_faults(files.golden_set(spark, _golden_files(spark, d)))
+    return found.select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("file"), "pos", "id", "fault")
+
+
 def gn1_answers(spark, d):
     """The flow from hits to enforced answers with the offline generator."""
     hits = _labelled_hits(spark, d, 3).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
@@ -820,11 +831,17 @@ def rp13_documents(spark, d):
 QUERIES = {f.__name__: f for f in (
     rt3_hybrid_rrf, rt1_bm25_topk, snk9_index_update, rt2_vector_topk, rt2_graph_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag15_stream, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
-    wn4_greedy_sequence, jn1_nearest_margin, jn2_note_association, jn4_asof_chapter, wn7_lookahead_titles, wn11_pack_tokens, wn12_sentence_split, wn17_blank_collapse, sf8_classify_lines, wn9_logical_blocks, wn10_chunk_blocks, sf14_normalize_lines,
+    jn1_nearest_margin, wn11_pack_tokens, wn12_sentence_split, wn10_chunk_blocks,
     sf21_chunk_ids, wn10_chunk_build, wn9_section_blocks, sf26_citations, gn3_enforce, ev11_deterministic, sf29_context, dq_rules, dq24_vectors, dq3_missing_numbers, dq9_repeated_lines, dq10_garbage, dq7_section_sizes, dq29_request_validation, jn6_preservation, jn7_key_difference,
-    inc2_pending, inc3_orphans, snk8_upsert, snk8_stream, st2_symmetric_diff, st3_intersection, src8_golden_flatten, snk4_csv_shape, snk10_markdown, rp1_neighbours, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
+    inc2_pending, inc3_orphans, snk8_upsert, snk8_stream, st2_symmetric_diff, st3_intersection, src8_golden_flatten, src9_golden_faults, snk4_csv_shape, snk10_markdown, rp3_metric_table, jn12_grid, gn6_label_map, prj4_source_cards, wn8_normalized_sections, wn8_units,
     ev10_grid, flt7_projection, flt8_question_subset, rt8_listing, so4_smoke_search, so6_samples, dq28_too_many, ag3_answer_flags, ag4_split_means, dq1_sequence, dq4_duplicate_sections, dq26_totals, dq23_missing_fields, ag14_roll_up, wn21_order, sf30_candidates,
     rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts,
     sf8_statute_lines, sf14_statute_lines, wn7_chapter_titles, jn4_chapters_of_lines, wn4_table_sequence, rp1_table_neighbours, wn17_table_blanks, flt4_candidates, flt5_filtered_bm25, sf35_paragraphs, sf20_contexts, sf19_scrubbed, inc1_last_of, dq27_golden_rules,
     gn1_answers, rp10_log_lines, rp13_documents)}
+#: Names of the first round for queries that then read rows of their own.
+FIRST_NAMES = {
+    "wn4_greedy_sequence": "wn4_table_sequence", "jn2_note_association": "jn3_notes_of_lines", "jn4_asof_chapter": "jn4_chapters_of_lines", "wn7_lookahead_titles": "wn7_chapter_titles", "wn17_blank_collapse": "wn17_table_blanks",
+    "sf8_classify_lines": "sf8_statute_lines", "wn9_logical_blocks": "wn9_section_blocks", "sf14_normalize_lines": "sf14_statute_lines", "rp1_neighbours": "rp1_table_neighbours",
+}
+QUERIES |= {old: QUERIES[new] for old, new in FIRST_NAMES.items()}
 QUERIES |= {f"ev{i}_{name}": _metric(name) for i, name in enumerate(metrics.MEANS, 1)}

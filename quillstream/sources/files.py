@@ -91,6 +91,25 @@ def golden_questions(files: DataFrame) -> DataFrame:
     return files.select(F.explode(golden(F.col("value"))).alias("x")).select("x.act_key", "x.q.*")
 
 
+def golden_set(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """The golden files below a folder -> file, pos (from 0, in the order of the file), act_key, id, act, query, gold. A file of neither layout, or without questions, is a row without any."""
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_path").alias("file"), golden(F.col("value")).alias("all"))
+    rows = files.select("file", F.posexplode_outer("all").alias("pos", "x"))
+    return rows.select("file", F.col("pos").cast("long").alias("pos"), "x.act_key", "x.q.*")
+
+
+def golden_faults(questions: DataFrame) -> DataFrame:
+    """file, pos, id, fault of a golden set: no_questions, missing_<field>, duplicate_id (a row for each place of an id that has several, over all files)."""
+    none = questions.where("pos is null").select("file", "pos", "id", F.lit("no_questions").alias("fault"))
+    there = questions.where("pos is not null")
+    lacks = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in ("id", "act", "query", "gold")]), lambda x: x.isNotNull())
+    missing = there.select("file", "pos", "id", F.explode(lacks).alias("fault"))
+    repeated = there.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    twice = there.join(repeated, "id", "left_semi").select("file", "pos", "id", F.lit("duplicate_id").alias("fault"))
+    return none.unionByName(missing).unionByName(twice)
+
+
 def golden_keys(questions: DataFrame) -> DataFrame:
     """qid, chunk_id, grade: the largest grade of each chunk of a question."""
     items = questions.select(F.col("id").alias("qid"), F.explode("gold").alias("g"))
@@ -224,6 +243,30 @@ def write_both(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/parquet")
 
 
+def write_single(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """One string column as one text file: written beside it by one task, renamed over it as a whole. A reader sees the file before or the file after; a task that fails leaves the one before.
+
+    For documents and reports, whose size is bounded; large results are folders (write_text).
+    """
+    import uuid
+
+    from quillstream.operators.versioned import place
+
+    spark = rows.sparkSession
+    folder = f"{path}.{uuid.uuid4().hex}"
+    (rows.orderBy(order).select(*[c for c in rows.columns if c != order]) if order else rows).coalesce(1).write.text(folder)
+    target, fs = place(spark, path)
+    top, _ = place(spark, folder)
+    try:
+        part = next(f.getPath() for f in fs.listStatus(top) if f.getPath().getName().startswith("part-"))
+        kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.OVERWRITE
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), spark._jsc.hadoopConfiguration()).rename(part, fs.makeQualified(target), options)
+    finally:
+        fs.delete(top, True)
+
+
 def write_text(rows: DataFrame, path: str) -> None:
     """One string column as text files, committed as a whole."""
     rows.write.mode("overwrite").text(path)
