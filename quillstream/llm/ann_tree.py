@@ -202,9 +202,12 @@ class Index:
         rows = usable(df)
         total = rows.count()
         some = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / max(total, 1)) * (1 << 30)))
-        sample = rows.where(some).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+        # the calibration queries are taken first, a quarter of a small table at most, and the tree isn't fitted on them
+        self.held = written(rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(max(1, min(CALIBRATION_QUERIES, total // 4))).dropDuplicates(["vec_id"]))
+        others = rows.join(F.broadcast(self.held.select("vec_id")), "vec_id", "left_anti")  # bounded by CALIBRATION_QUERIES
+        sample = others.where(some).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
         if not len(sample):
-            sample = rows.limit(sample_rows).toPandas()
+            sample = rows.limit(sample_rows).toPandas()  # tables of a few rows
         self.total = total
         if not total:
             return
@@ -235,14 +238,11 @@ class Index:
             held += n
             self.cell[leaf] = len(self.blocks) - 1
             self.blocks[-1] = max(1, -(-held // BLOCK_ROWS))
-        self.visits = self._calibrate(sample, recall)
+        self.visits = self._calibrate(recall)
 
-    def _calibrate(self, sample: pd.DataFrame, recall: float) -> int:
+    def _calibrate(self, recall: float) -> int:
         """Widen the visits until the calibration queries' exact neighbours are in the visited leaves."""
-        fitted = F.broadcast(self.spark.createDataFrame(sample[["vec_id"]]))  # bounded by the sample
-        outside = self.rows.join(fitted, "vec_id", "left_anti")
-        pool = self.rows if outside.isEmpty() else outside  # a table no larger than the sample has no other rows
-        asked = written(pool.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(CALIBRATION_QUERIES).dropDuplicates(["vec_id"]))
+        asked = self.held
         truth = exact(self.rows.select("vec_id", "embedding"), asked, self.k)
         leaves = truth.join(self.rows.select("vec_id", "leaf"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("leaf").alias("leaf")).groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).toPandas()
         vectors = {int(r.vec_id): np.asarray(r.embedding, float) for r in asked.toPandas().itertuples()}

@@ -10,10 +10,10 @@ third of all pages is no single task. Pages that share more than half of their c
 no witnesses. A wrapper needs MIN_SHARED pages: fewer can't tell a constant from a slot.
 
 Extraction: each page is parsed as a whole and aligned with its host's wrapper. What is in slots is the page's own text; lines
-that are constants are left out wherever they stand, also inside an article element. Element names are an aid: the article
+that are constants are left out, also inside an article element, but for headings, list items and table cells between slots, which articles may well share. Element names are an aid: the article
 is looked for in article elements, else in main, role=main or itemprop=articleBody, else in the whole page. In the
 whole page the wrapper also rules out groups: those that hold nothing but links on all sampled pages (menus), and those whose
-lines mostly recur on other sampled pages (rotating notices and adverts). Menus, page headers, footers, sidebars, notices,
+lines mostly recur on other sampled pages (rotating notices and adverts; headings, lists and tables apart). Menus, page headers, footers, sidebars, notices,
 adverts, forms and reader comments are also known by element, role, or a class or id that says this and nothing else
 ("comments", "ad-box", but not "ad hoc topics"). All article elements of a page count, whatever their sizes.
 
@@ -398,6 +398,11 @@ def expression(group: Group, pages: int) -> str:
     return f"({body}){mark}" if mark else body
 
 
+#: Elements whose lines an article's pages may have in common without their being the template's: headings and items.
+ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "th", "td", "caption", "figcaption"}
+LISTS = {"ul", "ol", "dl", "table", "tbody", "tr"} | ITEMS
+
+
 def rules(group: Group, pages: int) -> list:
     """What extraction needs of a wrapper: [constants, part of the template, {kind: the same}], without branches that rule out nothing."""
     return _rules(group, pages)[0]
@@ -407,7 +412,8 @@ def _rules(group: Group, pages: int) -> tuple[list, bool]:
     """The same, and whether there is any line in the group."""
     below = {k: _rules(x, pages) for k, x in group.kids.items()}
     held, recurring = sum(group.lines.values()), sum(n for n in group.lines.values() if n > 1)
-    own = group.pages >= MIN_SHARED and (group.linked >= group.chars or recurring >= RECURRING * held)
+    listed = group.key.partition(".")[0] in LISTS  # a page's own list may have most items in common with others
+    own = group.pages >= MIN_SHARED and (group.linked >= group.chars or recurring >= RECURRING * held and not listed)
     full = held > 0 or any(some for _, some in below.values())
     ruled = full and (own or not held) and all(r[1] for r, some in below.values() if some)
     return [sorted(x for x, n in group.lines.items() if n >= pages), int(ruled), {k: r for k, (r, _) in below.items() if any(r)}], full
@@ -436,13 +442,14 @@ def _headings(node: Node) -> list[Node]:
     return [node] if re.fullmatch("h[1-6]", node.tag) else [x for p in node.parts if not isinstance(p, str) and not p.out for x in _headings(p)]
 
 
-def _lines(node: Node, whole_page: bool, constants: bool, aligned: bool, out: list[str]) -> None:
-    """Lines below node: without constants unless they are asked for, and in the whole page without the template's groups."""
+def _lines(node: Node, whole_page: bool, aligned: bool, out: list[tuple[str, bool, bool]], item: bool = False) -> None:
+    """Lines below node with whether they are constants and whether they are headings or items; in the whole page without the template's groups."""
     now: list[str] = []
+    item = item or node.tag in ITEMS
 
     def end() -> None:
-        if now and (line := _line(now)) and (constants or line not in node.fixed):
-            out.append(line)
+        if now and (line := _line(now)):
+            out.append((line, line in node.fixed, item))
         now.clear()
 
     for part in node.parts:
@@ -455,17 +462,20 @@ def _lines(node: Node, whole_page: bool, constants: bool, aligned: bool, out: li
             continue
         if whole_page and part.tag == "header":  # of a page's header only headlines, and only if a wrapper can tell them from the site's
             for heading in _headings(part) if aligned else ():
-                _lines(heading, whole_page, constants, aligned, out)
+                _lines(heading, whole_page, aligned, out)
             continue
-        _lines(part, whole_page, constants, aligned, out)
+        _lines(part, whole_page, aligned, out, item)
     end()
 
 
 def _text(nodes: list[Node], whole_page: bool, constants: bool, aligned: bool) -> str:
-    out: list[str] = []
+    out: list[tuple[str, bool, bool]] = []
     for node in nodes:
-        _lines(node, whole_page, constants, aligned, out)
-    decoded = (_SPACE.sub(" ", entities.unescape(x)).strip() for x in out)
+        _lines(node, whole_page, aligned, out)
+    slots = [i for i, (_, fixed, _) in enumerate(out) if not fixed]
+    # a constant is the template's, but for headings and items that stand between the page's own lines
+    kept = (x for i, (x, fixed, item) in enumerate(out) if constants or not fixed or item and slots and slots[0] < i < slots[-1])
+    decoded = (_SPACE.sub(" ", entities.unescape(x)).strip() for x in kept)
     return "\n".join(x for x in decoded if x)
 
 

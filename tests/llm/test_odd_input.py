@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillstream.llm import langid, line_dedup, minhash, quotes, surrogates, winnowing
+from quillstream.llm import ann_tree, langid, line_dedup, minhash, quotes, surrogates, winnowing, wrappers
 from tests.llm.helpers import prose
 
 ODD = ("a.b", "row", "doc", "rid", "text2", "keep")
@@ -31,3 +31,27 @@ def test_columns_of_any_name(spark, stage):
     assert got.columns == docs.columns
     found = got.collect()
     assert {len(found)} <= {6, 7} and all(tuple(r)[4:] == ODD for r in found)
+
+
+@pytest.mark.parametrize("element", ["article", "div class='story'"])
+def test_headings_and_items_that_articles_share_stay(spark, element):
+    """Eight pages of a host with the same section headings and two ingredients in common; menu, share line and footer are the template's."""
+    page = lambda i: f"""<html><body><div><p>Site name</p><p>Home</p></div><{element}><h1>{prose(5, i)}</h1><p>{prose(30, 50 + i)}</p><h2>Introduction</h2><p>{prose(40, 100 + i)}</p>
+      <ul><li>salt</li><li>{prose(3, 200 + i)}</li><li>butter</li></ul><h2>Methods</h2><p>{prose(40, 300 + i)}</p><p>Share this page</p></{element.split()[0]}><div><p>All rights reserved</p></div></body></html>"""
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
+    found = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        lines = r["text"].split("\n")
+        assert [x for x in lines if x in ("Introduction", "salt", "butter", "Methods")] == ["Introduction", "salt", "butter", "Methods"] and len(lines) == 9
+        assert "Share this page" not in lines and "Home" not in lines and "All rights reserved" not in lines
+
+
+def test_calibration_rows_are_no_part_of_the_fit(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    index = ann_tree.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {r["vec_id"] for r in index.held.collect()}
+    assert len(held) == 100 and index.measured >= ann_tree.RECALL
+    assert ann_tree.Index(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).total == 1
