@@ -92,6 +92,33 @@ def document_json(sections: DataFrame, digests: DataFrame) -> DataFrame:
     return docs.join(digests, "doc_id", "left").select("doc_id", F.to_json(F.struct("sha256", "n_sections", "n_chapters", F.lit(False).alias("ocr"), F.lit(False).alias("llm"), "sections")).alias("json"))
 
 
+def document_record(head: DataFrame, parts: dict[str, tuple[DataFrame, tuple[str, ...]]], values: dict[str, DataFrame] | None = None) -> DataFrame:
+    """doc_id, json: a document's record: its head, lists of its parts in order, and objects of named values.
+
+    head: doc_id and the fields of `document`. parts: name -> (rows with doc_id, the columns that order them); each row is an object of its columns but doc_id, a
+    row of one column `value` that value itself. values: name -> rows (doc_id, name, value). All parts meet in one grouping by document, as rows that are JSON
+    already; a part without rows is an empty list. Documents without a head are left out. A null order comes first; ties are in the order of the JSON.
+    """
+    every = None
+    for n, (name, (rows, order)) in enumerate(parts.items()):
+        fields = [c for c in rows.columns if c != "doc_id"]
+        item = F.to_json(F.struct(*fields)) if fields != ["value"] else F.regexp_extract(F.to_json(F.struct("value")), r'(?s)^\{"value":(.*)\}$', 1)
+        place = F.array(*[F.col(c).cast("double") for c in order]) if order else F.array().cast("array<double>")
+        one = rows.select("doc_id", F.lit(n).alias("part"), place.alias("place"), item.alias("item"))
+        every = one if every is None else every.unionByName(one)
+    for n, (name, rows) in enumerate((values or {}).items(), len(parts)):
+        item = F.regexp_extract(F.to_json(F.map_from_arrays(F.array("name"), F.array("value"))), r"(?s)^\{(.*)\}$", 1)
+        every = every.unionByName(rows.select("doc_id", F.lit(n).alias("part"), F.array().cast("array<double>").alias("place"), item.alias("item")))
+    grouped = every.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "place", "item"))).alias("all"))
+    joined = head.select("doc_id", F.to_json(F.struct(*[c for c in head.columns if c != "doc_id"])).alias("head")).join(grouped, "doc_id", "left")
+    text = [F.lit('{"document":'), F.col("head")]
+    for n, name in enumerate([*parts, *(values or {})]):
+        of = F.coalesce(F.expr(f"array_join(transform(filter(all, x -> x.part = {n}), x -> x.item), ',')"), F.lit(""))
+        opens, closes = "[]" if n < len(parts) else "{}"
+        text += [F.lit(f',"{name}":{opens}'), of, F.lit(closes)]
+    return joined.select("doc_id", F.concat(*text, F.lit("}")).alias("json"))
+
+
 #: Places of what a document holds outside its chapters when it is rendered.
 FIRST, LAST = ("Preamble", "Related Judgements"), ("Schedule",)
 

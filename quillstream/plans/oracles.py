@@ -394,6 +394,15 @@ g AS (SELECT d, ord, any_value(CASE WHEN open IN ('section', 'special') THEN ope
   arg_max(array_to_string(list_filter(list_transform(string_split(regexp_extract(t, '{T.SOURCE_PAGES}', 1), ','), lambda p: try_cast(trim(p) AS INT)), lambda p: p IS NOT NULL), ','), n) FILTER (kind = 'pages') AS pages,
   coalesce(string_agg({_CANONICAL}, chr(10) ORDER BY n) FILTER (shown), '') AS body FROM x GROUP BY d, ord)
 SELECT d AS doc_id, ord, owner, chapter, number, coalesce(nullif(heading, ''), first_note) AS title, note, coalesce(pages, '') AS pages, md5(rtrim(body, ' ')) AS body FROM g"""
+ORACLES["rp13_document_records"] = f"""WITH {_NOTES}, dn AS (SELECT doc_id // 50 AS d, doc_id AS r, page, gid, section, method, confidence::DECIMAL(6, 4)::VARCHAR AS confidence FROM notes),
+dh AS (SELECT doc_id // 50 AS d, count(*) AS n FROM documents GROUP BY 1),
+dc AS (SELECT doc_id // 50 AS d, string_agg('{{"number":' || doc_id || ',"title":"' || lang || '"}}', ',' ORDER BY doc_id) AS j FROM documents WHERE doc_id % 12 = 0 GROUP BY 1),
+ds AS (SELECT doc_id // 50 AS d, string_agg('{{"number":' || doc_id || ',"title":"' || source || '","text":"' || md5(text) || '"}}', ',' ORDER BY doc_id) AS j FROM documents WHERE doc_id % 12 <> 0 GROUP BY 1),
+dm AS (SELECT d, count(*) AS k, count(section) AS a, string_agg('{{"row":' || r || ',"page":' || page || ',"gid":' || gid || CASE WHEN section IS NULL THEN '' ELSE ',"section":' || section END || CASE WHEN method IS NULL THEN '' ELSE ',"method":"' || method || '"' END
+    || CASE WHEN confidence IS NULL THEN '' ELSE ',"confidence":"' || confidence || '"' END || '}}', ',' ORDER BY r, page, gid) AS j,
+  string_agg('{{"row":' || r || ',"page":' || page || ',"gid":' || gid || ',"warning":"note ' || gid || ' of page ' || page || ' belongs to no section"}}', ',' ORDER BY r, page, gid) FILTER (section IS NULL) AS w FROM dn GROUP BY d)
+SELECT dh.d AS doc_id, md5('{{"document":{{"title":"d' || dh.d || '","page_count":' || dh.n || ',"ocr_used":false}},"chapters":[' || coalesce(dc.j, '') || '],"sections":[' || coalesce(ds.j, '') || '],"marginal_notes":[' || coalesce(dm.j, '') || '],"warnings":[' || coalesce(dm.w, '')
+  || '],"diagnostics":{{' || CASE WHEN dm.k IS NULL THEN '' ELSE '"associated":' || dm.a || ',"notes":' || dm.k END || '}}}}') AS json FROM dh LEFT JOIN dc USING (d) LEFT JOIN ds USING (d) LEFT JOIN dm USING (d)"""
 _BLOCKS = ORACLES["wn10_chunk_build"].split("st AS (SELECT d, unit, ord, unnest(s)")[0].rstrip().rstrip(",")
 ORACLES["wn10_chunk_blocks"] = f"{_BLOCKS} SELECT d AS doc_id, unit, ord, marker, content_type, direct, md5(text) AS text FROM blk"
 ORACLES["sf21_chunk_ids"] = f"SELECT chunk_id, doc_id, subsection, content_type, content, citation_text FROM ({ORACLES['wn10_chunk_build']})"

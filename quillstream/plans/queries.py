@@ -828,6 +828,21 @@ def rp13_documents(spark, d):
     return markdown.document_json(rows, digests).select("doc_id", F.md5("json").alias("json"))
 
 
+def rp13_document_records(spark, d):
+    """Whole records: chapters, sections, margin notes with what they belong to, a warning for each that belongs to nothing, and counts."""
+    docs = read(spark, d, "documents").withColumn("doc", F.expr("doc_id div 50"))
+    head = docs.groupBy(F.col("doc").alias("doc_id")).agg(F.concat(F.lit("d"), F.col("doc")).alias("title"), F.count("*").alias("page_count")).withColumn("ocr_used", F.lit(False))
+    chapters = docs.where("doc_id % 12 = 0").select(F.col("doc").alias("doc_id"), F.col("doc_id").alias("number"), F.col("lang").alias("title"))
+    sections = docs.where("doc_id % 12 != 0").select(F.col("doc").alias("doc_id"), F.col("doc_id").alias("number"), F.col("source").alias("title"), F.md5("text").alias("text"))
+    found = written(_notes_of_tables(spark, d).select(F.expr("doc_id div 50").alias("doc_id"), F.col("doc_id").alias("row"), "page", "gid", "section", "method", F.col("confidence").cast("decimal(6,4)").cast("string").alias("confidence")))
+    lost = found.where("section is null")
+    warnings = lost.select("doc_id", "row", "page", "gid", F.format_string("note %d of page %d belongs to no section", F.col("gid").cast("long"), F.col("page")).alias("warning"))
+    counted = found.groupBy("doc_id").agg(F.count("*").alias("notes"), F.count("section").alias("associated"))
+    diagnostics = counted.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("notes", "associated")])).alias("x")).select("doc_id", "x.*")
+    record = markdown.document_record(head, {"chapters": (chapters, ("number",)), "sections": (sections, ("number",)), "marginal_notes": (found, ("row", "page", "gid")), "warnings": (warnings, ("row", "page", "gid"))}, {"diagnostics": diagnostics})
+    return record.select("doc_id", F.md5("json").alias("json"))
+
+
 QUERIES = {f.__name__: f for f in (
     rt3_hybrid_rrf, rt1_bm25_topk, snk9_index_update, rt2_vector_topk, rt2_graph_topk, rt7_facets, rt9_document_count, flt6_prefilter_vector, wn15_section_dedupe, ev6_cosine, ev7_pairwise_cosine, ev8_unique_redundancy, ag1_metric_summary, ag2_judge_summary,
     ag5_duplicates, ag6_uniqueness, ag7_content_histogram, ag8_vector_stats, ag9_bbox, ag15_daily_requests, ag15_stream, ag16_cost, flt1_noise_lines, flt2_margin_split, flt9_upper_ratio, wn1_line_index, wn5_forward_fill_sections, wn6_margin_groups,
@@ -837,7 +852,7 @@ QUERIES = {f.__name__: f for f in (
     ev10_grid, flt7_projection, flt8_question_subset, rt8_listing, so4_smoke_search, so6_samples, dq28_too_many, ag3_answer_flags, ag4_split_means, dq1_sequence, dq4_duplicate_sections, dq26_totals, dq23_missing_fields, ag14_roll_up, wn21_order, sf30_candidates,
     rp2_section_records, jn3_notes_of_lines, dq30_unassociated, ag13_note_counts, prj2_search_documents, src11_embedding_faults, rp8_allowed_labels, jn18_linked_citations, prj5_judge_payload, gn5_fallback, snk11_rendered, src12_counts,
     sf8_statute_lines, sf14_statute_lines, wn7_chapter_titles, jn4_chapters_of_lines, wn4_table_sequence, rp1_table_neighbours, wn17_table_blanks, flt4_candidates, flt5_filtered_bm25, sf35_paragraphs, sf20_contexts, sf19_scrubbed, inc1_last_of, dq27_golden_rules,
-    gn1_answers, rp10_log_lines, rp13_documents)}
+    gn1_answers, rp10_log_lines, rp13_documents, rp13_document_records)}
 #: Names of the first round for queries that then read rows of their own.
 FIRST_NAMES = {
     "wn4_greedy_sequence": "wn4_table_sequence", "jn2_note_association": "jn3_notes_of_lines", "jn4_asof_chapter": "jn4_chapters_of_lines", "wn7_lookahead_titles": "wn7_chapter_titles", "wn17_blank_collapse": "wn17_table_blanks",
