@@ -109,9 +109,10 @@ def brute_conversations(messages):
         out = []  # [level, norm]
         for part, body in enumerate(re.split(quotes.DIVIDER, text)):
             for raw in re.split(quotes.LINE_END, body):
-                marks = re.match(quotes.MARKS, raw)
-                line = raw[marks.end() :] if marks else raw
-                out.append([(marks[1].count(">") if marks else 0) + part, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split()), line, part])
+                lead = raw[: len(raw) - len(raw.lstrip(" \t>"))]  # the marks, with blanks between them
+                cut = lead.rfind(">") + 1
+                line = raw[cut + (raw[cut : cut + 1] in (" ", "\t") and cut > 0) :]
+                out.append([lead.count(">") + part, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split()), line, part])
         for i, (level, _, line, part) in enumerate(out):
             if re.match(quotes.INTRO, line) and i + 1 < len(out) and out[i + 1][0] > level or part and re.match(quotes.HEADER, line):
                 out[i][1] = ""
