@@ -97,7 +97,8 @@ def chapter_title(lines: Column) -> Column:
 
 def join_lines(lines: Column) -> Column:
     """Strip, drop empties, join by a space, no space before punctuation."""
-    kept = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    # not F.trim itself: its second parameter would get the place in the array, as characters to be taken off
+    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     return F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+([,.;:!?])", "$1"))
 
 

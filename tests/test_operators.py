@@ -86,6 +86,10 @@ def test_text_functions(spark):
     assert one(spark, T.is_noise(t), t="45 of 1901") and not one(spark, T.is_noise(t), t="45 of them")
 
 
+def test_joined_lines_keep_the_digits_at_their_ends(spark):
+    assert one(spark, T.join_lines(F.array(F.lit(" 0990 "), F.lit("1 x 1"), F.lit(" 22"))), t="") == "0990 1 x 1 22"
+
+
 def test_pack_keeps_order_and_budget(spark, sf):
     rows = queries.lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("ord"), "text")
     packed = blocks.pack(rows, target=100).join(rows, ["doc_id", "ord"])
