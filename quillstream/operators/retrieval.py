@@ -6,11 +6,12 @@ questions' terms before anything is shuffled. Ranks order by rounded score, then
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import tokens
 from quillstream.functions.vectors import dot, norm
+from quillstream.operators import nearest
 from quillstream.scratch import fits, small, written
 
 
@@ -43,28 +44,24 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: floa
     return ranked(scores, k).select("qid", "doc_id", "rank", "score")
 
 
-#: Questions of a block; a block of vectors has as many blocks of this size.
+#: Questions and vectors (expected) that meet in one task: where the best are kept, and where all pairs are (some 50 MB).
+BEST, EVERY = (4096, 32768), (1024, 2048)
+#: Questions of a block of the vectors that have no cosine with most.
 BLOCK = 256
 
 
-def scored(vectors: DataFrame, questions: DataFrame, by: str | None = None) -> DataFrame:
-    """vectors (vec_id, embedding), questions (qid, query) -> qid, vec_id, score (cosine to 6 places) of all pairs; by: a column of both that has to be equal.
-
-    Questions come in blocks of BLOCK. Where a count proves them small they are broadcast; else both sides are dealt over a
-    grid of question and vector blocks, each pair of blocks meeting once. Norms are computed once a row.
-    """
+def _plain(vectors: DataFrame, questions: DataFrame, by: str | None) -> DataFrame:
+    """The scores of all pairs by column expressions: for vectors of other lengths, or with components that are null or not finite."""
     keep = [by] if by else []
     asked = written(questions.select("qid", *[F.col(c).alias(f"q_{c}") for c in keep], F.col("query").cast("array<double>").alias("query"), norm(F.col("query")).alias("q_norm")))
     rows = vectors.select("vec_id", *keep, F.col("embedding").cast("array<double>").alias("embedding"), norm(F.col("embedding")).alias("norm"))
     n = max(1, -(-asked.count() // BLOCK))
-    block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked, rows, on = asked.withColumn("qb", block("qid", n)), rows.withColumn("qb", every(n)), ["qb"]
+    asked, rows, on = asked.withColumn("qb", _block("qid", n)), rows.withColumn("qb", _each(n)), ["qb"]
     if fits(asked):
         asked = F.broadcast(asked)
     else:
         m = max(1, -(-vectors.count() // (BLOCK * BLOCK)))
-        asked, rows, on = asked.withColumn("vb", every(m)), rows.withColumn("vb", block("vec_id", m)), ["qb", "vb"]
+        asked, rows, on = asked.withColumn("vb", _each(m)), rows.withColumn("vb", _block("vec_id", m)), ["qb", "vb"]
     pairs = rows.join(asked, on)
     if by:
         pairs = pairs.where(F.col(by) == F.col(f"q_{by}"))
@@ -73,9 +70,53 @@ def scored(vectors: DataFrame, questions: DataFrame, by: str | None = None) -> D
     return pairs.select("qid", "vec_id", *keep, F.round(score, 6).alias("score"))
 
 
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _each(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def _scored(vectors: DataFrame, questions: DataFrame, by: str | None, k: int | None) -> DataFrame:
+    """qid, vec_id, by, score: of all pairs, or with k at least the k best of each question.
+
+    Both sides are dealt over a grid of question and vector blocks, and each pair of blocks meets once in a task (operators.nearest). Vectors that the
+    product of blocks can't take (another length than most, a component that is null or not finite) are counted, and meet all others by column expressions.
+    """
+    keep, (most_q, most_v) = [by] if by else [], EVERY if k is None else BEST
+    kind = "array<float>" if {vectors.schema["embedding"].dataType.simpleString(), questions.schema["query"].dataType.simpleString()} == {"array<float>"} else "array<double>"
+    # of what array<float> can hold, so that no square overflows
+    sound = lambda v: F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) <= 3.5e38)), F.lit(False))
+    asked = written(questions.select("qid", *keep, F.col("query").cast(kind).alias("query")))
+    rows = vectors.select("vec_id", *keep, F.col("embedding").cast(kind).alias("embedding"))
+    sizes = rows.groupBy(sound(F.col("embedding")).alias("sound"), F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max(F.when(F.col("sound"), F.struct("n", "size")))).first()
+    fit = lambda v: sound(v) & F.coalesce(F.size(v) == F.lit(most["size"] if most else None), F.lit(False))
+    asked_fit, rows_fit = fit(F.col("query")), fit(F.col("embedding"))
+    n_asked, n_fit = asked.agg(F.count("*"), F.count_if(asked_fit)).first()
+    n, m = max(1, -(-n_fit // most_q)), max(1, -(-(most["n"] if most else 0) // most_v))
+    on = [*keep, "qb", "vb"]
+    left = rows.where(rows_fit).dropna(subset=keep) if keep else rows.where(rows_fit)
+    left = left.withColumn("vb", _block("vec_id", m)).withColumn("qb", _each(n))
+    right = asked.where(asked_fit).withColumn("qb", _block("qid", n)).withColumn("vb", _each(m))
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (asked.schema["qid"], rows.schema["vec_id"], *(rows.schema[c] for c in keep)))
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(nearest.met(k, tuple(keep)), f"{typed}, score double")
+    if total != (most["n"] if most else 0):
+        found = found.unionByName(_plain(rows.where(~rows_fit), asked, by))
+    if n_asked != n_fit:
+        found = found.unionByName(_plain(rows.where(rows_fit), asked.where(~asked_fit), by))
+    return found
+
+
+def scored(vectors: DataFrame, questions: DataFrame, by: str | None = None) -> DataFrame:
+    """vectors (vec_id, embedding), questions (qid, query) -> qid, vec_id, score (cosine to 6 places) of all pairs; by: a column of both that has to be equal."""
+    return _scored(vectors, questions, by, None)
+
+
 def vector(vectors: DataFrame, questions: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """The k best vectors of each question: qid, vec_id, rank, score; by is a filter before the top k."""
-    found = ranked(scored(vectors, questions, by), k, key="vec_id")
+    found = ranked(_scored(vectors, questions, by, k), k, key="vec_id")
     return found.select("qid", "vec_id", *([by] if by else []), "rank", "score")
 
 

@@ -100,6 +100,19 @@ def test_vector_search_by_grid_equals_broadcast(spark, monkeypatch):
     assert sorted(retrieval.vector(rows, asked, 4).collect()) == whole
 
 
+def test_vector_search_by_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BEST", (3, 7))
+    monkeypatch.setattr(retrieval, "EVERY", (4, 5))
+    rows = [(i, [float((i % 30 * k) % 11 - 5) for k in (1, 3, 7)], "ab"[i % 2] if i % 9 else None) for i in range(60)]  # every vector twice
+    rows += [(60, None, "a"), (61, [1.0, None, 2.0], "b"), (62, [1.0, 2.0], "a"), (63, [0.0, 0.0, 0.0], "b"), (64, [], "a"), (65, [1.0, float("nan"), 0.0], "a"), (65, [3e38, 3e38, 3e38], "b")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, lang string")
+    asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"), "lang")
+    for by in (None, "lang"):
+        plain = retrieval._plain(vectors, asked, by)
+        for found, want in ((retrieval.scored(vectors, asked, by), plain), (retrieval.vector(vectors, asked, 4, by).drop("rank"), retrieval.ranked(plain, 4, key="vec_id").drop("rank"))):
+            assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
 def test_strict_sequence_and_required_rows(spark):
     numbers = spark.createDataFrame([(1,), (2,), (2,), (5,)], "number long")
     assert sorted(tuple(r) for r in quality.sequence_report(numbers, 1, 3).collect()) == [("duplicate", 2), ("missing", 3), ("unexpected", 5)]
