@@ -47,12 +47,13 @@ def retrieval_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...], key
 
 def pairwise_cosine(hits: DataFrame, vectors: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """qid, final_k, avg_cosine over the pairs i < j of the first k hits that have a vector; null below two."""
-    grid = F.explode(F.array(*[F.lit(k) for k in ks])).alias("final_k")
-    rows = hits.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    lists = rows.select("qid", "rank", "embedding", grid).where("rank <= final_k").groupBy("qid", "final_k").agg(F.array_sort(F.collect_list(F.struct("rank", "embedding"))).alias("h"))  # k bounds the list
-    pairs = lists.select("qid", "final_k", F.posexplode("h").alias("i", "a"), "h").select("qid", "final_k", "i", "a", F.posexplode("h").alias("j", "b")).where("i < j")
-    means = pairs.groupBy("qid", "final_k").agg(F.round(F.avg(cosine(F.col("a.embedding"), F.col("b.embedding"))), 6).alias("avg_cosine"))
-    return lists.select("qid", "final_k").join(means, ["qid", "final_k"], "left").select("qid", F.col("final_k").cast("long").alias("final_k"), "avg_cosine")
+    # the hits and their vectors are stored: the search isn't run again for each side of the pairs
+    rows = written(hits.where(F.col("rank") <= max(ks)).join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("qid", "rank", "embedding"))
+    upto = lambda rank: F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col(rank))).alias("final_k")
+    later = rows.select("qid", F.col("rank").alias("later"), F.col("embedding").alias("other"))
+    pairs = rows.join(later, "qid").where("rank < later").select("qid", "later", cosine(F.col("embedding"), F.col("other")).alias("cosine"))  # at most max(ks)**2 of a question
+    means = pairs.select("qid", "cosine", upto("later")).groupBy("qid", "final_k").agg(F.round(F.avg("cosine"), 6).alias("avg_cosine"))
+    return rows.select("qid", upto("rank")).distinct().join(means, ["qid", "final_k"], "left").select("qid", F.col("final_k").cast("long").alias("final_k"), "avg_cosine")
 
 
 def section_spread(hits: DataFrame, ks: tuple[int, ...]) -> DataFrame:

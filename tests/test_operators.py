@@ -90,6 +90,13 @@ def test_joined_lines_keep_the_digits_at_their_ends(spark):
     assert one(spark, T.join_lines(F.array(F.lit(" 0990 "), F.lit("1 x 1"), F.lit(" 22"))), t="") == "0990 1 x 1 22"
 
 
+def test_pairwise_cosine_compares_ranks(spark):
+    hits = spark.createDataFrame([(2, r, r) for r in range(1, 5)], "qid long, rank long, doc_id long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")  # an id twice, one without vector
+    found = {r.final_k: r.avg_cosine for r in metrics.pairwise_cosine(hits, vectors, (1, 2, 3)).collect()}
+    assert found == {1: None, 2: 0.0, 3: pytest.approx(3 * 0.5**0.5 / 5, abs=1e-6)}
+
+
 def test_pack_keeps_order_and_budget(spark, sf):
     rows = queries.lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("ord"), "text")
     packed = blocks.pack(rows, target=100).join(rows, ["doc_id", "ord"])
