@@ -30,7 +30,7 @@ from quillstream.operators.versioned import Versioned
 from quillstream.scratch import small, written
 
 #: Documents of a segment (expected), ranges of its terms, documents of a block at most.
-SEGMENT_DOCS, BUCKETS, BLOCK = 1 << 15, 16, 128
+SEGMENT_DOCS, BUCKETS, BLOCK = 1 << 13, 16, 128
 #: Questions that meet a segment together.
 QUESTIONS = 1024
 #: Scores are rounded to six places; bounds have to fail by more than that.

@@ -6,6 +6,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.operators import retrieval, textindex
 from quillstream.operators.textindex import TextIndex
@@ -113,3 +114,11 @@ def test_the_plan_reads_the_terms_buckets_and_no_text(spark, made, capsys):
     found.explain("formatted")
     plan = capsys.readouterr().out
     assert "bucket" in plan.split("PartitionFilters")[1][:200] and "postings" in plan and "text#" not in plan
+
+
+def test_segments_stay_small_as_the_table_grows(spark, tmp_path):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 50, F.lit(" v"), F.col("id") % 7).alias("text"))
+    index = TextIndex.create(spark, str(tmp_path / "many"), docs)
+    assert index.manifest["segments"] == 3  # a task of a search holds the postings of one
+    asked = spark.createDataFrame([(1, "w3 v5"), (2, "v1")], "qid long, text string")
+    assert sorted(index.bm25(asked, 5).collect()) == sorted(retrieval.bm25(docs, asked, 5).collect())
