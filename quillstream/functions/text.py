@@ -75,6 +75,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def words(text: Column) -> Column:
+    """The tokens in one string, a space between them: no string is made for each of them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
 def is_noise(line: Column) -> Column:
     return line.rlike(PAGE_NUMBER) | line.rlike(LEGISLATIVE_REFERENCE)
 
