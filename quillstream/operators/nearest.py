@@ -1,11 +1,13 @@
 """Cosines of blocks of vectors inside a task, and the best of them.
 
-A block product finds the rows that can be among a question's best; their scores, and those of all pairs where all are asked for, add up the products in the
-order of the components, in double precision, as the column expressions in functions.vectors do, and are rounded as Spark rounds. So results don't depend on the blocks.
+A block product finds the rows that can be among a question's best; their scores add up the products in the order of the components, in double precision, as the
+column expressions in functions.vectors do, and are rounded as Spark rounds. Where all pairs are asked for, that is done for those that a block product can't round
+safely. So results don't depend on the blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -16,6 +18,10 @@ import pyarrow.compute
 SLACK = 2e-6
 #: Questions whose scores are in memory together.
 STEP = 64
+#: Pairs that are sorted by score together (8 bytes each), and rows of a batch of all pairs.
+RUN, BATCH = 1 << 25, 1 << 18
+#: Squares of shorter vectors lose figures, so that a product of unit vectors isn't near their cosine.
+TINY = 1e-100
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -77,22 +83,45 @@ def best(x: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None)
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def every(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Questions, rows and scores to six places of all pairs."""
-    xt, qt = np.ascontiguousarray(x.T), np.ascontiguousarray(q.T)
-    nx, nq = lengths(xt), lengths(qt)
-    score = np.zeros((len(q), len(x)))
-    for a in range(0, len(q), STEP):
-        total = score[a : a + STEP]
-        product = np.empty_like(total)
-        for c in range(len(xt)):
-            total += np.multiply.outer(qt[c, a : a + STEP], xt[c], out=product)
-        total[:] = millionths(_cosine(total.ravel(), np.multiply.outer(nq[a : a + STEP], nx).ravel())).reshape(total.shape) / 1e6
-    return np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q)), score.ravel()
+def _whole(xt: np.ndarray, qt: np.ndarray, nx: np.ndarray, nq: np.ndarray, ux: np.ndarray, uq: np.ndarray) -> np.ndarray:
+    """Cosines in whole millionths, questions by rows. What a product of unit vectors leaves next to a half is added up in the order of the components."""
+    scaled = uq @ ux.T
+    scaled *= 1e6
+    out = np.rint(scaled)
+    scaled -= out
+    tiny = any(((n > 0) & (n < TINY)).any() for n in (nx, nq))
+    j, i = np.nonzero(np.abs(scaled, out=scaled) > (-1 if tiny else 0.5 - 1e-6 - 1e-9 * len(xt)))
+    total = np.zeros(len(i))
+    for c in range(len(xt)):
+        total += xt[c][i] * qt[c][j]
+    out[j, i] = millionths(_cosine(total, nx[i] * nq[j]))
+    return out
 
 
-def met(k: int | None, names: tuple[str, ...]):
-    """A function for a pair of groups, vectors (vec_id, embedding, names..) and questions (qid, query): qid, vec_id, names.., score of the k best or of all."""
+def every(x: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Questions, rows and scores to six places of all pairs, in batches. The pairs of some questions come by rising score: so files hold a score once for many rows."""
+    xt, qt = np.ascontiguousarray(x.T), np.ascontiguousarray(q.T)
+    nx, nq = lengths(xt), lengths(qt)
+    ux, uq = _unit(x, nx), _unit(q, nq)
+    some = max(1, RUN // len(x))
+    for a in range(0, len(q), some):
+        n = min(some, len(q) - a)
+        keys = np.empty(n * len(x), np.int64)
+        for b in range(0, n, STEP):
+            part = slice(a + b, a + min(b + STEP, n))
+            run = keys[b * len(x) : (b + STEP) * len(x)]
+            run[:] = _whole(xt, qt[:, part], nx, nq[part], ux, uq[part]).ravel()
+            run <<= 32
+            run += np.arange(b * len(x), b * len(x) + len(run))
+        keys.sort()
+        for b in range(0, len(keys), BATCH):
+            part = keys[b : b + BATCH]
+            j, i = np.divmod(part & 0xFFFFFFFF, len(x))
+            yield a + j, i, (part >> 32) / 1e6
+
+
+def met(k: int, names: tuple[str, ...]):
+    """A function for a pair of groups, vectors (vec_id, embedding, names..) and questions (qid, query): qid, vec_id, names.., score of the k best."""
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
@@ -101,9 +130,25 @@ def met(k: int | None, names: tuple[str, ...]):
         else:
             rows = rows.take(pa.compute.sort_indices(rows["vec_id"], null_placement="at_start"))
             x, q = matrix(rows["embedding"]), matrix(asked["query"])
-            j, i, score = every(x, q) if k is None else best(x, q, k)
+            j, i, score = best(x, q, k)
         out = {"qid": asked["qid"].combine_chunks().take(pa.array(j)), "vec_id": rows["vec_id"].combine_chunks().take(pa.array(i))}
         out |= {n: rows[n].combine_chunks().take(pa.array(i)) for n in names}
         return pa.table(out | {"score": score})
 
     return meet
+
+
+def paired(names: tuple[str, ...]):
+    """A function for a group of vectors (vec_id, vector, names..) and questions (qid, vector), which asks marks: qid, vec_id, names.., score of all pairs."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        asks = table["asks"].combine_chunks()
+        rows, asked = table.filter(pa.compute.invert(asks)), table.filter(asks)
+        if not rows.num_rows or not asked.num_rows:
+            return
+        qid, shown = asked["qid"].combine_chunks(), {n: rows[n].combine_chunks() for n in ("vec_id", *names)}
+        for j, i, score in every(matrix(rows["vector"]), matrix(asked["vector"])):
+            yield pa.RecordBatch.from_pydict({"qid": qid.take(pa.array(j))} | {n: x.take(pa.array(i)) for n, x in shown.items()} | {"score": score})
+
+    return pair
