@@ -85,7 +85,7 @@ def _scored(vectors: DataFrame, questions: DataFrame, by: str | None, k: int | N
     """qid, vec_id, by, score: of all pairs, or with k at least the k best of each question.
 
     Both sides are dealt over a grid of question and vector blocks, and each pair of blocks meets once in a task (operators.nearest). For all pairs a task
-    takes as many questions as a table of 800,000 vectors has and gives its pairs away by batches, so what is shuffled is a few times the input. Vectors that the
+    takes as many questions as a table of 800,000 vectors has, and gives its pairs away by batches: up to there what is shuffled is a few times the input. Vectors that the
     product of blocks can't take (another length than most, a component that is null or not finite) are counted, and meet all others by column expressions.
     """
     keep, (most_q, most_v) = [by] if by else [], EVERY if k is None else BEST
