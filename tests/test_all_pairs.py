@@ -26,7 +26,7 @@ def test_all_pairs_are_rounded_as_the_sums_in_order_are(monkeypatch):
 
 
 def test_all_pairs_take_few_bytes_in_files_and_few_copies(spark, tmp_path):
-    angle = F.pmod(F.col("id") * 0.38196601125, F.lit(0.6))
+    angle = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) * 0.6e-6
     rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.cos(angle).cast("float"), F.sin(angle).cast("float")).alias("embedding"))
     asked = spark.range(2500).select((F.col("id") + 10_000).alias("qid"), F.array(F.sin(angle + 0.7).cast("float"), F.cos(angle + 0.7).cast("float")).alias("query"))
     store, none = spark._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
